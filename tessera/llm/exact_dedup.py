@@ -26,7 +26,7 @@ from .common import OWN, ascii_lower, new_path, quoted, staged, text_of
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Hits compared with one copy of the content they hit; larger groups are dealt to several tasks.
 HITS_A_COPY = 1000
-LOC, DIG, NORM, SID, KEEP, N = (OWN + x for x in ("locator", "digest", "text", "id", "keep", "n"))
+LOC, DIG, TEXT, NORM, SID, KEEP, N = (OWN + x for x in ("locator", "digest", "text", "norm", "id", "keep", "n"))
 
 
 def sha256(text):
@@ -67,7 +67,7 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
 def mismatches(content: DataFrame, state: DataFrame) -> DataFrame:
     """Rows whose text differs from the content retained for their digest."""
     repeated = state.where(F.col(N) > 1)
-    rows = staged(content.select(LOC, SID, DIG, NORM).join(repeated, DIG), "hits")
+    rows = staged(content.select(LOC, SID, DIG, TEXT).join(repeated, DIG).withColumn(NORM, ascii_lower(F.col(TEXT))).drop(TEXT), "hits")
     copies = F.ceil(F.col(N) / HITS_A_COPY).cast("int")
     held = rows.where(F.col(LOC) == F.col(KEEP)["locator"]).select(DIG, F.explode(F.sequence(F.lit(0), copies - 1)).alias(OWN + "copy"), F.col(NORM).alias(OWN + "held"))
     hits = rows.where(F.col(LOC) != F.col(KEEP)["locator"]).withColumn(OWN + "copy", F.pmod(F.xxhash64(LOC), copies).cast("int"))
@@ -78,10 +78,10 @@ def classified(docs: DataFrame, id_col: str, text_col: str, digest=sha256, files
     """The rows with their digest, locator, the (id, locator) that stays and the group's size, in own columns."""
     spark = docs.sparkSession
     path = new_path(spark, "content")
-    full = docs.withColumns({SID: F.col(quoted(id_col)), LOC: F.monotonically_increasing_id(), NORM: ascii_lower(text_of(text_col))})
-    full = full.withColumn(DIG, digest(F.col(NORM)))
+    norm = ascii_lower(text_of(text_col))
+    full = docs.withColumns({SID: F.col(quoted(id_col)), LOC: F.monotonically_increasing_id(), DIG: digest(norm)})
     full.write.option("compression", "zstd").parquet(path)
-    content = spark.read.schema(full.schema).parquet(path)
+    content = spark.read.schema(full.schema).parquet(path).withColumns({TEXT: text_of(text_col), NORM: norm})
     checkpoint = new_path(spark, "dedup-state")
     stream_state(path, full.schema, spark, checkpoint, files_at_once)
     state = read_state(spark, checkpoint)
