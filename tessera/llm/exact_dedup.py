@@ -36,7 +36,8 @@ def sha256(text):
 @contextmanager
 def disk_state(spark: SparkSession):
     """RocksDB as state store while a stream starts and runs."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
+    # without preallocation: it takes some MB for each partition, however little it holds
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
