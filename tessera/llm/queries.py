@@ -47,6 +47,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir))
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import quality_classifier
+
+    return quality_classifier(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .masked_lm import lm_scores
+
+    return lm_scores(_docs(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import token_counts
 
@@ -59,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_simhash, op4_token_output, op5_byte_bpe, op6_sharding, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_simhash, op4_token_output, op5_byte_bpe, op6_sharding, op7_importance_resampling, op8_masked_lm, op9_token_counts, op10_quality_rules)}
 
 ORACLES = {
     "op1_exact_dedup": f"""
