@@ -1 +1 @@
-
+"""Column functions: text, distances, dates, sealed values."""

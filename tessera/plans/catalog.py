@@ -1,4 +1,7 @@
 """All registered queries of the engine and the SQL they are checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import browse, quality, search, telemetry
+
+_PLANS = (search, browse, telemetry, quality)
+QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLES: dict = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
