@@ -36,7 +36,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 2048 ids."""
-    return packing.pack(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packing.pack(docs, ids_as=F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
 STAGES = [("quality rules", rules), ("quality classifier", classifier), ("exact dedup", exact), ("near-duplicates", near), ("best-fit packing", pack)]

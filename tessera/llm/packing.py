@@ -22,7 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
 from .common import INDEX, PART, group_index, quoted, small_batches, staged, text_of, texts, with_rank
@@ -174,8 +174,11 @@ class Placement:
         return sequence, offset
 
 
-def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int) -> DataFrame:
-    """Encode, append the end id, cut what is longer than a sequence; staged, numbered by length."""
+def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, ids_as: Column | None = None) -> DataFrame:
+    """Encode, append the end id, cut what is longer than a sequence; staged, numbered by length.
+
+    ``ids_as``: what to keep of the column ``ids``, taken before anything is written or moved.
+    """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -196,17 +199,18 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int
             length = np.array([len(x) // 4 for x in ids], np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number), pa.array(number.astype(np.int64) * capacity), pa.array(length), pa.array(ids, pa.binary()), pa.array(np.full(len(row), part, np.int32)), pa.array(group_index(length, seen))], names=["doc_id", "piece", "start", "length", "ids", PART, INDEX])
 
-    return staged(base.mapInArrow(run, f"doc_id {kind}, piece int, start long, length int, ids binary, {PART} int, {INDEX} long"), "pieces")
+    rows = base.mapInArrow(run, f"doc_id {kind}, piece int, start long, length int, ids binary, {PART} int, {INDEX} long")
+    return staged(rows if ids_as is None else rows.withColumn("ids", ids_as), "pieces")
 
 
-def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, ids_as: Column | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids, sequence_id, offset``, one row for each piece.
 
-    ``ids`` are little-endian unsigned 32-bit. A null or empty text is one piece
+    ``ids`` are little-endian unsigned 32-bit, or what ``ids_as`` makes of them. A null or empty text is one piece
     of the end id. Repeated rows are packed each; an empty table packs nothing;
     further columns are not read.
     """
-    rows = pieces(docs, path or W.default_path(), id_col, text_col, capacity)
+    rows = pieces(docs, path or W.default_path(), id_col, text_col, capacity, ids_as)
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     where = Placement(plan(counts, capacity))
     ranked = with_rank(rows, "length", "rank")

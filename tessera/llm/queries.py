@@ -20,7 +20,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_docs(spark, sf_dir)).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return pack(_docs(spark, sf_dir), ids_as=F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
