@@ -28,7 +28,8 @@ def read_records(spark: SparkSession, root: str, platforms: list[str], strict: b
     kind = F.schema_of_variant("difficulty")
     rows = rows.withColumns({"tier": F.when(kind == "STRING", F.try_variant_get("difficulty", "$", "string")), "rating": F.coalesce("rating", F.when(kind != "STRING", F.try_variant_get("difficulty", "$", "int")))}).drop("difficulty")
     if not strict:
-        rows = rows.withColumnRenamed("_corrupt_record", "corrupt")
+        # a parsed column beside it: Spark refuses queries on the corrupt record alone
+        rows = rows.withColumn("corrupt", F.when(F.col("id").isNull(), F.col("_corrupt_record"))).drop("_corrupt_record")
     place = F.array_position(F.array(*[F.lit(p) for p in platforms]), F.col("folder"))
     # a corpus of hand-kept files; the order is global by definition
     return rows.withColumn("doc_ord", F.row_number().over(Window.orderBy(place, "file")) - 1)
