@@ -106,7 +106,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         for x, k in need.items():
             index.take(x, k * times)
         out.append((tuple(sorted(took, reverse=True)), times))
-    return out + best_fit(rest, capacity)
+    out += best_fit(rest, capacity)
+    # where hardly any sums fit, consuming those few can cost a sequence at the end: then all of it is residual
+    plain = best_fit(Counter({n: k for n, k in counts.items() if k}), capacity)
+    return plain if sum(k for _, k in plain) < sum(k for _, k in out) else out
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
