@@ -31,6 +31,8 @@ from .common import quoted, small_batches, text_of, texts
 
 LIMIT = 2048
 CHUNK_CHARS = 1 << 16
+#: Words whose ids are held while their counts are read off, and words whose counts are remembered.
+COMPILED_AT_ONCE, REMEMBERED = 250_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -66,14 +68,15 @@ class Transducer:
     """Counts tokens; remembers the emission of each word it has compiled."""
 
     def __init__(self, path: str):
-        self.words = W.encoder(path)
+        # its own encoder: what it has compiled needs no ids any more
+        self.words = W.WordEncoder(path, COMPILED_AT_ONCE)
         self.emits: dict[str, int] = {"": 0}
 
     def compile(self, cut: list[list[str]]) -> None:
         new: set[str] = set()
         for x in cut:
             new.update(set(x).difference(self.emits))
-        if len(self.emits) + len(new) > 2 * self.words.cache_words:
+        if len(self.emits) + len(new) > REMEMBERED:
             self.emits = {"": 0}
             new = set().union(*cut)
         if new:
