@@ -93,8 +93,8 @@ def vote_columns() -> list:
         vote(share("n_dup_lines", "n_lines"), lambda x: x < 0.1, lambda x: x > 0.3),
         vote(share("n_repeat_words", "n_words"), lambda x: x < 0.1, lambda x: x > 0.3),
         vote(share("n_upper", "n_letters"), lambda x: x < 0.12, lambda x: x > 0.3),
-        vote(share("n_function", "n_words"), lambda x: x > 0.12, lambda x: x < 0.05),
-        vote(share("n_letters", "word_chars"), lambda x: x > 0.88, lambda x: x < 0.8),
+        vote(share("n_function", "n_words"), lambda x: x > 0.12, lambda x: x < 0.03),
+        vote(share("n_letters", "word_chars"), lambda x: x > 0.88, lambda x: x < 0.6),
         vote(share("n_echo", "n_words"), lambda x: x < 0.05, lambda x: x > 0.2),
     ]
 
@@ -134,7 +134,7 @@ class VoteModel:
         """Log-odds of the prior, and what each rule's votes -1, 0, +1 add."""
         w = np.log(self.rates[1] / self.rates[0])
         w[:, 0], w[:, 2] = np.minimum(w[:, 0], 0), np.maximum(w[:, 2], 0)
-        w[:, 1] = np.clip(w[:, 1], w[:, 0], w[:, 2])
+        w[:, 1] = 0  # abstaining says nothing
         return float(np.log(self.prior / (1 - self.prior))), w
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
