@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from .common import bounded_broadcast, ranked, spread
+from .common import BROADCAST_ROWS, bounded_broadcast, ranked, spread
 
 K1, B = 1.5, 0.75
 TITLE_BONUS = 1000.0
@@ -65,13 +65,35 @@ def query_tokens(queries: DataFrame, text: Column | str = "query", stopwords=T.S
     return queries.select("qid", F.posexplode(T.tokenize(text, stopwords)).alias("pos", "term"))
 
 
+def pruned_postings(docs: DataFrame, tokens: DataFrame, hint=bounded_broadcast) -> DataFrame:
+    """Postings of the queries' terms, and one row per document under the empty term, from a single scan.
+
+    ``real`` marks the former. It and ``tf`` come out of the aggregation, so filters
+    on them stay above it, and every use of this frame reads the same exchange.
+    """
+    terms = tokens.select("term").distinct().unionByName(tokens.sparkSession.sql("SELECT '' AS term"))
+    rows = docs.select("doc_id", "dl", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term")).join(hint(terms), "term", "left_semi")
+    return rows.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.max(F.length("term") > 0).alias("real"))
+
+
 def contributions(docs: DataFrame, tokens: DataFrame, ranker: str = "bm25", posts: DataFrame | None = None) -> DataFrame:
-    """``qid, pos, term, doc_id, tf, dl, df, n, avgdl, idf, contribution`` for each token and document that has it."""
+    """``qid, pos, term, doc_id, tf, dl, df, n, avgdl, idf, contribution`` for each token and document that has it.
+
+    ``posts``: ready postings; ``docs`` then gives the lengths only.
+    """
     idf, weight = RANKERS[ranker]
-    posts = postings(docs, tokens) if posts is None else posts
-    stats = term_stats(posts)
-    known = tokens.join(stats, "term").crossJoin(F.broadcast(corpus_stats(docs))).withColumn("idf", idf()).where("idf > 0")  # one row of statistics
-    return posts.join(bounded_broadcast(known), "term").withColumn("contribution", weight()).where("contribution > 0")
+    # what is sent to every executor has at most one row per query token
+    small = tokens.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    spread_out = F.broadcast if small else lambda x: x
+    if posts is None:
+        every = pruned_postings(docs, tokens, spread_out)
+        posts = every.where("real AND tf > 0")
+        stats = every.groupBy("term").agg(F.sum(F.when(F.col("real") & (F.col("tf") > 0), 1)).alias("df"))
+        corpus = every.where("NOT real AND tf > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    else:
+        stats, corpus = term_stats(posts), corpus_stats(docs)
+    known = tokens.join(stats, "term").crossJoin(F.broadcast(corpus)).withColumn("idf", idf()).where("idf > 0")  # one row of statistics
+    return posts.join(spread_out(known), "term").withColumn("contribution", weight()).where("contribution > 0").drop("real")
 
 
 def search(docs: DataFrame, tokens: DataFrame, ranker: str = "bm25", k: int | None = 10, offset: int = 0, exact_titles: DataFrame | None = None, keep: DataFrame | None = None) -> DataFrame:
@@ -89,7 +111,8 @@ def search(docs: DataFrame, tokens: DataFrame, ranker: str = "bm25", k: int | No
         hits = hits.withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
     if keep is not None:
         hits = hits.join(keep.select("doc_id"), "doc_id", "left_semi")
-    totals = hits.groupBy("qid").agg(F.count("*").alias("total"))
+    # counted from all columns: so both uses of the hits read one exchange
+    totals = hits.groupBy("qid").agg(F.count_if((F.col("score") > 0) & (F.col("first_pos") >= 0) & (F.size("matched_terms") > 0)).alias("total"))
     top = ranked(hits, ["qid"], [F.round("score", 9).desc(), F.col("first_pos"), F.col("doc_id")], k, offset)
     return top.join(totals, "qid").select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), "matched_terms", "total")
 
