@@ -213,7 +213,7 @@ ORACLES = {
         SELECT * FROM r WHERE rank <= 10""",
     "r8_dense_top10": _dense_sql(10),
     "r9_similar": _dense_sql(10, "a.vec_id <> b.vec_id"),
-    "r14_dense_explain": _dense_sql(20, "true", ", round(degrees(acos(greatest(-1, least(1, round(s, 6))))), 2) AS angle_deg"),
+    "r14_dense_explain": _dense_sql(20, "true", ", round(round(degrees(acos(greatest(-1, least(1, round(s, 6))))), 4), 2) AS angle_deg"),
     "r12_rrf": f"""{_BASE}, {_ranked_sql('bm25', 'a', 100)}, {_ranked_sql('tfidf', 'b', 100)},
         f AS (SELECT qid, doc_id, a.rank AS lex_rank, b.rank AS dense_rank, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS s FROM a FULL JOIN b USING (qid, doc_id)),
         g AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, lex_rank ASC NULLS LAST, doc_id) AS rank, doc_id, round(s, 9) AS score, lex_rank, dense_rank, count(*) OVER (PARTITION BY qid) AS total FROM f)

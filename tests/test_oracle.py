@@ -1,9 +1,12 @@
 """Every query with an oracle against DuckDB on the smallest tables."""
 
+import decimal
 import glob
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,9 +25,11 @@ def duck():
 
 def canonical(frame):
     def cell(x):
-        if x is None or x != x:
+        if isinstance(x, (bool, np.bool_)):
+            return str(bool(x))
+        if pd.isna(x):
             return "-"
-        return str(round(float(x), 5) + 0.0) if isinstance(x, (int, float)) and not isinstance(x, bool) or type(x).__module__ in ("numpy", "decimal") and not isinstance(x, str) and "bool" not in type(x).__name__ else str(x)
+        return str(round(float(x), 5) + 0.0) if isinstance(x, (int, float, np.number, decimal.Decimal)) else str(x)
 
     return sorted(tuple(cell(x) for x in row) for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
