@@ -38,8 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Folders made by this driver, for ``clear``.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -50,10 +55,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Spark's own file system layer."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this driver; call it once the results that read them are written."""
+    while _made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession) -> None:

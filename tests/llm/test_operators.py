@@ -220,6 +220,19 @@ def test_pipeline_stages(spark, odd, empty):
     assert len(set(brute_components(fps, list(range(len(fps)))))) == len(fps)
 
 
+def test_clear_deletes_what_was_staged(spark, odd):
+    from tessera.llm import common
+
+    table = common.staged(odd, "gone")
+    path = common._made[-1]
+    keep, common._made[:] = common._made[:-1], [path]
+    assert table.count() == len(ROWS)
+    common.clear(spark)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) and not common._made
+    common._made[:] = keep
+
+
 def test_no_swallowed_imports_and_no_local_checkpoint():
     import pathlib
 
