@@ -6,7 +6,9 @@ bits, so there are at most some 60 thousand classes however many groups there
 are. On that histogram best-fit decreasing is exact and runs many equal groups
 at a time: each class goes to the bin whose remaining capacity is the tightest
 that still takes it, found in a height-balanced tree. The smallest capacity for
-which no more than the wanted number of bins open is then found by bisection.
+which no more than the wanted number of bins open is then found by bisection;
+groups of at least an even share have bins of their own before, and bins that a
+few large groups leave uneven are packed anew without the fullest.
 Groups find their bin by their rank within their class; ranks and slots come
 from running totals per (key, partition), never from a sort of one key in one task.
 """
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import numbered, quoted, staged, text_of, with_rank
 
 EXACT_BITS = 11
+#: Bins that differ by no more than this share of their mean are even.
+EVEN = 0.01
 
 
 class _Node:
@@ -145,6 +149,38 @@ def smallest_capacity(classes: dict[int, int], bins: int) -> tuple[int, list[tup
     return high, done
 
 
+def near_equal(classes: dict[int, int], bins: int) -> list[tuple[int, int, int]]:
+    """(class size, how many, bin), with all ``bins`` bins as near-equal as whole groups allow.
+
+    A group of at least the even share of what remains gets a bin of its own.
+    The rest is packed by the smallest capacity; where that leaves bins uneven,
+    as few large groups do, the fullest bin stays and the others are packed anew.
+    """
+    rest, out, at = dict(classes), [], 0
+    while rest and at < bins:
+        total, largest = sum(k * v for k, v in rest.items()), max(rest)
+        if largest * (bins - at) >= total:
+            fixed = {largest: 1}
+        else:
+            _, placed = smallest_capacity(rest, bins - at)
+            loads = [0] * (bins - at)
+            for size, k, bin_ in placed:
+                loads[bin_] += size * k
+            if max(loads) - min(loads) <= EVEN * total / (bins - at):
+                return out + [(size, k, at + bin_) for size, k, bin_ in placed]
+            fullest, fixed = loads.index(max(loads)), {}
+            for size, k, bin_ in placed:
+                if bin_ == fullest:
+                    fixed[size] = fixed.get(size, 0) + k
+        for size, k in fixed.items():
+            out.append((size, k, at))
+            rest[size] -= k
+            if not rest[size]:
+                del rest[size]
+        at += 1
+    return out
+
+
 def size_class(size):
     """The column's class: itself below 2**11, else rounded up to eleven significant bits."""
     step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(size)) - EXACT_BITS, F.lit(0))).cast("long")
@@ -154,9 +190,8 @@ def size_class(size):
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for each row, under the law ``bytes``.
 
-    Null and empty texts are one group of size 1 a row. A group larger than an
-    even share makes the capacity; shards then differ by as much as that group
-    forces. Repeated rows count each; an empty table gives an empty frame;
+    Null and empty texts are one group of size 1 a row. A group of at least an
+    even share has a shard of its own; the others share the rest evenly. Repeated rows count each; an empty table gives an empty frame;
     further columns are not read.
     """
     text = text_of(text_col)
@@ -165,7 +200,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes")).withColumn("class", size_class(F.col("bytes")))
     groups = numbered(groups.select("group", "class"), "class", "groups")
     classes = {r["class"]: r["n"] for r in groups.groupBy("class").agg(F.count("*").alias("n")).collect()}  # bounded: see above
-    _, placed = smallest_capacity(classes, shards)
+    placed = near_equal(classes, shards)
     runs: dict[int, tuple[list[int], list[int]]] = {}
     used: dict[int, int] = {}
     for size, k, bin_ in placed:

@@ -161,6 +161,22 @@ def test_sharding(spark, odd, empty):
     assert sorted(load.index) == list(range(16)) and load.max() <= max(whole.groupby(["size", "text_crc32"])["size"].sum().max(), 1.05 * load.mean())
 
 
+def test_sharding_spreads_the_rest_beside_one_large_group(spark):
+    rows = [(i, "the same text " * 20) for i in range(400)] + [(i, f"text {i} " * (10 + i % 23)) for i in range(400, 1200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and sorted(load.index) == list(range(16))
+    home = set(got.shard[got.doc_id < 400])
+    rest = load.drop(list(home))
+    assert len(home) == 1 and rest.min() > 0.97 * rest.mean() and rest.max() < 1.03 * rest.mean()
+    for classes in ({100: 17}, {100: 5}, {1000: 1, 400: 3, 1: 50}, {7: 1}, {}):
+        loads, used = [0] * 16, {}
+        for size, k, bin_ in sharding.near_equal(classes, 16):
+            loads[bin_] += size * k
+            used[size] = used.get(size, 0) + k
+        assert used == classes and sum(x > 0 for x in loads) == min(16, sum(classes.values()))
+
+
 def test_token_counts(spark, odd, empty):
     e = words.encoder(words.default_path())
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_count.token_counts(odd).collect())
