@@ -30,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row of smallest id of each component of linked fingerprints."""
+    """Keep the row of smallest id of each component of linked fingerprints, then of each of texts alike by five-word shingles."""
     return simhash.keep_one_each(docs)
 
 

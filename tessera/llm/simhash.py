@@ -25,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import similarity
 from .common import OWN, quoted, small_batches, staged, text_of, texts
 from .components import components
 
 WIDTH, BITS = 3, 3
 #: Home fingerprints from which an anchor is split by the bytes of the other half.
 HOT_HOMES = 4000
-FP, LOC = OWN + "fingerprint", OWN + "locator"
+FP, LOC, BANDS = OWN + "fingerprint", OWN + "locator", OWN + "bands"
 
 
 def fingerprint(text: str, width: int = WIDTH) -> int:
@@ -169,8 +170,8 @@ def links(distinct: DataFrame, bits: int = BITS, hot_homes: int = HOT_HOMES) ->
     return sorted_.mapInArrow(compare, "a long, b long")
 
 
-def fingerprinted(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """The rows with fingerprint and locator in own columns, staged."""
+def fingerprinted(docs: DataFrame, text_col: str, width: int, with_bands: bool = False) -> DataFrame:
+    """The rows with fingerprint and locator in own columns, and on demand MinHash bands, staged."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -179,7 +180,14 @@ def fingerprinted(docs: DataFrame, text_col: str, width: int) -> DataFrame:
 
         return pd.Series([fingerprint(x, width) for x in text], dtype="int64")
 
-    return staged(docs.withColumns({FP: of(text_of(text_col)), LOC: F.monotonically_increasing_id()}), "fingerprints")
+    @F.pandas_udf("array<long>")
+    def bands_of(text):
+        import pandas as pd
+
+        return pd.Series([similarity.bands(x) for x in text], dtype="object")
+
+    own = {FP: of(text_of(text_col)), LOC: F.monotonically_increasing_id()}
+    return staged(docs.withColumns(own | ({BANDS: bands_of(text_of(text_col))} if with_bands else {})), "fingerprints")
 
 
 def classes(rows: DataFrame, id_col: str, bits: int = BITS, hot_homes: int = HOT_HOMES) -> DataFrame:
@@ -206,7 +214,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bits: int = BITS) -> DataFrame:
-    """The row of least id of each component, with the columns it came with."""
-    rows = fingerprinted(docs, text_col, width)
-    found = classes(rows, id_col, bits).select(F.col("keep")["locator"].alias(LOC)).distinct()
+    """The row of least id of each component, with the columns it came with.
+
+    Of these, rows whose five-word shingles have a Jaccard similarity of at least
+    0.8 are then one row each too, again that of least id.
+    """
+    rows = fingerprinted(docs, text_col, width, with_bands=True)
+    found = staged(classes(rows, id_col, bits).select(F.col("keep")["locator"].alias(LOC)).distinct(), "single")
+    gone = similarity.dropped(rows.join(found, LOC, "left_semi"), id_col, LOC, BANDS, text_col)
+    found = found.join(gone, LOC, "left_anti")
     return rows.join(found, LOC, "left_semi").select(*[quoted(c) for c in docs.columns])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, components, exact_dedup, huffman, importance, masked_lm, packing, quality_rules, sharding, simhash, token_count, words
+from tessera.llm import bpe, components, exact_dedup, huffman, importance, masked_lm, packing, quality_rules, sharding, similarity, simhash, token_count, words
 from tessera.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -124,6 +124,16 @@ def test_near_duplicates(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(set(want))
 
 
+def test_near_stage_finds_alike_texts_beyond_three_bits(spark):
+    words_ = [f"w{i}" for i in range(400)]
+    near = [" ".join(w if i % 97 != 50 else f"x{k}{i}" for i, w in enumerate(words_)) for k in range(2)]
+    far = " ".join(w if i % 9 else f"y{i}" for i, w in enumerate(words_))
+    fps = [np.uint64(simhash.fingerprint(x) & (2**64 - 1)) for x in [*near, far]]
+    assert np.bitwise_count(fps[0] ^ fps[1]) > 3 and similarity.alike(*map(similarity.shingles, near)) and not similarity.alike(similarity.shingles(near[0]), similarity.shingles(far))
+    got = simhash.keep_one_each(spark.createDataFrame([(5, near[0]), (3, near[1]), (4, far), (6, "other words " * 9), (7, None)], "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"] and sorted(r["doc_id"] for r in got.collect()) == [3, 4, 6, 7]
+
+
 def test_token_output(spark, odd, empty, tmp_path):
     e = words.encoder(words.default_path())
     out = huffman.write_tokens(odd, f"file://{tmp_path}/t", parts=3, block_ids=50)
