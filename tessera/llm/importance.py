@@ -9,7 +9,8 @@ documents whose mean log-ratio passes the cutoff that best separates held-out
 labelled documents, so it follows the corpus.
 
 The counts have ``2 * 2**BUCKET_BITS`` entries, however large the corpus, and
-come from every document; exact copies that meet in a task count once. Labels are the one sampled input: of the labelled rows
+come from every document, each copy of a text counting in both models, so they
+do not depend on how rows fall into tasks. Labels are the one sampled input: of the labelled rows
 at most ``MAX_LABELS``, those of lowest hash, are used; half of them fit the
 target model and half choose the cutoff. The ``k``-th key is found exactly by two
 rounds of histograms, not by a global sort.
@@ -96,16 +97,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = base.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"), "left").select("text", "role")  # broadcast: at most max_labels rows
 
     def count(batches):
-        from xxhash import xxh64_intdigest
-
-        raw, target, seen = np.zeros(2 << BUCKET_BITS, np.int64), np.zeros(2 << BUCKET_BITS, np.int64), set()
+        raw, target = np.zeros(2 << BUCKET_BITS, np.int64), np.zeros(2 << BUCKET_BITS, np.int64)
         for b in batches:
             for text, role in zip(texts(b.column("text")), b.column("role").to_pylist()):
-                # copies count once in a task: else a text copied thousands of times would look unlike the target
-                mark = xxh64_intdigest(text)
-                if mark in seen and role != 1:
-                    continue
-                seen.add(mark)
                 found = buckets(text)
                 np.add.at(raw, found, 1)
                 if role == 1:

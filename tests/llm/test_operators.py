@@ -220,6 +220,13 @@ def test_quality_classifier(spark, odd, empty):
     assert share[1] > 0.97 and share[0] < 0.2
 
 
+def test_importance_models_do_not_depend_on_partitions(spark):
+    copies = docs(spark).union(docs(spark).limit(5).crossJoin(spark.range(40)).drop("id"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    one, many = (importance.fit(copies.repartition(n), labels) for n in (1, 6))
+    assert np.array_equal(one.log_ratio, many.log_ratio) and one.cutoff == many.cutoff
+
+
 def test_masked_lm(spark, odd, empty):
     got = {r["doc_id"]: r for r in masked_lm.lm_scores(odd).collect()}
     assert got[3]["n_words"] == 0 and got[3]["mean_log_likelihood"] is None and got[1]["log_likelihood"] < 0
