@@ -3,7 +3,10 @@
 Every word is predicted from the two words on either side of it; the logarithms
 of those conditional probabilities, summed, score the document. Words are one of
 ``CLASSES`` classes: the most frequent ones, by counts over all documents, have
-their own, the others share hashed ones. The network is small and written in
+their own, the others share hashed ones, in which a word's probability is its
+share of the class's occurrences in all documents, so every word is told apart.
+The ``LISTED`` most frequent of those words are known to all tasks; the rest meet
+their probabilities in a join. The network is small and written in
 numpy: position-wise embeddings, one tanh layer, and a two-step softmax over 32
 groups of 32 classes.
 
@@ -35,6 +38,10 @@ EDGE = CLASSES
 DIM, REACH = 32, 2
 EVERY, ROUNDS, BATCH, RATE, GROUPS = 16, 2, 512, 0.1, 8
 FLUSH_WORDS = 300_000
+#: Words of shared classes whose probabilities every task holds.
+LISTED = 100_000
+#: Occurrences that each word of a shared class, and the unseen ones together, are taken to have besides their own.
+BASE = 0.5
 BLOB = 8192
 
 
@@ -45,8 +52,9 @@ def words_of(text: str) -> list[bytes]:
 class Vocabulary:
     """Class numbers of words; remembers a bounded number of rare ones."""
 
-    def __init__(self, frequent: list[bytes]):
+    def __init__(self, frequent: list[bytes], listed: dict[bytes, float] | None = None):
         self.frequent = {w: i for i, w in enumerate(frequent)}
+        self.within = (listed or {}) | dict.fromkeys(frequent, 0.0)
         self.known = dict(self.frequent)
 
     def _learn(self, words: list[bytes]) -> None:
@@ -66,6 +74,26 @@ class Vocabulary:
         return out
 
 
+    def within_classes(self, text: str) -> tuple[float, list[int]]:
+        """The summed log p(word | class) of the words known here, and the keys of all others."""
+        found, rare = 0.0, []
+        words = words_of(text)
+        for w, p in zip(words, map(self.within.get, words)):
+            if p is None:
+                rare.append(key_of(w))
+            else:
+                found += p
+        return found, rare
+
+
+def key_of(word: bytes) -> int:
+    """The word's hash as a signed 64-bit integer; its remainder is the class."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def windows(padded: np.ndarray, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
     """(context, target) classes at the given positions of a padded text."""
     n = len(padded) - 2 * REACH
@@ -177,6 +205,25 @@ def count_words(base: DataFrame) -> DataFrame:
     return base.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def keyed(words: DataFrame) -> DataFrame:
+    """The counts with each word's key and shared class."""
+
+    def run(batches):
+        for b in batches:
+            keys = np.fromiter(map(key_of, b.column("word").to_pylist()), np.int64, len(b))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys), pa.array((OWN_CLASSES + keys % (CLASSES - OWN_CLASSES)).astype(np.int32))], names=["word", "n", "key", "class"])
+
+    return words.mapInArrow(run, "word binary, n long, key long, class int")
+
+
+def after(words: DataFrame, first: pa.Table, limit: int) -> DataFrame:
+    """The words that follow the ``limit`` first ones by falling count."""
+    if len(first) < limit:
+        return words.where("false")
+    n, word = first.column("n")[-1].as_py(), first.column("word")[-1].as_py()
+    return words.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(bytearray(word)))))
+
+
 def training_windows(base: DataFrame, vocabulary: Vocabulary, every: int) -> DataFrame:
     """``trainer, windows``: blobs of little-endian 16-bit (context, target) rows, dealt evenly."""
     trainers = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -242,35 +289,48 @@ def train_round(data: DataFrame, network: WindowNetwork) -> WindowNetwork:
     return WindowNetwork.from_flat(sum(np.frombuffer(bytes(r["weights"]), "<f4").astype(np.float64) * (r["n"] / n) for r in got))
 
 
-def train(docs: DataFrame, text_col: str = "text", every: int = EVERY, rounds: int = ROUNDS) -> tuple[Vocabulary, WindowNetwork]:
+def train(docs: DataFrame, text_col: str = "text", every: int = EVERY, rounds: int = ROUNDS, listed: int = LISTED) -> tuple[Vocabulary, WindowNetwork, DataFrame]:
+    """The vocabulary, the network, and ``key, within`` (log p(word | class)) of the words that the vocabulary doesn't list."""
     small_batches(docs.sparkSession)
     base = docs.select(text_of(text_col).alias("text"))
-    words = staged(count_words(base), "words")
-    frequent = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(OWN_CLASSES).collect()]
-    vocabulary = Vocabulary([w for w, _ in frequent])
-    counts = np.zeros(CLASSES)
-    counts[: len(frequent)] = [n for _, n in frequent]
-    counts[OWN_CLASSES:] = ((words.agg(F.sum("n")).first()[0] or 0) - counts.sum()) / (CLASSES - OWN_CLASSES)
+    words = staged(keyed(count_words(base)), "words")
+    top = words.orderBy(F.desc("n"), "word").limit(OWN_CLASSES).select("word", "n").toArrow()
+    shared = after(words, top, OWN_CLASSES)
+    counts, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    counts[: len(top)] = top.column("n").to_numpy()
+    for r in shared.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # one row per shared class
+        counts[r["class"]], kinds[r["class"]] = r["n"], r["kinds"]
+    totals = np.log(counts + BASE * (kinds + 1))
+    known = shared.orderBy(F.desc("n"), "word").limit(listed).select("word", "n", "class").toArrow()  # at most ``listed`` rows
+    within = np.log(known.column("n").to_numpy() + BASE) - totals[known.column("class").to_numpy()]
+    vocabulary = Vocabulary(top.column("word").to_pylist(), dict(zip(known.column("word").to_pylist(), within.tolist())))
+    total = F.element_at(F.array(*[F.lit(float(x)) for x in totals[OWN_CLASSES:]]), F.col("class") - OWN_CLASSES + 1)
+    rest = after(shared, known, listed).select("key", (F.log(F.col("n") + BASE) - total).alias("within"))
     network = WindowNetwork.fresh(counts)
     data = training_windows(base, vocabulary, every)
     for _ in range(rounds):
         network = train_round(data, network)
-    return vocabulary, network
+    return vocabulary, network, rest
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, rounds: int = ROUNDS, listed: int = LISTED) -> DataFrame:
     """``doc_id, n_words, log_likelihood, mean_log_likelihood`` for each row."""
-    vocabulary, network = train(docs, text_col, every, rounds)
+    vocabulary, network, rest = train(docs, text_col, every, rounds, listed)
     base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            n, total = [], []
+            n, total, rare = [], [], []
             for x in texts(b.column("text")):
                 c, t = windows(vocabulary.classes(x))
+                found, keys = vocabulary.within_classes(x)
                 n.append(len(t))
-                total.append(network.log_probability(c, t))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array([t / k if k else None for t, k in zip(total, n)], pa.float64())], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return base.mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+                total.append(network.log_probability(c, t) + found)
+                rare.append(keys)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "n_words", "found", "rare"])
+
+    scored = staged(base.mapInArrow(run, f"doc_id {kind}, n_words long, found double, rare array<long>").withColumn("locator", F.monotonically_increasing_id()), "scores")
+    sums = scored.select("locator", F.explode("rare").alias("key")).join(rest, "key").groupBy("locator").agg(F.sum("within").alias("within"))
+    whole = scored.join(sums, "locator", "left").withColumn("log_likelihood", F.col("found") + F.coalesce("within", F.lit(0.0)))
+    return whole.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))

@@ -236,6 +236,18 @@ def test_masked_lm(spark, odd, empty):
     assert means[0] > means[100]
 
 
+def test_masked_lm_tells_words_of_one_class_apart(spark):
+    common = [f"c{i}" for i in range(masked_lm.OWN_CLASSES)] * 6
+    by_class = {}
+    for i in range(2000):
+        by_class.setdefault(masked_lm.key_of(b"r%d" % i) % 256, []).append(f"r{i}")
+    usual, odd_one = next(x for x in by_class.values() if len(x) > 1)[:2]
+    table = spark.createDataFrame([(0, " ".join(common)), (1, f"c1 c2 {usual} c3 c4"), (2, f"c1 c2 {odd_one} c3 c4"), (3, f"c9 {usual} " * 3)], "doc_id long, text string")
+    for listed in (masked_lm.LISTED, 1):
+        got = {r["doc_id"]: r["log_likelihood"] for r in masked_lm.lm_scores(table, listed=listed).collect()}
+        assert abs(got[1] - got[2] - np.log(4.5 / 1.5)) < 1e-3
+
+
 def test_pipeline_stages(spark, odd, empty):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "exact dedup", "near-duplicates", "best-fit packing"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
