@@ -11,20 +11,22 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-#: Internal columns start with this, so that columns of the caller never clash.
+#: Internal columns start with this; ``shielded`` moves columns of the caller out of the way.
 OWN = "_tessera_"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows in an Arrow batch sent to Python, unless the session has its own value.
+#: Rows in an Arrow batch sent to Python while tables are staged, unless the session has its own value.
+#: Spark bounds a batch's bytes too (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB), so many long texts are split.
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share. Where none is set, a temporary one, but only if everything runs on this machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -32,12 +34,33 @@ def shared_dir(spark: SparkSession) -> str:
     done = sc._jsc.sc().getCheckpointDir()
     if done.isDefined():
         return done.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="tessera-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir(f"file://{made}")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for as long as a job runs; what was there before comes back."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession):
+    """Bound the rows of an Arrow batch while a job runs, as single texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    return settings(spark, {key: str(BATCH_ROWS)} if spark.conf.get(key) == "10000" else {})
+
+
 #: Folders made by this driver, for ``clear``.
 _made: list[str] = []
 
@@ -51,22 +74,45 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this driver; call it once the results that read them are written."""
-    while _made:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as single texts can be very long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+def clear(spark: SparkSession, read_by: DataFrame | None = None) -> None:
+    """Delete the intermediate tables of this driver, but for those that ``read_by`` reads.
+
+    Call it once the results that read them are written.
+    """
+    files = read_by.inputFiles() if read_by is not None and _made else []
+    keep = [path for path in _made if any(path.rpartition("/tessera/")[2] + "/" in f for f in files)]
+    for path in set(_made) - set(keep):
+        delete(spark, path)
+    _made[:] = keep
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns that look like internal ones renamed, and from each of its names to the one it has now."""
+    taken = {c.lower() for c in docs.columns}
+    names: dict[str, str] = {c: c for c in docs.columns}
+    for i, c in enumerate(docs.columns):
+        if c.lower().startswith(OWN):
+            new = f"moved{i}"
+            while new in taken:
+                new += "_"
+            names[c] = new
+            taken.add(new)
+    return (docs.withColumnsRenamed({c: new for c, new in names.items() if c != new}) if any(c != n for c, n in names.items()) else docs), names
+
+
+def unshielded(names: dict[str, str]) -> list:
+    """The caller's columns, under their own names."""
+    return [F.col(quoted(new)).alias(c) for c, new in names.items()]
 
 
 def text_of(name: str = "text"):

@@ -1,10 +1,14 @@
-"""Token ids of whole texts by the public word tokenizer, encoded word by word.
+"""Token ids of whole texts by the public word tokenizer, encoded piece by piece.
 
-The tokenizer removes white space before it merges anything, and neither its
-normalisation nor its merges reach across a space. So the ids of a text are the
-ids of its words in order, and each distinct word needs encoding once. Words of
-plain Latin letters go straight to the tokenizers library's BPE model; all
-others, and all that could hold a special string, go through its whole encoder.
+The tokenizer removes white space and cuts texts into pieces before it merges
+anything, and neither its normalisation nor its merges reach across a piece. So
+the ids of a text are the ids of its pieces in order, and each distinct piece
+needs encoding once. Texts of plain Latin letters are cut here and their pieces
+go straight to the tokenizers library's BPE model; words with any other
+character, and all that could hold a special string, go through its whole encoder.
+
+Ids are held as little-endian unsigned 16-bit values where the vocabulary
+allows, else as 32-bit ones (``WordEncoder.dtype``).
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ import re
 
 import numpy as np
 
-#: Distinct words a worker remembers before it starts afresh; bounds its memory.
-CACHE_WORDS = 600_000
-_PLAIN = re.compile("[!-;=?-~À-ÖØ-öø-įĲ-ǃ¡-§«»¿]*\\Z")
+#: Distinct pieces a worker remembers before it starts afresh; bounds its memory.
+CACHE_PIECES = 500_000
+_LETTERS = "!-;=?-~À-ÖØ-öø-įĲ-ǃ¡-§«»¿"
+PLAIN_WORD = re.compile(f"[{_LETTERS}]*\\Z").match
+PLAIN_TEXT = re.compile(f"[{_LETTERS} \n\t\r]*\\Z").match
 #: The tokenizer's own split pattern, a fixed value, in the terms of ``re`` over the plain characters above.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+split_plain = re.compile("[a-zß-öø-ʯ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-zß-öø-ʯ0-9 \n\t\r]+").findall
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -28,10 +34,35 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def units(text: str) -> list[str]:
+    """The pieces of a text in order; a word that isn't plain comes whole, behind a space."""
+    if PLAIN_TEXT(text):
+        return split_plain(text.lower())
+    out: list[str] = []
+    for w in text.replace("\n", " ").split(" "):
+        if PLAIN_WORD(w):
+            out += split_plain(w.lower())
+        else:
+            out.append(" " + w)
+    return out
+
+
+def in_groups(many: list[str], characters: int = 200_000):
+    """The units of texts, some texts at a time, that together have about so many characters."""
+    at = 0
+    while at < len(many):
+        size, end = 0, at
+        while end < len(many) and (size < characters or end == at):
+            size += len(many[end])
+            end += 1
+        yield [units(x) for x in many[at:end]]
+        at = end
+
+
 class WordEncoder:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit bytes."""
+    """``encode(text)``: the ids as bytes of ``dtype``."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -41,75 +72,46 @@ class WordEncoder:
         self.fast.normalizer = None
         self.fast.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.vocab_size = n = self.full.get_vocab_size()
+        self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.ends = np.array([(self.full.id_to_token(i) or "").endswith("</w>") for i in range(n)])
-        self.cache_words = cache_words
+        self.cache_pieces = cache_pieces
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known.clear()
-        self.known[""] = b""
-        self.pieces.clear()
-
-    def learn(self, words: set[str]) -> None:
-        """Encode words that are not known yet."""
-        cut: list[tuple[str, list[str]]] = []
-        new: set[str] = set()
-        for w in words:
-            if _PLAIN.match(w):
-                found = [w] if w.isalpha() and w.islower() else _SPLIT.findall(w.lower())
-                cut.append((w, found))
-                new.update(found)
-            else:
-                self.known[w] = np.array(self.full.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        if fresh := list(new.difference(self.pieces)):
-            ids = np.array(self.fast.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * np.r_[0, np.flatnonzero(self.ends[ids]) + 1]).tolist()
+
+    def learn(self, new: set[str]) -> None:
+        """Encode units that are not known yet."""
+        known, width = self.known, self.dtype.itemsize
+        odd = [u for u in new if u[0] == " "]
+        for u, e in zip(odd, self.full.encode_batch_fast([u[1:] for u in odd], add_special_tokens=False) if odd else []):
+            known[u] = np.array(e.ids, self.dtype).tobytes()
+        if fresh := [u for u in new if u[0] != " "]:
+            ids = np.array(self.fast.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = (width * np.r_[0, np.flatnonzero(self.ends[ids]) + 1]).tolist()
             if len(ends) != len(fresh) + 1:
                 raise ValueError("a piece without its end of word")
             raw = ids.tobytes()
-            self.pieces.update(zip(fresh, (raw[a:b] for a, b in zip(ends, ends[1:]))))
-        pieces = self.pieces
-        for w, found in cut:
-            self.known[w] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[x] for x in found])
-
-    def lowered(self, text: str) -> str:
-        """Lower case, for fewer distinct words, where that changes no id; line ends as spaces."""
-        if "<" not in text and "\u03a3" not in text and "\u0130" not in text:
-            text = text.lower()
-        return text.replace("\n", " ")
-
-    def cut(self, text: str) -> list[str]:
-        return self.lowered(text).split(" ")
+            known.update(zip(fresh, map(raw.__getitem__, map(slice, ends, ends[1:]))))
 
     def prepare(self, cut: list[list[str]]) -> None:
         """Learn what is new in texts that are already cut."""
-        missing: set[str] = set()
-        for words in cut:
-            missing.update(set(words).difference(self.known))
-        if len(self.known) + len(missing) > self.cache_words:
-            self._forget()
-            missing = set().union(*cut)
-        self.learn(missing)
+        new = set().union(*cut).difference(self.known)
+        if len(self.known) + len(new) > self.cache_pieces:
+            self.known.clear()
+            new = set().union(*cut)
+        self.learn(new)
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_many([text]))
 
-    def encode_many(self, many: list[str], at_once: int = 200_000):
-        """Encode texts in order; as many are held in words as make up about ``at_once`` characters each time."""
-        at = 0
-        while at < len(many):
-            size, end = 0, at
-            while end < len(many) and (size < at_once or end == at):
-                size += len(many[end])
-                end += 1
-            cut = [self.cut(x) for x in many[at:end]]
+    def encode_many(self, many: list[str]):
+        """Encode texts in order."""
+        for cut in in_groups(many):
             self.prepare(cut)
             get = self.known.__getitem__
-            for words in cut:
-                yield b"".join(map(get, words))
-            at = end
+            for own in cut:
+                yield b"".join(map(get, own))
+
+    def ids(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, self.dtype)
 
 
 def encoder(path: str) -> WordEncoder:
