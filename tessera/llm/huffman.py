@@ -9,13 +9,23 @@ commit it on any file system and lost or repeated tasks leave no half files:
 ``blocks``    ``part, block, start, n_ids, body`` in ascending order of id. A
               body holds whole documents and is decoded on its own:
 
-    magic ``THB1``, then little-endian u32: documents D, checkpoints C, ids per checkpoint
+    magic ``THB2``, then little-endian u32: documents D, checkpoints C, ids per checkpoint
     D * (i64 document id, u8 is-null, u32 tokens)
-    C * u32 bit offset of every ``CHECKPOINT``-th id
+    C * u64 bit offset of every ``CHECKPOINT``-th id
     the code bits, first bit highest, padded to 32-bit words
 
 Decoding looks up ``limit`` bits in a table of 2**limit entries. All stretches
 between checkpoints are decoded side by side, one id of each in every step.
+
+Ids wait for their code in a staged table, as wide as the vocabulary needs
+(16 bits here) and compressed once, by Parquet. They are counted while they are
+encoded: each task adds one row with its counts to that table.
+
+Null texts count as empty: the end id alone. Document ids must be integers; null
+ids come first. Rows that repeat an id keep their own entries, next to each
+other, by rising length and then by their ids. A text of any length is one
+entry; a block ends only after a whole document. An empty table gives no blocks;
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +35,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from . import words as W
 from .common import new_path, quoted, small_batches, staged, text_of, texts
 
-MAGIC = b"THB1"
+MAGIC = b"THB2"
 CHECKPOINT = 256
 BLOCK_IDS = 1 << 18
 END_ID = 1
+#: What ``n_tokens`` is on a row of counts.
+COUNTS = -1
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 
 
@@ -105,7 +117,7 @@ class Codebook:
     def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The code bits, and the bit offset of every CHECKPOINT-th id."""
         if not len(ids):
-            return b"", np.empty(0, np.uint32)
+            return b"", np.empty(0, np.uint64)
         n = self.lengths[ids].astype(np.int64)
         at = np.cumsum(n) - n
         total = int(at[-1] + n[-1])
@@ -115,7 +127,7 @@ class Codebook:
         out = np.zeros((total + 31) // 32 + 1, np.uint64)
         out[word[first]] += np.add.reduceat(wide >> np.uint64(32), first)
         out[word[first] + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), first)
-        return out[: (total + 31) // 32].astype(">u4").tobytes(), at[::CHECKPOINT].astype(np.uint32)
+        return out[: (total + 31) // 32].astype(">u4").tobytes(), at[::CHECKPOINT].astype(np.uint64)
 
     def unpack(self, bits: bytes, marks: np.ndarray, n: int, every: int) -> np.ndarray:
         """The inverse, all stretches between checkpoints in step."""
@@ -138,7 +150,7 @@ class Codebook:
     def write_block(self, docs: list[tuple[int | None, np.ndarray]]) -> bytes:
         head = np.array([(i or 0, i is None, len(x)) for i, x in docs], _DOC)
         bits, marks = self.pack(np.concatenate([x for _, x in docs]) if docs else np.empty(0, np.uint32))
-        return MAGIC + struct.pack("<III", len(docs), len(marks), CHECKPOINT) + head.tobytes() + marks.astype("<u4").tobytes() + bits
+        return MAGIC + struct.pack("<III", len(docs), len(marks), CHECKPOINT) + head.tobytes() + marks.astype("<u8").tobytes() + bits
 
     def read_block(self, body: bytes) -> list[tuple[int | None, np.ndarray]]:
         if body[:4] != MAGIC:
@@ -147,48 +159,42 @@ class Codebook:
         at = 16
         head = np.frombuffer(body, _DOC, d, at)
         at += d * _DOC.itemsize
-        marks = np.frombuffer(body, "<u4", c, at)
-        ids = self.unpack(body[at + 4 * c :], marks, int(head["n"].sum()), every)
+        marks = np.frombuffer(body, "<u8", c, at)
+        ids = self.unpack(body[at + 8 * c :], marks, int(head["n"].sum()), every)
         ends = np.cumsum(head["n"].astype(np.int64))
         return [(None if null else int(i), ids[e - n : e]) for i, null, n, e in zip(head["id"].tolist(), head["null"].tolist(), head["n"].tolist(), ends.tolist())]
 
 
-def encode_ids(docs: DataFrame, path: str, id_col: str, text_col: str, end: bytes = b"") -> DataFrame:
-    """``doc_id, n_tokens, ids`` with ids as little-endian unsigned 32-bit values, compressed by zstandard."""
-    small_batches(docs.sparkSession)
+def encode_ids(docs: DataFrame, path: str, id_col: str, text_col: str, end: int) -> DataFrame:
+    """``doc_id, n_tokens, ids`` with ids as the encoder holds them, and one row a task of ``n_tokens`` -1 with its counts of ids."""
+    if docs.schema[id_col].dataType not in (T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType()):
+        raise TypeError(f"{id_col} must be an integer column; it is {docs.schema[id_col].dataType.simpleString()}")
     base = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
     def run(batches):
-        import zstandard
-
-        shrink = zstandard.ZstdCompressor(level=1)
         e = W.encoder(path)
+        total, last, width = np.zeros(e.vocab_size, "<i8"), np.array([end], e.dtype).tobytes(), e.dtype.itemsize
         for b in batches:
-            n, out = [], []
-            for ids in e.encode_many(texts(b.column("text"))):
-                ids += end
-                n.append(len(ids) // 4)
-                out.append(shrink.compress(ids))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            out = [ids + last for ids in e.encode_many(texts(b.column("text")))]
+            total += np.bincount(e.ids(b"".join(out)), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([COUNTS], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return base.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def id_counts(encoded: DataFrame, vocab: int) -> np.ndarray:
-    """How often each id occurs. One partial row per id and partition; a table of the vocabulary's size comes back."""
+    """How often each id occurs: the sum of the tasks' counts, taken in parallel and then by id; a table of the vocabulary's size comes back."""
 
     def run(batches):
-        import zstandard
-
-        grow = zstandard.ZstdDecompressor()
         total = np.zeros(vocab, np.int64)
         for b in batches:
             for x in b.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(grow.decompress(x), "<u4"), minlength=vocab)
+                total += np.frombuffer(x, "<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = encoded.where(F.col("n_tokens") == COUNTS).select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     out = np.zeros(vocab, np.int64)
     got = rows.toArrow()  # at most one row per id of the vocabulary
     out[got.column("id").to_numpy()] = got.column("n").to_numpy()
@@ -196,26 +202,20 @@ def id_counts(encoded: DataFrame, vocab: int) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, out: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_ids: int = BLOCK_IDS) -> str:
-    """Encode whole texts, append the end id, and write the folder described above in ascending id order.
-
-    Null texts count as empty; null ids come first; rows that repeat an id keep
-    their own entries, next to each other; an empty table gives no blocks.
-    """
+    """Encode whole texts, append the end id, and write the folder described above in ascending id order."""
     spark = docs.sparkSession
     path = path or W.default_path()
-    encoded = staged(encode_ids(docs, path, id_col, text_col, np.array([END_ID], "<u4").tobytes()), "ids")
-    vocab = W.encoder(path).vocab_size
+    encoded = staged(encode_ids(docs, path, id_col, text_col, END_ID), "ids")
+    vocab, dtype = W.encoder(path).vocab_size, W.encoder(path).dtype
     lengths, limit = code_lengths(id_counts(encoded, vocab))
     spark.createDataFrame([(limit, bytearray(lengths.tobytes()))], "limit int, lengths binary").coalesce(1).write.parquet(f"{out}/codebook")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens")
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = encoded.where(F.col("n_tokens") >= 0).repartitionByRange(parts, order, "n_tokens").sortWithinPartitions(order, "n_tokens", "ids")
 
     def run(batches):
         from pyspark import TaskContext
 
-        import zstandard
-
-        grow = zstandard.ZstdDecompressor()
         book = Codebook(lengths, limit)
         part, block, start, held, n = TaskContext.get().partitionId(), 0, 0, [], 0
 
@@ -224,7 +224,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, id_col: str
 
         for b in batches:
             for i, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                ids = np.frombuffer(grow.decompress(x), "<u4")
+                ids = np.frombuffer(x, dtype)
                 held.append((i, ids))
                 n += len(ids)
                 if n >= block_ids:
@@ -233,7 +233,8 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, id_col: str
         if held:
             yield done()
 
-    ordered.mapInArrow(run, "part int, block long, start long, n_ids long, body binary").write.option("compression", "none").parquet(f"{out}/blocks")
+    with small_batches(spark):
+        ordered.mapInArrow(run, "part int, block long, start long, n_ids long, body binary").write.option("compression", "none").parquet(f"{out}/blocks")
     return out
 
 
@@ -259,7 +260,7 @@ def read_tokens(spark: SparkSession, out: str, ids: bool = True) -> DataFrame:
             for start, body in zip(b.column("start").to_pylist(), b.column("body").to_pylist()):
                 got = book.read_block(body)
                 n = np.array([len(x) for _, x in got], np.int64)
-                out = [pa.array([i for i, _ in got], pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for _, x in got], pa.int64())]
+                out = [pa.array([i for i, _ in got], pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x.astype("<u4", copy=False).tobytes()) for _, x in got], pa.int64())]
                 if ids:
                     out.append(pa.array([x.tolist() for _, x in got], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + ids])
