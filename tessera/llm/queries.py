@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import LOWER, UPPER
 
@@ -20,7 +20,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_docs(spark, sf_dir), ids_as=F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+    return pack(_docs(spark, sf_dir), digests=True)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
