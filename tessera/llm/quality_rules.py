@@ -2,15 +2,16 @@
 
 Rules look at a text's counts and vote +1 (sound), -1 (unsound) or 0 (abstain).
 No rule decides alone: expectation-maximisation over the votes of all documents
-estimates how often each rule is right on sound and on unsound texts and how many
-are sound, and a document stays if its posterior probability of being sound is at
+estimates how often each rule is right on sound and on unsound texts when it votes
+and how many are sound, and a document stays if its posterior probability of being sound is at
 least one half. A vote pattern is one of 3**9, so EM runs on a histogram of that
 bounded size, whatever the corpus.
 
 Independent of the votes, a text fails outright (``base_failed``) with fewer than
 20 words, or with over 30 % of its words in repeated 8-word windows.
 
-Null and empty texts have zero counts and fail; repeated rows are judged alike;
+Null and empty texts have zero counts and fail; a text of any length is judged
+whole, in memory of a few numbers a word; repeated rows are judged alike;
 an empty table gives an empty frame and a model with the prior accuracies.
 Further columns pass through ``keep_sound`` untouched, whatever their names.
 """
@@ -23,7 +24,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import OWN, quoted, small_batches, staged, text_of
+from .common import OWN, quoted, shielded, staged, text_of, unshielded
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_letters", "n_upper", "n_function", "n_echo")
@@ -90,7 +91,8 @@ def vote_columns() -> list:
         vote(f["n_words"], lambda x: x >= 30, lambda x: x < 20),
         vote(share("word_chars", "n_words"), lambda x: x.between(3, 10), lambda x: (x < 2.2) | (x > 14)),
         vote(share("n_symbols", "n_words"), lambda x: x < 0.03, lambda x: x > 0.1),
-        vote(share("n_dup_lines", "n_lines"), lambda x: x < 0.1, lambda x: x > 0.3),
+        # of fewer than ten lines, a share says little
+        vote(f["n_dup_lines"] / F.greatest(f["n_lines"], F.lit(10.0)), lambda x: x < 0.1, lambda x: x > 0.3),
         vote(share("n_repeat_words", "n_words"), lambda x: x < 0.1, lambda x: x > 0.3),
         vote(share("n_upper", "n_letters"), lambda x: x < 0.12, lambda x: x > 0.3),
         vote(share("n_function", "n_words"), lambda x: x > 0.12, lambda x: x < 0.03),
@@ -100,21 +102,25 @@ def vote_columns() -> list:
 
 
 RULES = 9
+#: Votes that each rule is taken to have had on texts of either truth before any data.
+PRIOR_VOTES = 10.0
 
 
 class VoteModel:
-    """Vote rates of the rules on sound and unsound texts, and the share of sound ones, from a histogram of vote patterns.
-
-    ``rates[y, j, v]``: how often rule ``j`` votes ``v - 1`` on texts of truth
-    ``y`` (1: sound). EM starts from the share of votes against a text. A rule's
-    vote never counts against what it says, so a text that no rule votes against
-    is never less likely sound than one that some do.
+    """Accuracies of the rules and the share of sound texts, from a histogram of vote patterns.
+
+    Of a text of truth ``y`` (1: sound) rule ``j`` abstains at a rate that doesn't
+    depend on ``y``, and otherwise votes for the truth with probability
+    ``accuracy[y, j]``, all rules independently. EM maximises the likelihood of the
+    votes times a prior of PRIOR_VOTES votes a rule and truth, four in five of them
+    right, under the bound that no rule is worse than chance (``accuracy[0, j] +
+    accuracy[1, j] >= 1``; where the free optimum breaks it, the optimum under it is
+    the common rate of both truths). It starts from the share of votes against a
+    text. ``posterior`` is Bayes' rule in this model; an abstention cancels out of it.
     """
 
-    def __init__(self, patterns: np.ndarray, n: np.ndarray, rounds: int = 200):
-        # before any data: right votes four times as likely as wrong ones
-        start = np.array([[0.4, 0.4, 0.2], [0.1, 0.4, 0.5]])
-        self.rates = np.repeat(start[:, None, :], RULES, axis=1)
+    def __init__(self, patterns: np.ndarray, n: np.ndarray, rounds: int = 500):
+        self.accuracy = np.full((2, RULES), 0.8)
         self.prior = 0.8
         if not len(n):
             return
@@ -122,29 +128,41 @@ class VoteModel:
         against = (patterns < 0).sum(1)
         p = np.where(against == 0, 0.98, np.where(against == 1, 0.4, 0.02))
         for _ in range(rounds):
-            self.prior = float(np.clip((p @ n + 8) / (n.sum() + 10), 0.02, 0.98))
-            for y, q in ((0, (1 - p) * n), (1, p * n)):
-                for v in (-1, 0, 1):
-                    self.rates[y, :, v + 1] = (q @ (patterns == v) + 10 * start[y, v + 1]) / (q.sum() + 10)
+            self.maximise(patterns, n, p)
             before, p = p, self.posterior(patterns)
             if abs(p - before).max() < 1e-9:
                 break
 
+    def maximise(self, patterns: np.ndarray, n: np.ndarray, p: np.ndarray) -> None:
+        self.prior = float((p @ n + 0.8 * PRIOR_VOTES) / (n.sum() + PRIOR_VOTES))
+        right = np.stack([((1 - p) * n) @ (patterns < 0), (p * n) @ (patterns > 0)]) + 0.8 * PRIOR_VOTES
+        wrong = np.stack([((1 - p) * n) @ (patterns > 0), (p * n) @ (patterns < 0)]) + 0.2 * PRIOR_VOTES
+        self.accuracy = right / (right + wrong)
+        common = (right[1] + wrong[0]) / (right + wrong).sum(0)  # how often the rule votes "sound" at all
+        worse = self.accuracy.sum(0) < 1
+        self.accuracy[:, worse] = np.stack([1 - common, common])[:, worse]
+
+    def log_likelihood(self, patterns: np.ndarray, n: np.ndarray) -> float:
+        """What EM never lowers: the votes' log-likelihood, abstentions given, and the prior's."""
+        start, w = self.weights()
+        a = np.log(self.accuracy)
+        unsound = np.log(1 - self.prior) + np.where(patterns < 0, a[0], np.where(patterns > 0, np.log1p(-self.accuracy[0]), 0)).sum(1)
+        odds = start + w[np.arange(RULES), patterns.astype(int) + 1].sum(1)
+        prior = PRIOR_VOTES * (0.8 * a + 0.2 * np.log1p(-self.accuracy)).sum() + PRIOR_VOTES * (0.8 * np.log(self.prior) + 0.2 * np.log(1 - self.prior))
+        return float(n @ (unsound + np.logaddexp(0, odds)) + prior)
+
     def weights(self) -> tuple[float, np.ndarray]:
         """Log-odds of the prior, and what each rule's votes -1, 0, +1 add."""
-        w = np.log(self.rates[1] / self.rates[0])
-        w[:, 0], w[:, 2] = np.minimum(w[:, 0], 0), np.maximum(w[:, 2], 0)
-        w[:, 1] = 0  # abstaining says nothing
-        return float(np.log(self.prior / (1 - self.prior))), w
+        unsound, sound = self.accuracy
+        return float(np.log(self.prior / (1 - self.prior))), np.stack([np.log((1 - sound) / unsound), np.zeros(RULES), np.log(sound / (1 - unsound))], axis=1)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         start, w = self.weights()
         return 1 / (1 + np.exp(-np.clip(start + w[np.arange(RULES), patterns.astype(int) + 1].sum(1), -500, 500)))
 
 
-def counted(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with their counts and votes in own columns, staged."""
-    small_batches(docs.sparkSession)
+def counted(docs: DataFrame, text_col: str, keep_text: bool = True) -> DataFrame:
+    """The rows, on demand without their text, with their counts and votes in own columns, staged."""
     names = [OWN + c for c in BASE + MORE]
 
     @F.pandas_udf(", ".join(f"{c} long" for c in names))
@@ -154,14 +172,15 @@ def counted(docs: DataFrame, text_col: str) -> DataFrame:
         return pd.DataFrame(np.array([counts(x) for x in text], np.int64).reshape(-1, len(names)), columns=names)
 
     at = OWN + "counts"
-    rows = staged(docs.withColumn(at, of(text_of(text_col))), "counted")
+    rows = docs.withColumn(at, of(text_of(text_col)))
+    rows = staged(rows if keep_text else rows.drop(text_col), "counted")
     rows = rows.select("*", *[F.col(f"{at}.{c}").alias(c) for c in names]).drop(at)
     return rows.withColumn(OWN + "votes", F.array(*[v.cast("tinyint") for v in vote_columns()]))
 
 
-def judged(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, VoteModel]:
+def judged(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> tuple[DataFrame, VoteModel]:
     """The rows with ``base_failed``, posterior and verdict in own columns, and the fitted model."""
-    rows = counted(docs, text_col)
+    rows = counted(docs, text_col, keep_text)
     seen = rows.groupBy(OWN + "votes").agg(F.count("*").alias("n")).collect()  # at most 3**9 rows
     model = VoteModel(np.array([r[0] for r in seen], float).reshape(-1, RULES), np.array([r[1] for r in seen], float))
     start, weights = model.weights()
@@ -173,11 +192,12 @@ def judged(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, VoteMode
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``sound_probability`` and ``kept`` for each row."""
-    rows, _ = judged(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")), "text")
+    rows, _ = judged(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")), "text", keep_text=False)
     return rows.select("doc_id", *[F.col(OWN + c).alias(c) for c in BASE], F.col(OWN + "failed").alias("base_failed"), F.col(OWN + "sound").alias("sound_probability"), F.col(OWN + "kept").alias("kept"))
 
 
 def keep_sound(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that the rules keep, with the columns they came with."""
-    rows, _ = judged(docs, text_col)
-    return rows.where(F.col(OWN + "kept")).select(*[quoted(c) for c in docs.columns])
+    docs, now = shielded(docs)
+    rows, _ = judged(docs, now[text_col])
+    return rows.where(F.col(OWN + "kept")).select(*unshielded(now))
