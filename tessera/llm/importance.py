@@ -9,13 +9,14 @@ documents whose mean log-ratio passes the cutoff that best separates held-out
 labelled documents, so it follows the corpus.
 
 The counts have ``2 * 2**BUCKET_BITS`` entries, however large the corpus, and
-come from every document, each copy of a text counting in both models, so they
-do not depend on how rows fall into tasks. Labels are the one sampled input: of the labelled rows
+come from every text of the table, each counted once however many rows repeat it:
+rows are brought together by digest first, so neither hot texts nor the way rows
+fall into tasks change the models. Labels are the one sampled input: of the labelled rows
 at most ``MAX_LABELS``, those of lowest hash, are used; half of them fit the
 target model and half choose the cutoff. The ``k``-th key is found exactly by two
 rounds of histograms, not by a global sort.
 
-A text without words has log-ratio 0. Null labels count as absent. Rows that tie
+A text without words has log-ratio 0; one of any length is scored whole. Null labels count as absent. Rows that tie
 with the ``k``-th are all kept; repeated rows share their noise and so their fate;
 an empty table gives an empty frame. Without labels of both kinds nothing is
 rejected. Further columns pass through ``keep_sampled`` untouched.
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import OWN, quoted, small_batches, staged, text_of, texts
+from .common import OWN, quoted, shielded, small_batches, staged, text_of, texts, unshielded
 
 BUCKET_BITS = 16
 SMOOTHING = 0.5
@@ -86,39 +87,40 @@ class RatioModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS) -> RatioModel:
-    """Fit to all documents and a bounded number of labelled ones."""
-    small_batches(docs.sparkSession)
+    """Fit to all distinct texts and a bounded number of labelled ones."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     mix = F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED))
     rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     sample = rows.select(F.col("doc_id").alias("labelled"), F.when(F.pmod(mix, 2) == 1, F.when(good, 1)).otherwise(F.when(good, 2).when(F.col("quality") == 0, 3)).alias("role"), mix.alias("mix")).orderBy("mix", "labelled").limit(max_labels).drop("mix")
     sample = staged(sample, "labels")
-    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = base.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"), "left").select("text", "role")  # broadcast: at most max_labels rows
+    text = text_of(text_col)
+    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+    rows = base.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"), "left").select("text", "digest", "role")  # broadcast: at most max_labels rows
+    # a text that many rows repeat is one row a task before it is shuffled, and one in all when it is counted
+    distinct = rows.groupBy("digest").agg(F.first("text").alias("text"), F.max(F.coalesce(F.col("role") == 1, F.lit(False))).alias("target")).select("text", "target")
 
     def count(batches):
         raw, target = np.zeros(2 << BUCKET_BITS, np.int64), np.zeros(2 << BUCKET_BITS, np.int64)
         for b in batches:
-            for text, role in zip(texts(b.column("text")), b.column("role").to_pylist()):
-                found = buckets(text)
-                np.add.at(raw, found, 1)
-                if role == 1:
-                    np.add.at(target, found, 1)
+            found = [buckets(x) for x in texts(b.column("text"))]
+            raw += np.bincount(np.concatenate(found), minlength=len(raw)) if found else 0
+            if own := [x for x, t in zip(found, b.column("target").to_pylist()) if t]:
+                target += np.bincount(np.concatenate(own), minlength=len(target))
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
-    got = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # one row per bucket
+    with small_batches(docs.sparkSession):
+        got = distinct.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # one row per bucket
     raw, target = np.zeros(2 << BUCKET_BITS), np.zeros(2 << BUCKET_BITS)
     at = got.column("bucket").to_numpy()
     raw[at], target[at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
     model = RatioModel(raw, target)
-    held = rows.where(F.col("role") > 1)
 
     def score(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.score(x) for x in texts(b.column("text"))], pa.float64()), b.column("role")], names=["score", "role"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([model.score(x) for x in texts(b.column("text"))], pa.float64()), b.column("role")], names=["digest", "score", "role"])
 
-    held = held.mapInArrow(score, "score double, role int").toArrow()  # at most max_labels rows
+    held = rows.where("role IS NOT NULL").mapInArrow(score, "digest binary, score double, role int").groupBy("digest").agg(F.min("role").alias("role"), F.first("score").alias("score")).where("role > 1").orderBy("digest").toArrow()  # at most max_labels ids; no text of the target among them
     model.calibrate(held.column("score").to_numpy(), held.column("role").to_numpy() == 2)
     return model
 
@@ -137,9 +139,8 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return None
 
 
-def resampled(docs: DataFrame, model: RatioModel, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+def resampled(docs: DataFrame, model: RatioModel, id_col: str, text_col: str, keep_text: bool = True) -> tuple[DataFrame, int]:
     """The rows with mean log-ratio and perturbed key in own columns, staged, and the key from which rows are kept."""
-    small_batches(docs.sparkSession)
     top = 2.0**14
 
     @F.pandas_udf("double")
@@ -148,7 +149,8 @@ def resampled(docs: DataFrame, model: RatioModel, id_col: str, text_col: str) ->
 
         return pd.Series([model.score(x) for x in text], dtype="float64")
 
-    rows = staged(docs.withColumn(SCORE, score(text_of(text_col))), "scores")
+    rows = docs.withColumn(SCORE, score(text_of(text_col)))
+    rows = staged(rows if keep_text else rows.drop(text_col), "scores")
     # noise from the id alone: a lost task that runs again draws the same
     uniform = (F.pmod(F.xxhash64(F.col(quoted(id_col)).cast("string"), F.lit(SEED)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     key = F.col(SCORE) * SHARPNESS - F.log(-F.log(uniform))
@@ -161,11 +163,12 @@ def resampled(docs: DataFrame, model: RatioModel, id_col: str, text_col: str) ->
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, log_ratio, sample_key, kept`` for each row."""
     model = fit(docs, labels, id_col, text_col)
-    rows, least = resampled(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")), model, "doc_id", "text")
+    rows, least = resampled(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")), model, "doc_id", "text", keep_text=False)
     return rows.select("doc_id", F.col(SCORE).alias("log_ratio"), (F.col(KEY) / _FINE).alias("sample_key"), (F.col(KEY) >= least).alias("kept"))
 
 
 def keep_sampled(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are sampled, with the columns they came with."""
-    rows, least = resampled(docs, model, id_col, text_col)
-    return rows.where(F.col(KEY) >= least).select(*[quoted(c) for c in docs.columns])
+    docs, now = shielded(docs)
+    rows, least = resampled(docs, model, now[id_col], now[text_col])
+    return rows.where(F.col(KEY) >= least).select(*unshielded(now))
