@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import similarity
-from .common import OWN, quoted, small_batches, staged, text_of, texts
+from .common import OWN, quoted, shielded, staged, text_of, texts, unshielded
 from .components import components
 
 WIDTH, BITS = 3, 3
@@ -170,9 +170,8 @@ def links(distinct: DataFrame, bits: int = BITS, hot_homes: int = HOT_HOMES) ->
     return sorted_.mapInArrow(compare, "a long, b long")
 
 
-def fingerprinted(docs: DataFrame, text_col: str, width: int, with_bands: bool = False) -> DataFrame:
-    """The rows with fingerprint and locator in own columns, and on demand MinHash bands, staged."""
-    small_batches(docs.sparkSession)
+def fingerprinted(docs: DataFrame, text_col: str, width: int, with_bands: bool = False, keep_text: bool = True) -> DataFrame:
+    """The rows, on demand without their text, with fingerprint and locator in own columns, and on demand MinHash bands, staged."""
 
     @F.pandas_udf("long")
     def of(text):
@@ -187,7 +186,8 @@ def fingerprinted(docs: DataFrame, text_col: str, width: int, with_bands: bool =
         return pd.Series([similarity.bands(x) for x in text], dtype="object")
 
     own = {FP: of(text_of(text_col)), LOC: F.monotonically_increasing_id()}
-    return staged(docs.withColumns(own | ({BANDS: bands_of(text_of(text_col))} if with_bands else {})), "fingerprints")
+    rows = docs.withColumns(own | ({BANDS: bands_of(text_of(text_col))} if with_bands else {}))
+    return staged(rows if keep_text else rows.drop(text_col), "fingerprints")
 
 
 def classes(rows: DataFrame, id_col: str, bits: int = BITS, hot_homes: int = HOT_HOMES) -> DataFrame:
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are no component's least id unless it has no other. Repeated rows repeat; an
     empty table gives an empty frame; further columns are not read.
     """
-    rows = fingerprinted(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")), "text", width).drop("text")
+    rows = fingerprinted(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")), "text", width, keep_text=False)
     found = classes(rows, "doc_id", bits, hot_homes).withColumnRenamed("fp", FP)
     return rows.join(found, FP).select("doc_id", F.lpad(F.lower(F.hex(FP)), 16, "0").alias("fingerprint"), "component_id")
 
@@ -219,8 +219,9 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of these, rows whose five-word shingles have a Jaccard similarity of at least
     0.8 are then one row each too, again that of least id.
     """
-    rows = fingerprinted(docs, text_col, width, with_bands=True)
-    found = staged(classes(rows, id_col, bits).select(F.col("keep")["locator"].alias(LOC)).distinct(), "single")
-    gone = similarity.dropped(rows.join(found, LOC, "left_semi"), id_col, LOC, BANDS, text_col)
+    docs, now = shielded(docs)
+    rows = fingerprinted(docs, now[text_col], width, with_bands=True)
+    found = staged(classes(rows, now[id_col], bits).select(F.col("keep")["locator"].alias(LOC)).distinct(), "single")
+    gone = similarity.dropped(rows.join(found, LOC, "left_semi"), now[id_col], LOC, BANDS, now[text_col])
     found = found.join(gone, LOC, "left_anti")
-    return rows.join(found, LOC, "left_semi").select(*[quoted(c) for c in docs.columns])
+    return rows.join(found, LOC, "left_semi").select(*unshielded(now))
