@@ -19,7 +19,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import quoted, small_batches, text_of, texts
+from .common import quoted, text_of, texts
 
 CACHE_PIECES = 500_000
 #: Longer pieces are not remembered.
@@ -49,6 +49,44 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int | None = Non
     return parts
 
 
+class Seams:
+    """Which two tokens merging leaves side by side.
+
+    ``halves[t]``: the two tokens whose merge makes ``t``; ``joined`` is its inverse.
+    Merged tokens are numbered in the order of their merges.
+    """
+
+    def __init__(self, halves: dict[int, tuple[int, int]]):
+        self.halves = halves
+        self.joined = {pair: t for t, pair in halves.items()}
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def holds(self, left: int, right: int) -> bool:
+        key = left, right
+        if (known := self.known.get(key)) is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            known = self.known[key] = self._holds(left, right)
+        return known
+
+    def _holds(self, left: int, right: int) -> bool:
+        # Undo merges next to the seam, latest first. ``before``: a merge across the seam
+        # counts only if it comes earlier than the merge that was undone last; of two equal
+        # ranks the leftmost happens first, which is the left token's own merge.
+        before = float("inf")
+        while True:
+            across = self.joined.get((left, right))
+            if across is not None and across < before:
+                return False
+            a, b = self.halves.get(left), self.halves.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and left > right:
+                before, left = left, a[1]
+            else:
+                before, right = right + 0.5, b[0]
+
+
 class BytePairCodec:
     """Encodes pieces and whole texts, and decodes ids, for one vocabulary of ranks."""
 
@@ -59,58 +97,29 @@ class BytePairCodec:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.find = regex.compile(pattern).findall
-        # halves[t]: the two tokens whose merge makes t; a token that merging never reaches has none and is left out
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.joined: dict[tuple[int, int], int] = {}
+        # a token that merging never reaches has no halves and is left out
+        halves: dict[int, tuple[int, int]] = {}
         trie = ahocorasick.Automaton()
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 parts = merge_by_rank(token, ranks, rank)
                 if len(parts) != 2:
                     continue
-                pair = ranks[parts[0]], ranks[parts[1]]
-                self.halves[rank] = pair
-                self.joined[pair] = rank
+                halves[rank] = ranks[parts[0]], ranks[parts[1]]
             trie.add_word(token.decode("latin-1"), rank)
         trie.make_automaton()
         self.trie = trie
+        self.seams = Seams(halves)
         self.shorter: dict[int, int | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def next_shorter(self, token: int) -> int | None:
         """The longest proper prefix of a token that is a token."""
         if token not in self.shorter:
             b = self.bytes_of[token]
-            self.shorter[token] = next((self.ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.ranks and (n == 1 or self.ranks[b[:n]] in self.halves)), None)
+            self.shorter[token] = next((self.ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.ranks and (n == 1 or self.ranks[b[:n]] in self.seams.halves)), None)
         return self.shorter[token]
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether merging leaves these two tokens side by side."""
-        key = left, right
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 500_000:
-                self.fits.clear()
-            known = self.fits[key] = self._seam_holds(left, right)
-        return known
-
-    def _seam_holds(self, left: int, right: int) -> bool:
-        # Undo merges next to the seam, latest first. ``before``: a merge across the seam
-        # counts only if it comes earlier than the merge that was undone last; of two equal
-        # ranks the leftmost happens first, which is the left token's own merge.
-        before = float("inf")
-        while True:
-            across = self.joined.get((left, right))
-            if across is not None and across < before:
-                return False
-            a, b = self.halves.get(left), self.halves.get(right)
-            if a is None and b is None:
-                return True
-            if b is None or a is not None and left > right:
-                before, left = left, a[1]
-            else:
-                before, right = right + 0.5, b[0]
-
     def longest(self, text: str, at: int) -> int:
         return next(self.trie.iter_long(text, at))[1]
 
@@ -123,7 +132,7 @@ class BytePairCodec:
         at, token = 0, self.longest(text, 0)
         while True:
             end = at + len(self.bytes_of[token])
-            if open_[end] and (not out or self.compatible(out[-1], token)):
+            if open_[end] and (not out or self.seams.holds(out[-1], token)):
                 out.append(token)
                 at = end
                 if at == n:
@@ -180,7 +189,6 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     Python side; nothing is replaced.
     """
     path = path or default_path()
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
 

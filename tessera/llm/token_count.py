@@ -1,38 +1,171 @@
-"""Token counts by a lazily compiled finite-state transducer.
+"""Token counts by a compiled finite-state transducer.
 
-The word tokenizer is compiled into a deterministic transducer. Its states are
-the start state and, for each fragment read since the last space, one more; its
-transitions on a space carry the number of tokens emitted for the word they end
-(all emission is pushed to the end of a word). A word's path from the start
-state back to it is compiled on first sight, by the tokenizers library, and
-remembered as one composed transition, so that counting is a sum of emissions.
+The merges of the tokenizer are compiled into a deterministic transducer over 512
+symbols: the 256 bytes, and the 256 bytes as the last of a piece. After a prefix,
+BPE's encoding of it is that of a shorter prefix and one more token, the one whose
+seam with the token before it merging would leave (see ``bpe.Seams``). So a state
+has the place in the trie of tokens that the last bytes lead to and, for each of
+their ends from which a token may go on, the token that ends there and how many
+tokens fewer the encoding has up to there. A transition on a symbol carries the
+tokens emitted: how many more the encoding of the longer prefix has, which can be
+negative while a piece lasts. The last symbol of a piece leads back to the start.
+There are finitely many states, since the trie bounds how far back they look; only
+those that texts reach are ever determined, and a bounded number is remembered.
 
-A stretch of text acts on the states as a *chunk map*: from the state with
-fragment ``p`` it emits ``count(p + head) + inner`` and ends with fragment
-``tail``; a stretch without a space only lengthens the fragment. Maps compose
-associatively, so long texts are cut anywhere, mapped chunk by chunk and put
-together by a prefix scan of logarithmic depth.
+A piece's path from the start back to it is remembered as one composed transition.
+A stretch of text acts on the states as a *chunk map*: what comes before its first
+white space ends the piece that is open (``head``), in the middle it emits a number
+that does not depend on the state, and after its last white space it leaves a piece
+open (``tail``). Maps compose associatively, so long texts are cut anywhere, mapped
+chunk by chunk, and put together by a prefix scan of logarithmic depth.
+
+White space, Unicode normalisation and the cut into pieces are the tokenizers
+library's where a word isn't of plain Latin letters (see ``words``); a word that
+could hold a special string is counted by the library whole.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; a special
-string inside a text counts as the library counts it (one token); repeated rows
-each give a row; an empty table gives an empty frame; further columns of the
-input are not read.
+string inside a text counts as the library counts it (one token); a text of any
+length is counted whole, in chunks; repeated rows each give a row; an empty table
+gives an empty frame; further columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import quoted, small_batches, text_of, texts
+from .bpe import Seams
+from .common import quoted, text_of, texts
 
 LIMIT = 2048
 CHUNK_CHARS = 1 << 16
-#: Words whose ids are held while their counts are read off, and words whose counts are remembered.
-COMPILED_AT_ONCE, REMEMBERED = 250_000, 1_000_000
+#: Composed transitions, and single ones, that a worker remembers before it starts afresh.
+REMEMBERED, TRANSITIONS = 600_000, 2_000_000
+END = 256
+#: In a packed transition: the bits for the emission, and what is added so that it isn't negative.
+_EMIT_BITS, _EMIT_ZERO = 8, 128
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones as they are, others from 256 up."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {chr(b): b for b in plain}
+    out.update((chr(256 + i), b) for i, b in enumerate(sorted(set(range(256)) - set(plain))))
+    return out
+
+
+class MergeTransducer:
+    """``run(symbols)``: the tokens that a piece becomes; states and transitions are determined when first reached."""
+
+    def __init__(self, merges: list[tuple[str, str]], end_of_word: str):
+        letters = byte_letters()
+        numbers = {x: b for x, b in letters.items()} | {x + end_of_word: b + END for x, b in letters.items()}
+        spelt: dict[int, tuple[int, ...]] = {s: (s,) for s in range(2 * END)}
+        halves: dict[int, tuple[int, int]] = {}
+        for i, (a, b) in enumerate(merges, 2 * END):
+            if a + b in numbers:
+                raise ValueError("two merges make one token")
+            numbers[a + b] = i
+            halves[i] = numbers[a], numbers[b]
+            spelt[i] = spelt[numbers[a]] + spelt[numbers[b]]
+        self.seams = Seams(halves)
+        # the trie of tokens: children, the token that ends at a node, and the node of its longest proper end
+        self.child: list[dict[int, int]] = [{}]
+        self.token: list[int] = [-1]
+        for t, symbols in spelt.items():
+            if t in halves and not self._stands(t):
+                continue
+            at = 0
+            for s in symbols:
+                to = self.child[at].get(s)
+                if to is None:
+                    to = self.child[at][s] = len(self.child)
+                    self.child.append({})
+                    self.token.append(-1)
+                at = to
+            self.token[at] = t
+        self.shorter = [0] * len(self.child)
+        todo = [0]
+        for at in todo:
+            for s, to in self.child[at].items():
+                if at:
+                    back = self.shorter[at]
+                    while back and s not in self.child[back]:
+                        back = self.shorter[back]
+                    self.shorter[to] = self.child[back].get(s, 0)
+                todo.append(to)
+        self._ends: dict[int, tuple[int, ...]] = {}
+        self._forget()
+
+    def _stands(self, t: int) -> bool:
+        """Whether merging a token's own symbols ends in that token: each seam inside it must give way to its merges."""
+        a, b = self.seams.halves[t]
+        return self._stood(a, b, t)
+
+    def _stood(self, a: int, b: int, t: int) -> bool:
+        # with the merge itself left out, the halves must stay side by side until it comes
+        joined = self.seams.joined.pop((a, b))
+        out = self.seams._holds(a, b)
+        self.seams.joined[a, b] = joined
+        return out
+
+    def _forget(self) -> None:
+        self.states: dict[tuple, int] = {(0, ((-1, 0),)): 0}
+        self.contents: list[tuple] = [(0, ((-1, 0),))]
+        self.steps: dict[int, int] = {}
+
+    def ends(self, node: int) -> tuple[int, ...]:
+        """The nodes of all ends of a node's symbols from which a token may go on, longest first, the root last."""
+        if (known := self._ends.get(node)) is None:
+            out, at = [], node
+            while at:
+                if self.child[at]:
+                    out.append(at)
+                at = self.shorter[at]
+            known = self._ends[node] = (*out, 0)
+        return known
+
+    def determine(self, state: int, symbol: int) -> int:
+        """The transition: next state and emission, packed."""
+        node, before = self.contents[state]
+        ends = self.ends(node)
+        to_of = [self.child[at].get(symbol, -1) for at in ends]
+        for to, (last, fewer) in zip(to_of, before):
+            if to >= 0 and (t := self.token[to]) >= 0 and (last < 0 or self.seams.holds(last, t)):
+                break
+        else:
+            raise ValueError("no token ends here")
+        emitted = fewer + 1
+        if symbol >= END:
+            return emitted + _EMIT_ZERO
+        # those of the old ends that the symbol extends and from which a token may still go on
+        kept = [(to, (last, fewer - emitted)) for to, (last, fewer) in zip(to_of, before) if to >= 0 and self.child[to]]
+        key = (kept[0][0] if kept else 0, (*(x for _, x in kept), (t, 0)))
+        number = self.states.get(key)
+        if number is None:
+            number = self.states[key] = len(self.contents)
+            self.contents.append(key)
+        return number << _EMIT_BITS | emitted + _EMIT_ZERO
+
+    def run(self, symbols: bytes) -> int:
+        """The tokens of one piece, given as bytes of which the last one ends it."""
+        if len(self.steps) > TRANSITIONS:
+            self._forget()
+        get, state, total = self.steps.get, 0, 0
+        for s in symbols[:-1]:
+            step = get(state << 9 | s) or self._step(state, s)
+            total += step & 255
+            state = step >> _EMIT_BITS
+        step = get(state << 9 | symbols[-1] + END) or self._step(state, symbols[-1] + END)
+        return total + step - _EMIT_ZERO * len(symbols)
+
+    def _step(self, state: int, symbol: int) -> int:
+        out = self.steps[state << 9 | symbol] = self.determine(state, symbol)
+        return out
 
 
 @dataclass(frozen=True)
@@ -41,7 +174,7 @@ class ChunkMap:
 
     head: str
     inner: int = 0
-    tail: str | None = None  # None: no space in the stretch
+    tail: str | None = None  # None: no white space in the stretch
 
     def then(self, other: "ChunkMap", count) -> "ChunkMap":
         if self.tail is None:
@@ -64,74 +197,79 @@ def prefix_scan(maps: list[ChunkMap], count) -> list[ChunkMap]:
     return maps
 
 
-class Transducer:
-    """Counts tokens; remembers the emission of each word it has compiled."""
+class TokenCounter:
+    """Counts the tokens of texts; remembers the composed transition of each piece."""
 
     def __init__(self, path: str):
-        # its own encoder: what it has compiled needs no ids any more
-        self.words = W.WordEncoder(path, COMPILED_AT_ONCE)
-        self.emits: dict[str, int] = {"": 0}
-
-    def compile(self, cut: list[list[str]]) -> None:
-        new: set[str] = set()
-        for x in cut:
-            new.update(set(x).difference(self.emits))
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        told = json.loads(self.library.to_str())
+        self.special = [x["content"] for x in told["added_tokens"]]
+        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in told["model"]["merges"]]
+        self.transducer = MergeTransducer(merges, told["model"]["end_of_word_suffix"])
+        self.letters = byte_letters()
+        self.emits: dict[str, int] = {}
+
+    def emission(self, unit: str) -> int:
+        """From the start back to it: the tokens of a piece, or of a whole word behind a space (see ``words.units``)."""
+        if unit[0] != " ":
+            return self.transducer.run(unit.encode())
+        word = unit[1:]
+        if any(x in word for x in self.special):
+            return len(self.library.encode(word, add_special_tokens=False).ids)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))
+        return sum(self.transducer.run(bytes(map(self.letters.__getitem__, piece))) for piece, _ in found)
+
+    def prepare(self, cut: list[list[str]]) -> None:
+        new = set().union(*cut).difference(self.emits)
         if len(self.emits) + len(new) > REMEMBERED:
-            self.emits = {"": 0}
+            self.emits.clear()
             new = set().union(*cut)
-        if new:
-            self.words.prepare([list(new)])
-            known = self.words.known
-            self.emits.update((w, len(known[w]) // 4) for w in new)
-
-    def count(self, word: str) -> int:
-        if word not in self.emits:
-            self.compile([[word]])
-        return self.emits[word]
-
-    def chunk_map(self, words: list[str]) -> ChunkMap:
-        if len(words) == 1:
-            return ChunkMap(words[0])
-        return ChunkMap(words[0], sum(map(self.emits.__getitem__, words[1:-1])), words[-1])
-
-    def tokens(self, many: list[str], at_once: int = 200_000) -> list[int]:
+        self.emits.update((u, self.emission(u)) for u in new)
+
+    def count(self, text: str) -> int:
+        """Tokens of a stretch that white space bounds."""
+        own = W.units(text)
+        self.prepare([own])
+        return sum(map(self.emits.__getitem__, own))
+
+    def chunk_map(self, chunk: str) -> ChunkMap:
+        first, last = chunk.find(" "), chunk.rfind(" ")
+        return ChunkMap(chunk) if first < 0 else ChunkMap(chunk[:first], self.count(chunk[first:last]), chunk[last + 1 :])
+
+    def tokens(self, many: list[str], chunk: int = 0) -> list[int]:
+        chunk = chunk or CHUNK_CHARS
+        short = [x if len(x) <= chunk else "" for x in many]
         out: list[int] = []
-        at = 0
-        while at < len(many):
-            size, end = 0, at
-            while end < len(many) and (size < at_once or end == at):
-                size += len(many[end])
-                end += 1
-            plain = [self.words.lowered(x) for x in many[at:end]]
-            cut = [[x[i : i + CHUNK_CHARS].split(" ") for i in range(0, max(1, len(x)), CHUNK_CHARS)] for x in plain]
-            for i in range(0, len(cut), 64):
-                part = cut[i : i + 64]
-                self.compile([c[1:-1] for chunks in part for c in chunks])
-                for chunks in part:
-                    maps = [self.chunk_map(c) for c in chunks]
-                    out.append((prefix_scan(maps, self.count)[-1] if len(maps) > 1 else maps[0]).total(self.count))
-            at = end
+        for cut in W.in_groups(short):
+            self.prepare(cut)
+            get = self.emits.__getitem__
+            out += [sum(map(get, own)) for own in cut]
+        for i, x in enumerate(many):
+            if len(x) > chunk:
+                maps = [self.chunk_map(x[a : a + chunk]) for a in range(0, len(x), chunk)]
+                out[i] = prefix_scan(maps, self.count)[-1].total(self.count)
         return out
 
 
-_transducers: dict[str, Transducer] = {}
+_counters: dict[str, TokenCounter] = {}
 
 
-def transducer(path: str) -> Transducer:
-    if path not in _transducers:
-        _transducers[path] = Transducer(path)
-    return _transducers[path]
+def counter(path: str) -> TokenCounter:
+    if path not in _counters:
+        _counters[path] = TokenCounter(path)
+    return _counters[path]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row; no shuffle."""
     path = path or W.default_path()
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        t = transducer(path)
+        t = counter(path)
         for b in batches:
             own = texts(b.column("text"))
             n = t.tokens(own)
