@@ -1,30 +1,38 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network.
 
 Every word is predicted from the two words on either side of it; the logarithms
-of those conditional probabilities, summed, score the document. Words are one of
-``CLASSES`` classes: the most frequent ones, by counts over all documents, have
-their own, the others share hashed ones, in which a word's probability is its
-share of the class's occurrences in all documents, so every word is told apart.
-The ``LISTED`` most frequent of those words are known to all tasks; the rest meet
-their probabilities in a join. The network is small and written in
-numpy: position-wise embeddings, one tanh layer, and a two-step softmax over 32
-groups of 32 classes.
-
-Training is data-parallel. Each document gives every ``EVERY``-th of its
-positions, from an offset that depends on its words, so what is trained on grows
-with the corpus and no document is left out. Windows are dealt to as many
-trainers as the session has shuffle partitions; each improves a copy of the
-network on its share, and the copies are averaged, first in groups, so that the
-driver receives at most ``GROUPS`` copies a round.
-
-Null and empty texts have no words: likelihood 0 and mean null. Repeated rows
-have equal scores; an empty table gives an empty frame; further columns are not
-read. The sums' last digits depend on the order in which copies are averaged.
+of those conditional probabilities, summed, score the document. The probability
+of a word is that of its class in its window, by the network, times that of the
+word in its class. The OWN_CLASSES most frequent words are classes of their own;
+all others share hashed classes. In a shared class the words that occur most in
+the corpus, LISTED in all, have their own probability, from their counts over all
+documents; those below that rank and the unseen ones share what is left evenly.
+So probabilities add up to one over all words, and what each task holds is bounded.
+Words are told apart by 64-bit hashes.
+
+The network is small and written in numpy: an embedding for each place of the
+window, one softsign layer, and a two-step softmax: over 32 groups, and, through a
+gate on the hidden layer for each group, over the 32 classes of the group.
+
+Training is data-parallel and reads every position of every document once. In
+each of ROUNDS rounds a task improves its own copy of the network on its share of
+the positions, every ROUNDS-th from another offset each round, and the copies are
+averaged by what they have read, first in groups, so that the driver receives at
+most GROUPS copies a round. Texts are turned into class numbers once; training and
+scoring read those.
+
+Null and empty texts have no words: likelihood 0 and mean null. A text of any
+length is scored whole; a batch holds its class numbers, two bytes a word.
+Repeated rows have equal scores; an empty table gives an empty frame; further
+columns are not read. The sums' last digits depend on how rows fall into tasks,
+since copies are averaged.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,74 +43,130 @@ from .common import quoted, small_batches, staged, text_of, texts
 SIDE = 32
 CLASSES, OWN_CLASSES = SIDE * SIDE, 768
 EDGE = CLASSES
-DIM, REACH = 32, 2
-EVERY, ROUNDS, BATCH, RATE, GROUPS = 16, 2, 512, 0.1, 8
+DIM, REACH = 16, 2
+ROUNDS, BATCH, RATE, START, GROUPS = 2, 4096, 0.2, 1e-6, 8
+#: Distinct words that a task holds while it counts.
 FLUSH_WORDS = 300_000
-#: Words of shared classes whose probabilities every task holds.
-LISTED = 100_000
+#: What a task remembers: words that come so often in one group of texts, up to so many.
+OFTEN, OFTEN_WORDS = 4, 30_000
+#: Words of shared classes with probabilities of their own.
+LISTED = 2_000_000
 #: Occurrences that each word of a shared class, and the unseen ones together, are taken to have besides their own.
 BASE = 0.5
-BLOB = 8192
+#: Positions whose windows are held at once.
+HELD = 1 << 16
+_ONES = np.ones(SIDE, np.float32)
+_OFFSETS = [k for k in range(-REACH, REACH + 1) if k]
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-class Vocabulary:
-    """Class numbers of words; remembers a bounded number of rare ones."""
-
-    def __init__(self, frequent: list[bytes], listed: dict[bytes, float] | None = None):
-        self.frequent = {w: i for i, w in enumerate(frequent)}
-        self.within = (listed or {}) | dict.fromkeys(frequent, 0.0)
-        self.known = dict(self.frequent)
-
-    def _learn(self, words: list[bytes]) -> None:
-        from xxhash import xxh64_intdigest
-
-        if len(self.known) > FLUSH_WORDS:
-            self.known = dict(self.frequent)
-        for w in set(words).difference(self.known):
-            self.known[w] = OWN_CLASSES + xxh64_intdigest(w) % (CLASSES - OWN_CLASSES)
-
-    def classes(self, text: str) -> np.ndarray:
-        """The text's classes, with REACH edge marks before and after."""
-        words = words_of(text)
-        self._learn(words)
-        out = np.full(len(words) + 2 * REACH, EDGE, np.int16)
-        out[REACH : REACH + len(words)] = np.fromiter(map(self.known.__getitem__, words), np.int16, len(words))
-        return out
-
-
-    def within_classes(self, text: str) -> tuple[float, list[int]]:
-        """The summed log p(word | class) of the words known here, and the keys of all others."""
-        found, rare = 0.0, []
-        words = words_of(text)
-        for w, p in zip(words, map(self.within.get, words)):
-            if p is None:
-                rare.append(key_of(w))
-            else:
-                found += p
-        return found, rare
-
-
-def key_of(word: bytes) -> int:
-    """The word's hash as a signed 64-bit integer; its remainder is the class."""
+def keys_of(words) -> np.ndarray:
+    """The words' hashes as signed 64-bit integers."""
     from xxhash import xxh64_intdigest
 
-    h = xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    words = list(words)
+    return np.fromiter(map(xxh64_intdigest, words, repeat(0)), np.uint64, len(words)).view(np.int64)
+
+
+def shared_class(keys):
+    return OWN_CLASSES + keys % (CLASSES - OWN_CLASSES)
+
 
+@dataclass
+class Vocabulary:
+    """Class and log p(word | class) of every word, by its key; plain arrays, so that tasks can be sent it."""
+
+    frequent: np.ndarray  # keys in ascending order
+    classes: np.ndarray  # and their classes
+    listed: np.ndarray  # keys in ascending order
+    within: np.ndarray  # and their log p
+    rest: np.ndarray  # for each class the log p of a word that isn't listed
 
-def windows(padded: np.ndarray, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
-    """(context, target) classes at the given positions of a padded text."""
-    n = len(padded) - 2 * REACH
-    sides = [k for k in range(2 * REACH + 1) if k != REACH]
-    return np.stack([padded[k : k + n][at] for k in sides], axis=1).astype(np.int64), padded[REACH : REACH + n][at].astype(np.int64)
+    @classmethod
+    def of(cls, frequent: np.ndarray, keys: np.ndarray, n: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> "Vocabulary":
+        """``frequent``: keys by falling count; ``keys, n``: the listed words; ``totals, kinds``: occurrences and words of each class."""
+        order, at = np.argsort(frequent), np.argsort(keys)
+        keys, n = keys[at], n[at]
+        whole = totals + BASE * (kinds + 1)
+        own = shared_class(keys)
+        left = whole - np.bincount(own, n + BASE, CLASSES)
+        others = kinds - np.bincount(own, minlength=CLASSES) + 1
+        rest = np.log(np.maximum(left, BASE) / others / whole)
+        rest[: len(frequent)] = 0.0
+        return cls(frequent[order], order.astype(np.int16), keys, (np.log(n + BASE) - np.log(whole[own])).astype(np.float32), rest.astype(np.float32))
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = shared_class(keys).astype(np.int16)
+        p = self.rest[out]
+        if len(self.listed):
+            i = np.minimum(np.searchsorted(self.listed, keys), len(self.listed) - 1)
+            found = self.listed[i] == keys
+            p = np.where(found, self.within[i], p)
+        if len(self.frequent):
+            i = np.minimum(np.searchsorted(self.frequent, keys), len(self.frequent) - 1)
+            found = self.frequent[i] == keys
+            out, p = np.where(found, self.classes[i], out), np.where(found, np.float32(0), p)
+        return out, p
+
+
+class Reader:
+    """Turns texts into class numbers; remembers a bounded number of words that come often, and looks others up by key."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.slot: dict[bytes, int] = {}
+        self.cls, self.within = np.empty(0, np.int16), np.empty(0, np.float32)
+
+    def read(self, many: list[str]):
+        """(classes, summed log p(word | class)) of each text."""
+        at = 0
+        while at < len(many):
+            size, end = 0, at
+            while end < len(many) and (size < 4 * HELD or end == at):
+                size += len(many[end])
+                end += 1
+            cut = [words_of(x) for x in many[at:end]]
+            ends = np.cumsum([len(x) for x in cut])
+            cls, within = self._look_up(list(chain.from_iterable(cut)))
+            sums = np.r_[0.0, np.cumsum(within, dtype=np.float64)]
+            for start, stop in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                yield cls[start:stop], float(sums[stop] - sums[start])
+            at = end
+
+    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int32, len(words))
+        missed = np.flatnonzero(at < 0)
+        cls, within = np.empty(len(words), np.int16), np.empty(len(words), np.float32)
+        known = at >= 0
+        cls[known], within[known] = self.cls[at[known]], self.within[at[known]]
+        if len(missed):
+            rare = [words[i] for i in missed.tolist()]
+            keys, first, inverse, n = np.unique(keys_of(rare), return_index=True, return_inverse=True, return_counts=True)
+            own_cls, own_within = self.vocabulary.look_up(keys)
+            cls[missed], within[missed] = own_cls[inverse], own_within[inverse]
+            often = np.flatnonzero(n >= OFTEN)[: OFTEN_WORDS - len(self.slot)]
+            self.slot.update(zip((rare[i] for i in first[often].tolist()), range(len(self.slot), len(self.slot) + len(often))))
+            self.cls, self.within = np.concatenate([self.cls, own_cls[often]]), np.concatenate([self.within, own_within[often]])
+        return cls, within
+
+
+def joined(many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' classes in a row with edge marks around each, and the places of the words."""
+    edge = np.full(REACH, EDGE, np.int16)
+    row = np.concatenate([edge, *(x for one in many for x in (one, edge))])
+    return row, np.flatnonzero(row != EDGE)
+
+
+def windows(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, target) classes of the words at these places; the context place by place."""
+    return np.stack([row[at + k] for k in _OFFSETS]), row[at].astype(np.int64)
 
 
 class WindowNetwork:
-    """log p(word | words on both sides)."""
+    """log p(class | words on both sides)."""
 
     SHAPES = {"embed": (2 * REACH, CLASSES + 1, DIM), "bias": (DIM,), "high": (DIM, SIDE), "high_bias": (SIDE,), "low": (DIM, SIDE), "group": (SIDE, DIM), "low_bias": (SIDE, SIDE)}
 
@@ -117,6 +181,7 @@ class WindowNetwork:
         p = (counts + 1.0).reshape(SIDE, SIDE)
         w["high_bias"] = np.log(p.sum(1) / p.sum()).astype(np.float32)
         w["low_bias"] = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
+        w["group"] += 1
         return cls(w)
 
     def to_bytes(self) -> bytes:
@@ -131,67 +196,76 @@ class WindowNetwork:
             at += n
         return cls(out)
 
-    @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(1, keepdims=True)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-    def _forward(self, context: np.ndarray, target: np.ndarray):
+    def _hidden(self, context: np.ndarray) -> np.ndarray:
         w = self.w
-        x = w["bias"] + w["embed"][0, context[:, 0]]
+        x = w["embed"][0].take(context[0], axis=0)
         for p in range(1, 2 * REACH):
-            x += w["embed"][p, context[:, p]]
-        h = np.tanh(x)
+            x += w["embed"][p].take(context[p], axis=0)
+        x += w["bias"]
+        x /= 1 + np.abs(x)
+        return x
+
+    @staticmethod
+    def _exp(x: np.ndarray) -> np.ndarray:
+        """Exponentials up to a common factor a row; logits are rarely so large that one is needed."""
+        if np.abs(x).max(initial=0) > 60:
+            x -= x.max(1, keepdims=True)
+        return np.exp(x)
+
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        w, r = self.w, np.arange(len(target))
+        h = self._hidden(context)
         g = target // SIDE
-        z = h + w["group"][g]
-        return h, z, self._log_softmax(h @ w["high"] + w["high_bias"]), self._log_softmax(z @ w["low"] + w["low_bias"][g])
-
-    def log_probability(self, context: np.ndarray, target: np.ndarray, at_once: int = 8192) -> float:
-        total = 0.0
-        for i in range(0, len(target), at_once):
-            c, t = context[i : i + at_once], target[i : i + at_once]
-            _, _, high, low = self._forward(c, t)
-            r = np.arange(len(t))
-            total += float(high[r, t // SIDE].sum(dtype=np.float64) + low[r, t % SIDE].sum(dtype=np.float64))
+        total = np.zeros(len(target), np.float32)
+        for x, pick in ((h @ w["high"] + w["high_bias"], g), ((h * w["group"].take(g, axis=0)) @ w["low"] + w["low_bias"].take(g, axis=0), target % SIDE)):
+            e = self._exp(x)
+            total += x[r, pick] - np.log(e @ _ONES)
         return total
 
     def train(self, context: np.ndarray, target: np.ndarray, squares: dict[str, np.ndarray]) -> None:
         """One pass in batches, by Adagrad."""
-        w = self.w
-        cols = np.arange(DIM)
         for i in range(0, len(target), BATCH):
-            c, t = context[i : i + BATCH], target[i : i + BATCH]
-            h, z, high, low = self._forward(c, t)
-            r, g = np.arange(len(t)), t // SIDE
-            dh, dl = np.exp(high), np.exp(low)
-            dh[r, g] -= 1
-            dl[r, t % SIDE] -= 1
-            dh /= len(t)
-            dl /= len(t)
-            dz = dl @ w["low"].T
-            dx = (dh @ w["high"].T + dz) * (1 - h * h)
-            one = np.zeros((SIDE, len(t)), np.float32)
-            one[g, r] = 1
-            grads = {"high": h.T @ dh, "high_bias": dh.sum(0), "low": z.T @ dl, "group": one @ dz, "low_bias": one @ dl, "bias": dx.sum(0)}
-            for k, d in grads.items():
-                squares[k] += d * d
-                w[k] -= RATE * d / np.sqrt(squares[k] + 1e-8)
-            for p in range(2 * REACH):
-                rows, inverse = np.unique(c[:, p], return_inverse=True)
-                d = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(d.reshape(-1), (inverse[:, None] * DIM + cols).reshape(-1), dx.reshape(-1))
-                squares["embed"][p, rows] += d * d
-                w["embed"][p, rows] -= RATE * d / np.sqrt(squares["embed"][p, rows] + 1e-8)
+            self._step(context[:, i : i + BATCH], target[i : i + BATCH], squares)
+
+    def gradients(self, c: np.ndarray, t: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean log-loss, for all weights but the embeddings; and for each row's hidden input."""
+        w, r, g, n = self.w, np.arange(len(t)), t // SIDE, np.float32(len(t))
+        h = self._hidden(c)
+        gate = w["group"].take(g, axis=0)
+        z = h * gate
+        dh, dl = self._exp(h @ w["high"] + w["high_bias"]), self._exp(z @ w["low"] + w["low_bias"].take(g, axis=0))
+        for d, pick in ((dh, g), (dl, t % SIDE)):
+            d /= (d @ _ONES)[:, None] * n
+            d[r, pick] -= 1 / n
+        dz = dl @ w["low"].T
+        dx = (dh @ w["high"].T + dz * gate) * np.square(1 - np.abs(h))
+        one = np.zeros((SIDE, len(t)), np.float32)
+        one[g, r] = 1
+        return {"high": h.T @ dh, "high_bias": dh.sum(0), "low": z.T @ dl, "group": one @ (dz * h), "low_bias": one @ dl, "bias": dx.sum(0)}, dx
+
+    def _step(self, c: np.ndarray, t: np.ndarray, squares: dict[str, np.ndarray]) -> None:
+        grads, dx = self.gradients(c, t)
+        for k, d in grads.items():
+            squares[k] += d * d
+            self.w[k] -= RATE * d / np.sqrt(squares[k] + 1e-8)
+        for p in range(2 * REACH):
+            order = np.argsort(c[p], kind="stable")
+            own = c[p][order]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            rows, d = own[starts], np.add.reduceat(dx.take(order, axis=0), starts, axis=0)
+            s = squares["embed"][p].take(rows, axis=0) + d * d
+            squares["embed"][p][rows] = s
+            self.w["embed"][p][rows] -= RATE * d / np.sqrt(s + 1e-8)
 
 
 def count_words(base: DataFrame) -> DataFrame:
-    """``word, n`` over all documents; tasks count before the shuffle, in bounded memory."""
+    """``key, n`` over all documents; tasks count before the shuffle, in bounded memory."""
 
     def run(batches):
         held: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys_of(held)), pa.array(np.fromiter(held.values(), np.int64, len(held)))], names=["key", "n"])
 
         for b in batches:
             for x in texts(b.column("text")):
@@ -202,75 +276,88 @@ def count_words(base: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return base.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def keyed(words: DataFrame) -> DataFrame:
-    """The counts with each word's key and shared class."""
+    return base.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def least_count(words: DataFrame, limit: int) -> int:
+    """The least count such that no more than ``limit`` words have it or a larger one."""
+    step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin("n")) - 11, F.lit(0))).cast("long")
+    rows = words.groupBy((F.floor(F.col("n") / step) * step).alias("n")).agg(F.count("*").alias("kinds")).collect()  # eleven significant bits: some 50,000 rows at most
+    least, seen = 1 << 62, 0
+    for r in sorted(rows, reverse=True):
+        seen += r["kinds"]
+        if seen > limit:
+            break
+        least = r["n"]
+    return least
+
+
+def vocabulary_of(base: DataFrame, listed: int = LISTED) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary, and the occurrences of each class."""
+    words = staged(count_words(base), "words")
+    top = words.orderBy(F.desc("n"), "key").limit(OWN_CLASSES).toArrow()
+    frequent = top.column("key").to_numpy()
+    shared = words
+    if len(frequent) == OWN_CLASSES:
+        n, key = int(top.column("n")[-1].as_py()), int(frequent[-1])
+        shared = words.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("key") > key)))
+    else:
+        shared = words.where("false")
+    totals, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    totals[: len(top)] = top.column("n").to_numpy()
+    cls = F.lit(OWN_CLASSES) + F.pmod("key", F.lit(CLASSES - OWN_CLASSES))
+    for r in shared.groupBy(cls.cast("int").alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # one row per shared class
+        totals[r["class"]], kinds[r["class"]] = r["n"], r["kinds"]
+    known = shared.where(F.col("n") >= least_count(shared, listed)).toArrow()  # at most ``listed`` rows of two numbers
+    return Vocabulary.of(frequent, known.column("key").to_numpy(), known.column("n").to_numpy().astype(np.float64), totals, kinds), totals
+
+
+def numbered_classes(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
+    """``doc_id, within, classes``, staged: classes as little-endian 16-bit numbers."""
+    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
+    kind, sent = base.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(vocabulary)  # 12 bytes for each of at most LISTED words
 
     def run(batches):
+        reader = Reader(sent.value)
         for b in batches:
-            keys = np.fromiter(map(key_of, b.column("word").to_pylist()), np.int64, len(b))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys), pa.array((OWN_CLASSES + keys % (CLASSES - OWN_CLASSES)).astype(np.int32))], names=["word", "n", "key", "class"])
+            got = list(reader.read(texts(b.column("text"))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([p for _, p in got], pa.float64()), pa.array([c.astype("<i2", copy=False).tobytes() for c, _ in got], pa.binary())], names=["doc_id", "within", "classes"])
 
-    return words.mapInArrow(run, "word binary, n long, key long, class int")
+    return staged(base.mapInArrow(run, f"doc_id {kind}, within double, classes binary"), "classes")
 
 
-def after(words: DataFrame, first: pa.Table, limit: int) -> DataFrame:
-    """The words that follow the ``limit`` first ones by falling count."""
-    if len(first) < limit:
-        return words.where("false")
-    n, word = first.column("n")[-1].as_py(), first.column("word")[-1].as_py()
-    return words.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(bytearray(word)))))
+def in_groups(batch: pa.RecordBatch):
+    """The class arrays of a batch's rows, some rows at a time with about HELD words."""
+    held, n = [], 0
+    for x in batch.column("classes").to_pylist():
+        held.append(np.frombuffer(x, "<i2"))
+        n += len(held[-1])
+        if n >= HELD:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
-def training_windows(base: DataFrame, vocabulary: Vocabulary, every: int) -> DataFrame:
-    """``trainer, windows``: blobs of little-endian 16-bit (context, target) rows, dealt evenly."""
-    trainers = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def train_round(data: DataFrame, network: WindowNetwork, number: int, rounds: int) -> WindowNetwork:
+    """Each task improves a copy on its share of this round's positions; the average weighted by shares comes back."""
+    flat = np.frombuffer(network.to_bytes(), "<f4")
 
     def run(batches):
         from pyspark import TaskContext
 
-        held, n, trainer = [], 0, TaskContext.get().partitionId()
-
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array([trainer % trainers], pa.int32()), pa.array([rows.astype("<i2").tobytes()], pa.binary())], names=["trainer", "windows"])
-
-        for b in batches:
-            for x in texts(b.column("text")):
-                padded = vocabulary.classes(x)
-                size = len(padded) - 2 * REACH
-                if size:
-                    first = int(padded.astype(np.int64).sum()) % min(every, size)
-                    c, t = windows(padded, slice(first, None, every))
-                    held.append(np.concatenate([c, t[:, None]], axis=1))
-                    n += len(t)
-                if n >= BLOB:
-                    yield out(np.concatenate(held))
-                    held, n, trainer = [], 0, trainer + 1
-        if held:
-            yield out(np.concatenate(held))
-
-    return staged(base.select("text").mapInArrow(run, "trainer int, windows binary").repartition(trainers, "trainer"), "windows")
-
-
-def train_round(data: DataFrame, network: WindowNetwork) -> WindowNetwork:
-    """Each trainer improves a copy on its share; the average weighted by shares comes back."""
-    width = 2 * REACH + 1
-    flat = np.frombuffer(network.to_bytes(), "<f4")
-
-    def run(batches):
         own = WindowNetwork.from_flat(flat.copy())
-        squares = {k: np.full(s, 0.1, np.float32) for k, s in WindowNetwork.SHAPES.items()}
-        n, last = 0, 0
+        squares = {k: np.full(s, START, np.float32) for k, s in WindowNetwork.SHAPES.items()}
+        n, random = 0, np.random.default_rng(number)
         for b in batches:
-            for trainer, blob in zip(b.column("trainer").to_pylist(), b.column("windows").to_pylist()):
-                rows = np.frombuffer(blob, "<i2").reshape(-1, width).astype(np.int64)
-                rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
-                own.train(rows[:, :-1], rows[:, -1], squares)
-                n, last = n + len(rows), trainer
+            for group in in_groups(b):
+                row, at = joined(group)
+                at = at[number::rounds]
+                if len(at):
+                    own.train(*windows(row, random.permutation(at)), squares)
+                    n += len(at)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([last % GROUPS], pa.int32()), pa.array([n], pa.int64()), pa.array([own.to_bytes()], pa.binary())], names=["part", "n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([n], pa.int64()), pa.array([own.to_bytes()], pa.binary())], names=["part", "n", "weights"])
 
     def average(batches):
         total, n = None, 0
@@ -281,56 +368,43 @@ def train_round(data: DataFrame, network: WindowNetwork) -> WindowNetwork:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["n", "weights"])
 
-    copies = data.mapInArrow(run, "part int, n long, weights binary").repartition(GROUPS, "part")
-    got = copies.select("n", "weights").mapInArrow(average, "n long, weights binary").collect()  # at most GROUPS rows
+    copies = data.select("classes").mapInArrow(run, "part int, n long, weights binary").repartition(GROUPS, "part")
+    with small_batches(data.sparkSession):
+        got = copies.select("n", "weights").mapInArrow(average, "n long, weights binary").collect()  # one row a task that averages: GROUPS of them have any
     if not got:
         return network
     n = sum(r["n"] for r in got)
     return WindowNetwork.from_flat(sum(np.frombuffer(bytes(r["weights"]), "<f4").astype(np.float64) * (r["n"] / n) for r in got))
 
 
-def train(docs: DataFrame, text_col: str = "text", every: int = EVERY, rounds: int = ROUNDS, listed: int = LISTED) -> tuple[Vocabulary, WindowNetwork, DataFrame]:
-    """The vocabulary, the network, and ``key, within`` (log p(word | class)) of the words that the vocabulary doesn't list."""
-    small_batches(docs.sparkSession)
-    base = docs.select(text_of(text_col).alias("text"))
-    words = staged(keyed(count_words(base)), "words")
-    top = words.orderBy(F.desc("n"), "word").limit(OWN_CLASSES).select("word", "n").toArrow()
-    shared = after(words, top, OWN_CLASSES)
-    counts, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    counts[: len(top)] = top.column("n").to_numpy()
-    for r in shared.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # one row per shared class
-        counts[r["class"]], kinds[r["class"]] = r["n"], r["kinds"]
-    totals = np.log(counts + BASE * (kinds + 1))
-    known = shared.orderBy(F.desc("n"), "word").limit(listed).select("word", "n", "class").toArrow()  # at most ``listed`` rows
-    within = np.log(known.column("n").to_numpy() + BASE) - totals[known.column("class").to_numpy()]
-    vocabulary = Vocabulary(top.column("word").to_pylist(), dict(zip(known.column("word").to_pylist(), within.tolist())))
-    total = F.element_at(F.array(*[F.lit(float(x)) for x in totals[OWN_CLASSES:]]), F.col("class") - OWN_CLASSES + 1)
-    rest = after(shared, known, listed).select("key", (F.log(F.col("n") + BASE) - total).alias("within"))
-    network = WindowNetwork.fresh(counts)
-    data = training_windows(base, vocabulary, every)
-    for _ in range(rounds):
-        network = train_round(data, network)
-    return vocabulary, network, rest
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, rounds: int = ROUNDS, listed: int = LISTED) -> DataFrame:
-    """``doc_id, n_words, log_likelihood, mean_log_likelihood`` for each row."""
-    vocabulary, network, rest = train(docs, text_col, every, rounds, listed)
-    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, passes: int = 1, listed: int = LISTED) -> tuple[Vocabulary, WindowNetwork, DataFrame]:
+    """The vocabulary, the network trained on every position ``passes`` times, and the documents as class numbers."""
+    with small_batches(docs.sparkSession):
+        vocabulary, totals = vocabulary_of(docs.select(text_of(text_col).alias("text")), listed)
+    data = numbered_classes(docs, id_col, text_col, vocabulary)
+    network = WindowNetwork.fresh(totals)
+    for k in range(rounds * passes):
+        network = train_round(data, network, k % rounds, rounds)
+    return vocabulary, network, data
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, passes: int = 1, listed: int = LISTED) -> DataFrame:
+    """``doc_id, mean_log_likelihood, log_likelihood, n_words`` for each row."""
+    _, network, data = train(docs, id_col, text_col, rounds, passes, listed)
+    kind = data.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            n, total, rare = [], [], []
-            for x in texts(b.column("text")):
-                c, t = windows(vocabulary.classes(x))
-                found, keys = vocabulary.within_classes(x)
-                n.append(len(t))
-                total.append(network.log_probability(c, t) + found)
-                rare.append(keys)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "n_words", "found", "rare"])
-
-    scored = staged(base.mapInArrow(run, f"doc_id {kind}, n_words long, found double, rare array<long>").withColumn("locator", F.monotonically_increasing_id()), "scores")
-    sums = scored.select("locator", F.explode("rare").alias("key")).join(rest, "key").groupBy("locator").agg(F.sum("within").alias("within"))
-    whole = scored.join(sums, "locator", "left").withColumn("log_likelihood", F.col("found") + F.coalesce("within", F.lit(0.0)))
-    return whole.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))
+            n, total = [], []
+            for group in in_groups(b):
+                row, at = joined(group)
+                p = np.concatenate([network.log_probabilities(*windows(row, at[i : i + BATCH])) for i in range(0, len(at), BATCH)] or [np.empty(0, np.float32)])
+                ends = np.cumsum([len(x) for x in group])
+                sums = np.r_[0.0, np.cumsum(p, dtype=np.float64)]
+                n += [len(x) for x in group]
+                total += (sums[ends] - sums[ends - np.array(n[-len(group):])]).tolist()
+            total = np.array(total, np.float64) + b.column("within").to_numpy()
+            n = np.array(n, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total / np.maximum(n, 1), mask=n == 0), pa.array(total), pa.array(n)], names=["doc_id", "mean_log_likelihood", "log_likelihood", "n_words"])
+
+    return data.mapInArrow(run, f"doc_id {kind}, mean_log_likelihood double, log_likelihood double, n_words long")
