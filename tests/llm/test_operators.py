@@ -56,10 +56,33 @@ def test_exact_dedup_with_colliding_digests_and_many_batches(spark, odd):
     assert sorted(map(str, weak.collect())) == sorted(map(str, strong.collect()))
 
 
+def test_exact_dedup_goes_on_from_a_kept_state(spark, tmp_path):
+    folder = f"file://{tmp_path}/kept"
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert exact_dedup.keep_unique(table([(1, "A b"), (2, "x"), (3, "x")]), folder=folder).count() == 2
+    got = exact_dedup.exact_dedup(table([(9, "a B"), (4, "new")]), folder=folder).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(1, 9, 2, False), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True), (9, 9, 2, True)]
+
+
+def test_columns_that_look_like_internal_ones_come_back_as_they_were(spark):
+    rows = spark.createDataFrame([(1, "one " * 30, "a", "b"), (2, "two " * 3, "c", "d")], "doc_id long, text string, _tessera_id string, _TESSERA_locator string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = importance.fit(rows, labels)
+    for got in (exact_dedup.keep_unique(rows), simhash.keep_one_each(rows), importance.keep_sampled(rows, model)):
+        assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    assert quality_rules.keep_sound(rows).columns == rows.columns
+
+
+def test_session_settings_come_back(spark):
+    before = {k: spark.conf.get(k, None) for k in [*exact_dedup.STATE_SETTINGS, "spark.sql.execution.arrow.maxRecordsPerBatch"]}
+    exact_dedup.exact_dedup(spark.createDataFrame([(1, "x")], "doc_id long, text string")).count()
+    assert before == {k: spark.conf.get(k, None) for k in before}
+
+
 def test_packing(spark, odd, empty):
     e = words.encoder(words.default_path())
     got = packing.pack(odd).collect()
-    assert sum(r["length"] for r in got) == sum(len(x) // 4 + 1 for x in e.encode_many([t or "" for _, t in ROWS]))
+    assert sum(r["length"] for r in got) == sum(len(e.ids(x)) + 1 for x in e.encode_many([t or "" for _, t in ROWS]))
     for s in {r["sequence_id"] for r in got}:
         own = sorted((r["offset"], r["length"]) for r in got if r["sequence_id"] == s)
         assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
@@ -134,6 +157,36 @@ def test_near_stage_finds_alike_texts_beyond_three_bits(spark):
     assert got.columns == ["doc_id", "text"] and sorted(r["doc_id"] for r in got.collect()) == [3, 4, 6, 7]
 
 
+def test_hot_bands_taken_apart_lose_no_link(spark):
+    r = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(90):  # near copies of one text, of its near copies, and others that share a part
+        w = list(base)
+        for i in r.choice(24, int(r.integers(0, 9)), replace=False):
+            w[5 * int(i)] = f"x{int(r.integers(0, 6))}y{int(i)}"
+        texts.append(" ".join(w if k % 5 else w[: 40 + k]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "loc long, text string").withColumn("bands", F.array(F.lit(7).cast("long"), F.lit(8).cast("long"))).repartition(3)
+    sets = [similarity.shingles(x) for x in texts]
+    edges = [(i, j) for i in range(90) for j in range(i) if similarity.alike(sets[i], sets[j])]
+
+    def parts(pairs):
+        root = list(range(90))
+
+        def find(x):
+            return x if root[x] == x else find(root[x])
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(x) for x in range(90)]
+
+    whole = parts(edges)
+    assert len(set(whole)) > 2
+    for hot_rows in (1000, 89, 20, 8):
+        got = [(e["a"], e["b"]) for e in similarity.links(rows, "loc", "bands", "text", hot_rows=hot_rows).collect()]
+        assert all(similarity.alike(sets[a], sets[b]) for a, b in got) and parts(got) == whole
+
+
 def test_token_output(spark, odd, empty, tmp_path):
     e = words.encoder(words.default_path())
     out = huffman.write_tokens(odd, f"file://{tmp_path}/t", parts=3, block_ids=50)
@@ -187,6 +240,38 @@ def test_sharding_spreads_the_rest_beside_one_large_group(spark):
         assert used == classes and sum(x > 0 for x in loads) == min(16, sum(classes.values()))
 
 
+def test_registered_queries_equal_the_libraries(spark):
+    """Every row of the smallest tables: op4 and op9 by the tokenizers library, op5 by tiktoken, op3 by brute force."""
+    import public_tokenizers
+    import tiktoken
+
+    text = {r["doc_id"]: r["text"] or "" for r in docs(spark).collect()}
+    full = words.encoder(words.default_path()).full
+    ids = {i: full.encode(x, add_special_tokens=False).ids for i, x in text.items()}
+    at, want = 0, {}
+    for i in sorted(text):
+        own = np.array(ids[i] + [1], "<u4")
+        want[i] = (at, len(own), zlib.crc32(own.tobytes()))
+        at += len(own)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op4_token_output"](spark, SF).collect()} == want
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op9_token_counts"](spark, SF).collect()}
+    assert got == {i: (len(x.encode()), len(ids[i]), len(ids[i]) > 2048) for i, x in text.items()}
+    t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.default_path()), special_tokens={})
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["op5_byte_bpe"](spark, SF).collect()}
+    for i, x in text.items():
+        e = t.encode_ordinary(x)
+        assert got[i] == (len(e), hashlib.sha256(",".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(x.encode()).hexdigest())
+    order = sorted(text)
+    fps = [simhash.fingerprint(text[i]) & (2**64 - 1) for i in order]
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["op3_simhash"](spark, SF).collect()}
+    assert got == {i: (f"{f:016x}", c) for i, f, c in zip(order, fps, brute_components(fps, order))}
+
+
+def test_token_output_refuses_ids_that_are_no_integers(spark):
+    with pytest.raises(TypeError):
+        huffman.round_trip(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_token_counts(spark, odd, empty):
     e = words.encoder(words.default_path())
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_count.token_counts(odd).collect())
@@ -220,32 +305,108 @@ def test_quality_classifier(spark, odd, empty):
     assert share[1] > 0.97 and share[0] < 0.2
 
 
-def test_importance_models_do_not_depend_on_partitions(spark):
-    copies = docs(spark).union(docs(spark).limit(5).crossJoin(spark.range(40)).drop("id"))
+def test_importance_models_do_not_depend_on_partitions_or_copies(spark):
+    source = docs(spark)
+    copies = source.union(source.limit(5).crossJoin(spark.range(40)).drop("id"))
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    one, many = (importance.fit(copies.repartition(n), labels) for n in (1, 6))
+    one, many, plain = importance.fit(copies.repartition(1), labels), importance.fit(copies.repartition(16), labels), importance.fit(source, labels)
     assert np.array_equal(one.log_ratio, many.log_ratio) and one.cutoff == many.cutoff
+    assert np.array_equal(one.log_ratio, plain.log_ratio) and one.cutoff == plain.cutoff
+
+
+def test_importance_equals_brute_force(spark):
+    source, labels = docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    got = QUERIES["op7_importance_resampling"](spark, SF).toPandas()
+    model = importance.fit(source, labels)
+    text = {r["doc_id"]: r["text"] or "" for r in source.collect()}
+    raw = np.zeros(2 << importance.BUCKET_BITS)
+    for x in set(text.values()):
+        w = x.encode().lower().split()
+        for b in importance.buckets(x).tolist():
+            raw[b] += 1
+        assert len(importance.buckets(x)) == len(w) + max(0, len(w) - 1)
+    half = 1 << importance.BUCKET_BITS
+    for part in (slice(0, half), slice(half, None)):  # the raw model is what the ratio divides by: where no target text has a bucket, it alone differs
+        p = np.log(raw[part] + importance.SMOOTHING) - np.log(raw[part].sum() + importance.SMOOTHING * half)
+        unseen = model.log_ratio[part] + p
+        assert np.isclose(unseen.min(), unseen[raw[part] == 0], atol=1e-9).all()
+    scores = np.array([model.score(text[i]) for i in got.doc_id])
+    assert np.allclose(scores, got.log_ratio)
+    k = int((scores >= model.cutoff).sum())
+    kth = np.sort(got.sample_key.to_numpy())[::-1][k - 1]
+    assert (got.kept == (got.sample_key >= kth)).all() and got.kept.sum() >= k
 
 
 def test_masked_lm(spark, odd, empty):
     got = {r["doc_id"]: r for r in masked_lm.lm_scores(odd).collect()}
-    assert got[3]["n_words"] == 0 and got[3]["mean_log_likelihood"] is None and got[1]["log_likelihood"] < 0
+    assert got[3]["n_words"] == 0 and got[3]["mean_log_likelihood"] is None and got[3]["log_likelihood"] == 0 and got[1]["log_likelihood"] < 0
     assert masked_lm.lm_scores(empty).count() == 0
     easy = spark.createDataFrame([(i, "red green blue cyan " * 40) for i in range(60)] + [(100, "cyan red blue green " * 40)], "doc_id long, text string")
-    means = {r["doc_id"]: r["mean_log_likelihood"] for r in masked_lm.lm_scores(easy, every=2, rounds=3).collect()}
+    means = {r["doc_id"]: r["mean_log_likelihood"] for r in masked_lm.lm_scores(easy, passes=20).collect()}
     assert means[0] > means[100]
 
 
+def slow_score(text, vocabulary, network):
+    """The score by definition: for each word the softmax over all classes, and the word's share of its class."""
+    w, words_ = network.w, text.encode().lower().split()
+    cls, within = vocabulary.look_up(masked_lm.keys_of(words_))
+    total = float(within.sum(dtype=np.float64))
+    for i in range(len(words_)):
+        x = w["bias"].astype(np.float64)
+        for p, k in enumerate((-2, -1, 1, 2)):
+            x = x + w["embed"][p][cls[i + k] if 0 <= i + k < len(words_) else masked_lm.EDGE]
+        h = x / (1 + abs(x))
+        high = np.exp(h @ w["high"] + w["high_bias"])
+        p = np.zeros(masked_lm.CLASSES)
+        for g in range(32):
+            low = np.exp((h * w["group"][g]) @ w["low"] + w["low_bias"][g])
+            p[32 * g : 32 * g + 32] = high[g] / high.sum() * low / low.sum()
+        assert abs(p.sum() - 1) < 1e-6
+        total += np.log(p[cls[i]])
+    return total
+
+
+def test_masked_lm_scores_equal_the_definition(spark):
+    source = docs(spark).limit(60)
+    vocabulary, network, data = masked_lm.train(source, listed=2000)
+    scored = {r["doc_id"]: r for r in masked_lm.lm_scores(source, listed=2000).collect()}
+    assert data.count() == len(scored) == 60
+    text = {r["doc_id"]: r["text"] for r in source.collect()}
+    for i in sorted(text, key=lambda i: len(text[i]))[:25]:
+        assert scored[i]["n_words"] == len(text[i].split()) and scored[i]["log_likelihood"] == pytest.approx(slow_score(text[i], vocabulary, network), rel=2e-3, abs=0.05)
+
+
+def test_masked_lm_reads_every_position_once(spark, monkeypatch):
+    seen = []
+    at = np.arange(7)
+    for k in range(masked_lm.ROUNDS):
+        seen += at[k :: masked_lm.ROUNDS].tolist()
+    assert sorted(seen) == at.tolist()
+    row, places = masked_lm.joined([np.array([5, 6], np.int16), np.array([], np.int16), np.array([7], np.int16)])
+    context, target = masked_lm.windows(row, places)
+    e = masked_lm.EDGE
+    assert target.tolist() == [5, 6, 7] and context.T.tolist() == [[e, e, 6, e], [e, 5, e, e], [e, e, e, e]]
+
+
+def test_masked_lm_query(spark):
+    got = QUERIES["op8_masked_lm"](spark, SF).toPandas()
+    source = docs(spark).toPandas()
+    assert sorted(got.doc_id) == sorted(source.doc_id) and (got.log_likelihood < 0).all()
+    shuffled = spark.createDataFrame([(int(i), " ".join(np.random.default_rng(1).permutation(t.split()))) for i, t in zip(source.doc_id, source.text)] + [(int(i) + 10**6, t) for i, t in zip(source.doc_id, source.text)], "doc_id long, text string")
+    means = masked_lm.lm_scores(shuffled, passes=4).toPandas().set_index("doc_id").mean_log_likelihood
+    assert means[means.index >= 10**6].mean() > means[means.index < 10**6].mean()  # word order counts
+
+
 def test_masked_lm_tells_words_of_one_class_apart(spark):
     common = [f"c{i}" for i in range(masked_lm.OWN_CLASSES)] * 6
     by_class = {}
     for i in range(2000):
-        by_class.setdefault(masked_lm.key_of(b"r%d" % i) % 256, []).append(f"r{i}")
+        by_class.setdefault(int(masked_lm.shared_class(masked_lm.keys_of([b"r%d" % i]))[0]), []).append(f"r{i}")
     usual, odd_one = next(x for x in by_class.values() if len(x) > 1)[:2]
     table = spark.createDataFrame([(0, " ".join(common)), (1, f"c1 c2 {usual} c3 c4"), (2, f"c1 c2 {odd_one} c3 c4"), (3, f"c9 {usual} " * 3)], "doc_id long, text string")
-    for listed in (masked_lm.LISTED, 1):
+    for listed, share in ((masked_lm.LISTED, 4.5 / 1.5), (1, 4.5 / ((1.5 + 0.5) / 2))):
         got = {r["doc_id"]: r["log_likelihood"] for r in masked_lm.lm_scores(table, listed=listed).collect()}
-        assert abs(got[1] - got[2] - np.log(4.5 / 1.5)) < 1e-3
+        assert abs(got[1] - got[2] - np.log(share)) < 1e-3
 
 
 def test_pipeline_stages(spark, odd, empty):
