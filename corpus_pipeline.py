@@ -3,40 +3,59 @@
 Every stage is (spark, docs, sf_dir) to a DataFrame; ``run`` writes each result
 as Parquet in the shared folder and reads it back as the next one's input. All
 but the last return the columns of ``documents``.
+
+As each stage's result is written before the next one begins, a stage first
+deletes what earlier ones left in the shared folder, but for tables that its
+input reads; so a result has to be written before the next stage is called on it.
+
+For all stages: null ids and texts, empty and very long texts, ties, repeated
+rows, empty tables and further columns, whatever their names, are as the
+operators state; none fails on them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, importance, packing, quality_rules, simhash
-from tessera.llm.common import staged
+from tessera.llm.common import clear, staged
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the weighed quality rules reject."""
+    """Drop what the weighed quality rules reject: a null or empty text has too few words and goes; copies are judged alike."""
+    clear(spark, docs)
     return quality_rules.keep_sound(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what importance resampling leaves out; its models are fitted to the whole ``documents`` table, which has both kinds of labels."""
+    """Drop what importance resampling leaves out; its models are fitted to the whole ``documents`` table, which has both kinds of labels.
+
+    A text without words scores 0 and is judged by that; ties with the last row kept stay; without labels all rows stay.
+    """
+    clear(spark, docs)
     raw, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return importance.keep_sampled(docs, importance.fit(raw, labels))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row of largest id of each set of equal texts."""
+    """Keep the row of largest id of each set of equal texts; null texts are equal to empty ones, null ids are smallest."""
+    clear(spark, docs)
     return exact_dedup.keep_unique(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row of smallest id of each component of linked fingerprints, then of each of texts alike by five-word shingles."""
+    """Keep the row of smallest id of each component of linked fingerprints, then of each of texts alike by five-word shingles.
+
+    Texts without words have fingerprint 0 and are one component; they have no shingles. Null ids come last.
+    """
+    clear(spark, docs)
     return simhash.keep_one_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 ids."""
-    return packing.pack(docs, ids_as=F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+    """Pack what is left into sequences of 2048 ids; a text without tokens is one piece, its end id."""
+    clear(spark, docs)
+    return packing.pack(docs, digests=True)
 
 
 STAGES = [("quality rules", rules), ("quality classifier", classifier), ("exact dedup", exact), ("near-duplicates", near), ("best-fit packing", pack)]
