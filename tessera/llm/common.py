@@ -115,6 +115,15 @@ def unshielded(names: dict[str, str]) -> list:
     return [F.col(quoted(new)).alias(c) for c, new in names.items()]
 
 
+#: Rows of one number up to which a side may be sent to every executor, some 24 MB there.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of a narrow frame that has no more than ``rows`` rows, counted; beyond that both sides are shuffled."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
 def text_of(name: str = "text"):
     """A text column as string, null as empty."""
     return F.coalesce(F.col(quoted(name)).cast("string"), F.lit(""))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import similarity
-from .common import OWN, quoted, shielded, staged, text_of, texts, unshielded
+from .common import OWN, if_small, quoted, shielded, staged, text_of, texts, unshielded
 from .components import components
 
 WIDTH, BITS = 3, 3
@@ -221,7 +221,8 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs, now = shielded(docs)
     rows = fingerprinted(docs, now[text_col], width, with_bands=True)
-    found = staged(classes(rows, now[id_col], bits).select(F.col("keep")["locator"].alias(LOC)).distinct(), "single")
-    gone = similarity.dropped(rows.join(found, LOC, "left_semi"), now[id_col], LOC, BANDS, now[text_col])
-    found = found.join(gone, LOC, "left_anti")
-    return rows.join(found, LOC, "left_semi").select(*unshielded(now))
+    own = rows.select(LOC, F.col(FP).alias("fp")).join(classes(rows, now[id_col], bits), "fp")
+    gone = staged(own.where(F.col(LOC) != F.col("keep")["locator"]).select(LOC), "copies")
+    left = rows.join(if_small(gone), LOC, "left_anti")
+    gone = staged(gone.unionByName(similarity.dropped(left, now[id_col], LOC, BANDS, now[text_col])), "gone")
+    return rows.join(if_small(gone), LOC, "left_anti").select(*unshielded(now))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import quoted, staged, text_of, texts
+from .common import if_small, quoted, staged, text_of, texts
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -163,7 +163,7 @@ def links(rows: DataFrame, loc: str, bands_col: str, text_col: str, hot_rows: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x).tobytes() for x in texts(b.column(1))], pa.binary())], names=["loc", "set"])
 
-    of = rows.join(met.select(F.col("loc").alias(loc)).distinct(), loc, "left_semi").select(F.col(loc).alias("loc"), text_of(text_col).alias("text"))
+    of = rows.join(if_small(met.select(F.col("loc").alias(loc)).distinct()), loc, "left_semi").select(F.col(loc).alias("loc"), text_of(text_col).alias("text"))
     of = staged(of.mapInArrow(sets, "loc long, set binary"), "sets")
     sizes = met.join(of.select("loc", F.octet_length("set").alias("size")), "loc").groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     hot = staged(sizes.where((F.col("n") > hot_rows) | (F.col("bytes") > hot_bytes)).select("band"), "hot-bands")
