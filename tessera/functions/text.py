@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Function words left out of the index. Words of number and quantity are kept on purpose.
+# Words left out of the index, number words, patterns and limits decide results and must be these.
+#: Words of number and quantity (two, one, all, any, more, most, same, only, other) are kept on purpose.
 STOPWORDS = (
-    "a an the and or but if then else for to of in on at by from with without into onto over under up down out off as is are was were be been being "
-    "am do does did has have had can could will would shall should may might must not no nor so than that this these those it its he she they them his her "
-    "their we us our you your i me my what which who whom when where why how there here also very just about after before again such each some"
+    "a an the and or but if then of for to in on at by with from as is are was were be been being it its this that these those you your we our they them their "
+    "i me my have has had do does did so not no yes than into out up down over under may can will would should could given return such each some"
 ).split()
 NUMBER_WORDS = {"1": "one", "2": "two", "3": "three", "4": "four"}
-BLOCK_PAGE_MARKERS = ("just a moment", "access denied", "enable javascript", "captcha")
+BLOCK_PAGE_MARKERS = ("just a moment", "enable javascript and cookies", "cloudflare", "attention required")
+PAGE_MARKERS = ("Input", "Output", "Constraints", "Example")
 MIN_USABLE, MAX_PAGE = 40, 6000
+SLUG, PROBLEM_ID, HANDLE, EMAIL = "^[a-z0-9]+(-[a-z0-9]+)*$", "^[a-z0-9-]{3,128}$", "^[A-Za-z0-9_.-]{1,64}$", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+SEARCH_ID = "(?i)^[a-f0-9-]{8,40}$"
 
 
 def col(x) -> Column:
@@ -41,9 +44,6 @@ def slugify(text) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(col(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-SLUG, PROBLEM_ID, HANDLE, EMAIL = "^[a-z0-9]+(-[a-z0-9]+)*$", "^[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}$", "^[A-Za-z0-9_.-]{1,64}$", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
-
-
 def is_slug(x) -> Column:
     return F.coalesce(col(x).rlike(SLUG), F.lit(False))
 
@@ -60,27 +60,42 @@ def is_email(x) -> Column:
     return F.coalesce(col(x).rlike(EMAIL), F.lit(False))
 
 
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+def is_search_id(x) -> Column:
+    return F.coalesce(col(x).rlike(SEARCH_ID), F.lit(False))
+
+
+_WHITE = r"(?U)\s+"  # Unicode white space, non-breaking spaces too
+
+
+def unescaped(text) -> Column:
+    """Character references resolved, all named ones of HTML 5 too, as a parser and then a second look do; Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(x):
+        from html import unescape
+
+        return x.map(lambda v: unescape(unescape(v)) if v and "&" in v else v)
+
+    return run(col(text))
 
 
 def html_to_text(html) -> Column:
-    """Visible text: no scripts, styles, comments or tags; block tags end lines; common entities unescaped; white space collapsed."""
-    x = F.regexp_replace(F.coalesce(col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|pre)\b[^>]*>", "\n")
-    x = F.regexp_replace(x, "<[^>]*>", "")
-    for a, b in _ENTITIES:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    x = F.regexp_replace(x, "[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(x, " ?\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
+    """Visible text on one line: no scripts, styles, comments or tags, each of which ends a word; references resolved; white space single."""
+    x = F.regexp_replace(F.coalesce(col(html), F.lit("")), r"(?is)<(script|style)\b.*?(</\1\s*>|$)|<!--.*?-->", " ")
+    x = F.regexp_replace(x, r"""<[a-zA-Z/!?](?:"[^"]*"|'[^']*'|[^>"'])*>""", " ")
+    return F.regexp_replace(F.regexp_replace(unescaped(x), _WHITE, " "), "^ | $", "")
 
 
-def trim_page(text, marker="Input", replacement="\nInput", limit=MAX_PAGE) -> Column:
-    """Start the marker on a line of its own and cut the page."""
-    return F.substring(F.replace(col(text), F.lit(marker), F.lit(replacement)), 1, limit)
+def trim_page(html, limit=MAX_PAGE) -> Column:
+    """A problem page's text: `` # Input `` and the other three markers become `` Input: ``, and the page is cut."""
+    x = html_to_text(html)
+    for m in PAGE_MARKERS:
+        x = F.replace(x, F.lit(f" # {m} "), F.lit(f" {m}: "))
+    return F.substring(x, 1, limit)
 
 
 def has_usable_text(text) -> Column:
-    x = F.lower(F.trim(F.coalesce(col(text), F.lit(""))))
+    x = F.lower(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?U)^\s+|\s+$", ""))
     return (F.length(x) >= MIN_USABLE) & ~x.rlike("|".join(BLOCK_PAGE_MARKERS))
 
 
@@ -103,7 +118,21 @@ def clean_labels(labels, aliases=None, cap=12) -> Column:
     return F.slice(F.array_distinct(F.filter(out, lambda x: x.isNotNull() & (x != ""))), 1, cap)
 
 
-def with_families(labels, rules: list[tuple[str, str]], cap=12) -> Column:
+#: Rules from a label to the family it implies, in order. Fixed values.
+FAMILY_RULES = [
+    (r"(^|-)dp($|-)|dynamic-programming|memoi[sz]ation", "dynamic-programming"),
+    (r"(^|-)bfs($|-)|breadth-first", "bfs"),
+    (r"(^|-)dfs($|-)|depth-first", "dfs"),
+    (r"binary-search", "binary-search"),
+    (r"(^|-)(segment-tree|fenwick-tree)($|-)", "segment-tree"),
+    (r"two-pointer", "two-pointers"),
+    (r"stars-and-bars|binomial|permutation-counting|combination-counting|catalan|pigeonhole|inclusion-exclusion|counting-ways", "combinatorics"),
+    (r"(^|-)(gcd|lcm)($|-)|divisor|(^|-)primes?($|-)|prime-|sieve|modular|modulo|totient|coprime|factorization|euclid", "number-theory"),
+    (r"disjoint-set|(^|-)dsu($|-)", "union-find"),
+]
+
+
+def with_families(labels, rules: list[tuple[str, str]] = FAMILY_RULES, cap=12) -> Column:
     """Append the family of each label that matches a rule, in order of label, then rule."""
     families = F.flatten(F.transform(col(labels), lambda x: F.filter(F.array(*[F.when(x.rlike(p), F.lit(f)) for p, f in rules]), lambda y: y.isNotNull())))
     return F.slice(F.array_union(col(labels), families), 1, cap)
@@ -139,6 +168,37 @@ def normal_url(url) -> Column:
     return F.concat(host(url), F.regexp_replace(path, "/+$", ""))
 
 
+def platform(url) -> Column:
+    """The judge a URL belongs to by its host, else the host."""
+    h = F.lower(F.regexp_extract(col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    out = F.replace(h, F.lit("www."), F.lit(""))
+    for part, name in reversed((("leetcode.com", "leetcode"), ("codeforces.com", "codeforces"), ("cses.fi", "cses"), ("atcoder.jp", "atcoder"))):
+        out = F.when(h.contains(part), name).otherwise(out)
+    return out
+
+
+def problem_id(url) -> Column:
+    """The record's id that a problem URL of one of the four judges stands for; null for other URLs."""
+    u, p = col(url), platform(url)
+    part = lambda pattern, group=1: F.nullif(F.regexp_extract(u, pattern, group), F.lit(""))
+    contest = r"/problemset/problem/(\d+)/([A-Za-z0-9]+)"
+    return (F.when(p == "leetcode", F.concat(F.lit("leetcode-"), part(r"/problems/([^/]+)/?")))
+            .when(p == "cses", F.concat(F.lit("cses-"), part(r"/task/(\d+)")))
+            .when(p == "codeforces", F.concat(F.lit("codeforces-"), part(contest).cast("decimal(38,0)").cast("string"), F.lit("-"), F.lower(part(contest, 2))))
+            .when(p == "atcoder", F.concat(F.lit("atcoder-"), F.replace(F.lower(part(r"/tasks/([A-Za-z0-9_]+)")), F.lit("_"), F.lit("-")))))
+
+
+def whole_between(value, low, high) -> Column:
+    """A whole number within bounds, else null."""
+    x = col(value).try_cast("double")
+    return F.when((x == F.floor(x)) & x.between(low, high), x.cast("bigint"))
+
+
+def count_in_sentence(text) -> Column:
+    """The number that a sentence starts with; one that starts with "No" is 0, any other null."""
+    return F.when(col(text).startswith("No"), F.lit(0)).otherwise(F.nullif(F.regexp_extract(col(text), "^([0-9]+) item", 1), F.lit("")).try_cast("int"))
+
+
 def day_bucket(seconds) -> Column:
     """The second at which the UTC day began."""
     return (F.floor(col(seconds) / 86400) * 86400).cast("bigint")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows up to which a side may be sent to every executor.
 BROADCAST_ROWS = 200_000
@@ -13,6 +17,20 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where all runs on this machine."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return f"{found.rstrip('/')}/tessera-engine"
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="tessera-engine-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    sc._jsc.sc().conf().set("spark.checkpoint.dir", f"file://{made}")
+    return f"file://{made}/tessera-engine"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a frame that comes in fewer partitions than the session shuffles with, as one small file does."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -47,6 +47,18 @@ def dangling(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     return qrels.join(corpus.select("doc_id"), "doc_id", "left_anti")
 
 
+SLICES = ("keyword", "paraphrase", "technique", "title")
+
+
+def query_faults(queries: DataFrame, qrels: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``qid, fault``: blank queries, unknown slices, queries without a judgement, and judgements of records that aren't there."""
+    blank = queries.where(F.length(F.trim(F.coalesce("query", F.lit("")))) == 0).select("qid", F.lit("query_blank").alias("fault"))
+    odd = queries.where(F.col("slice").isNotNull() & ~F.col("slice").isin(*SLICES)).select("qid", F.lit("slice_unknown").alias("fault"))
+    none = queries.join(qrels.select("qid"), "qid", "left_anti").select("qid", F.lit("no_relevant").alias("fault"))
+    lost = dangling(qrels, corpus).select("qid", F.lit("relevant_unknown").alias("fault")).distinct()
+    return blank.unionByName(odd).unionByName(none).unionByName(lost)
+
+
 def taxonomy_faults(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     """Aliases whose target isn't canonical, and names that are both."""
     names = labels.select(F.col("label"))
@@ -82,6 +94,36 @@ def add_labels(rows: DataFrame, new: DataFrame, aliases: dict[str, str] | None =
     return rows.join(more, "doc_id", "left").withColumn("tags", merged).drop("more")
 
 
+def merge_curated(rows: DataFrame, curated: DataFrame, topic_tags: dict[str, str], aliases: dict[str, str] | None = None, cap: int = MAX_LABELS, confidence: float = 0.9) -> DataFrame:
+    """Labels (``doc_id, curated, topics``) merged into ``patterns, tags, confidence``: patterns as far as there is room, each new one with that confidence; every topic's tag. Running it again changes nothing."""
+    one = curated.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list("curated"))).alias("_new"), F.array_distinct(F.flatten(F.array_sort(F.collect_list("topics")))).alias("_topics"))
+    out = rows.join(one, "doc_id", "left").withColumns({"patterns": F.coalesce("patterns", F.array().cast("array<string>")), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
+    more = F.array_except(T.clean_labels("_new", aliases, 1 << 20), "patterns")
+    out = out.withColumn("_more", F.slice(more, 1, F.greatest(F.lit(cap) - F.size("patterns"), F.lit(0))))
+    table = F.create_map(*[F.lit(x) for kv in topic_tags.items() for x in kv]) if topic_tags else F.create_map().cast("map<string,string>")
+    tags = F.filter(F.transform(F.coalesce("_topics", F.array().cast("array<string>")), lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull())
+    scores = F.map_concat(F.map_filter(F.coalesce("confidence", F.create_map().cast("map<string,double>")), lambda k, _: ~F.array_contains("_more", k)), F.map_from_arrays("_more", F.transform("_more", lambda _: F.lit(confidence))))
+    return out.withColumns({"confidence": scores, "patterns": F.concat("patterns", "_more"), "tags": F.array_union("tags", tags)}).drop("_new", "_topics", "_more")
+
+
+def merge_review(rows: DataFrame, queue: DataFrame, aliases: dict[str, str] | None = None, cap: int = MAX_LABELS) -> DataFrame:
+    """A review queue (``doc_id, candidates`` of label and confidence, in order) merged into ``patterns, confidence``.
+
+    Candidates are folded; those that are there, and those beyond the cap, are left
+    out; the first of equal ones counts, its confidence rounded to 2 places.
+    """
+    c = queue.select("doc_id", F.posexplode("candidates").alias("_i", "c")).select("doc_id", "_i", T.canonical_label("c.label", aliases).alias("label"), F.round(F.coalesce(F.col("c.confidence").try_cast("double"), F.lit(0.0)), 2).alias("s")).where("label <> ''")
+    one = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_i", "label", "s"))).alias("_c"))
+    have = F.transform(F.coalesce("patterns", F.array().cast("array<string>")), lambda x: T.canonical_label(x, aliases))
+    out = rows.join(one, "doc_id", "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
+    new = F.filter(F.coalesce("_c", F.array().cast("array<struct<_i:int,label:string,s:double>>")), lambda x: ~F.array_contains(have, x["label"]))
+    firsts = F.filter(new, lambda x: ~F.exists(new, lambda y: (y["label"] == x["label"]) & (y["_i"] < x["_i"])))
+    out = out.withColumn("_m", F.slice(firsts, 1, F.greatest(F.lit(cap) - F.size("patterns"), F.lit(0))))
+    names = F.transform("_m", lambda x: x["label"])
+    scores = F.map_concat(F.map_filter(F.coalesce("confidence", F.create_map().cast("map<string,double>")), lambda k, _: ~F.array_contains(names, k)), F.map_from_arrays(names, F.transform("_m", lambda x: x["s"])))
+    return out.withColumns({"confidence": scores, "patterns": F.concat("patterns", names)}).drop("_c", "_m")
+
+
 def candidate_labels(candidates: DataFrame, rows: DataFrame, canonical: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """``doc_id, label, confidence, in_taxonomy`` of proposed labels that the record lacks."""
     c = candidates.select("doc_id", T.canonical_label("label", aliases).alias("label"), T.unit_interval("confidence").alias("confidence"))

@@ -1,7 +1,9 @@
 """Vector ranking: exact scans, nearest neighbours, fusion and comparison of rankers.
 
-Products accumulate in double precision. The scan is a broadcast of the queries,
-checked to be few, against vectors that never move.
+Products accumulate in double precision. Vectors and queries are packed into rows
+of many each; every block of queries meets every block of vectors, in numpy, and
+gives back its best only. Few query blocks are broadcast, which is checked; more
+of them meet the vectors in Spark's own blocks. Nothing passes the driver.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from .common import ranked
+from .common import bounded_broadcast, ranked
 
 RRF_K, RRF_DEPTH = 60, 100
-#: Query vectors scored in one block; blocks bound a task's memory.
-BLOCK_QUERIES = 512
+#: Vectors, and query vectors, in one block; they bound a task's memory.
+BLOCK_VECTORS, BLOCK_QUERIES = 2048, 512
+#: Query blocks up to which they are sent to every executor.
+BROADCAST_BLOCKS = 64
 NEIGHBOURS_MOST = 50
 
 
@@ -23,51 +27,47 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(T.col(a).cast("array<double>"), T.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def scan_block(vectors: DataFrame, queries: list[tuple], k: int, exclude_self: bool) -> DataFrame:
-    """Each partition's best ``k`` of every query in the block: numpy products, bounded output."""
-    qids = [q for q, _ in queries]
-    matrix = np.array([v for _, v in queries], np.float64).T
+def packed(rows: DataFrame, id_col: str, most: int, prefix: str) -> DataFrame:
+    """``<prefix>ids, <prefix>vectors``: up to ``most`` rows' ids and vectors, as little-endian 64-bit numbers, in each row."""
 
     def run(batches):
-        best_s, best_i = np.full((len(qids), 0), -np.inf), np.full((len(qids), 0), -1, np.int64)
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
-            if not len(ids):
-                continue
-            x = np.stack(b.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64)
-            s = np.round((x @ matrix).T, 9)
-            if exclude_self:
-                s[ids[None, :] == np.array(qids)[:, None]] = -np.inf
-            best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ids, s.shape)], 1)
-            order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        n = best_s.shape[1]
-        if n:
-            keep = best_s.reshape(-1) > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids), n)[keep]), pa.array(best_i.reshape(-1)[keep]), pa.array(best_s.reshape(-1)[keep])], names=["qid", "doc_id", "score"])
-
-    return vectors.select("doc_id", "vector").mapInArrow(run, "qid long, doc_id long, score double")
+            for i in range(0, len(b), most):
+                part = b.slice(i, most)
+                ids, x = part.column(0).to_numpy(), np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=[f"{prefix}ids", f"{prefix}vectors"])
+
+    return rows.where("vector is not null and size(vector) > 0").select(F.col(id_col).cast("long"), "vector").mapInArrow(run, f"{prefix}ids binary, {prefix}vectors binary")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, offset: int = 0, exclude_self: bool = False) -> DataFrame:
-    """``qid, rank, doc_id, score``: highest product first, ties to the lower id; queries without a vector give nothing.
+    """``qid, rank, doc_id, score``: highest product first, ties to the lower id; queries without a vector give nothing."""
+    most = k + offset
+    asked = packed(queries, "qid", BLOCK_QUERIES, "q")
+    # packing a second time costs less than holding it: queries are narrow
+    if asked.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        asked = F.broadcast(asked)
+    blocks = packed(vectors, "doc_id", BLOCK_VECTORS, "v").crossJoin(asked)
 
-    Queries go to the executors in blocks of BLOCK_QUERIES; each partition returns its best only.
-    """
-    rows = [(r["qid"], r["vector"]) for r in queries.where("vector is not null and size(vector) > 0").select("qid", "vector").orderBy("qid").toLocalIterator()]
-    blocks = [rows[i : i + BLOCK_QUERIES] for i in range(0, len(rows), BLOCK_QUERIES)] or [[]]
-    parts = [scan_block(vectors, b, k + offset, exclude_self) for b in blocks if b]
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "qid long, rank int, doc_id long, score double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out, ["qid"], [F.col("score").desc(), F.col("doc_id")], k, offset).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
+    def run(batches):
+        for b in batches:
+            for vi, vx, qi, qx in zip(*(b.column(c).to_pylist() for c in ("vids", "vvectors", "qids", "qvectors"))):
+                ids, qids = np.frombuffer(vi, "<i8"), np.frombuffer(qi, "<i8")
+                s = np.round(np.frombuffer(qx, "<f8").reshape(len(qids), -1) @ np.frombuffer(vx, "<f8").reshape(len(ids), -1).T, 9)
+                if exclude_self:
+                    s[qids[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :most]
+                best = np.take_along_axis(s, order, 1).reshape(-1)
+                keep = best > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, order.shape[1])[keep]), pa.array(ids[order].reshape(-1)[keep]), pa.array(best[keep])], names=["qid", "doc_id", "score"])
+
+    found = blocks.mapInArrow(run, "qid long, doc_id long, score double")
+    return ranked(found, ["qid"], [F.col("score").desc(), F.col("doc_id")], k, offset).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def similar(vectors: DataFrame, ids: DataFrame, k: int = 10) -> DataFrame:
     """Nearest neighbours of stored vectors, themselves left out; unknown ids give nothing."""
-    queries = vectors.join(F.broadcast(ids.select("doc_id").limit(1_000_000)), "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), "vector")
+    queries = vectors.join(bounded_broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), "vector")
     return search(vectors, queries, min(k, NEIGHBOURS_MOST), exclude_self=True)
 
 
@@ -84,26 +84,46 @@ def hashed_vectors(docs: DataFrame, tokens: str = "tokens", dims: int = 64) -> D
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, k: int = 10, offset: int = 0, depth: int = RRF_DEPTH) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked legs: ``qid, rank, doc_id, score, lex_rank, dense_rank, total``."""
+    """Reciprocal-rank fusion of two ranked legs: ``qid, rank, doc_id, score, lex_rank, dense_rank, total``, and the lexical leg's ``matched_terms`` where it has them."""
     depth = max(depth, k + offset)
-    left = lexical.where(F.col("rank") <= depth).select("qid", "doc_id", F.col("rank").alias("lex_rank"))
+    terms = ["matched_terms"] if "matched_terms" in lexical.columns else []
+    left = lexical.where(F.col("rank") <= depth).select("qid", "doc_id", F.col("rank").alias("lex_rank"), *terms)
     right = dense.where(F.col("rank") <= depth).select("qid", "doc_id", F.col("rank").alias("dense_rank"))
-    part = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
-    both = left.join(right, ["qid", "doc_id"], "full").withColumn("score", part("lex_rank") + part("dense_rank"))
+    both = left.join(right, ["qid", "doc_id"], "full").withColumn("score", rrf_part("lex_rank") + rrf_part("dense_rank"))
     totals = both.groupBy("qid").agg(F.count("*").alias("total"))
     top = ranked(both, ["qid"], [F.round("score", 12).desc(), F.col("lex_rank").asc_nulls_last(), F.col("doc_id")], k, offset)
-    return top.join(totals, "qid").select("qid", "rank", "doc_id", F.round("score", 9).alias("score"), "lex_rank", "dense_rank", "total")
+    out = top.join(totals, "qid").select("qid", "rank", "doc_id", F.round("score", 9).alias("score"), "lex_rank", "dense_rank", "total", *terms)
+    return out.withColumn("matched_terms", F.coalesce("matched_terms", F.array().cast("array<string>"))) if terms else out
+
 
+def rrf_part(rank: str) -> Column:
+    """What a leg adds for a rank; nothing where it hasn't the document."""
+    return F.coalesce(1.0 / (RRF_K + F.col(rank)), F.lit(0.0))
 
-def compare(runs: dict[str, DataFrame]) -> DataFrame:
-    """The rankers' results in one frame, with the ranker's name."""
-    out = None
+
+def explain_fused(fused: DataFrame) -> DataFrame:
+    """``qid, rank, doc_id, lex_rank, dense_rank, lex_contribution, dense_contribution, total``."""
+    a, b = rrf_part("lex_rank"), rrf_part("dense_rank")
+    return fused.select("qid", "rank", "doc_id", "lex_rank", "dense_rank", F.round(a, 9).alias("lex_contribution"), F.round(b, 9).alias("dense_contribution"), F.round(a + b, 9).alias("total"))
+
+
+def compare(runs: dict) -> DataFrame:
+    """The rankers' results in one frame, with the ranker's name; a ranker given as a function that fails is left out and its error kept in ``compare.errors``."""
+    out, compare.errors = None, {}
     for name, run in runs.items():
+        try:
+            run = run() if callable(run) else run
+        except Exception as e:  # one ranker's fault must not take the others with it
+            compare.errors[name] = str(e)
+            continue
         part = run.select(F.lit(name).alias("ranker"), "qid", "rank", "doc_id", "score")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+compare.errors = {}
+
+
 def rank_delta(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     """``qid, doc_id, rank_a, rank_b, move``: absent, same, up or down from a to b."""
     x = a.where(F.col("rank") <= k).select("qid", "doc_id", F.col("rank").alias("rank_a"))

@@ -9,14 +9,13 @@ def _gain(rank: Column) -> Column:
     return 1.0 / F.log2(rank + 1)
 
 
-def per_query(runs: DataFrame, qrels: DataFrame, queries: DataFrame, window: int = 100) -> DataFrame:
-    """``ranker, qid, slice, p_at_1, p_at_5, rr, ndcg_10, recall_100`` for each ranker and judged query.
+def per_query(runs: DataFrame, qrels: DataFrame, queries: DataFrame, rankers: list[str], window: int = 100) -> DataFrame:
+    """``ranker, qid, slice, p_at_1, p_at_5, rr, ndcg_10, recall_100`` for each of the rankers named and each judged query.
 
     Precision divides by k, not by the number of hits. Queries without hits score 0.
     """
-    rankers = runs.select("ranker").distinct()
     relevant = qrels.groupBy("qid").agg(F.count("*").alias("n_relevant"))
-    judged = queries.select("qid", "slice").join(relevant, "qid").crossJoin(rankers)
+    judged = queries.select("qid", "slice").join(relevant, "qid").withColumn("ranker", F.explode(F.array(*[F.lit(r) for r in rankers])))
     hits = runs.where(F.col("rank") <= window).join(qrels.select("qid", "doc_id"), ["qid", "doc_id"]).groupBy("ranker", "qid").agg(
         F.count_if(F.col("rank") <= 1).alias("h1"), F.count_if(F.col("rank") <= 5).alias("h5"), F.min("rank").alias("first"),
         F.sum(F.when(F.col("rank") <= 10, _gain(F.col("rank")))).alias("dcg"), F.count("*").alias("found"))
@@ -49,6 +48,24 @@ def ranker_diff(scores: DataFrame, a: str, b: str) -> DataFrame:
     return x.join(y, "qid").withColumn("delta", delta).withColumn("outcome", F.when(delta > 1e-9, "win").when(delta < -1e-9, "loss").otherwise("tie"))
 
 
+def diff_totals(diff: DataFrame) -> DataFrame:
+    """One row of ``ranker_diff``'s wins, losses, ties and mean reciprocal ranks."""
+    of = lambda x: F.count_if(F.col("outcome") == x)
+    return diff.agg(of("win").alias("wins"), of("loss").alias("losses"), of("tie").alias("ties"), F.round(F.avg("rr_a"), 6).alias("mean_a"), F.round(F.avg("rr_b"), 6).alias("mean_b"))
+
+
+def most_changed(diff: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` largest gains and the ``n`` largest losses, with ``side``."""
+    part = lambda side, order: diff.where(F.col("outcome") == side).orderBy(order, "qid").limit(n).withColumn("side", F.lit(side))
+    return part("win", F.desc("delta")).unionByName(part("loss", F.asc("delta")))
+
+
+def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``ranker, slice`` and each metric's change between two tables of ``by_slice``."""
+    old = before.select("ranker", "slice", *[F.col(m).alias(f"old_{m}") for m in METRICS])
+    return after.join(old, ["ranker", "slice"]).select("ranker", "slice", *[F.round(F.col(m) - F.col(f"old_{m}"), 6).alias(m) for m in METRICS])
+
+
 def run_diff(before: DataFrame, after: DataFrame, known: DataFrame, qrels: DataFrame, top: int = 5) -> DataFrame:
     """``qid, displaced, lost_relevant``: top slots taken by documents new to the corpus, and judged ones that left the top."""
     new = after.where(F.col("rank") <= top).join(known.select("doc_id"), "doc_id", "left_anti").groupBy("qid").agg(F.count("*").alias("displaced"))
@@ -57,6 +74,17 @@ def run_diff(before: DataFrame, after: DataFrame, known: DataFrame, qrels: DataF
     return before.select("qid").distinct().join(new, "qid", "left").join(lost, "qid", "left").fillna(0, ["displaced", "lost_relevant"])
 
 
+def with_equivalents(mine: DataFrame, equivalents: dict[str, list[str]]) -> DataFrame:
+    """Our labels (doc_id, tag) in the terms of official tags: each tag that counts a label as meaning the same. Others go."""
+    pairs = mine.sparkSession.createDataFrame([(x, tag) for tag, labels in equivalents.items() for x in labels], "tag string, official string")
+    return mine.join(F.broadcast(pairs), "tag").select("doc_id", F.col("official").alias("tag")).distinct()  # a table kept by hand
+
+
+def macro_means(agreement: DataFrame) -> DataFrame:
+    """One row: mean precision and recall over tags, each tag counting once."""
+    return agreement.agg(F.round(F.avg("precision"), 6).alias("macro_precision"), F.round(F.avg("recall"), 6).alias("macro_recall"), F.count("*").alias("tags"))
+
+
 def label_agreement(gold: DataFrame, mine: DataFrame, min_support: int = 1) -> DataFrame:
     """``tag, gold, mine, hit, precision, recall, low_recall, low_precision`` from (doc_id, tag) tables, over documents that both have."""
     both = gold.select("doc_id").distinct().join(mine.select("doc_id").distinct(), "doc_id")

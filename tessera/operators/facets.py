@@ -98,7 +98,7 @@ def sort_allowed(platforms: set[str], sortable: set[str]) -> bool:
 
 
 def parse_sort(raw: str | None) -> str | None:
-    return {"asc": "asc", "easiest": "asc", "up": "asc", "desc": "desc", "hardest": "desc", "down": "desc"}.get((raw or "").lower().strip())
+    return {"difficulty": "asc", "difficulty-asc": "asc", "difficulty-desc": "desc", "-difficulty": "desc"}.get(str(raw or "").lower().strip())
 
 
 def parse_page(k, offset) -> tuple[int, int]:
@@ -158,30 +158,74 @@ def directory_groups(entries: DataFrame) -> DataFrame:
     return entries.where("n > 0").groupBy("category").agg(F.count("*").alias("labels"), F.sum("n").alias("total"))
 
 
-def resolve_label(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """``qid, label``: an exact label or alias wins; else one that the query starts a word of, the shortest."""
-    rows = queries.select("qid", T.slugify("query").alias("q")).where("q <> ''").join(F.broadcast(names.select("name", "label").limit(100_000)), F.col("name").contains(F.col("q")))
-    priority = F.when(F.col("name") == F.col("q"), 0).when(F.col("name").startswith(F.col("q")), 1).when(F.col("name").contains(F.concat(F.lit("-"), F.col("q"))), 2)
-    rows = rows.withColumn("priority", priority).where("priority is not null")
-    w = Window.partitionBy("qid").orderBy(F.least("priority", F.lit(1)), F.length("name"), "name")
+def _substrings(name: Column) -> Column:
+    n = F.length(name)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(name, i, k)))))
+
+
+def resolve_label(queries: DataFrame, names: DataFrame, literals: DataFrame | None = None) -> DataFrame:
+    """``qid, label``: an exact label or alias wins; else, if no literal name contains the query, one that it starts, or starts a word of.
+
+    The shortest name decides, then the alphabet. ``names`` (name, label) and
+    ``literals`` (name) are lists of labels kept by hand: names of some sixty
+    letters, so all their parts are listed and both joins are on equality.
+    """
+    q = queries.select("qid", T.slugify("query").alias("q")).where("q <> ''")
+    keys = names.select(T.slugify("name").alias("name"), "label").where("name <> ''")
+    exact = keys.select(F.col("name").alias("q"), "name", "label", F.lit(0).alias("priority"))
+    starts = F.transform(F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: (i == 1) | (F.substr("name", F.greatest(i - 1, F.lit(1)), F.lit(1)) == "-")), lambda i: F.substr("name", i, F.lit(1 << 10)))
+    parts = F.array_distinct(F.flatten(F.transform(starts, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: F.substr(x, F.lit(1), k)))))
+    begun = keys.select(F.explode(parts).alias("q"), "name", "label").withColumn("priority", F.lit(1))
+    if literals is not None:
+        found = literals.select(F.explode(_substrings(T.slugify("name"))).alias("q")).distinct()
+        begun = begun.join(found, "q", "left_anti")
+    rows = q.join(exact.unionByName(begun), "q")
+    w = Window.partitionBy("qid").orderBy("priority", F.length("name"), "name")
     return rows.withColumn("r", F.row_number().over(w)).where("r = 1").select("qid", "label")
 
 
-def suggest_rated(corpus: DataFrame, users: DataFrame, step: int = 100, span: int = 200) -> DataFrame:
-    """``user_id, platform, low, high, n``: from the rating snapped down, clamped to what the corpus has; only where it has any."""
-    bounds = corpus.where("rating is not null").groupBy("platform").agg(F.min("rating").alias("least"), F.max("rating").alias("most"))
-    ranges = users.join(F.broadcast(bounds), "platform")  # one row per platform
-    low = F.greatest("least", F.least(F.col("most") - span, T.snap("rating", step)))
-    ranges = ranges.select("user_id", "platform", low.cast("long").alias("low"), F.least(F.col("most"), low + span).cast("long").alias("high"))
-    counts = corpus.where("rating is not null").groupBy("platform", F.col("rating").cast("long").alias("r")).agg(F.count("*").alias("c"))
-    joined = ranges.join(counts, (ranges["platform"] == counts["platform"]) & F.col("r").between(F.col("low"), F.col("high")))
-    return joined.groupBy("user_id", ranges["platform"], "low", "high").agg(F.sum("c").alias("n"))
+#: Grid and reach of the rated judges' suggestions. Fixed values.
+LEVEL_GRIDS = {"codeforces": (100, 200), "atcoder": (200, 200)}
+#: Rungs of the tiered judge: below so many hard ones solved, a tier and the half of it by acceptance. Fixed values.
+RUNGS = ((10, "medium", "upper"), (25, "medium", "lower"), (100, "hard", "upper"), (None, "hard", "lower"))
+FIRST_RUNG_MEDIUMS = 100
+
+
+def suggest_rated(corpus: DataFrame, users: DataFrame, grids: dict[str, tuple[int, int]] = LEVEL_GRIDS) -> DataFrame:
+    """``user_id, platform, low, high, n``: the rating snapped down, reaching so far, within the corpus's bounds snapped outwards; only where it selects any.
+
+    ``rating`` must be numeric; nulls, and platforms without a grid or without rated records, give nothing.
+    """
+    rated = corpus.where("rating is not null")
+    by_grid = lambda i: F.element_at(F.create_map(*[x for name, g in grids.items() for x in (F.lit(name), F.lit(g[i]))]), F.col("platform"))
+    bounds = rated.where(F.col("platform").isin(*grids)).groupBy("platform").agg(F.min("rating").alias("least"), F.max("rating").alias("most"))
+    bounds = bounds.withColumns({"step": by_grid(0), "reach": by_grid(1)}).withColumns({"floor": T.snap("least", F.col("step")), "ceil": T.snap("most", F.col("step"), up=True)})
+    ranges = users.where("rating is not null").join(F.broadcast(bounds), "platform")  # one row per platform with a grid
+    low = F.greatest("floor", F.least(F.greatest(T.snap("rating", F.col("step")), "floor"), F.col("ceil") - F.col("reach")))
+    ranges = ranges.select("user_id", "platform", low.cast("long").alias("low"), F.least(low + F.col("reach"), "ceil").cast("long").alias("high"))
+    counts = rated.groupBy("platform", F.col("rating").cast("long").alias("r")).agg(F.count("*").alias("c"))
+    # few distinct ranges: users are counted against them once each
+    spans = ranges.select("platform", "low", "high").distinct()
+    sums = spans.join(counts, "platform").where(F.col("r").between(F.col("low"), F.col("high"))).groupBy("platform", "low", "high").agg(F.sum("c").alias("n"))
+    return ranges.join(sums, ["platform", "low", "high"]).select("user_id", "platform", "low", "high", "n")
 
 
 def suggest_tier(corpus: DataFrame, users: DataFrame, step: int = 5) -> DataFrame:
-    """``user_id, tier, half, cut``: a ladder on solved counts; halves split at the tier's median acceptance, snapped."""
-    cuts = corpus.where("tier is not null and acceptance is not null").groupBy(F.lower("tier").alias("tier")).agg((F.round(F.percentile("acceptance", F.lit(0.5)) / step) * step).cast("long").alias("cut"))
-    e, m, h = F.col("easy"), F.col("medium"), F.col("hard")
-    tier = F.when(h >= 30, "hard").when(m >= 80, "hard").when(m >= 15, "medium").when(e >= 40, "medium").otherwise("easy")
-    half = F.when(h >= 100, "lower").when((m >= 80) & (h < 30), "upper").when(m >= 40, "lower").when((m >= 15) | (e >= 40), "upper").when(e >= 15, "lower").otherwise("upper")
-    return users.select("user_id", tier.alias("tier"), half.alias("half")).join(F.broadcast(cuts), "tier", "left").select("user_id", "tier", "half", "cut")  # three rows
+    """``user_id, tier, low, high, n`` from solved counts ``medium, hard``: a rung names a tier and the half of it, split at its median acceptance.
+
+    The upper half has the higher acceptance. Bounds are snapped outwards; ``n`` counts what
+    they select. Users without medium or hard ones, and tiers without records, give nothing.
+    """
+    rows = corpus.where("tier is not null and acceptance is not null").groupBy(F.lower("tier").alias("tier"), "acceptance").agg(F.count("*").alias("c"))
+    ends = rows.groupBy("tier").agg(F.percentile("acceptance", F.lit(0.5), F.col("c")).alias("mid"), F.min("acceptance").alias("least"), F.max("acceptance").alias("most"))
+    halves = ends.select("tier", F.explode(F.array(*[F.struct(F.lit(h).alias("half"), F.col(a).alias("a"), F.col(b).alias("b")) for h, a, b in (("upper", "mid", "most"), ("lower", "least", "mid"))])).alias("x"))
+    halves = halves.select("tier", "x.half", T.snap("x.a", step).cast("long").alias("low"), T.snap("x.b", step, up=True).cast("long").alias("high"))
+    n = halves.join(rows, "tier").where(F.col("acceptance").between(F.col("low"), F.col("high"))).groupBy("tier", "half", "low", "high").agg(F.sum("c").alias("n"))
+    m, h = F.coalesce("medium", F.lit(0)), F.coalesce("hard", F.lit(0))
+    rung = F.lit(len(RUNGS) - 1)
+    for i, (below, _, _) in reversed(list(enumerate(RUNGS[:-1]))):
+        rung = F.when(h < below, i).otherwise(rung)
+    rung = F.when((h < RUNGS[0][0]) & (m >= FIRST_RUNG_MEDIUMS), 1).otherwise(rung)
+    at = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in RUNGS]), rung + 1)
+    chosen = users.where((m > 0) | (h > 0)).select("user_id", at(1).alias("tier"), at(2).alias("half"))
+    return chosen.join(F.broadcast(n), ["tier", "half"]).select("user_id", "tier", "low", "high", "n")  # two rows a tier

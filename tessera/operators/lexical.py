@@ -103,7 +103,12 @@ def search(docs: DataFrame, tokens: DataFrame, ranker: str = "bm25", k: int | No
     ``exact_titles`` (qid, doc_id) get the title bonus where they have a score;
     ``keep`` (doc_id) restricts results after scoring, before ranks and totals.
     """
-    hits = contributions(docs, tokens, ranker).groupBy("qid", "doc_id").agg(
+    return top_hits(contributions(docs, tokens, ranker), k, offset, exact_titles, keep)
+
+
+def top_hits(scored: DataFrame, k: int | None, offset: int = 0, exact_titles: DataFrame | None = None, keep: DataFrame | None = None) -> DataFrame:
+    """Contributions summed, filtered, ranked and counted."""
+    hits = scored.groupBy("qid", "doc_id").agg(
         F.sum("contribution").alias("score"), F.min("pos").alias("first_pos"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("matched_terms"))
     if exact_titles is not None:
@@ -141,25 +146,55 @@ def index_dump(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
 
+#: Folders that a stored index deals its terms to.
+BUCKETS = 64
+
+
 @dataclass
 class StoredIndex:
-    """An index on disk: postings sorted by term, so that row groups of other terms are skipped."""
+    """An index on disk: postings with their term's df, in one folder for each bucket of terms, and one row of statistics.
+
+    A search reads the folders of its queries' terms alone and never tokenizes a document.
+    """
 
     spark: SparkSession
     path: str
 
+    @staticmethod
+    def bucket(term: str = "term") -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
     @classmethod
     def build(cls, docs: DataFrame, path: str) -> "StoredIndex":
-        spark = docs.sparkSession
-        docs.select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
         posts = postings(docs)
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        posts.repartitionByRange(n, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        return cls(spark, path)
-
-    def search(self, tokens: DataFrame, ranker: str = "bm25", k: int = 10) -> DataFrame:
-        lengths = self.spark.read.parquet(f"{self.path}/lengths")
-        posts = self.spark.read.parquet(f"{self.path}/postings").join(bounded_broadcast(tokens.select("term").distinct()), "term", "left_semi")
-        hits = contributions(lengths, tokens, ranker, posts).groupBy("qid", "doc_id").agg(F.sum("contribution").alias("score"), F.min("pos").alias("first_pos"))
-        top = ranked(hits, ["qid"], [F.round("score", 9).desc(), F.col("first_pos"), F.col("doc_id")], k)
-        return top.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
+        posts = posts.join(term_stats(posts), "term").withColumn("bucket", cls.bucket())
+        # a bucket is dealt to several tasks, so that a frequent term doesn't gather in one
+        posts.repartition(F.col("bucket"), F.pmod("doc_id", F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        corpus_stats(docs).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+        return cls(docs.sparkSession, path)
+
+    def postings(self, tokens: DataFrame) -> DataFrame:
+        """The postings of the tokens' terms, from their buckets only."""
+        terms = tokens.select("term").distinct()
+        wanted = [r["b"] for r in terms.select(self.bucket().alias("b")).distinct().collect()]  # at most BUCKETS rows
+        return self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(wanted)).drop("bucket").join(bounded_broadcast(terms), "term", "left_semi")
+
+    def search(self, tokens: DataFrame, ranker: str = "bm25", k: int | None = 10, offset: int = 0, **more) -> DataFrame:
+        """As ``search`` over the documents, with the same columns."""
+        idf, weight = RANKERS[ranker]
+        corpus = F.broadcast(self.spark.read.parquet(f"{self.path}/corpus"))  # one row
+        scored = self.postings(tokens).crossJoin(corpus).join(bounded_broadcast(tokens), "term").withColumn("idf", idf()).where("idf > 0").withColumn("contribution", weight()).where("contribution > 0")
+        return top_hits(scored, k, offset, **more)
+
+
+#: The ranker where none, or one that isn't there, is asked for.
+DEFAULT_RANKER = "bm25"
+
+
+def pick_ranker(name: str | None, registered: dict):
+    """The ranker asked for if there is one of that name, else the default, else the first."""
+    wanted = (name or "").lower().strip()
+    if wanted in registered:
+        return wanted, registered[wanted]
+    fallback = DEFAULT_RANKER if DEFAULT_RANKER in registered else next(iter(registered))
+    return fallback, registered[fallback]

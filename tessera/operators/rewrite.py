@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from .common import bounded_broadcast, ranked
+from .common import bounded_broadcast, ranked, spread
 
 MAX_QUERY, MAX_ADDED = 300, 8
 MIN_TERM, MIN_DF, MAX_CORRECTIONS = 3, 3, 2
@@ -32,14 +32,21 @@ class Expansion:
 class Expander:
     """Alias rules, longest canonical first, then longest alias.
 
-    Consuming aliases of several words blank their first occurrence; all others
-    only append the canonical words that aren't there. A query gains at most
-    eight words; numbers 1 to 4 that stand alone gain their word.
+    Consuming aliases of several words blank their first occurrence and stand for
+    their canonical words; all others only append the canonical words that aren't
+    there. What counts as there is what consumption left. A query gains at most
+    eight words; numbers 1 to 4 that stand alone gain their word. ``matches`` names
+    every rule that fired, also one whose words were all there. A query that gains
+    nothing is returned as it came.
     """
 
     def __init__(self, rules: list[Alias]):
         order = sorted(rules, key=lambda r: (-len(self._words(r.canonical)), -len(r.alias)))
-        self.rules = [(r, re.compile(r"(?:^|[^a-z0-9])" + r"[\s-]+".join(map(re.escape, self._words(r.alias))) + r"(?![a-z0-9])")) for r in order if self._words(r.alias)]
+        # the boundary pattern is a fixed value: what may stand before and after an alias decides results
+        compiled = [(r, re.compile(r"(?:^|[^a-z0-9])" + r"[\s-]+".join(map(re.escape, self._words(r.alias))) + r"(?![a-z0-9])")) for r in order if self._words(r.alias)]
+        consumes = lambda r: r.consuming and len(self._words(r.alias)) > 1
+        self.consuming = [x for x in compiled if consumes(x[0])]
+        self.appending = [x for x in compiled if not consumes(x[0])]
 
     @staticmethod
     def _words(slug: str) -> list[str]:
@@ -48,33 +55,31 @@ class Expander:
     def expand(self, query: str | None) -> Expansion:
         if not isinstance(query, str) or not query.strip() or len(query) > MAX_QUERY:
             return Expansion(query)
-        left, replaced, matches = query.lower(), [], []
-        for rule, pattern in self.rules:
-            if rule.consuming and len(self._words(rule.alias)) > 1 and (m := pattern.search(left)):
+        left, matches, queued = query.lower(), [], []
+        for rule, pattern in self.consuming:
+            if m := pattern.search(left):
                 left = left[: m.start()] + " " * (m.end() - m.start()) + left[m.end() :]
-                replaced += self._words(rule.canonical)
+                queued += self._words(rule.canonical)
                 matches.append(rule.alias)
-        present = set(re.findall("[a-z0-9]+", left))
-        added: list[str] = []
-
-        def add(words: list[str]) -> bool:
-            before = len(added)
-            for w in words:
-                if w not in present and len(added) < MAX_ADDED:
-                    present.add(w)
-                    added.append(w)
-            return len(added) > before
-
-        add(replaced)
-        for rule, pattern in self.rules:
-            if not (rule.consuming and rule.alias in matches) and pattern.search(left) and add(self._words(rule.canonical)):
+        tokens = re.findall("[a-z0-9]+", left)
+        gained: dict[str, None] = {}  # in order
+
+        def gain(words: list[str]) -> bool:
+            new = [w for w in dict.fromkeys(words) if w not in gained and w not in tokens][: MAX_ADDED - len(gained)]
+            gained.update(dict.fromkeys(new))
+            return bool(new)
+
+        gain(queued)
+        for rule, pattern in self.appending:
+            if len(gained) >= MAX_ADDED:
+                break
+            if pattern.search(left):
                 matches.append(rule.alias)
-        for digit in re.findall(r"(?<![a-z0-9])([1-4])(?![a-z0-9])", left):
-            if add([T.NUMBER_WORDS[digit]]):
-                matches.append(digit)
-        if not added and not replaced:
-            return Expansion(query)
-        return Expansion(" ".join([*left.split(), *added]), True, added, matches)
+                gain(self._words(rule.canonical))
+        matches += [t for t in tokens if t in T.NUMBER_WORDS and gain([T.NUMBER_WORDS[t]])]
+        if not gained:
+            return Expansion(query, matches=matches)
+        return Expansion(" ".join([*left.split(), *gained]), True, list(gained), matches)
 
 
 def expand(queries: DataFrame, rules: list[Alias]) -> DataFrame:
@@ -91,38 +96,45 @@ def expand(queries: DataFrame, rules: list[Alias]) -> DataFrame:
     return queries.select("qid", run("query").alias("x")).select("qid", "x.*")
 
 
+def _without(words: Column, i: Column) -> Column:
+    """The word without its ``i``-th letter."""
+    return F.concat(F.substr(words, F.lit(1), i - 1), F.substr(words, i + 1, F.lit(1 << 20)))
+
+
+def deletions(word: Column, most: Column) -> Column:
+    """The word itself and what is left of it without any one letter, or any two if ``most`` is 2."""
+    places = lambda x: F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1)))
+    once = F.array_distinct(F.transform(places(word), lambda i: _without(word, i)))
+    twice = F.when(most >= 2, F.flatten(F.transform(once, lambda x: F.transform(places(x), lambda i: _without(x, i))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(word), once, twice))
+
+
 def corrections(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``qid, term, correction, distance`` for unknown words.
+    """``qid, pos, term, correction, distance`` for unknown words.
 
     Candidates have at least MIN_DF documents, a length within the word's budget
     of edits and its first or its last letter; nearest first, then most frequent,
-    then alphabetical. At most two words of a query are corrected.
+    then alphabetical. At most two words of a query are corrected. Two words within
+    n edits, swaps among them, leave a common rest when n letters are taken out of
+    either, so candidates come from an equality join on such rests.
     """
     unknown = tokens.where(F.length("term") >= MIN_TERM).join(vocabulary.select("term"), "term", "left_anti")
     unknown = unknown.groupBy("qid", "term").agg(F.min("pos").alias("pos"))
     words = unknown.select("term").distinct().withColumn("budget", F.when(F.length("term") >= 8, 2).otherwise(1))
+    rests = bounded_broadcast(words.select("term", "budget", F.explode(deletions(F.col("term"), F.col("budget"))).alias("rest")))
     targets = vocabulary.where(F.col("df") >= MIN_DF).select(F.col("term").alias("correction"), "df")
-    # equal length and first or last letter: two equi-joins on exploded lengths in place of a scan of the vocabulary
-    words = words.select("term", "budget", F.explode(F.sequence(F.length("term") - F.col("budget"), F.length("term") + F.col("budget"))).alias("n"))
-    targets = targets.withColumn("n2", F.length("correction"))
-    words = bounded_broadcast(words)
-    first = words.join(targets, (F.col("n") == F.col("n2")) & (F.substring("term", 1, 1) == F.substring("correction", 1, 1)))
-    last = words.join(targets, (F.col("n") == F.col("n2")) & (F.substring("term", -1, 1) == F.substring("correction", -1, 1)) & (F.substring("term", 1, 1) != F.substring("correction", 1, 1)))
-    # A swap is two plain edits, so the builtin distance bounds the other one from above by twice the budget, and
-    # up to 1 they agree. Beyond that a pair needs a swap, and swaps leave letters as they are: few pairs get that far.
-    lev = F.levenshtein("term", "correction", 2 * 2)
-    a, b = F.split("term", ""), F.split("correction", "")
-    strange = F.greatest(F.size(F.array_except(a, b)), F.size(F.array_except(b, a)))
-    pairs = first.unionByName(last).withColumn("lev", lev).where((F.col("lev") >= 0) & (F.col("lev") <= 2 * F.col("budget")))
-    pairs = pairs.where((F.col("lev") <= F.col("budget")) | (strange <= F.col("budget") - 1))
-    pairs = pairs.select("term", "budget", "correction", "df", F.when(F.col("lev") <= 1, F.col("lev")).otherwise(T.osa_distance("term", "correction")).alias("distance")).where("distance <= budget")
+    # words of eight letters may lose two, so their targets have six at least
+    targets = spread(targets).select("correction", "df", F.explode(deletions(F.col("correction"), F.when(F.length("correction") >= 6, 2).otherwise(1))).alias("rest"))
+    ends = (F.substring("term", 1, 1) == F.substring("correction", 1, 1)) | (F.substring("term", -1, 1) == F.substring("correction", -1, 1))
+    pairs = targets.join(rests, "rest").where((F.abs(F.length("term") - F.length("correction")) <= F.col("budget")) & ends)
+    pairs = pairs.select("term", "budget", "correction", "df").distinct().withColumn("distance", T.osa_distance("term", "correction")).where("distance <= budget")
     best = ranked(pairs, ["term"], [F.col("distance"), F.col("df").desc(), F.col("correction")], 1).drop("rank")
-    return ranked(unknown.join(best, "term"), ["qid"], [F.col("pos")], MAX_CORRECTIONS).select("qid", "term", "correction", "distance")
+    return ranked(unknown.join(best, "term"), ["qid"], [F.col("pos")], MAX_CORRECTIONS).select("qid", "pos", "term", "correction", "distance")
 
 
 def apply_corrections(queries: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Append the corrections to their queries."""
-    words = fixes.groupBy("qid").agg(F.concat_ws(" ", F.sort_array(F.collect_list("correction"))).alias("more"))
+    """Append the corrections to their queries, in the order of the terms they are for."""
+    words = fixes.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "correction"))), lambda x: x["correction"]), " ").alias("more"))
     return queries.join(words, "qid", "left").withColumn("query", F.when(F.col("more").isNull(), F.col("query")).otherwise(F.concat_ws(" ", "query", "more"))).drop("more")
 
 

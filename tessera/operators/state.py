@@ -18,21 +18,25 @@ HANDLE_TTL_HOURS, REFRESH_FLOOR_MINUTES = 12, 10
 def fold(changes: DataFrame) -> DataFrame:
     """``user_id, problem_id, done, done_at, bookmarked, bookmarked_at, recall, updated_at``.
 
-    The last change of each flag holds; a recall counts only if the row existed
-    when it came, which means some flag had been set before it and not all
-    cleared since. Rows with no flag and no recall don't exist.
+    The last change of each flag holds. A row exists as long as a flag or a recall
+    holds it up. A recall changes a row that exists and does nothing otherwise: with
+    a flag set it always applies; without one, ``none`` leaves no recall either way,
+    and another value applies if the row is held up by a recall, which is so if the
+    last change that was not of this last kind set one. Rows that don't exist aren't
+    returned.
     """
     key = ["user_id", "problem_id"]
     order = F.struct("ts", "seq")
     seen = Window.partitionBy(*key).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = lambda k: F.last(F.when(F.col("kind") == k, F.col("value")), ignorenulls=True).over(seen)
     rows = changes.withColumns({"d": F.coalesce(last("done") == "true", F.lit(False)), "b": F.coalesce(last("bookmarked") == "true", F.lit(False))})
-    # a recall row is applied only where a flag stands; it keeps the row alive until it is cleared
-    applied = (F.col("kind") == "recall") & (F.col("d") | F.col("b"))
-    latest = rows.where((F.col("kind") != "recall") | applied).groupBy(*key).agg(
+    recall = F.col("kind") == "recall"
+    sure = recall & (F.col("d") | F.col("b") | (F.col("value") == "none"))
+    rows = rows.withColumn("held", F.coalesce(F.last(F.when(sure, F.col("value")), ignorenulls=True).over(seen) != "none", F.lit(False)))
+    latest = rows.where(~recall | F.col("d") | F.col("b") | (F.col("value") == "none") | F.col("held")).groupBy(*key).agg(
         F.max_by("value", F.when(F.col("kind") == "done", order)).alias("done_value"), F.max(F.when(F.col("kind") == "done", F.col("ts"))).alias("done_ts"),
         F.max_by("value", F.when(F.col("kind") == "bookmarked", order)).alias("bookmarked_value"), F.max(F.when(F.col("kind") == "bookmarked", F.col("ts"))).alias("bookmarked_ts"),
-        F.max_by("value", F.when(F.col("kind") == "recall", order)).alias("recall_value"), F.max("ts").alias("updated_at"))
+        F.max_by("value", F.when(recall, order)).alias("recall_value"), F.max("ts").alias("updated_at"))
     on = lambda k: F.coalesce(F.col(f"{k}_value") == "true", F.lit(False))
     out = latest.select(
         *key, on("done").alias("done"), F.when(on("done"), F.col("done_ts")).alias("done_at"), on("bookmarked").alias("bookmarked"),
@@ -84,6 +88,18 @@ def invalidate(cache: DataFrame, before: DataFrame, after: DataFrame) -> DataFra
     return cache.join(same, ["user_id", "platform"], "left_semi")
 
 
+def served(cache: DataFrame, fetched: DataFrame, as_of: str) -> DataFrame:
+    """``user_id, platform, payload, stale``: a fresh entry as it is; an old one renewed by ``fetched`` (payload null where fetching failed), or served stale.
+
+    Entries that are neither there nor fetched are absent.
+    """
+    old = cache_status(cache, as_of).select("user_id", "platform", F.col("payload").alias("_old"), (F.col("status") == "fresh").alias("_fresh"))
+    new = fetched.where("payload is not null").select("user_id", "platform", F.col("payload").alias("_new"))
+    both = old.join(new, ["user_id", "platform"], "full")
+    keep = F.coalesce("_fresh", F.lit(False)) | F.col("_new").isNull()
+    return both.select("user_id", "platform", F.when(keep, F.col("_old")).otherwise(F.col("_new")).alias("payload"), (keep & ~F.col("_fresh")).alias("stale"))
+
+
 def cache_status(cache: DataFrame, as_of: str) -> DataFrame:
     """``fresh``, ``stale``, and whether a refresh may run."""
     age = F.expr(f"timestampdiff(MINUTE, fetched_at, timestamp_ntz'{as_of}')")

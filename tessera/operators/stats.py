@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .common import bounded_broadcast
 
 
 def prop(name: str, kind: str = "string") -> Column:
@@ -102,14 +103,15 @@ def by_tier(rows: DataFrame, tiers: list[str]) -> DataFrame:
 
 def compose(calendars: DataFrame, categories: DataFrame) -> DataFrame:
     """``category, day, n``: each source's calendar under its category, and all under ``overall``."""
-    rows = calendars.join(F.broadcast(categories.limit(10_000)), "source")
+    rows = calendars.join(bounded_broadcast(categories), "source")
     both = rows.select("category", "day", "n").unionByName(calendars.select(F.lit("overall").alias("category"), "day", "n"))
     return both.groupBy("category", "day").agg(F.sum("n").alias("n"))
 
 
-def heatmap(days: DataFrame, last_day: int, weeks: int = 53) -> DataFrame:
-    """``day, n, level`` for every day of the span; levels 0 to 4 from quartiles of the non-zero days (1, 2, 4 if there are fewer than four)."""
-    spine = days.sparkSession.range(weeks * 7).select((F.lit(last_day) - F.col("id") * 86400).cast("bigint").alias("day"))
+def heatmap(days: DataFrame, last_day: int, weeks: int = 52) -> DataFrame:
+    """``day, n, level`` for every day from the Sunday so many weeks back to ``last_day``; levels 0 to 4 from quartiles of the non-zero days (1, 2, 4 if there are fewer than four)."""
+    weekday = (last_day // 86400 + 4) % 7  # day 0 was a Thursday
+    spine = days.sparkSession.range(weeks * 7 + weekday + 1).select((F.lit(last_day) - F.col("id") * 86400).cast("bigint").alias("day"))
     rows = spine.join(days.groupBy("day").agg(F.sum("n").alias("n")), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
     busy = rows.where("n > 0").agg(F.array_sort(F.collect_list("n")).alias("v"))  # at most one value a day of the span
     size = F.size("v")
@@ -121,11 +123,15 @@ def heatmap(days: DataFrame, last_day: int, weeks: int = 53) -> DataFrame:
 
 
 def acceptance_summary(corpus: DataFrame) -> DataFrame:
-    """Per tier: least, lower quartile, median, upper quartile and largest acceptance, by index floor(n p)."""
-    w = Window.partitionBy("tier").orderBy("acceptance", "doc_id")
-    rows = corpus.where("tier is not null and acceptance is not null").select(F.lower("tier").alias("tier"), "acceptance", "doc_id")
-    rows = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("m", F.count("*").over(Window.partitionBy("tier")))
-    pick = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.col("m") * p), F.col("m") - 1), F.col("acceptance")))
+    """Per tier: least, lower quartile, median, upper quartile and largest acceptance, by index floor(n p).
+
+    Values are counted first, so the running counts have a row for each distinct value and not for each record.
+    """
+    rows = corpus.where("tier is not null and acceptance is not null").groupBy(F.lower("tier").alias("tier"), "acceptance").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("tier")
+    rows = rows.withColumns({"upto": F.sum("c").over(w.orderBy("acceptance").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "m": F.sum("c").over(w)})
+    at = lambda p: F.least(F.floor(F.col("m") * p), F.col("m") - 1)
+    pick = lambda p: F.max(F.when((F.col("upto") - F.col("c") <= at(p)) & (at(p) < F.col("upto")), F.col("acceptance")))
     return rows.groupBy("tier").agg(F.min("acceptance").alias("low"), pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"), F.max("acceptance").alias("high"))
 
 

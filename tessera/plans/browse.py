@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import facets, lexical, state
+from ..operators import command, facets, lexical, state
 from . import search
 from . import tables as t
 
@@ -71,7 +71,7 @@ def f13_filtered_search(spark, d):
 
 def f15_decorate(spark, d):
     s = state.fold(t.changes(spark, d)).where("user_id = 3").withColumnRenamed("problem_id", "doc_id")
-    return facets.decorate(t.corpus(spark, d).where("doc_id < 50").select("doc_id"), s)
+    return facets.decorate(t.corpus(spark, d).select("doc_id"), s)
 
 
 def _labels(spark):
@@ -90,22 +90,41 @@ def f16_groups(spark, d):
     return facets.directory_groups(f16_directory(spark, d))
 
 
+def f9_sort_words(spark, d):
+    rows = [(x, facets.parse_sort(x)) for x in ("difficulty", "difficulty-asc", "Difficulty-Desc ", "-difficulty", "hardest", "", None)]
+    return spark.createDataFrame(rows, "word string, direction string")
+
+
 def f17_resolve(spark, d):
-    q = spark.createDataFrame([(1, "src1"), (2, "SRC"), (3, "rc1"), (4, "src4"), (5, "zz")], "qid int, query string")
-    names = _labels(spark).select(F.col("label").alias("name"), "label").unionByName(_aliases(spark).select(F.col("alias").alias("name"), F.col("canonical").alias("label")))
-    return facets.resolve_label(q, names)
+    """Sources and their aliases as umbrellas; what the sources' names contain needs none."""
+    q = spark.createDataFrame([(1, "src1"), (2, "SRC"), (3, "rc1"), (4, "src4"), (5, "zz"), (6, "Tree"), (7, "family of"), (8, "seg")], "qid int, query string")
+    umbrellas = spark.createDataFrame([("tree family of things", "trees"), ("segment tree", "segments"), ("segments", "segments")], "name string, label string")
+    names = _labels(spark).select(F.col("label").alias("name"), "label").unionByName(_aliases(spark).select(F.col("alias").alias("name"), F.col("canonical").alias("label"))).unionByName(umbrellas)
+    return facets.resolve_label(q, names, t.documents(spark, d).select(F.col("source").alias("name")).distinct())
+
+
+GRIDS = {"de": (100, 200), "fr": (200, 200)}
 
 
 def f18_level_rated(spark, d):
-    users = t.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.element_at(F.array(F.lit("de"), F.lit("fr")), (F.col("c_custkey") % 2 + 1).cast("int")).alias("platform"), F.col("c_acctbal").alias("rating"))
-    return facets.suggest_rated(t.corpus(spark, d), users, 100, 200)
+    users = t.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.element_at(F.array(F.lit("de"), F.lit("fr"), F.lit("es")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("platform"), F.col("c_acctbal").alias("rating"))
+    return facets.suggest_rated(t.corpus(spark, d), users, GRIDS)
 
 
 def f19_level_ladder(spark, d):
-    users = t.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 60).alias("easy"), (F.col("c_custkey") % 97).alias("medium"), (F.col("c_custkey") % 31).alias("hard"))
+    users = t.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 160).alias("medium"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey") % 131).alias("hard"))
     return facets.suggest_tier(t.corpus(spark, d), users)
 
 
+def f20_command(spark, d):
+    rows = []
+    for text in (":help", ":h sheet", ":compare two sum", ":cmp", ":Bookmarks", "ls done", ":all", ":bo", "two sum", "", ":compared"):
+        for signed_in in (True, False):
+            c = command.parse_command(text, signed_in)
+            rows.append((text, signed_in, c.kind, c.argument))
+    return spark.createDataFrame(rows, "text string, signed_in boolean, kind string, argument string")
+
+
 def u1_state_fold(spark, d):
     return state.fold(t.changes(spark, d)).withColumns({c: F.col(c).cast("string") for c in ("done_at", "bookmarked_at", "updated_at")})
 
@@ -124,17 +143,20 @@ def u5_sets(spark, d):
     return state.sets(state.fold(t.changes(spark, d))).select("user_id", *[F.array_join(c, " ").alias(c) for c in ("done", "bookmarked")])
 
 
-QUERIES = {f.__name__: f for f in (f1_platforms, f2_pattern, f3_done, f5_difficulty, f6_tiers, f6_histogram, f6_acceptance, f8_sort, f10_sort_window, f11_browse, f13_filtered_search, f15_decorate, f16_directory, f16_groups, f17_resolve, f18_level_rated, f19_level_ladder, u1_state_fold, u3_library, u3_library_sorted, u5_sets)}
+QUERIES = {f.__name__: f for f in (f1_platforms, f2_pattern, f3_done, f5_difficulty, f6_tiers, f6_histogram, f6_acceptance, f8_sort, f10_sort_window, f11_browse, f13_filtered_search, f15_decorate, f16_directory, f16_groups, f9_sort_words, f17_resolve, f18_level_rated, f19_level_ladder, f20_command, u1_state_fold, u3_library, u3_library_sorted, u5_sets)}
 
 _KEY0 = "coalesce(CASE lower(tier) WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 WHEN 'hard' THEN 3 END, rating)"
+# one change after another, as a list is reduced; the operator's windows say the same in another way
+_STEP = """{'kind': x.kind, 'value': x.value, 'ts': x.ts, 'seq': x.seq,
+        'd': CASE WHEN x.kind = 'done' THEN x.value = 'true' ELSE a.d END, 'dt': CASE WHEN x.kind <> 'done' THEN a.dt WHEN x.value = 'true' THEN x.ts END,
+        'b': CASE WHEN x.kind = 'bookmarked' THEN x.value = 'true' ELSE a.b END, 'bt': CASE WHEN x.kind <> 'bookmarked' THEN a.bt WHEN x.value = 'true' THEN x.ts END,
+        'r': CASE WHEN x.kind <> 'recall' THEN a.r WHEN a.d OR a.b OR a.r IS NOT NULL THEN nullif(x.value, 'none') END,
+        'u': CASE WHEN x.kind <> 'recall' OR a.d OR a.b OR a.r IS NOT NULL THEN x.ts ELSE a.u END}"""
+_NONE = "{'kind': NULL::VARCHAR, 'value': NULL::VARCHAR, 'ts': NULL::TIMESTAMP, 'seq': 0::BIGINT, 'd': false, 'dt': NULL::TIMESTAMP, 'b': false, 'bt': NULL::TIMESTAMP, 'r': NULL::VARCHAR, 'u': NULL::TIMESTAMP}"
+_ONE = "{'kind': kind, 'value': value, 'ts': ts::TIMESTAMP, 'seq': seq::BIGINT, 'd': false, 'dt': NULL::TIMESTAMP, 'b': false, 'bt': NULL::TIMESTAMP, 'r': NULL::VARCHAR, 'u': NULL::TIMESTAMP}"
 _FOLD = f"""{t.CHANGES_SQL},
-    fl AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'done' THEN value END IGNORE NULLS) OVER w = 'true', false) AS d, coalesce(last_value(CASE WHEN kind = 'bookmarked' THEN value END IGNORE NULLS) OVER w = 'true', false) AS b FROM ch
-        WINDOW w AS (PARTITION BY user_id, problem_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    ap AS (SELECT * FROM fl WHERE kind <> 'recall' OR d OR b),
-    la AS (SELECT user_id, problem_id, arg_max(value, (ts, seq)) FILTER (kind = 'done') AS dv, max(ts) FILTER (kind = 'done') AS dt, arg_max(value, (ts, seq)) FILTER (kind = 'bookmarked') AS bv, max(ts) FILTER (kind = 'bookmarked') AS bt,
-        nullif(arg_max(value, (ts, seq)) FILTER (kind = 'recall'), 'none') AS recall, max(ts) AS updated_at FROM ap GROUP BY ALL),
-    us AS (SELECT user_id, problem_id, coalesce(dv = 'true', false) AS done, CASE WHEN dv = 'true' THEN dt END AS done_at, coalesce(bv = 'true', false) AS bookmarked, CASE WHEN bv = 'true' THEN bt END AS bookmarked_at, recall, updated_at FROM la
-        WHERE coalesce(dv = 'true', false) OR coalesce(bv = 'true', false) OR recall IS NOT NULL)"""
+    fd AS (SELECT user_id, problem_id, list_reduce(list_concat([{_NONE}], list({_ONE} ORDER BY ts, seq)), lambda a, x: {_STEP}) AS s FROM ch GROUP BY ALL),
+    us AS (SELECT user_id, problem_id, s.d AS done, s.dt AS done_at, s.b AS bookmarked, s.bt AS bookmarked_at, s.r AS recall, s.u AS updated_at FROM fd WHERE s.d OR s.b OR s.r IS NOT NULL)"""
 _LABELS = "lab AS (SELECT CASE WHEN i < 10 THEN 'low' ELSE 'high' END AS category, 'src' || i AS label FROM range(25) r(i) WHERE i NOT IN (4, 17))"
 _DIRECTORY = f"{_C}, {_LABELS}, dir AS (SELECT category, label, coalesce(n, 0) AS n FROM lab LEFT JOIN (SELECT CASE pattern WHEN 'src4' THEN 'src3' WHEN 'src17' THEN 'src16' ELSE pattern END AS label, count(*) AS n FROM corpus GROUP BY 1) USING (label))"
 _TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
@@ -154,18 +176,25 @@ ORACLES = {
     "f11_browse": f"{_C} SELECT doc_id, 0.0::DOUBLE AS score, (SELECT count(*) FROM corpus WHERE platform = 'fr') AS total FROM corpus WHERE platform = 'fr' ORDER BY doc_id LIMIT 25 OFFSET 5",
     "f13_filtered_search": f"""{search._BASE}, {search._ranked_sql('bm25', 'a')} SELECT qid, rank, doc_id, score, total FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(s.score, 9) DESC, first_pos, doc_id) AS rank, doc_id, round(s.score, 6) AS score, count(*) OVER (PARTITION BY qid) AS total
         FROM a_s s JOIN documents USING (doc_id) WHERE lang = 'en') WHERE rank <= 10""",
-    "f15_decorate": f"WITH {_FOLD} SELECT doc_id, coalesce(done, false) AS done, coalesce(bookmarked, false) AS bookmarked, recall FROM (SELECT doc_id FROM documents WHERE doc_id < 50) LEFT JOIN (SELECT * FROM us WHERE user_id = 3) ON doc_id = problem_id",
+    "f15_decorate": f"WITH {_FOLD} SELECT doc_id, coalesce(done, false) AS done, coalesce(bookmarked, false) AS bookmarked, recall FROM documents LEFT JOIN (SELECT * FROM us WHERE user_id = 3) ON doc_id = problem_id",
     "f16_directory": f"{_DIRECTORY} SELECT * FROM dir",
     "f16_groups": f"{_DIRECTORY} SELECT category, count(*) AS labels, sum(n) AS total FROM dir WHERE n > 0 GROUP BY category",
-    "f17_resolve": "SELECT * FROM (VALUES (1, 'src1'), (2, 'src0'), (4, 'src3')) v(qid, label)",
-    "f18_level_rated": f"""{_C}, b AS (SELECT platform, min(rating) AS least, max(rating) AS most FROM corpus WHERE rating IS NOT NULL GROUP BY platform),
-        u AS (SELECT c_custkey AS user_id, ['de', 'fr'][c_custkey % 2 + 1] AS platform, c_acctbal AS rating FROM customer),
-        r AS (SELECT user_id, platform, CAST(greatest(least, least(most - 200, floor(rating / 100) * 100)) AS BIGINT) AS low, CAST(least(most, greatest(least, least(most - 200, floor(rating / 100) * 100)) + 200) AS BIGINT) AS high FROM u JOIN b USING (platform))
-        SELECT user_id, r.platform, low, high, count(*) AS n FROM r JOIN corpus c ON r.platform = c.platform AND c.rating BETWEEN low AND high GROUP BY ALL""",
-    "f19_level_ladder": f"""{_C}, cuts AS (SELECT lower(tier) AS tier, CAST(round(quantile_cont(acceptance, 0.5) / 5) * 5 AS BIGINT) AS cut FROM corpus WHERE tier IS NOT NULL GROUP BY ALL),
-        u AS (SELECT c_custkey AS user_id, c_custkey % 60 AS e, c_custkey % 97 AS m, c_custkey % 31 AS h FROM customer)
-        SELECT user_id, u2.tier, half, cut FROM (SELECT user_id, CASE WHEN h >= 30 THEN 'hard' WHEN m >= 80 THEN 'hard' WHEN m >= 15 THEN 'medium' WHEN e >= 40 THEN 'medium' ELSE 'easy' END AS tier,
-            CASE WHEN h >= 100 THEN 'lower' WHEN m >= 80 AND h < 30 THEN 'upper' WHEN m >= 40 THEN 'lower' WHEN m >= 15 OR e >= 40 THEN 'upper' WHEN e >= 15 THEN 'lower' ELSE 'upper' END AS half FROM u) u2 LEFT JOIN cuts USING (tier)""",
+    "f9_sort_words": "SELECT * FROM (VALUES ('difficulty', 'asc'), ('difficulty-asc', 'asc'), ('Difficulty-Desc ', 'desc'), ('-difficulty', 'desc'), ('hardest', NULL), ('', NULL), (NULL, NULL)) v(word, direction)",
+    # src and rc1 are within sources' names, so no umbrella answers them
+    "f17_resolve": "SELECT * FROM (VALUES (1, 'src1'), (4, 'src3'), (6, 'segments'), (7, 'trees'), (8, 'segments')) v(qid, label)",
+    "f18_level_rated": f"""{_C}, g(platform, step) AS (VALUES ('de', 100), ('fr', 200)),
+        b0 AS (SELECT platform, min(rating) AS lo, max(rating) AS hi FROM corpus WHERE rating IS NOT NULL GROUP BY platform), b AS (SELECT platform, step, floor(lo / step) * step AS lo, ceil(hi / step) * step AS hi FROM b0 JOIN g USING (platform)),
+        u AS (SELECT c_custkey AS user_id, ['de', 'fr', 'es'][c_custkey % 3 + 1] AS platform, c_acctbal AS rating FROM customer),
+        r AS (SELECT user_id, platform, hi, greatest(least(greatest(floor(rating / step) * step, lo), hi - 200), lo) AS low FROM u JOIN b USING (platform)),
+        r2 AS (SELECT user_id, platform, CAST(low AS BIGINT) AS low, CAST(least(low + 200, hi) AS BIGINT) AS high FROM r)
+        SELECT user_id, r2.platform, low, high, count(*) AS n FROM r2 JOIN corpus c ON r2.platform = c.platform AND c.rating BETWEEN low AND high GROUP BY ALL""",
+    "f19_level_ladder": f"""{_C}, u AS (SELECT c_custkey AS user_id, c_custkey % 160 AS m, coalesce(CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 131 END, 0) AS h FROM customer),
+        w AS (SELECT user_id, CASE WHEN h < 25 THEN 'medium' ELSE 'hard' END AS tier, CASE WHEN h < 10 AND m < 100 THEN 'upper' WHEN h < 25 THEN 'lower' WHEN h < 100 THEN 'upper' ELSE 'lower' END AS half FROM u WHERE m > 0 OR h > 0),
+        q AS (SELECT lower(tier) AS tier, quantile_cont(acceptance, 0.5) AS mid, min(acceptance) AS lo, max(acceptance) AS hi FROM corpus WHERE tier IS NOT NULL GROUP BY ALL),
+        r AS (SELECT user_id, tier, CAST(floor(CASE half WHEN 'upper' THEN mid ELSE lo END / 5) * 5 AS BIGINT) AS low, CAST(ceil(CASE half WHEN 'upper' THEN hi ELSE mid END / 5) * 5 AS BIGINT) AS high FROM w JOIN q USING (tier))
+        SELECT user_id, tier, low, high, n FROM r JOIN (SELECT r3.tier AS t2, r3.low AS l2, r3.high AS h2, count(*) AS n FROM (SELECT DISTINCT tier, low, high FROM r) r3 JOIN corpus c ON lower(c.tier) = r3.tier AND c.acceptance BETWEEN r3.low AND r3.high GROUP BY ALL) ON tier = t2 AND low = l2 AND high = h2""",
+    "f20_command": """SELECT text, signed_in, CASE WHEN kind = 'library' AND NOT signed_in THEN 'needs_account' ELSE kind END AS kind, argument FROM (VALUES (':help', 'help', ''), (':h sheet', 'help', 'sheet'), (':compare two sum', 'compare', 'two sum'), (':cmp', 'compare', ''), (':Bookmarks', 'library', 'bookmarked'),
+        ('ls done', 'library', 'done'), (':all', 'library', 'all'), (':bo', 'unknown', ':bo'), ('two sum', 'search', 'two sum'), ('', 'search', ''), (':compared', 'unknown', ':compared')) v(text, kind, argument) CROSS JOIN (VALUES (true), (false)) s(signed_in)""",
     "u1_state_fold": f"WITH {_FOLD} SELECT user_id, problem_id, done, {_TS.format('done_at')}, bookmarked, {_TS.format('bookmarked_at')}, recall, {_TS.format('updated_at')} FROM us",
     "u3_library": f"WITH {_FOLD} SELECT user_id, problem_id, row_number() OVER (PARTITION BY user_id ORDER BY done_at DESC, problem_id) AS position, strftime(done_at, '%Y-%m-%d %H:%M:%S') AS view_ts FROM us JOIN documents ON doc_id = problem_id WHERE done AND done_at < TIMESTAMP '2001-06-01'",
     "u3_library_sorted": f"WITH {_FOLD}, {t.CORPUS_SQL} SELECT user_id, problem_id, row_number() OVER (PARTITION BY user_id ORDER BY {_KEY0} DESC NULLS LAST, -acceptance DESC NULLS LAST, problem_id) AS position FROM us JOIN corpus ON doc_id = problem_id WHERE done OR bookmarked",

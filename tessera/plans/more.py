@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import curate, facets, lexical, state, stats
-from ..sources import readers
+from ..operators import curate, evaluate, facets, lexical, state, stats
+from ..operators.common import scratch
+from ..sources import readers, writers
 from . import quality, telemetry
 from . import tables as t
 
@@ -16,7 +19,9 @@ def t4_indexed_text(spark, d):
 
 
 def t8_trim_page(spark, d):
-    return t.documents(spark, d).select("doc_id", T.trim_page("text", "the", "\nTHE", 120).alias("text"))
+    """Pages whose first heading ends are turned into one of the four markers, or into another."""
+    marked = F.regexp_replace("html", "(?i)</h1>", F.element_at(F.array(*[F.lit(f" # {m} </h1>") for m in (*T.PAGE_MARKERS, "Note")]), (F.col("page_id") % 5 + 1).cast("int")))
+    return t.table(spark, d, "pages").select("page_id", T.trim_page(marked).alias("text"))
 
 
 def t17_day_bucket(spark, d):
@@ -26,8 +31,13 @@ def t17_day_bucket(spark, d):
 def t21_counts_from_labels(spark, d):
     """Numbers out of sentences; "No" is 0."""
     tip = F.when(F.col("value") < 50, F.lit("No items today")).otherwise(F.concat(F.floor("value").cast("int").cast("string"), F.lit(" items on day "), F.col("event_id").cast("string")))
-    n = F.when(F.col("tip").startswith("No"), F.lit(0)).otherwise(F.regexp_extract("tip", "^([0-9]+) item", 1).try_cast("int"))
-    return t.table(spark, d, "events").select("event_id", tip.alias("tip")).select("event_id", n.alias("n"))
+    return t.table(spark, d, "events").select("event_id", tip.alias("tip")).select("event_id", T.count_in_sentence("tip").alias("n"))
+
+
+def t20_guards(spark, d):
+    """Whole numbers within bounds, and a clipped word."""
+    p = t.table(spark, d, "part")
+    return p.select("p_partkey", T.whole_between(F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.concat("p_size", F.lit(".5"))), 10, 30).alias("n"), T.whole_between("p_name", 0, 9).alias("no"), T.clip("p_type", 5).alias("word"))
 
 
 def t22_snap_median(spark, d):
@@ -104,7 +114,7 @@ def a17_marks(spark, d):
 
 
 def e5_nearest_rank(spark, d):
-    return t.table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+    return t.table(spark, d, "events").groupBy("event_type").agg(evaluate.nearest_rank(F.col("value"), 0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 def c4_taxonomy(spark, d):
@@ -143,11 +153,129 @@ def s19_curated(spark, d):
 
 
 def k5_review(spark, d):
-    c = quality.c10_candidates(spark, d)
-    return c.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("label")), " ").alias("candidates"), F.count("*").alias("n"))
+    c = writers.review_rows(quality.c10_candidates(spark, d))
+    return c.select("doc_id", F.array_join(F.transform("candidates", lambda x: x["label"]), " ").alias("candidates"), F.size("candidates").cast("long").alias("n"))
+
+
+def _folder(spark, name):
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def k1_append_new(spark, d):
+    """Parts stored in two rounds that overlap, read back."""
+    path, p = _folder(spark, "k1"), t.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    writers.append_new(p.where("id % 2 = 0"), path)
+    writers.append_new(p.where("id % 3 = 0").withColumn("p_name", F.lit("later")), path)
+    return spark.read.parquet(path)
+
+
+def k2_vectors(spark, d):
+    path = _folder(spark, "k2")
+    writers.write_vectors(t.vectors(spark, d).select("doc_id", "vector"), path)
+    return readers.read_vectors(spark, path, 64).select("doc_id", F.size("vector").alias("dims"))
+
+
+def k3_events(spark, d):
+    path = _folder(spark, "k3")
+    writers.append_events(t.events(spark, d), path)
+    writers.append_events(t.events(spark, d).where("type = 'visit'"), path)
+    return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), "type").agg(F.count("*").alias("n"))
+
+
+def k4_runs(spark, d):
+    path, p = _folder(spark, "k4"), t.table(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n"))
+    writers.write_run(p, path, "t1")
+    writers.write_run(p.withColumn("n", F.col("n") + 1), path, "t2")
+    return spark.read.json(f"{path}/runs").select("p_size", "n", F.col("run").cast("string").alias("run")).unionByName(spark.read.json(f"{path}/latest").select("p_size", "n", F.lit("latest").alias("run")))
+
+
+def k6_rejects(spark, d):
+    path, p = _folder(spark, "k6"), t.table(spark, d, "part").select("p_partkey", "p_size")
+    kept = writers.split_rejects(p, [("small", F.col("p_size") < 10), ("even", F.col("p_partkey") % 2 == 0)], path)
+    return kept.withColumn("reason", F.lit("kept")).unionByName(spark.read.parquet(path))
+
+
+def k9_seed_urls(spark, d):
+    """Pages' URLs appended twice, the second time in another spelling."""
+    path, p = _folder(spark, "k9"), t.table(spark, d, "pages").select("page_id", "url")
+    writers.append_urls(p, path)
+    writers.append_urls(p.withColumn("url", F.concat("url", F.lit("?again=1"))), path)
+    return spark.read.parquet(path).select("url_key")
+
+
+def k10_blocks(spark, d):
+    path, p = _folder(spark, "k10"), t.table(spark, d, "part").select("p_partkey", "p_name", (F.col("p_size") % 5).alias("block"))
+    writers.replace_blocks(p, path, "block")
+    writers.replace_blocks(p.where("block = 2").withColumn("p_name", F.lit("new")), path, "block")
+    return spark.read.parquet(path)
+
+
+def s6_taxonomy(spark, d):
+    path = _folder(spark, "s6")
+    text = '{"canonical": {"bfs": {"category": "graph"}, "dp": {"category": "dynamic"}}, "aliases": {"breadth-first": "bfs", "memo": "dp"}, "consumingAliases": ["breadth-first"], "groups": [{"label": "graphs", "aliases": ["graph"], "members": ["bfs"]}]}'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    x = readers.read_taxonomy(spark, path)
+    return x["labels"].select(F.col("label").alias("name"), F.col("category").alias("value"), F.lit(None).cast("boolean").alias("consuming")).unionByName(x["aliases"].select(F.col("alias").alias("name"), F.col("canonical").alias("value"), "consuming"))
+
+
+def s8_seed_urls(spark, d):
+    """A seed file made of pages: topics by their number, remarks between."""
+    p = t.table(spark, d, "pages")
+    line = F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("## A"), F.col("page_id").cast("string"), F.lit(" / b"))).when(F.col("page_id") % 10 == 3, "# a remark").when(F.col("page_id") % 10 == 5, "# The end / none").when(F.col("page_id") % 10 == 7, " ").otherwise(F.col("url"))
+    return readers.seed_urls(p.select(F.lit("f").alias("file"), F.col("page_id").alias("line_no"), line.alias("line"))).select("line_no", "topic")
+
+
+def s12_least_accepted(spark, d):
+    c = t.corpus(spark, d).select(F.col("doc_id").alias("id"), "tier", (F.col("doc_id") % 6 == 0).alias("paid"), "acceptance", F.concat(F.lit("u"), (F.col("doc_id") % 150).cast("string")).alias("url"))
+    return readers.least_accepted(c, 30).select("id", "acceptance")
+
+
+def s12_hard_recent(spark, d):
+    c = t.corpus(spark, d).select(F.col("doc_id").alias("id"), "tier", (F.col("doc_id") % 6 == 0).alias("paid"))
+    return readers.hard_or_recent(c, 25, True).select("id", F.lit("hard").alias("list")).unionByName(readers.hard_or_recent(c, 25, False).select("id", F.lit("recent").alias("list")))
+
+
+def s14_pages(spark, d):
+    p = t.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 3).alias("offset"), "p_size")
+    return readers.needed_pages(p, p.where("p_size < 3"), 100)
+
+
+def s16_profiles(spark, d):
+    """Three sources with what each of them tells."""
+    e = t.table(spark, d, "events")
+    day = (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400) * 86400).cast("long")
+    days = e.groupBy("user_id", day.alias("day")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("calendar"))
+    tiers = e.groupBy("user_id").agg(F.create_map(F.lit("easy"), F.count_if(F.col("event_id") % 2 == 0), F.lit("hard"), F.count_if(F.col("event_id") % 2 == 1)).alias("by_tier"))
+    rated = e.groupBy("user_id").agg(F.max("value").alias("rating"), F.count_distinct("event_type").alias("solved"))
+    out = readers.profiles({"days": days, "tiers": tiers, "rated": rated})
+    return out.select("source", "user_id", "solved", F.round("rating", 6).alias("rating"), F.coalesce(F.aggregate(F.map_values("calendar"), F.lit(0).cast("long"), lambda s, x: s + x), F.lit(-1).cast("long")).alias("active"), F.coalesce(F.try_element_at("by_tier", F.lit("hard")), F.lit(-1).cast("long")).alias("hard"))
+
+
+def u7_served(spark, d):
+    """Half of the old entries could be fetched again."""
+    c = t.table(spark, d, "events").select(F.col("event_id").alias("user_id"), F.col("event_type").alias("platform"), F.col("ts").alias("fetched_at"), F.lit("old").alias("payload"))
+    new = c.select("user_id", "platform", F.when(F.col("user_id") % 2 == 0, "new").alias("payload"))
+    return state.served(c.where("user_id % 5 > 0"), new, t.AS_OF)
+
+
+def c8_curated(spark, d):
+    p = t.table(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("doc_id"), F.array(T.slugify("p_name")).alias("patterns"), F.array(F.lit("t0")).alias("tags"), F.create_map(T.slugify("p_name"), F.lit(0.5)).alias("confidence"))
+    new = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.array("p_name", "p_brand").alias("curated"), F.array(F.when(F.col("p_size") % 4 == 0, "Graphs").otherwise("Unknown")).alias("topics"))
+    out = curate.merge_curated(rows, new, {"Graphs": "graph"}, quality.ALIASES)
+    return out.select("doc_id", F.array_join("patterns", " ").alias("patterns"), F.array_join("tags", " ").alias("tags"), F.round(F.aggregate(F.map_values("confidence"), F.lit(0.0), lambda s, x: s + x), 6).alias("confidence"))
+
+
+def c9_review(spark, d):
+    p = t.table(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("doc_id"), F.array(T.slugify("p_name")).alias("patterns"), F.create_map(T.slugify("p_name"), F.lit(0.5)).alias("confidence"))
+    one = lambda label, s: F.struct(label.alias("label"), s.cast("double").alias("confidence"))
+    queue = p.where("p_size % 3 > 0").select(F.col("p_partkey").alias("doc_id"), F.array(one(F.col("p_brand"), F.col("p_size") / 77), one(F.col("p_name"), F.lit(1)), one(F.col("p_brand"), F.lit(0.1))).alias("candidates"))
+    out = curate.merge_review(rows, queue, quality.ALIASES)
+    return out.select("doc_id", F.array_join("patterns", " ").alias("patterns"), F.round(F.aggregate(F.map_values("confidence"), F.lit(0.0), lambda s, x: s + x), 6).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (t4_indexed_text, t8_trim_page, t17_day_bucket, t21_counts_from_labels, t22_snap_median, t23_angle, q10_title_lookup, r20_listing, f12_blank_query, f14_paging, u4_view_times, u5_counts, u6_handles, u6_invalidate, u7_cache, a16_by_tier, a17_marks, e5_nearest_rank, c4_taxonomy, c13_bands, s10_statements, s12_newest, s13_wanted, s14_fresh, s19_curated, k5_review)}
+QUERIES = {f.__name__: f for f in (t4_indexed_text, t8_trim_page, t17_day_bucket, t21_counts_from_labels, t22_snap_median, t23_angle, q10_title_lookup, r20_listing, f12_blank_query, f14_paging, u4_view_times, u5_counts, u6_handles, u6_invalidate, u7_cache, a16_by_tier, a17_marks, e5_nearest_rank, c4_taxonomy, c13_bands, s10_statements, s12_newest, s13_wanted, s14_fresh, s19_curated, k5_review, t20_guards, k1_append_new, k2_vectors, k3_events, k4_runs, k6_rejects, k9_seed_urls, k10_blocks, s6_taxonomy, s8_seed_urls, s12_least_accepted, s12_hard_recent, s14_pages, s16_profiles, u7_served, c8_curated, c9_review)}
 
 from .browse import _FOLD  # noqa: E402
 from .quality import ORACLES as _Q  # noqa: E402
@@ -158,7 +286,8 @@ _FMT = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
 ORACLES = {
     "t4_indexed_text": "SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_type || ' ' || p_name AS text FROM part",
-    "t8_trim_page": "SELECT doc_id, left(replace(text, 'the', chr(10) || 'THE'), 120) AS text FROM documents",
+    "t8_trim_page": f"""WITH m AS (SELECT page_id, regexp_replace(html, '(?i)</h1>', ' # ' || ['Input', 'Output', 'Constraints', 'Example', 'Note'][page_id % 5 + 1] || ' </h1>', 'g') AS html FROM pages), x AS (SELECT page_id, {quality._HTML} AS text FROM m)
+        SELECT page_id, left(replace(replace(replace(replace(text, ' # Input ', ' Input: '), ' # Output ', ' Output: '), ' # Constraints ', ' Constraints: '), ' # Example ', ' Example: '), 6000) AS text FROM x""",
     "t17_day_bucket": f"WITH {telemetry._SUB} SELECT CAST(floor(epoch / 86400) * 86400 AS BIGINT) AS day, count(*) AS n FROM s GROUP BY 1",
     "t21_counts_from_labels": "SELECT event_id, CASE WHEN value < 50 THEN 0 ELSE CAST(floor(value) AS INT) END AS n FROM events",
     "t22_snap_median": "SELECT p_type, quantile_cont(p_size, 0.5) AS median, CAST(floor(min(p_retailprice) / 25) * 25 AS BIGINT) AS low, CAST(ceil(max(p_retailprice) / 25) * 25 AS BIGINT) AS high FROM part GROUP BY p_type",
@@ -184,4 +313,25 @@ ORACLES = {
     "s14_fresh": f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{t.AS_OF}' - INTERVAL 7 DAY",
     "s19_curated": "SELECT a.page_id, b.page_id AS curated_id FROM pages a JOIN pages b USING (url) WHERE b.page_id % 5 = 0",
     "k5_review": f"SELECT doc_id, string_agg(label, ' ' ORDER BY label) AS candidates, count(*) AS n FROM ({_Q['c10_candidates']}) GROUP BY doc_id",
+    "t20_guards": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size BETWEEN 10 AND 30 THEN p_size END AS n, NULL AS no, left(p_type, 5) AS word FROM part",
+    "k1_append_new": "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'later' END AS p_name FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0",
+    "k2_vectors": "SELECT vec_id AS doc_id, len(embedding) AS dims FROM embeddings",
+    "k3_events": f"WITH {t.EVENTS_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, type, CAST(sum(CASE WHEN type = 'visit' THEN 2 ELSE 1 END) AS BIGINT) AS n FROM e GROUP BY 1, 2",
+    "k4_runs": "SELECT p_size, count(*) + k AS n, run FROM part CROSS JOIN (VALUES (0, 't1'), (1, 't2'), (1, 'latest')) v(k, run) GROUP BY p_size, k, run",
+    "k6_rejects": "SELECT p_partkey, p_size, CASE WHEN p_size < 10 THEN 'small' WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'kept' END AS reason FROM part",
+    "k9_seed_urls": f"SELECT DISTINCT {quality._HOST} || regexp_replace({quality._PATH}, '/+$', '') AS url_key FROM pages",
+    "k10_blocks": "SELECT p_partkey, CASE WHEN p_size % 5 = 2 THEN 'new' ELSE p_name END AS p_name, p_size % 5 AS block FROM part",
+    "s6_taxonomy": "SELECT * FROM (VALUES ('bfs', 'graph', NULL), ('dp', 'dynamic', NULL), ('breadth-first', 'bfs', true), ('memo', 'dp', false)) v(name, value, consuming)",
+    "s8_seed_urls": "SELECT page_id AS line_no, CASE WHEN page_id >= (SELECT min(page_id) FROM pages WHERE page_id % 10 = 0) THEN 'A' || (page_id // 10 * 10) || ' / b' END AS topic FROM pages WHERE page_id % 10 NOT IN (0, 3, 5, 7)",
+    "s12_least_accepted": f"WITH {t.CORPUS_SQL}, x AS (SELECT doc_id AS id, acceptance, row_number() OVER (PARTITION BY doc_id % 150 ORDER BY acceptance, doc_id) AS r FROM corpus WHERE tier = 'Medium' AND doc_id % 6 <> 0) SELECT id, acceptance FROM x WHERE r = 1 ORDER BY acceptance, id LIMIT 30",
+    "s12_hard_recent": f"WITH {t.CORPUS_SQL} SELECT doc_id AS id, 'hard' AS list FROM corpus WHERE tier = 'Hard' AND doc_id % 6 <> 0 UNION ALL (SELECT doc_id, 'recent' FROM corpus WHERE tier <> 'Easy' AND doc_id % 6 <> 0 ORDER BY doc_id DESC LIMIT 25)",
+    "s14_pages": "SELECT DISTINCT p_partkey * 3 // 100 AS page, p_partkey * 3 // 100 * 100 AS offset FROM part WHERE p_size < 3",
+    "s16_profiles": """SELECT 'days' AS source, user_id, NULL AS solved, NULL AS rating, count(*) AS active, -1 AS hard FROM events GROUP BY user_id UNION ALL SELECT 'tiers', user_id, count(*), NULL, -1, count(*) FILTER (event_id % 2 = 1) FROM events GROUP BY user_id
+        UNION ALL SELECT 'rated', user_id, count(DISTINCT event_type), round(max(value), 6), -1, -1 FROM events GROUP BY user_id""",
+    "u7_served": f"""WITH x AS (SELECT event_id AS user_id, event_type AS platform, event_id % 5 > 0 AS kept, event_id % 2 = 0 AS again, trunc(epoch(TIMESTAMP '{t.AS_OF}' - ts) / 60) < 720 AS fresh FROM events)
+        SELECT user_id, platform, CASE WHEN kept AND (fresh OR NOT again) THEN 'old' ELSE 'new' END AS payload, kept AND NOT fresh AND NOT again AS stale FROM x WHERE kept OR again""",
+    "c8_curated": f"""WITH x AS (SELECT p_partkey, p_size, {quality._SLUG('p_name')} AS a, {quality._CANON('p_name')} AS b, {quality._CANON('p_brand')} AS c FROM part), y AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN list_filter(list_distinct([b, c]), lambda v: v <> a) ELSE [] END AS new FROM x)
+        SELECT p_partkey AS doc_id, a || CASE WHEN list_contains(new, b) THEN ' ' || b ELSE '' END || CASE WHEN list_contains(new, c) AND c <> b THEN ' ' || c ELSE '' END AS patterns, CASE WHEN p_size % 4 = 0 THEN 't0 graph' ELSE 't0' END AS tags, round(0.5 + 0.9 * len(new), 6) AS confidence FROM y""",
+    "c9_review": f"""WITH x AS (SELECT p_partkey, p_size, {quality._SLUG('p_name')} AS a, {quality._CANON('p_name')} AS have, {quality._CANON('p_brand')} AS c FROM part)
+        SELECT p_partkey AS doc_id, CASE WHEN p_size % 3 > 0 AND c <> have THEN a || ' ' || c ELSE a END AS patterns, round(0.5 + CASE WHEN p_size % 3 > 0 AND c <> have THEN round(p_size / 77, 2) ELSE 0 END, 6) AS confidence FROM x""",
 }

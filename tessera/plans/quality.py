@@ -27,7 +27,7 @@ def t5_slugify(spark, d):
 
 
 def t6_valid(spark, d):
-    return t.table(spark, d, "part").select("p_partkey", T.is_slug("p_name").alias("name_slug"), T.is_slug(F.lower("p_type")).alias("type_slug"), T.is_handle("p_brand").alias("handle"), T.is_email(F.concat("p_type", F.lit("@x.org"))).alias("email"))
+    return t.table(spark, d, "part").select("p_partkey", T.is_slug("p_name").alias("name_slug"), T.is_slug(F.lower("p_type")).alias("type_slug"), T.is_handle("p_brand").alias("handle"), T.is_email(F.concat("p_type", F.lit("@x.org"))).alias("email"), T.is_problem_id(F.concat(F.lit("id-"), F.lower(F.regexp_replace("p_name", " ", "-")))).alias("problem_id"), T.is_problem_id("p_brand").alias("not_problem_id"), T.is_search_id(F.substring(F.md5(F.col("p_name").cast("binary")), 1, F.col("p_size") % 12 + 1)).alias("search_id"))
 
 
 def t7_html(spark, d):
@@ -35,13 +35,23 @@ def t7_html(spark, d):
 
 
 def t9_usable(spark, d):
-    return t.documents(spark, d).select("doc_id", T.has_usable_text(T.clip("text", 60)).alias("usable"))
+    return t.documents(spark, d).select("doc_id", T.has_usable_text("text").alias("usable"))
 
 
 def t10_urls(spark, d):
     return t.table(spark, d, "pages").select("page_id", T.host("url").alias("host"), T.path_id("url").alias("number"), T.normal_url("url").alias("normal"))
 
 
+JUDGES = ("https://leetcode.com/problems/p-{}/", "https://codeforces.com/problemset/problem/0{}/B1", "https://cses.fi/problemset/task/{}/", "https://atcoder.jp/contests/abc{}/tasks/ABC{}_d", "https://www.other.org/{}")
+
+
+def t10_problem_ids(spark, d):
+    """Page numbers in the URLs of four judges and another site."""
+    n = F.col("page_id").cast("string")
+    urls = F.array(*[F.replace(F.lit(x), F.lit("{}"), n) for x in JUDGES])
+    return t.table(spark, d, "pages").select("page_id", F.explode(urls).alias("url")).select("page_id", "url", T.platform("url").alias("platform"), T.problem_id("url").alias("problem_id"))
+
+
 def t13_confidence(spark, d):
     return t.table(spark, d, "part").select("p_partkey", F.array_join(F.transform(F.array_sort(F.map_entries(T.clean_confidence(F.map_from_arrays(F.array(F.lit("small ring"), F.lit("ring"), "p_brand", F.lit("bad")), F.array((F.col("p_size") / 40).cast("string"), F.lit("0.5"), (F.col("p_retailprice") / 1000 - 1).cast("string"), F.lit("x"))), ALIASES))), lambda e: F.concat_ws("=", e["key"], F.round(e["value"], 4).cast("decimal(6,4)").cast("string"))), " ").alias("confidence"))
 
@@ -51,6 +61,20 @@ def t14_families(spark, d):
     return t.table(spark, d, "part").select("p_partkey", F.array_join(T.with_families(labels, FAMILIES), " ").alias("labels"))
 
 
+def t14_family_rules(spark, d):
+    """The nine rules, each by a label that it alone takes."""
+    labels = ("bitmask-dp", "breadth-first-search", "dfs-order", "binary-search-answer", "fenwick-tree", "two-pointer-walk", "catalan-numbers", "euler-totient", "dsu")
+    rows = t.table(spark, d, "part").select("p_partkey", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
+    return rows.select("p_partkey", "label", F.array_join(T.with_families(F.array("label")), " ").alias("labels"))
+
+
+def c3_queries(spark, d):
+    i = F.col("item_id")
+    q = t.table(spark, d, "benchmark").select(i.alias("qid"), F.when(i % 7 > 0, F.col("text")).otherwise(" ").alias("query"), F.when(i % 5 > 0, "title").otherwise("other").alias("slice"))
+    rel = q.where("qid % 4 <> 0").select("qid", F.when(F.col("qid") % 3 == 0, F.lit(-1)).otherwise(F.col("qid")).cast("long").alias("doc_id"))
+    return curate.query_faults(q, rel, t.documents(spark, d))
+
+
 def t15_summary(spark, d):
     return t.documents(spark, d).select("doc_id", T.fallback_summary(F.when(F.col("doc_id") % 3 > 0, F.col("text")), "lang", "source", 80).alias("summary"))
 
@@ -76,7 +100,7 @@ def t24_seal(spark, d):
 
 def c1_validate(spark, d):
     rows = t.documents(spark, d).select(
-        "doc_id", F.when(F.col("doc_id") % 11 > 0, F.col("lang")).alias("title"), F.col("source").alias("slug"), F.when(F.col("lang") != "es", F.col("lang")).alias("platform"), F.lit("https://x").alias("url"), F.substring("text", 1, 700).alias("body"),
+        "doc_id", F.when(F.col("doc_id") % 11 > 0, F.col("lang")).alias("title"), F.col("source").alias("slug"), F.when(F.col("lang") != "es", F.col("lang")).alias("platform"), F.lit("https://x").alias("url"), F.col("text").alias("body"),
         F.array(F.col("source")).alias("tags"), F.array(F.lit("p q")).alias("patterns"), F.create_map(F.lit("c"), F.col("n_chars") / 10000).alias("confidence"), F.when(F.col("lang") == "en", "easy").alias("tier"), F.when(F.col("n_chars") % 2 == 0, F.col("n_chars")).alias("rating"))
     return curate.rule_violations(rows, curate.record_rules(["en", "de", "fr"], ["src1", "src2", "p q"]))
 
@@ -182,7 +206,7 @@ def k11_merge_owned(spark, d):
     return writers.merge_owned(sheet, own, "p_partkey", ["p_size"])
 
 
-QUERIES = {f.__name__: f for f in (t1_tokenize, t3_numbers, t5_slugify, t6_valid, t7_html, t9_usable, t10_urls, t13_confidence, t14_families, t15_summary, t16_digest, t16_corpus, t18_osa, t24_seal, c1_validate, c2_uniqueness, c3_dangling, c5_drift, c6_normalise, c7_add_labels, c10_candidates, c12_dedupe_urls, c13_backfill, c14_ingest, c15_topics, c17_clean_events, a21_unknown_labels, a23_tag_additions, s8_carry_down, s12_per_rating, k7_pending, k8_upsert, k11_merge_owned)}
+QUERIES = {f.__name__: f for f in (t1_tokenize, t3_numbers, t5_slugify, t6_valid, t7_html, t9_usable, t10_urls, t10_problem_ids, t14_family_rules, c3_queries, t13_confidence, t14_families, t15_summary, t16_digest, t16_corpus, t18_osa, t24_seal, c1_validate, c2_uniqueness, c3_dangling, c5_drift, c6_normalise, c7_add_labels, c10_candidates, c12_dedupe_urls, c13_backfill, c14_ingest, c15_topics, c17_clean_events, a21_unknown_labels, a23_tag_additions, s8_carry_down, s12_per_rating, k7_pending, k8_upsert, k11_merge_owned)}
 
 from .search import _tok  # noqa: E402
 
@@ -192,22 +216,25 @@ _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([
 _PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1)"
 _DIG = "sha256(doc_id || chr(10) || text || chr(10))"
 _HTML = r"regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g')"
-_HTML = rf"regexp_replace({_HTML}, '(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|pre)\b[^>]*>', chr(10), 'g')"
-_HTML = f"regexp_replace({_HTML}, '<[^>]*>', '', 'g')"
-for _a, _b in T._ENTITIES:
-    _HTML = "replace({}, '{}', '{}')".format(_HTML, _a, _b.replace("'", "''"))
-_HTML = rf"regexp_replace({_HTML}, '[ \t\r\f]+', ' ', 'g')"
-_HTML = rf"regexp_replace(regexp_replace({_HTML}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+_HTML = f"regexp_replace({_HTML}, '<[a-zA-Z/!?][^>]*>', ' ', 'g')"
+# the references that the pages have
+for _a, _b in (("&amp;", "'&'"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&quot;", "chr(34)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&nbsp;", "' '"), ("&#39;", "chr(39)")) * 2:
+    _HTML = f"replace({_HTML}, '{_a}', {_b})"
+_HTML = rf"trim(regexp_replace({_HTML}, '\s+', ' ', 'g'))"
 _DEDUP = lambda xs: f"list_filter([{xs}], lambda x, i: list_position([{xs}], x) = i)"
 
 ORACLES = {
     "t1_tokenize": f"SELECT doc_id, array_to_string({_tok('text')}, ' ') AS tokens FROM documents",
     "t3_numbers": f"SELECT page_id, array_to_string(list_transform({_tok('url')}, lambda x: CASE x WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '3' THEN 'three' WHEN '4' THEN 'four' ELSE x END), ' ') AS tokens FROM pages",
     "t5_slugify": f"SELECT p_partkey, {_SLUG(chr(39) + '-- ' + chr(39) + ' || p_name || ' + chr(39) + ' ' + chr(39) + ' || p_brand || ' + chr(39) + ' !' + chr(39))} AS slug FROM part",
-    "t6_valid": "SELECT p_partkey, regexp_full_match(p_name, '[a-z0-9]+(-[a-z0-9]+)*') AS name_slug, regexp_full_match(lower(p_type), '[a-z0-9]+(-[a-z0-9]+)*') AS type_slug, regexp_full_match(p_brand, '[A-Za-z0-9_.-]{1,64}') AS handle, regexp_full_match(p_type || '@x.org', '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') AS email FROM part",
+    "t6_valid": "SELECT p_partkey, regexp_full_match(p_name, '[a-z0-9]+(-[a-z0-9]+)*') AS name_slug, regexp_full_match(lower(p_type), '[a-z0-9]+(-[a-z0-9]+)*') AS type_slug, regexp_full_match(p_brand, '[A-Za-z0-9_.-]{1,64}') AS handle, regexp_full_match(p_type || '@x.org', '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') AS email, regexp_full_match('id-' || lower(replace(p_name, ' ', '-')), '[a-z0-9-]{3,128}') AS problem_id, regexp_full_match(p_brand, '[a-z0-9-]{3,128}') AS not_problem_id, p_size % 12 + 1 >= 8 AS search_id FROM part",
     "t7_html": f"SELECT page_id, {_HTML} AS text FROM pages",
-    "t9_usable": "SELECT doc_id, length(trim(left(text, 60))) >= 40 AND NOT regexp_matches(lower(trim(left(text, 60))), 'just a moment|access denied|enable javascript|captcha') AS usable FROM documents",
+    "t9_usable": "SELECT doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 40 AND NOT regexp_matches(lower(text), 'just a moment|enable javascript and cookies|cloudflare|attention required') AS usable FROM documents",
     "t10_urls": f"SELECT page_id, {_HOST} AS host, try_cast(regexp_extract({_PATH}, '([0-9]+)(?:\\.[a-z]+)?/?$', 1) AS BIGINT) AS number, {_HOST} || regexp_replace({_PATH}, '/+$', '') AS normal FROM pages",
+    "t10_problem_ids": """SELECT page_id, replace(u, '{}', page_id::VARCHAR) AS url, p AS platform, replace(i, '{}', page_id::VARCHAR) AS problem_id FROM pages CROSS JOIN (VALUES ('https://leetcode.com/problems/p-{}/', 'leetcode', 'leetcode-p-{}'), ('https://codeforces.com/problemset/problem/0{}/B1', 'codeforces', 'codeforces-{}-b1'),
+        ('https://cses.fi/problemset/task/{}/', 'cses', 'cses-{}'), ('https://atcoder.jp/contests/abc{}/tasks/ABC{}_d', 'atcoder', 'atcoder-abc{}-d'), ('https://www.other.org/{}', 'other.org', NULL)) v(u, p, i)""",
+    "t14_family_rules": "SELECT p_partkey, l AS label, l || ' ' || f AS labels FROM part CROSS JOIN (VALUES ('bitmask-dp', 'dynamic-programming'), ('breadth-first-search', 'bfs'), ('dfs-order', 'dfs'), ('binary-search-answer', 'binary-search'), ('fenwick-tree', 'segment-tree'), ('two-pointer-walk', 'two-pointers'), ('catalan-numbers', 'combinatorics'), ('euler-totient', 'number-theory'), ('dsu', 'union-find')) v(l, f)",
+    "c3_queries": "SELECT item_id AS qid, 'query_blank' AS fault FROM benchmark WHERE item_id % 7 = 0 UNION ALL SELECT item_id, 'slice_unknown' FROM benchmark WHERE item_id % 5 = 0 UNION ALL SELECT item_id, 'no_relevant' FROM benchmark WHERE item_id % 4 = 0 UNION ALL SELECT item_id, 'relevant_unknown' FROM benchmark WHERE item_id % 4 <> 0 AND item_id % 3 = 0",
     "t13_confidence": f"""WITH x AS (SELECT p_partkey, 'ring' AS k, greatest(0, least(1, greatest(p_size / 40, 0.5))) AS v FROM part UNION ALL SELECT p_partkey, {_CANON('p_brand')}, greatest(0, least(1, p_retailprice / 1000 - 1)) FROM part)
         SELECT p_partkey, string_agg(k || '=' || printf('%.4f', round(v, 4)), ' ' ORDER BY k) AS confidence FROM x GROUP BY p_partkey""",
     "t14_families": f"""WITH l AS (SELECT p_partkey, {_DEDUP(_CANON('p_name') + ', ' + _CANON('p_brand') + ', ' + _CANON('p_type'))} AS ls FROM part),
@@ -217,7 +244,7 @@ ORACLES = {
     "t16_digest": f"SELECT doc_id, {_DIG} AS digest FROM documents",
     "t16_corpus": f"SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR AS h1, sum(('0x' || substr(h, 16, 15))::HUGEINT)::VARCHAR AS h2 FROM (SELECT {_DIG} AS h FROM documents)",
     "t24_seal": "SELECT c_custkey, c_name AS opened, true AS is_sealed, c_name AS plain FROM customer",
-    "c1_validate": """WITH r AS (SELECT doc_id, [CASE WHEN doc_id % 11 = 0 THEN 'error:title_missing' END, CASE WHEN lang = 'es' THEN 'error:platform_unknown' END, CASE WHEN trim(left(text, 700)) = '' THEN 'error:body_missing' END, CASE WHEN length(left(text, 700)) > 600 THEN 'warning:body_long' END,
+    "c1_validate": """WITH r AS (SELECT doc_id, [CASE WHEN doc_id % 11 = 0 THEN 'error:title_missing' END, CASE WHEN lang = 'es' THEN 'error:platform_unknown' END, CASE WHEN trim(text) = '' THEN 'error:body_missing' END, CASE WHEN length(text) > 600 THEN 'warning:body_long' END,
         'error:label_invalid', CASE WHEN source NOT IN ('src1', 'src2') THEN 'warning:label_unknown' END, CASE WHEN n_chars > 10000 THEN 'error:confidence_range' END, CASE WHEN lang = 'en' AND n_chars % 2 = 0 THEN 'error:tier_and_rating' END] AS v FROM documents),
         u AS (SELECT doc_id, unnest(v) AS x FROM r) SELECT doc_id, split_part(x, ':', 1) AS level, split_part(x, ':', 2) AS rule FROM u WHERE x IS NOT NULL""",
     "c2_uniqueness": "SELECT p_name, p_brand, p_size, count(*) AS copies FROM part GROUP BY ALL HAVING count(*) > 1",

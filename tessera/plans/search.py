@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dense, evaluate, lexical, rewrite
+from ..operators import dense, evaluate, facets, lexical, rewrite, serve
+from ..operators.common import scratch
 from . import tables as t
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -67,7 +68,7 @@ def r5_bm25_page2(spark, d):
 
 def r13_bm25_explain(spark, d):
     docs = lexical.tokenized(t.documents(spark, d), F.col("text"))
-    c = lexical.contributions(docs, lexical.query_tokens(t.queries(spark, d)).where("qid % 10 = 0"))
+    c = lexical.contributions(docs, lexical.query_tokens(t.queries(spark, d)))
     norm = 1 - lexical.B + lexical.B * F.col("dl") / F.col("avgdl")
     return c.select("qid", "pos", "term", "doc_id", F.col("tf").alias("count"), F.col("dl").cast("long").alias("doc_length"), F.round(norm, 6).alias("norm"), F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"))
 
@@ -101,23 +102,66 @@ def r14_dense_explain(spark, d):
     return dense.explain(dense.search(v, q, 20)).withColumn("rank", F.col("rank").cast("long")).withColumn("angle_deg", F.round("angle_deg", 2))
 
 
+def _dense(spark, d, k=10):
+    """Each benchmark item searched with the vector of its number."""
+    v = t.vectors(spark, d)
+    items = t.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"))
+    return dense.search(v, items.join(v.select(F.col("doc_id").alias("qid"), "vector"), "qid"), k)
+
+
+def _hybrid(spark, d, k=10):
+    return dense.fuse(_search(spark, d, "bm25", 100), _dense(spark, d, 100), k)
+
+
+def _longs(df, *names):
+    return df.withColumns({c: F.col(c).cast("long") for c in names})
+
+
 def r12_rrf(spark, d):
-    a, b = _search(spark, d, "bm25", 100), _search(spark, d, "tfidf", 100)
-    out = dense.fuse(a, b)
-    return out.withColumns({c: F.col(c).cast("long") for c in ("rank", "lex_rank", "dense_rank")})
+    return _longs(_hybrid(spark, d), "rank", "lex_rank", "dense_rank").withColumn("matched_terms", F.array_join("matched_terms", " "))
+
+
+def r14_hybrid_explain(spark, d):
+    return _longs(dense.explain_fused(_hybrid(spark, d, 20)), "rank", "lex_rank", "dense_rank")
 
 
 def r16_compare(spark, d):
-    return dense.compare({"bm25": _search(spark, d, "bm25"), "tfidf": _search(spark, d, "tfidf")}).withColumn("rank", F.col("rank").cast("long"))
+    runs = {"bm25": lambda: _search(spark, d, "bm25"), "tfidf": lambda: _search(spark, d, "tfidf"), "dense": lambda: _dense(spark, d), "hybrid": lambda: _hybrid(spark, d)}
+    return dense.compare(runs).withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 6))
 
 
 def r17_rank_delta(spark, d):
-    return dense.rank_delta(_search(spark, d, "bm25"), _search(spark, d, "tfidf")).withColumns({c: F.col(c).cast("long") for c in ("rank_a", "rank_b")})
+    return _longs(dense.rank_delta(_search(spark, d, "bm25"), _hybrid(spark, d)), "rank_a", "rank_b")
+
+
+def r13_tfidf_explain(spark, d):
+    docs = lexical.tokenized(t.documents(spark, d), F.col("text"))
+    c = lexical.contributions(docs, lexical.query_tokens(t.queries(spark, d)), "tfidf")
+    return c.select("qid", "pos", "term", "doc_id", F.col("tf").alias("count"), F.col("dl").cast("long").alias("doc_length"), F.round(F.col("tf") / F.col("dl"), 6).alias("tf"), F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"))
+
+
+def _index(spark, d):
+    """The stored index of a table folder; built once for each, in the shared folder."""
+    path = f"{scratch(spark)}/index-{T.STOPWORDS.__len__()}-{abs(hash(d)):x}-{spark.sparkContext.applicationId}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/corpus/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        lexical.StoredIndex.build(lexical.tokenized(t.documents(spark, d), F.col("text")), path)
+    return lexical.StoredIndex(spark, path)
+
+
+def r5_stored_index(spark, d):
+    """The same hits as ``r5_bm25_top10``, from the stored index."""
+    return _flat(_index(spark, d).search(lexical.query_tokens(t.queries(spark, d)), "bm25"))
+
+
+def r18_ranker_pick(spark, d):
+    rows = [(x, lexical.pick_ranker(x, lexical.RANKERS)[0]) for x in ("bm25", "TFIDF ", "nope", "", None)]
+    return spark.createDataFrame(rows, "asked string, ranker string")
 
 
 def _scores(spark, d):
     runs = dense.compare({"bm25": _search(spark, d, "bm25", 100), "tfidf": _search(spark, d, "tfidf", 100)})
-    return evaluate.per_query(runs, t.qrels(spark, d), t.queries(spark, d))
+    return evaluate.per_query(runs, t.qrels(spark, d), t.queries(spark, d), ["bm25", "tfidf"])
 
 
 def e1_e4_metrics(spark, d):
@@ -132,6 +176,20 @@ def e7_ranker_diff(spark, d):
     return evaluate.ranker_diff(_scores(spark, d), "bm25", "tfidf").select("qid", "slice", *[F.round(c, 6).alias(c) for c in ("rr_a", "rr_b", "delta")], "outcome")
 
 
+def e7_totals(spark, d):
+    return evaluate.diff_totals(evaluate.ranker_diff(_scores(spark, d), "bm25", "tfidf"))
+
+
+def e7_most_changed(spark, d):
+    return evaluate.most_changed(evaluate.ranker_diff(_scores(spark, d), "bm25", "tfidf"), 5).select("side", "qid", F.round("delta", 6).alias("delta"))
+
+
+def e8_metric_deltas(spark, d):
+    """The TF-IDF run as the newer one, under BM25's name."""
+    means = evaluate.by_slice(_scores(spark, d))
+    return evaluate.metric_deltas(means.where("ranker = 'bm25'"), means.where("ranker = 'tfidf'").withColumn("ranker", F.lit("bm25")))
+
+
 def e8_run_diff(spark, d):
     after = _search(spark, d, "bm25", 5)
     old = t.documents(spark, d).where("doc_id % 5 <> 0")
@@ -151,7 +209,7 @@ def _typos(spark, d):
 
 
 def q7_spellfix(spark, d):
-    return rewrite.corrections(_typos(spark, d), _vocabulary(spark, d)).withColumn("distance", F.col("distance").cast("long"))
+    return rewrite.corrections(_typos(spark, d), _vocabulary(spark, d)).drop("pos").withColumn("distance", F.col("distance").cast("long"))
 
 
 def q9_guard(spark, d):
@@ -163,12 +221,33 @@ def q9_guard(spark, d):
 RULES = [rewrite.Alias("the shortest path", "dijkstra algorithm", True), rewrite.Alias("bfs", "breadth first search"), rewrite.Alias("dp", "dynamic programming"), rewrite.Alias("two pointer", "sliding window", True)]
 
 
+PHRASES = ("BFS  grid", "the shortest path in a graph", "two-pointer 3 sum", "dp", "breadth first search bfs", "shortest path dijkstra algorithm the shortest path")
+
+
 def q1_expand(spark, d):
-    q = t.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("bfs "), (F.col("item_id") % 6).cast("string"), F.lit(" of "), F.element_at(T.tokenize("text"), 1)).alias("query"))
-    return rewrite.expand(q, RULES).select("qid", "query", "expanded", F.array_join("added", " ").alias("added"), F.array_join("matches", " ").alias("matches"))
+    """One of PHRASES and a passage's first token: consuming, appending and idle rules, and numbers."""
+    q = t.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat_ws(" ", F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("item_id") % len(PHRASES) + 1).cast("int")), F.element_at(T.tokenize("text"), 1)).alias("query"))
+    return rewrite.expand(q, RULES).select("qid", "query", "expanded", F.array_join("added", " ").alias("added"), F.array_join("matches", ",").alias("matches"))
+
+
+def _typed(spark, d):
+    """Queries whose words of four letters and more have their last two letters swapped."""
+    rows = _typos(spark, d).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), " ").alias("query"))
+    return rows
+
+
+def q8_corrected(spark, d):
+    return serve.serve(lexical.tokenized(t.documents(spark, d), F.col("text")), _typed(spark, d), RULES, _vocabulary(spark, d))["rewritten"].select("qid", "query")
+
+
+def q8_serve(spark, d):
+    """Mistyped queries through the whole path, English documents only."""
+    keep = facets.facet_filter(t.corpus(spark, d), {"en"})
+    out = serve.serve(lexical.tokenized(t.documents(spark, d), F.col("text")), _typed(spark, d), RULES, _vocabulary(spark, d), "bm25", keep)["hits"]
+    return out.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "total")
 
 
-QUERIES = {f.__name__: f for f in (r1_postings, r2_term_stats, r3_tfidf_top10, r5_bm25_top10, r5_bm25_page2, r13_bm25_explain, r15_index_dump, r19_title_bonus, r8_dense_top10, r9_similar, r14_dense_explain, r12_rrf, r16_compare, r17_rank_delta, e1_e4_metrics, e6_by_slice, e7_ranker_diff, e8_run_diff, q1_expand, q7_spellfix, q9_guard)}
+QUERIES = {f.__name__: f for f in (r1_postings, r2_term_stats, r3_tfidf_top10, r5_bm25_top10, r5_bm25_page2, r13_bm25_explain, r15_index_dump, r19_title_bonus, r8_dense_top10, r9_similar, r14_dense_explain, r12_rrf, r13_tfidf_explain, r14_hybrid_explain, r16_compare, r17_rank_delta, r5_stored_index, r18_ranker_pick, e1_e4_metrics, e6_by_slice, e7_ranker_diff, e7_totals, e7_most_changed, e8_run_diff, e8_metric_deltas, q1_expand, q7_spellfix, q8_corrected, q8_serve, q9_guard)}
 
 _DOT = "list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] * z[2]))"
 
@@ -180,6 +259,10 @@ def _dense_sql(k: int, other: str = "true", extra: str = "") -> str:
         WHERE rank <= {k}"""
 
 
+_HYBRID = f"""{_ranked_sql('bm25', 'a', 100)},
+    den AS (SELECT * FROM (SELECT qid, doc_id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) AS rank FROM (SELECT a.vec_id AS qid, b.vec_id AS doc_id, round({_DOT}, 9) AS s FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= 100),
+    f AS (SELECT qid, doc_id, a.rank AS lex_rank, den.rank AS dense_rank, matched_terms, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + den.rank), 0) AS s FROM a FULL JOIN den USING (qid, doc_id)),
+    g AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, lex_rank ASC NULLS LAST, doc_id) AS rank, doc_id, s, lex_rank, dense_rank, matched_terms, count(*) OVER (PARTITION BY qid) AS total FROM f)"""
 _QRELS = "rel AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _SCORES = f"""{_BASE}, {_ranked_sql('bm25', 'a', 100)}, {_ranked_sql('tfidf', 'b', 100)}, {_QRELS},
     nr AS (SELECT qid, count(*) AS nr FROM rel GROUP BY qid),
@@ -200,7 +283,7 @@ ORACLES = {
     "r3_tfidf_top10": f"{_BASE}, {_ranked_sql('tfidf', 'a')} SELECT * FROM a",
     "r5_bm25_top10": f"{_BASE}, {_ranked_sql('bm25', 'a')} SELECT * FROM a",
     "r5_bm25_page2": f"{_BASE}, {_ranked_sql('bm25', 'a')} SELECT * FROM a_r WHERE rank BETWEEN 11 AND 20",
-    "r13_bm25_explain": f"{_BASE}, {_ranked_sql('bm25', 'a')} SELECT qid, pos, term, doc_id, tf AS count, dl AS doc_length, round(0.25 + 0.75 * dl / avgdl, 6) AS norm, round(idf, 6) AS idf, round(contribution, 6) AS contribution FROM a_c WHERE qid % 10 = 0",
+    "r13_bm25_explain": f"{_BASE}, {_ranked_sql('bm25', 'a')} SELECT qid, pos, term, doc_id, tf AS count, dl AS doc_length, round(0.25 + 0.75 * dl / avgdl, 6) AS norm, round(idf, 6) AS idf, round(contribution, 6) AS contribution FROM a_c",
     "r15_index_dump": f"{_BASE} SELECT term, count(*) AS df, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY ALL) GROUP BY term",
     "r19_title_bonus": f"""WITH d AS (SELECT p_partkey AS doc_id, p_name, {_tok("p_name || ' ' || lower(replace(p_brand, '#', '-')) || ' ' || p_type")} AS toks FROM part),
         dl AS (SELECT doc_id, len(toks) AS dl FROM d), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
@@ -214,13 +297,15 @@ ORACLES = {
     "r8_dense_top10": _dense_sql(10),
     "r9_similar": _dense_sql(10, "a.vec_id <> b.vec_id"),
     "r14_dense_explain": _dense_sql(20, "true", ", round(round(degrees(acos(greatest(-1, least(1, round(s, 6))))), 4), 2) AS angle_deg"),
-    "r12_rrf": f"""{_BASE}, {_ranked_sql('bm25', 'a', 100)}, {_ranked_sql('tfidf', 'b', 100)},
-        f AS (SELECT qid, doc_id, a.rank AS lex_rank, b.rank AS dense_rank, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS s FROM a FULL JOIN b USING (qid, doc_id)),
-        g AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, lex_rank ASC NULLS LAST, doc_id) AS rank, doc_id, round(s, 9) AS score, lex_rank, dense_rank, count(*) OVER (PARTITION BY qid) AS total FROM f)
-        SELECT * FROM g WHERE rank <= 10""",
-    "r16_compare": f"{_BASE}, {_ranked_sql('bm25', 'a')}, {_ranked_sql('tfidf', 'b')} SELECT 'bm25' AS ranker, qid, rank, doc_id, score FROM a UNION ALL SELECT 'tfidf', qid, rank, doc_id, score FROM b",
-    "r17_rank_delta": f"""{_BASE}, {_ranked_sql('bm25', 'a')}, {_ranked_sql('tfidf', 'b')} SELECT qid, doc_id, a.rank AS rank_a, b.rank AS rank_b,
-        CASE WHEN a.rank IS NULL OR b.rank IS NULL THEN 'absent' WHEN a.rank = b.rank THEN 'same' WHEN b.rank < a.rank THEN 'up' ELSE 'down' END AS move FROM a FULL JOIN b USING (qid, doc_id)""",
+    "r12_rrf": f"{_BASE}, {_HYBRID} SELECT qid, rank, doc_id, round(s, 9) AS score, lex_rank, dense_rank, total, coalesce(matched_terms, '') AS matched_terms FROM g WHERE rank <= 10",
+    "r14_hybrid_explain": f"{_BASE}, {_HYBRID} SELECT qid, rank, doc_id, lex_rank, dense_rank, round(coalesce(1.0 / (60 + lex_rank), 0), 9) AS lex_contribution, round(coalesce(1.0 / (60 + dense_rank), 0), 9) AS dense_contribution, round(s, 9) AS total FROM g WHERE rank <= 20",
+    "r13_tfidf_explain": f"{_BASE}, {_ranked_sql('tfidf', 'a')} SELECT qid, pos, term, doc_id, tf AS count, dl AS doc_length, round(tf / dl, 6) AS tf, round(idf, 6) AS idf, round(contribution, 6) AS contribution FROM a_c",
+    "r5_stored_index": f"{_BASE}, {_ranked_sql('bm25', 'a')} SELECT * FROM a",
+    "r18_ranker_pick": "SELECT * FROM (VALUES ('bm25', 'bm25'), ('TFIDF ', 'tfidf'), ('nope', 'bm25'), ('', 'bm25'), (NULL, 'bm25')) v(asked, ranker)",
+    "r16_compare": f"""{_BASE}, {_HYBRID}, {_ranked_sql('tfidf', 'b')} SELECT 'bm25' AS ranker, qid, rank, doc_id, score FROM a WHERE rank <= 10 UNION ALL SELECT 'tfidf', qid, rank, doc_id, score FROM b
+        UNION ALL SELECT 'dense', qid, rank, doc_id, round(s, 6) FROM den WHERE rank <= 10 UNION ALL SELECT 'hybrid', qid, rank, doc_id, round(s, 6) FROM g WHERE rank <= 10""",
+    "r17_rank_delta": f"""{_BASE}, {_HYBRID} SELECT qid, doc_id, x.rank AS rank_a, y.rank AS rank_b,
+        CASE WHEN x.rank IS NULL OR y.rank IS NULL THEN 'absent' WHEN x.rank = y.rank THEN 'same' WHEN y.rank < x.rank THEN 'up' ELSE 'down' END AS move FROM (SELECT * FROM a WHERE rank <= 10) x FULL JOIN (SELECT * FROM g WHERE rank <= 10) y USING (qid, doc_id)""",
     "e1_e4_metrics": f"{_SCORES} SELECT ranker, qid, slice, {_M} FROM sc",
     "e6_by_slice": f"{_SCORES} SELECT ranker, 'all' AS slice, count(*) AS n, {_AVG} FROM sc GROUP BY ranker UNION ALL SELECT ranker, slice, count(*), {_AVG} FROM sc GROUP BY ranker, slice",
     "e7_ranker_diff": f"""{_SCORES} SELECT qid, a.slice, round(a.rr, 6) AS rr_a, round(b.rr, 6) AS rr_b, round(b.rr - a.rr, 6) AS delta, CASE WHEN b.rr - a.rr > 1e-9 THEN 'win' WHEN b.rr - a.rr < -1e-9 THEN 'loss' ELSE 'tie' END AS outcome
@@ -235,6 +320,29 @@ ORACLES = {
         m AS (SELECT qid, bool_and(df IS NULL) AS refused, list(term ORDER BY pos) FILTER (df IS NULL) AS unk FROM (SELECT qid, term, min(pos) AS pos, any_value(df) AS df FROM ty LEFT JOIN v USING (term) GROUP BY qid, term) GROUP BY qid)
         SELECT qid, coalesce(refused, false) AS refused, CASE WHEN refused THEN array_to_string(unk[1:5], ' ') ELSE '' END AS unknown_terms FROM q LEFT JOIN m USING (qid)""",
 }
+_E7 = ORACLES["e7_ranker_diff"]
+ORACLES["e7_totals"] = f"SELECT count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (outcome = 'tie') AS ties, round(avg(rr_a), 6) AS mean_a, round(avg(rr_b), 6) AS mean_b FROM ({_E7})"
+ORACLES["e7_most_changed"] = f"WITH x AS ({_E7}) (SELECT 'win' AS side, qid, delta FROM x WHERE outcome = 'win' ORDER BY delta DESC, qid LIMIT 5) UNION ALL (SELECT 'loss', qid, delta FROM x WHERE outcome = 'loss' ORDER BY delta, qid LIMIT 5)"
+ORACLES["e8_metric_deltas"] = f"WITH m AS ({ORACLES['e6_by_slice']}) SELECT 'bm25' AS ranker, a.slice, {', '.join(f'round(b.{m} - a.{m}, 6) AS {m}' for m in evaluate.METRICS)} FROM m a JOIN m b ON a.slice = b.slice AND a.ranker = 'bm25' AND b.ranker = 'tfidf'"
+# by hand from the rules: what each phrase turns into around the passage's first token
+ORACLES["q1_expand"] = f"""WITH x AS (SELECT item_id AS qid, item_id % 6 AS i, {_tok('text')}[1] AS w FROM benchmark)
+    SELECT qid, CASE i WHEN 0 THEN 'bfs grid ' || w || ' breadth first search' WHEN 1 THEN 'in a graph ' || w || ' dijkstra algorithm' WHEN 2 THEN '3 sum ' || w || ' sliding window three' WHEN 3 THEN 'dp ' || w || ' dynamic programming'
+        WHEN 4 THEN 'breadth first search bfs ' || w ELSE 'shortest path dijkstra algorithm the shortest path ' || w END AS query, i < 4 AS expanded,
+        CASE i WHEN 0 THEN 'breadth first search' WHEN 1 THEN 'dijkstra algorithm' WHEN 2 THEN 'sliding window three' WHEN 3 THEN 'dynamic programming' ELSE '' END AS added,
+        CASE i WHEN 0 THEN 'bfs' WHEN 1 THEN 'the shortest path' WHEN 2 THEN 'two pointer,3' WHEN 3 THEN 'dp' WHEN 4 THEN 'bfs' ELSE 'the shortest path' END AS matches FROM x"""
+_TYPED = f"""tq AS (SELECT qid, string_agg(term, ' ' ORDER BY pos) AS query FROM ty GROUP BY qid),
+    tt AS (SELECT qid, unnest(range(0, len(x))) AS pos, unnest(x) AS term FROM (SELECT qid, {_tok('query')} AS x FROM tq)),
+    tu AS (SELECT qid, term, min(pos) AS pos FROM tt WHERE length(term) >= 3 AND term NOT IN (SELECT term FROM v) GROUP BY ALL),
+    tw AS (SELECT DISTINCT term, CASE WHEN length(term) >= 8 THEN 2 ELSE 1 END AS budget FROM tu),
+    tc AS (SELECT tw.term, budget, v.term AS correction, df, damerau_levenshtein(tw.term, v.term) AS distance FROM tw JOIN v ON abs(length(tw.term) - length(v.term)) <= budget AND df >= 3 AND (left(tw.term, 1) = left(v.term, 1) OR right(tw.term, 1) = right(v.term, 1))),
+    tb AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY distance, df DESC, correction) AS r FROM tc WHERE distance <= budget),
+    tf2 AS (SELECT * FROM (SELECT qid, tu.pos, correction, row_number() OVER (PARTITION BY qid ORDER BY tu.pos) AS k FROM tu JOIN tb ON tu.term = tb.term AND r = 1) WHERE k <= 2),
+    rq AS (SELECT qid, query || coalesce(' ' || more, '') AS query FROM tq LEFT JOIN (SELECT qid, string_agg(correction, ' ' ORDER BY pos) AS more FROM tf2 GROUP BY qid) USING (qid))"""
+ORACLES["q8_corrected"] = f"{_BASE}, {_VOCAB}, {_TYPO}, {_TYPED} SELECT * FROM rq"
+ORACLES["q8_serve"] = f"""{_BASE}, {_VOCAB}, {_TYPO}, {_TYPED}, rt AS (SELECT qid, unnest(range(0, len(x))) AS pos, unnest(x) AS term FROM (SELECT qid, {_tok('query')} AS x FROM rq)),
+    rp AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM rt) GROUP BY ALL),
+    rs AS (SELECT qid, doc_id, sum({_WEIGHT['bm25']}) AS score, min(pos) AS first_pos FROM (SELECT *, {_IDF['bm25']} AS idf FROM rt JOIN rp USING (term) JOIN v USING (term) JOIN dl USING (doc_id) CROSS JOIN st) GROUP BY ALL)
+    SELECT qid, rank, doc_id, round(score, 6) AS score, total FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, first_pos, doc_id) AS rank, doc_id, score, count(*) OVER (PARTITION BY qid) AS total FROM rs JOIN documents USING (doc_id) WHERE lang = 'en') WHERE rank <= 10"""
 ORACLES["e8_run_diff"] = f"""{_BASE}, {_ranked_sql('bm25', 'a', 5)}, {_QRELS},
     od AS (SELECT * FROM d WHERE doc_id % 5 <> 0), odl AS (SELECT doc_id, len(toks) AS dl FROM od), ost AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM odl),
     op AS (SELECT * FROM p WHERE doc_id % 5 <> 0), odf AS (SELECT term, count(*) AS df FROM op GROUP BY term),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from ..operators.common import bounded_broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,37 +39,50 @@ def queries(spark, sf_dir) -> DataFrame:
 
 
 def qrels(spark, sf_dir) -> DataFrame:
-    """Documents that hold a benchmark passage word for word.
+    return containing(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))
 
-    Both sides meet on the hash of a passage's first tokens, found at every place
-    of a document, before the passages themselves are sought.
+
+def containing(docs: DataFrame, passages: DataFrame, head: int = 8) -> DataFrame:
+    """``qid, doc_id``: documents that hold a passage letter for letter.
+
+    The inner words of a passage are whole words of any document that holds it, so
+    both sides meet on the hash of the first ``head`` of them, or of all where there
+    are fewer, found at every place of a document; then the passage itself is sought.
+    Passages without inner words are sought in every document.
     """
-    head = 8
-    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    passages = passages.withColumn("words", F.split("passage", r"[ \n]+")).withColumn("key", F.xxhash64(F.array_join(F.slice("words", 2, head), " ")))
-    docs = documents(spark, sf_dir).withColumn("words", F.split("text", r"[ \n]+"))
-    n = F.size("words") - head + 1
-    keys = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice("words", i, head), " ")))))
-    found = docs.select("doc_id", "text", F.explode(keys).alias("key")).join(F.broadcast(passages.select("qid", "key", "passage").limit(100_000)), "key")
-    return found.where(F.col("text").contains(F.col("passage"))).select("qid", "doc_id").distinct()
+    words = F.split("passage", r"[ \n]+")
+    passages = passages.where("passage <> ''").withColumn("inner", F.slice(words, 2, F.greatest(F.least(F.size(words) - 2, F.lit(head)), F.lit(0)))).withColumn("width", F.size("inner"))
+    widths = [r["width"] for r in passages.select("width").distinct().collect()]  # at most head + 1 rows
+    sought = lambda rows: rows.where(F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
+    keyed = passages.where("width > 0").select("qid", "passage", F.xxhash64("width", F.array_join("inner", " ")).alias("key"))
+    split = F.split("text", r"[ \n]+")
+    at = lambda w: F.when(F.size("words") >= w, F.transform(F.sequence(F.lit(1), F.size("words") - w + 1), lambda i: F.xxhash64(F.lit(w), F.array_join(F.slice("words", i, w), " "))))
+    none = F.array().cast("array<long>")
+    keys = F.array_distinct(F.concat(none, *[F.coalesce(at(w), none) for w in widths if w]))
+    out = sought(docs.withColumn("words", split).select("doc_id", "text", F.explode(keys).alias("key")).join(bounded_broadcast(keyed), "key"))
+    if 0 in widths:
+        out = out.unionByName(sought(docs.select("doc_id", "text").crossJoin(bounded_broadcast(passages.where("width = 0").select("qid", "passage")))))
+    return out.distinct()
 
 
 def events(spark, sf_dir) -> DataFrame:
-    """The event table as telemetry; ``k`` and ``value`` stand for the properties."""
-    kind = F.create_map(*[F.lit(x) for kv in (("view", "visit"), ("click", "open"), ("purchase", "search"), ("signup", "signup"), ("error", "boot")) for x in kv])
+    """The event table as telemetry; ``k`` and ``value`` stand for the properties, and errors for four more types."""
+    kind = F.create_map(*[F.lit(x) for kv in (("view", "visit"), ("click", "open"), ("purchase", "search"), ("signup", "signup")) for x in kv])
     k = F.get_json_object("props", "$.k").try_cast("int")
+    other = F.element_at(F.array(*[F.lit(x) for x in ("boot", "bookmark", "done", "feedback")]), k % 4 + 1)
     props = F.to_json(F.struct(
         F.when(F.col("event_type") == "purchase", F.col("value")).alias("latencyMs"), F.element_at(F.array(F.lit("bm25"), F.lit("tfidf"), F.lit("dense")), k % 3 + 1).alias("ranker"),
         F.when(F.col("event_type") == "click", k).alias("position"), F.when(F.col("event_type") == "click", k % 2 == 0).alias("external"), F.when(F.col("event_type") == "error", F.col("value")).alias("ms"),
-        F.when(F.col("event_type") == "purchase", F.concat(F.lit("q"), k.cast("string"))).alias("q"), F.when(F.col("event_type") == "purchase", F.floor(F.col("value") / 10).cast("int")).alias("total")))
-    return table(spark, sf_dir, "events").select("event_id", "ts", F.element_at(kind, F.col("event_type")).alias("type"), F.col("user_id").cast("string").alias("visitor"), "user_id", props.alias("props"))
+        F.when(F.col("event_type") == "purchase", F.concat(F.lit("q"), k.cast("string"))).alias("q"), F.when(F.col("event_type") == "purchase", F.floor(F.col("value") / 10).cast("int")).alias("total"),
+        F.when(F.col("event_type") == "error", k % 8 < 4).alias("on"), F.when(F.col("event_type") == "error", k % 8 < 4).alias("useful"), F.when((F.col("event_type") == "error") & (k % 3 > 0), F.concat(F.lit("because "), k.cast("string"))).alias("reason")))
+    return table(spark, sf_dir, "events").select("event_id", "ts", F.coalesce(F.try_element_at(kind, F.col("event_type")), other).alias("type"), F.col("user_id").cast("string").alias("visitor"), "user_id", props.alias("props"))
 
 
 AS_OF = "2024-01-20 00:00:00"
 
 EVENTS_SQL = """e AS (
     SELECT event_id, ts, user_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k,
-           CASE event_type WHEN 'view' THEN 'visit' WHEN 'click' THEN 'open' WHEN 'purchase' THEN 'search' WHEN 'signup' THEN 'signup' ELSE 'boot' END AS type,
+           CASE event_type WHEN 'view' THEN 'visit' WHEN 'click' THEN 'open' WHEN 'purchase' THEN 'search' WHEN 'signup' THEN 'signup' ELSE ['boot', 'bookmark', 'done', 'feedback'][CAST(json_extract_string(props, '$.k') AS INT) % 4 + 1] END AS type,
            ['bm25', 'tfidf', 'dense'][CAST(json_extract_string(props, '$.k') AS INT) % 3 + 1] AS ranker
     FROM events)"""
 

@@ -42,6 +42,10 @@ def a13b_ctr(spark, d):
     return stats.click_through(t.events(spark, d))
 
 
+def a13_reasons(spark, d):
+    return stats.last_reasons(t.events(spark, d)).select("event_id", F.col("ts").cast("string").alias("ts"), "reason")
+
+
 def a14_solved(spark, d):
     return stats.solved(t.submissions(spark, d))
 
@@ -75,15 +79,25 @@ def a20_agreement(spark, d):
     return evaluate.label_agreement(gold, mine)
 
 
+EQUIVALENTS = {"good": ["long", "middle"], "bad": ["short", "middle"]}
+
+
+def a20_equivalents(spark, d):
+    """Lengths as our labels; a middle length counts for both official tags."""
+    gold = t.table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("tag"))
+    mine = t.documents(spark, d).select("doc_id", F.when(F.col("n_chars") > 2000, "long").when(F.col("n_chars") > 400, "middle").otherwise("short").alias("tag"))
+    return evaluate.macro_means(evaluate.label_agreement(gold, evaluate.with_equivalents(mine, EQUIVALENTS), 10))
+
+
 def a22_acceptance(spark, d):
     return stats.acceptance_summary(t.corpus(spark, d))
 
 
 def a24_stratified(spark, d):
-    return stats.stratified_sample(t.corpus(spark, d), 1000, 5).groupBy("band").agg(F.count("*").alias("n"))
+    return stats.stratified_sample(t.corpus(spark, d), 1000, 5).groupBy("band").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (a1_visitors, a2_a12_cards, a3_latency, a4_top_queries, a5_zero_hits, a8_daily, a10_opens_by_ranker, a13b_ctr, a14_solved, a14_calendar, a15_last_rating, a18_compose, a19_heatmap, a20_agreement, a22_acceptance, a24_stratified)}
+QUERIES = {f.__name__: f for f in (a1_visitors, a2_a12_cards, a3_latency, a4_top_queries, a5_zero_hits, a8_daily, a10_opens_by_ranker, a13_reasons, a13b_ctr, a14_solved, a14_calendar, a15_last_rating, a18_compose, a19_heatmap, a20_agreement, a20_equivalents, a22_acceptance, a24_stratified)}
 
 _E = f"WITH {t.EVENTS_SQL}"
 _AT = f"TIMESTAMP '{t.AS_OF}'"
@@ -95,24 +109,29 @@ ORACLES = {
     "a1_visitors": f"{_E} SELECT count(DISTINCT user_id) FILTER (type = 'visit' AND {_W(1)}) AS visitors_day, count(DISTINCT user_id) FILTER (type = 'visit' AND {_W(7)}) AS visitors_week, count(DISTINCT user_id) FILTER (type = 'visit') AS visitors_total FROM e",
     "a2_a12_cards": f"""{_E} SELECT count(*) FILTER (type = 'search' AND {_W(7)}) AS searches_week, count(*) FILTER (type = 'search') AS searches_total, count(*) FILTER (type = 'signup' AND {_W(7)}) AS signups_week, count(*) FILTER (type = 'signup') AS signups_total,
         count(*) FILTER (type = 'boot' AND {_W(7)}) AS boots_week, round(avg(value) FILTER (type = 'boot' AND {_W(7)}), 0) AS boot_ms, count(*) FILTER (type = 'open') AS opens_total, count(*) FILTER (type = 'open' AND k % 2 = 0) AS opens_external,
-        round(avg(k) FILTER (type = 'open'), 1) AS open_position, 0 AS bookmarks_set, 0 AS done_set, 0 AS feedback_useful, 0 AS feedback_not FROM e""",
+        round(avg(k) FILTER (type = 'open'), 1) AS open_position, count(*) FILTER (type = 'bookmark' AND k % 8 < 4) AS bookmarks_set, count(*) FILTER (type = 'done' AND k % 8 < 4) AS done_set,
+        count(*) FILTER (type = 'feedback' AND k % 8 < 4) AS feedback_useful, count(*) FILTER (type = 'feedback' AND k % 8 >= 4) AS feedback_not FROM e""",
     "a3_latency": f"{_E} SELECT ranker, count(*) AS n, round(quantile_cont(value, 0.5) + 1e-9, 2) AS p50, round(quantile_cont(value, 0.95) + 1e-9, 2) AS p95 FROM e WHERE type = 'search' GROUP BY ranker",
     "a4_top_queries": f"{_E} SELECT 'q' || k AS q, count(*) AS n FROM e WHERE type = 'search' AND {_W(7)} GROUP BY 1 ORDER BY n DESC, q LIMIT 10",
     "a5_zero_hits": f"{_E} SELECT 'q' || k AS q, count(*) AS n FROM e WHERE type = 'search' AND {_W(7)} AND floor(value / 10) = 0 GROUP BY 1 ORDER BY n DESC, q LIMIT 10",
     "a8_daily": f"{_E} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (type = 'visit') AS visits, count(*) FILTER (type = 'search') AS searches FROM e WHERE type IN ('visit', 'search') AND {_W(14)} GROUP BY 1",
     "a10_opens_by_ranker": f"{_E} SELECT ranker, count(*) AS opens FROM e WHERE type = 'open' GROUP BY ranker",
     "a13b_ctr": f"{_E} SELECT ranker, count(*) FILTER (type = 'search') AS searches, count(*) FILTER (type = 'open') AS opens, round(count(*) FILTER (type = 'open') / count(*) FILTER (type = 'search'), 2) AS ctr FROM e GROUP BY ranker HAVING count(*) FILTER (type = 'search') > 0",
+    "a13_reasons": f"{_E} SELECT event_id, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0') END AS ts, 'because ' || k AS reason FROM e WHERE type = 'feedback' AND k % 8 >= 4 AND k % 3 > 0 ORDER BY e.ts DESC, event_id DESC LIMIT 5",
     "a14_solved": f"WITH {_SUB} SELECT user_id, count(DISTINCT problem_id) FILTER (ok) AS solved, count(*) AS submissions FROM s GROUP BY user_id",
     "a14_calendar": f"WITH {_SUB} SELECT user_id, CAST(floor(epoch / 86400) * 86400 AS BIGINT) AS day, count(*) AS n FROM s GROUP BY ALL",
     "a15_last_rating": f"WITH {_SUB} SELECT user_id, arg_max(rating, (epoch, seq)) AS rating FROM s WHERE epoch > 1706000000 - 864000 AND epoch <= 1706000000 GROUP BY user_id",
     "a18_compose": f"WITH {_DAYS} SELECT 'overall' AS category, day, sum(n) AS n FROM sd GROUP BY day UNION ALL SELECT CASE source WHEN 'view' THEN 'dev' ELSE 'dsa' END, day, sum(n) FROM sd WHERE source IN ('click', 'purchase', 'view') GROUP BY ALL",
-    "a19_heatmap": f"""WITH {_DAYS}, sp AS (SELECT {LAST_DAY} - i * 86400 AS day FROM range(371) r(i)), r AS (SELECT day, coalesce(n, 0) AS n FROM sp LEFT JOIN (SELECT * FROM sd WHERE source = 'click') USING (day)),
+    "a19_heatmap": f"""WITH {_DAYS}, sp AS (SELECT {LAST_DAY} - i * 86400 AS day FROM range(366) r(i)), r AS (SELECT day, coalesce(n, 0) AS n FROM sp LEFT JOIN (SELECT * FROM sd WHERE source = 'click') USING (day)),
         v AS (SELECT list(n ORDER BY n) AS v FROM r WHERE n > 0), c AS (SELECT CASE WHEN len(v) < 4 THEN 1 ELSE v[CAST(floor(len(v) * 0.25) AS BIGINT) + 1] END AS c1, CASE WHEN len(v) < 4 THEN 2 ELSE v[CAST(floor(len(v) * 0.5) AS BIGINT) + 1] END AS c2, CASE WHEN len(v) < 4 THEN 4 ELSE v[CAST(floor(len(v) * 0.75) AS BIGINT) + 1] END AS c3 FROM v)
         SELECT day, n, CASE WHEN n <= 0 THEN 0 WHEN n <= c1 THEN 1 WHEN n <= c2 THEN 2 WHEN n <= c3 THEN 3 ELSE 4 END AS level FROM r CROSS JOIN c""",
     "a20_agreement": """WITH j AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS g, CASE WHEN n_chars > 400 THEN 'good' ELSE 'bad' END AS m FROM labels JOIN documents USING (doc_id)),
         s AS (SELECT tag, count(*) FILTER (g = tag) AS gold, count(*) FILTER (m = tag) AS mine, count(*) FILTER (g = tag AND m = tag) AS hit FROM j CROSS JOIN (VALUES ('good'), ('bad')) v(tag) GROUP BY tag)
         SELECT tag, gold, mine, hit, round(hit / mine, 6) AS precision, round(hit / gold, 6) AS recall, hit / gold < 0.6 AS low_recall, hit / mine < 0.5 AS low_precision FROM s WHERE gold >= 1""",
+    "a20_equivalents": """WITH j AS (SELECT quality = 1 AS good, n_chars > 400 AS for_good, n_chars <= 2000 AS for_bad FROM labels JOIN documents USING (doc_id)),
+        s AS (SELECT count(*) FILTER (good) AS gold, count(*) FILTER (for_good) AS mine, count(*) FILTER (good AND for_good) AS hit FROM j UNION ALL SELECT count(*) FILTER (NOT good), count(*) FILTER (for_bad), count(*) FILTER (NOT good AND for_bad) FROM j)
+        SELECT round(avg(round(hit / mine, 6)), 6) AS macro_precision, round(avg(round(hit / gold, 6)), 6) AS macro_recall, count(*) AS tags FROM s WHERE gold >= 10""",
     "a22_acceptance": f"""WITH {t.CORPUS_SQL}, l AS (SELECT lower(tier) AS tier, list(acceptance ORDER BY acceptance) AS v FROM corpus WHERE tier IS NOT NULL GROUP BY ALL)
         SELECT tier, v[1] AS low, v[least(CAST(floor(len(v) * 0.25) AS BIGINT) + 1, len(v))] AS q1, v[least(CAST(floor(len(v) * 0.5) AS BIGINT) + 1, len(v))] AS median, v[least(CAST(floor(len(v) * 0.75) AS BIGINT) + 1, len(v))] AS q3, v[-1] AS high FROM l""",
-    "a24_stratified": f"WITH {t.CORPUS_SQL} SELECT CAST(floor(rating / 1000.0) * 1000 AS BIGINT) AS band, least(5, count(*)) AS n FROM corpus WHERE rating IS NOT NULL GROUP BY 1",
+    "a24_stratified": f"WITH {t.CORPUS_SQL} SELECT CAST(floor(rating / 1000.0) * 1000 AS BIGINT) AS band, least(5, count(*)) AS n, least(5, count(*)) AS documents FROM corpus WHERE rating IS NOT NULL GROUP BY 1",
 }

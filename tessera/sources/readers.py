@@ -40,8 +40,14 @@ def violations_of(rows: DataFrame) -> DataFrame:
     return rows.where("corrupt is not null").select("file", F.lit("error").alias("level"), F.lit("bad_json").alias("rule"))
 
 
-def read_vectors(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    """``row, vector`` from a parquet artifact, or from raw little-endian 32-bit floats (``.f32``)."""
+def read_vectors(spark: SparkSession, path: str, dims: int) -> DataFrame | None:
+    """``row, vector`` from a parquet artifact, or from raw little-endian 32-bit floats (``.f32``); None if there is none.
+
+    Rows are numbered through all files, in order of their paths.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
+        return None
     if not path.endswith(".f32"):
         return spark.read.parquet(path)
 
@@ -50,15 +56,23 @@ def read_vectors(spark: SparkSession, path: str, dims: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for raw in b.column("content").to_pylist():
+            for first, raw in zip(b.column("first").to_pylist(), b.column("content").to_pylist()):
                 x = np.frombuffer(raw, "<f4").reshape(-1, dims)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x), pa.list_(pa.float32()))], names=["row", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(x))), pa.array(list(x), pa.list_(pa.float32()))], names=["row", "vector"])
+
+    files = spark.read.format("binaryFile").load(path)
+    before = files.select("path", F.coalesce(F.sum(F.col("length") / (4 * dims)).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("first"))  # one row a file
+    return files.select("path", "content").join(before, "path").select("first", "content").mapInArrow(run, "row long, vector array<float>")
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row long, vector array<float>")
 
+def checked_artifact(vectors: DataFrame, manifest: dict, corpus: DataFrame, ids: DataFrame, expected: dict | None = None) -> DataFrame:
+    """``doc_id, vector`` in the corpus's terms; fails on other dimensions, counts, norms or ids.
 
-def checked_artifact(vectors: DataFrame, manifest: dict, corpus: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, vector`` in the corpus's terms; fails on other dimensions, counts or ids."""
+    ``expected``: what the manifest must say of other things, as model, dtype and corpus hash.
+    """
+    wrong = {k: manifest.get(k) for k, v in (expected or {}).items() if manifest.get(k) != v}
+    if wrong:
+        raise ValueError(f"the artifact was made for something else: {wrong}")
     faults = vectors.agg(F.count("*").alias("n"), F.count_if(F.size("vector") != manifest["dims"]).alias("dims"), F.count_if(F.abs(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)) - 1) > 1e-3).alias("norm")).first()
     if faults["n"] != manifest["count"] or faults["dims"] or faults["norm"]:
         raise ValueError(f"artifact doesn't fit its manifest: {faults}")
@@ -68,13 +82,54 @@ def checked_artifact(vectors: DataFrame, manifest: dict, corpus: DataFrame, ids:
     return out
 
 
-def read_seed_urls(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, url, topic``: ``# heading`` lines name the topic of those below."""
-    from ..operators.curate import carry_down
+def read_taxonomy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables ``labels`` (label, category), ``aliases`` (alias, canonical, consuming) and ``groups`` (label, aliases, members) of a JSON taxonomy."""
+    schema = "canonical map<string, struct<category: string>>, aliases map<string, string>, consumingAliases array<string>, groups array<struct<label: string, aliases: array<string>, members: array<string>>>"
+    t = spark.read.schema(schema).option("multiLine", True).json(path)
+    consuming = F.coalesce("consumingAliases", F.array().cast("array<string>"))
+    return {
+        "labels": t.select(F.explode("canonical").alias("label", "x")).select("label", "x.category"),
+        "aliases": t.select(F.explode("aliases").alias("alias", "canonical"), consuming.alias("c")).select("alias", "canonical", F.array_contains("c", F.col("alias")).alias("consuming")),
+        "groups": t.select(F.explode("groups").alias("g")).select("g.*"),
+    }
+
+
+def profiles(sources: dict[str, DataFrame]) -> DataFrame:
+    """``source, user_id, solved, by_tier, rating, calendar`` of all sources: what a source doesn't tell is null; rows without a user go.
+
+    ``solved`` falls back to the sum of the tiers' counts; days without a count aren't in the calendar.
+    """
+    parts = []
+    for name, df in sources.items():
+        have = lambda c, kind, df=df: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+        parts.append(df.where("user_id is not null").select(F.lit(name).alias("source"), "user_id", have("solved", "long"), have("by_tier", "map<string,long>"), have("rating", "double"), have("calendar", "map<bigint,bigint>")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    total = F.aggregate(F.map_values("by_tier"), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    return out.withColumns({"solved": F.coalesce("solved", total), "calendar": F.map_filter("calendar", lambda _, n: n > 0)})
+
+
+#: What a heading that names no topic starts with.
+NO_TOPIC = ("comments", "format", "the ")
 
+
+def read_seed_urls(spark: SparkSession, path: str, no_topic: tuple[str, ...] = NO_TOPIC) -> DataFrame:
+    """``file, line_no, url, topic``: a heading ``# A / B`` names the topic of the lines below; headings without a slash, and those that start with ``no_topic``, are remarks."""
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    heading = F.when(F.col("line").startswith("#"), F.trim(F.regexp_replace("line", "^#+", "")))
-    return carry_down(lines, heading).where("line rlike '^https?://'").select("file", "line_no", F.trim("line").alias("url"), "topic")
+    return seed_urls(lines, no_topic)
+
+
+def seed_urls(lines: DataFrame, no_topic: tuple[str, ...] = NO_TOPIC) -> DataFrame:
+    from ..operators.curate import carry_down
+
+    line = F.trim("line")
+    text = F.trim(F.regexp_replace(line, "^#+", ""))
+    remark = F.lit(False)
+    for x in no_topic:
+        remark = remark | F.lower(text).startswith(x)
+    heading = F.when(line.startswith("#") & text.contains("/") & ~remark, text)
+    return carry_down(lines, heading).where((line != "") & ~line.startswith("#")).select("file", "line_no", line.alias("url"), "topic")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
@@ -118,6 +173,24 @@ def newest(rows: DataFrame, keep: Column, order: list[Column], n: int) -> DataFr
     return rows.where(keep).dropDuplicates(["id"]).orderBy(*order).limit(n)
 
 
+def hard_or_recent(rows: DataFrame, n: int, hard: bool) -> DataFrame:
+    """Of ``id, tier, paid, url``: all free hard ones by id; or, of the free ones that aren't easy, the ``n`` of largest id."""
+    free = rows.where(~F.coalesce("paid", F.lit(False)))
+    return free.where(F.lower("tier") == "hard").orderBy("id") if hard else newest(free, F.lower("tier") != "easy", [F.col("id").desc()], n)
+
+
+def least_accepted(rows: DataFrame, n: int, tier: str = "medium") -> DataFrame:
+    """Of ``id, tier, paid, acceptance, url``: the ``n`` free ones of a tier with the lowest acceptance; of equal URLs the first counts."""
+    free = rows.where(~F.coalesce("paid", F.lit(False)) & (F.lower("tier") == tier) & F.col("acceptance").isNotNull())
+    first = free.withColumn("_r", F.row_number().over(Window.partitionBy("url").orderBy("acceptance", "id"))).where("_r = 1").drop("_r")
+    return first.orderBy("acceptance", "id").limit(n)
+
+
+def needed_pages(index: DataFrame, wanted: DataFrame, page_rows: int = 100) -> DataFrame:
+    """``page, offset``: the pages of a remote listing that hold wanted rows, from an index of ``id, offset``."""
+    return index.join(wanted.select("id"), "id", "left_semi").select(F.floor(F.col("offset") / page_rows).cast("long").alias("page")).distinct().select("page", (F.col("page") * page_rows).alias("offset"))
+
+
 def per_rating(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rating").agg(F.sort_array(F.collect_set("url")).alias("urls"))
 

@@ -16,6 +16,14 @@ def append_new(rows: DataFrame, path: str, key: str = "id", overwrite: bool = Fa
     rows.dropDuplicates([key]).write.mode("append").parquet(path)
 
 
+def append_urls(rows: DataFrame, path: str, normal: Column | None = None) -> None:
+    """Append a block of seed URLs, each once: those stored already, in whatever spelling, stay out."""
+    from ..functions import text as T
+
+    keyed = rows.withColumn("url_key", normal if normal is not None else T.normal_url("url"))
+    append_new(keyed, path, "url_key")
+
+
 def _exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -41,9 +49,13 @@ def write_run(metrics: DataFrame, path: str, stamp: str) -> None:
     metrics.withColumn("run", F.lit(stamp)).write.mode("overwrite").json(f"{path}/latest")
 
 
+def review_rows(candidates: DataFrame) -> DataFrame:
+    """``doc_id, candidates``: one row per record that has candidates."""
+    return candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("label", "confidence"))).alias("candidates")).where(F.size("candidates") > 0)
+
+
 def review_queue(candidates: DataFrame, path: str) -> None:
-    """One row per record that has candidates."""
-    candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("label", "confidence"))).alias("candidates")).where(F.size("candidates") > 0).write.mode("overwrite").json(path)
+    review_rows(candidates).write.mode("overwrite").json(path)
 
 
 def split_rejects(rows: DataFrame, reasons: list[tuple[str, Column]], path: str) -> DataFrame:

@@ -29,28 +29,106 @@ def test_osa_distance(spark):
 def test_text_functions(spark):
     row = spark.createDataFrame([("The Two-Sum & more!", "<p>a&lt;b</p><script>x</script> c")], "t string, h string").select(
         T.tokenize("t").alias("tok"), T.slugify("t").alias("slug"), T.html_to_text("h").alias("html"), T.has_usable_text("t").alias("ok"), T.day_bucket(F.lit(86401)).alias("day"), T.snap(F.lit(1234), 100, True).alias("up")).first()
-    assert row["tok"] == ["two", "sum", "more"] and row["slug"] == "the-two-sum-more" and row["html"] == "a<b\nc" and row["ok"] is False and row["day"] == 86400 and row["up"] == 1300
+    assert row["tok"] == ["two", "sum", "more"] and row["slug"] == "the-two-sum-more" and row["html"] == "a<b c" and row["ok"] is False and row["day"] == 86400 and row["up"] == 1300
 
 
 def test_difficulty_and_paging():
     d = facets.Difficulty.parse("lc-easy,cf:1500-800,cf:900-1000,ac:80-20,nope,atc:-5-7", "lc", {"cf": "codeforces", "atc": "atcoder"})
     assert d.tiers == {"easy"} and d.ranges == {"codeforces": (900, 1000), "atcoder": (-5, 7)} and d.acceptance == (20, 80)
-    assert facets.parse_page("x", -4) == (10, 0) and facets.parse_sort("Hardest") == "desc" and not facets.sort_allowed({"a", "b"}, {"a", "b"})
+    assert facets.parse_page("x", -4) == (10, 0) and facets.parse_sort("-difficulty") == "desc" and facets.parse_sort("hardest") is None and not facets.sort_allowed({"a", "b"}, {"a", "b"})
     assert facets.parse_set("a,b", ["a", "b"]) == set() and facets.parse_set("A,zz", ["a", "b"]) == {"a"}
 
 
+def test_text_values():
+    assert len(T.STOPWORDS) == len(set(T.STOPWORDS)) == 69 and T.STOPWORDS[:4] == ["a", "an", "the", "and"] and {"given", "return", "yes", "such", "each", "some"} <= set(T.STOPWORDS) and not {"two", "all", "most", "other"} & set(T.STOPWORDS)
+
+
+def test_pages_and_urls(spark):
+    html = "<h1>A &amp;copy; b</h1><p>x<br>y # Input z # Note w &nbsp; 1 < 2</p><style>p{}</style><!-- c --><a title='a>b'>link</a>"
+    r = spark.createDataFrame([(html, "https://codeforces.com/problemset/problem/0042/C2", " \t" + "x" * 39 + "\u00a0", "Please Enable JavaScript and cookies to go on with this page")], "h string, u string, short string, blocked string").select(
+        T.html_to_text("h").alias("text"), T.trim_page("h").alias("page"), T.problem_id("u").alias("id"), T.platform(F.lit("http://www.X.org/a")).alias("p"), T.has_usable_text("short").alias("short"), T.has_usable_text("blocked").alias("blocked"), T.is_problem_id(F.lit("Two_Sum")).alias("bad")).first()
+    assert r["text"] == "A \u00a9 b x y # Input z # Note w 1 < 2 link" and r["page"] == "A \u00a9 b x y Input: z # Note w 1 < 2 link"
+    assert (r["id"], r["p"], r["short"], r["blocked"], r["bad"]) == ("codeforces-42-c2", "x.org", False, False, False)
+
+
+def lifecycle(*changes):
+    """The state by carrying out one change after another."""
+    row = None
+    for kind, value in changes:
+        if kind == "recall":
+            if row and value == "none" and not row["done"] and not row["bookmarked"]:
+                row = None
+            elif row:
+                row["recall"] = None if value == "none" else value
+        elif value == "true":
+            row = {"done": False, "bookmarked": False, "recall": None} | (row or {}) | {kind: True}
+        elif row:
+            row[kind] = False
+            if not row["done"] and not row["bookmarked"] and row["recall"] is None:
+                row = None
+    return row and (row["done"], row["bookmarked"], row["recall"])
+
+
 def test_state_lifecycle(spark):
-    rows = [(1, 1, 1, "done", "true"), (1, 1, 2, "recall", "hard"), (1, 1, 3, "done", "false"), (1, 2, 1, "recall", "easy"), (1, 3, 1, "bookmarked", "true"), (1, 3, 2, "bookmarked", "false"), (1, 4, 1, "done", "true"), (1, 4, 2, "recall", "none")]
-    ch = spark.createDataFrame([(u, p, s, k, v) for u, p, s, k, v in rows], "user_id long, problem_id long, seq long, kind string, value string").withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,seq)"))
-    got = {r["problem_id"]: (r["done"], r["recall"]) for r in state.fold(ch).collect()}
-    assert got == {1: (False, "hard"), 4: (True, None)}
+    import random
+
+    r = random.Random(5)
+    steps = [("done", "true"), ("done", "false"), ("bookmarked", "true"), ("bookmarked", "false"), ("recall", "hard"), ("recall", "easy"), ("recall", "none")]
+    cases = [[steps[i] for i in x] for x in ((0, 4, 1, 6), (0, 4, 1, 5), (4,), (2, 3), (0, 6), (0, 4, 1, 6, 5), (2, 4, 3, 2), (0, 4, 1, 5, 6, 0))] + [[r.choice(steps) for _ in range(r.randint(1, 12))] for _ in range(400)]
+    rows = [(1, p, s, k, v) for p, case in enumerate(cases) for s, (k, v) in enumerate(case)]
+    ch = spark.createDataFrame(rows, "user_id long, problem_id long, seq long, kind string, value string").withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,seq)"))
+    got = {r["problem_id"]: (r["done"], r["bookmarked"], r["recall"]) for r in state.fold(ch).collect()}
+    assert got == {p: x for p, case in enumerate(cases) if (x := lifecycle(*case)) is not None}
+    assert 0 not in got and got[1] == (False, False, "easy")
+
+
+def level_corpus(spark):
+    rows = [("codeforces", None, float(r), None) for r in range(800, 3501, 100) for _ in range(3)] + [("atcoder", None, float(r), None) for r in range(0, 2401, 200) for _ in range(3)]
+    rows += [("leetcode", "Medium", None, 15.0 + i % 70) for i in range(200)] + [("leetcode", "Hard", None, 14.0 + i % 66) for i in range(200)] + [("cses", None, None, None)] * 50
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, platform string, tier string, rating double, acceptance double")
+
 
+def test_level_suggestions(spark):
+    c = level_corpus(spark)
+    users = spark.createDataFrame([(1, "codeforces", 1834.0), (2, "codeforces", 1600.0), (3, "codeforces", 3600.0), (4, "codeforces", 400.0), (5, "atcoder", 1100.0), (6, "codechef", 1900.0), (7, "codeforces", None), (8, "cses", 900.0)], "user_id long, platform string, rating double")
+    got = {r["user_id"]: (r["low"], r["high"], r["n"]) for r in facets.suggest_rated(c, users).collect()}
+    assert got == {1: (1800, 2000, 9), 2: (1600, 1800, 9), 3: (3300, 3500, 9), 4: (800, 1000, 9), 5: (1000, 1200, 6)}
+    odd = spark.createDataFrame([(1, "codeforces", 850.0), (2, "codeforces", 3550.0)], "doc_id long, platform string, rating double")
+    ends = spark.createDataFrame([(1, "codeforces", 700.0), (2, "codeforces", 3600.0), (3, "codeforces", 2000.0)], "user_id long, platform string, rating double")
+    assert {r["user_id"]: (r["low"], r["high"]) for r in facets.suggest_rated(odd, ends).collect()} == {1: (800, 1000), 2: (3400, 3600)}
+    solved = spark.createDataFrame([(1, 40, 2), (2, 300, 5), (3, 400, 60), (4, 700, 250), (5, 0, 0), (6, 20, 1), (7, 400, 1), (8, None, 24), (9, 1, 100)], "user_id long, medium long, hard long")
+    got = {r["user_id"]: (r["tier"], r["low"], r["high"], r["n"]) for r in facets.suggest_tier(c, solved).collect()}
+    rates = {"medium": [15 + i % 70 for i in range(200)], "hard": [14 + i % 66 for i in range(200)]}
+    assert all(n == sum(low <= x <= high for x in rates[tier]) > 0 for tier, low, high, n in got.values()) and set(got) == {1, 2, 3, 4, 6, 7, 8, 9}
+    assert [got[i][0] for i in (1, 2, 3, 4)] == ["medium", "medium", "hard", "hard"] and len({got[i] for i in (1, 2, 3, 4)}) == 4
+    assert got[4][1] < got[3][1] and got[6] == got[1] and got[7] == got[8] == got[2] and got[9] == got[4]
 
-def test_level_promises_hold(spark):
-    c = spark.createDataFrame([(i, "cf", 800 + 100 * i) for i in range(28)], "doc_id long, platform string, rating long")
-    users = spark.createDataFrame([(r, "cf", float(r)) for r in range(700, 3700, 50)], "user_id long, platform string, rating double")
-    for r in facets.suggest_rated(c, users).collect():
-        assert r["n"] == sum(r["low"] <= 800 + 100 * i <= r["high"] for i in range(28)) > 0
+
+def test_containing_finds_passages_of_any_length(spark):
+    from tessera.plans import tables
+
+    text = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu"
+    docs = spark.createDataFrame([(1, text), (2, "xalpha beta"), (3, "alpha  beta gamma"), (4, None), (5, "")], "doc_id long, text string")
+    w = text.split()
+    passages = [(n, " ".join(w[:n])) for n in range(1, 13)] + [(20, "lpha beta gam"), (21, "ta gamma delta eps zeta eta theta iota ka"), (22, "beta  gamma"), (23, ""), (24, "alpha  b")]
+    got = {tuple(r) for r in tables.containing(docs, spark.createDataFrame(passages, "qid long, passage string")).collect()}
+    assert got == {(q, i) for q, p in passages for i, x in ((1, text), (2, "xalpha beta"), (3, "alpha  beta gamma"), (5, "")) if p and p in x}
+
+
+def test_no_limit_on_a_join_side():
+    import pathlib
+    import re
+
+    root = pathlib.Path(facets.__file__).parent.parent
+    for f in root.rglob("*.py"):
+        if "llm" not in f.parts:
+            assert not re.search(r"broadcast\([^()]*\.limit\(", f.read_text()), f
+
+
+def test_commands():
+    from tessera.operators import command
+
+    assert command.parse_command(":d", False).kind == "needs_account" and command.parse_command(":nope").kind == "unknown" and command.parse_command(":CMP a  b").argument == "a  b"
 
 
 def test_sinks(spark, tmp_path):
@@ -85,9 +163,9 @@ def test_record_source(spark, tmp_path):
 
 
 def test_seed_urls_and_blank_runs(spark, tmp_path):
-    (tmp_path / "seed.txt").write_text("# A / B\nhttp://x/1\n\n\nhttp://x/2\n# C\nhttp://x/3\n")
+    (tmp_path / "seed.txt").write_text("# A / B\nhttp://x/1\n\n\nhttp://x/2\n# C\nhttp://x/3\n# The a / b\nx/4\n## D / E\nhttp://x/5")
     got = readers.read_seed_urls(spark, str(tmp_path / "seed.txt")).orderBy("line_no").collect()
-    assert [(r["url"], r["topic"]) for r in got] == [("http://x/1", "A / B"), ("http://x/2", "A / B"), ("http://x/3", "C")]
+    assert [(r["url"], r["topic"]) for r in got] == [("http://x/1", "A / B"), ("http://x/2", "A / B"), ("http://x/3", "A / B"), ("x/4", "A / B"), ("http://x/5", "D / E")]
     lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(["a", "", " ", "b"])], "file string, line_no int, line string")
     assert curate.collapse_blank_lines(lines).count() == 3
 
@@ -97,10 +175,16 @@ def test_raw_vectors_and_artifact(spark, tmp_path):
 
     np.eye(3, dtype="<f4").tofile(tmp_path / "v.f32")
     v = readers.read_vectors(spark, str(tmp_path / "v.f32"), 3)
+    assert readers.read_vectors(spark, str(tmp_path / "none.f32"), 3) is None
+    (2 * np.eye(3, dtype="<f4")).tofile(tmp_path / "w.f32")
+    both = readers.read_vectors(spark, str(tmp_path / "*.f32"), 3).orderBy("row").collect()
+    assert [r["row"] for r in both] == list(range(6)) and both[3]["vector"][0] == 2
     ids = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "row long, doc_id string")
     assert readers.checked_artifact(v, {"dims": 3, "count": 3}, ids.select("doc_id"), ids).count() == 3
     with pytest.raises(ValueError):
         readers.checked_artifact(v, {"dims": 4, "count": 3}, ids.select("doc_id"), ids)
+    with pytest.raises(ValueError):
+        readers.checked_artifact(v, {"dims": 3, "count": 3, "model": "a"}, ids.select("doc_id"), ids, {"model": "b"})
 
 
 def test_workbook(spark, tmp_path):
@@ -117,7 +201,7 @@ def test_workbook(spark, tmp_path):
 def test_heatmap_levels(spark):
     days = spark.createDataFrame([(86400 * i, n) for i, n in enumerate([1, 2, 3, 4, 8], 1)], "day long, n long")
     got = {r["day"] // 86400: r["level"] for r in stats.heatmap(days, 86400 * 6, 1).collect()}
-    assert got == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: 0}
+    assert got == dict.fromkeys(range(-4, 1), 0) | {1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: 0}  # from the Sunday before
 
 
 def test_streams_equal_batches(spark, tmp_path):

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import dense, evaluate, lexical, rewrite
+from tessera.operators import dense, evaluate, facets, lexical, rewrite
 
 
 def corpus(spark, rows):
@@ -53,8 +53,10 @@ def test_stored_index_gives_the_same(spark, tmp_path):
     q = spark.createDataFrame([(1, "w1 w2 beta7")], "qid long, query string")
     tokens = lexical.query_tokens(q)
     a = lexical.search(docs, tokens).select("qid", "rank", "doc_id", "score").collect()
-    b = lexical.StoredIndex.build(docs, str(tmp_path / "index")).search(tokens).collect()
-    assert sorted(a) == sorted(b)
+    index = lexical.StoredIndex.build(docs, str(tmp_path / "index"))
+    assert sorted(a) == sorted(index.search(tokens).select("qid", "rank", "doc_id", "score").collect())
+    plan = index.postings(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:200]  # only the terms' folders are read
 
 
 VECTORS = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [0.8, 0.6, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0]), (3, [0.0, 0.0, 1.0, 0.0])]
@@ -85,6 +87,11 @@ def test_expansion_rules():
     assert e.expand("bfsx").expanded is False and e.expand("  ").query == "  " and e.expand("x" * 400).expanded is False
     assert e.expand("breadth first search bfs").expanded is False
     assert e.expand("3 sum").added == ["three"]
+    known = rewrite.Expander([rewrite.Alias("short path", "dijkstra algorithm", True), rewrite.Alias("bfs", "breadth first"), *[rewrite.Alias(f"a{i}", f"x{i} y{i} z{i}") for i in range(4)]])
+    assert known.expand("short path Dijkstra algorithm") == rewrite.Expansion("short path Dijkstra algorithm", False, [], ["short path"])
+    assert known.expand("BFS  breadth first").matches == ["bfs"] and known.expand("BFS  breadth first").query == "BFS  breadth first"
+    full = known.expand("a0 a1 a2 a3 2")
+    assert len(full.added) == 8 and full.matches == ["a0", "a1", "a2"]
 
 
 def test_spelling(spark):
@@ -94,6 +101,42 @@ def test_spelling(spark):
     assert got == {1: ("tree", 1), 2: ("dijkstra", 1)}
 
 
+def test_spelling_equals_brute_force(spark):
+    import random
+
+    from test_engine import osa
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(3, 10)))
+    vocab = {word(): r.randint(1, 9) for _ in range(250)}
+    tokens = [(q, p, word()) for q in range(60) for p in range(4)]
+    want = {}
+    for q in range(60):
+        fixes, seen = [], set()
+        for _, _, x in (t for t in tokens if t[0] == q):
+            if x in vocab or x in seen:
+                continue
+            seen.add(x)
+            budget = 2 if len(x) >= 8 else 1
+            near = [(osa(x, v), -n, v) for v, n in vocab.items() if n >= 3 and abs(len(v) - len(x)) <= budget and (v[0] == x[0] or v[-1] == x[-1]) and osa(x, v) <= budget]
+            if near and len(fixes) < 2:
+                fixes.append((x, min(near)[2]))
+        want[q] = fixes
+    got = rewrite.corrections(spark.createDataFrame(tokens, "qid long, pos int, term string"), spark.createDataFrame(list(vocab.items()), "term string, df long"))
+    assert sorted((x["qid"], x["term"], x["correction"]) for x in got.collect()) == sorted((q, *f) for q, fs in want.items() for f in fs) and sum(map(len, want.values())) > 20
+    typed = spark.createDataFrame([(1, "zeta alpha")], "qid long, query string")
+    fixes = spark.createDataFrame([(1, 1, "aaa"), (1, 0, "zzz")], "qid long, pos int, correction string")
+    assert rewrite.apply_corrections(typed, fixes).first()["query"] == "zeta alpha zzz aaa"
+
+
+def test_umbrellas(spark):
+    names = spark.createDataFrame([("Range Queries", "ranges"), ("range query family", "ranges"), ("Trees", "trees"), ("tree dp things", "dp")], "name string, label string")
+    q = spark.createDataFrame([(1, "trees"), (2, "range"), (3, "quer"), (4, "fam"), (5, "ees"), (6, "dp")], "qid long, query string")
+    assert {tuple(r) for r in facets.resolve_label(q, names).collect()} == {(1, "trees"), (2, "ranges"), (3, "ranges"), (4, "ranges"), (6, "dp")}
+    there = spark.createDataFrame([("interval dp",)], "name string")
+    assert {r["qid"] for r in facets.resolve_label(q, names, there).collect()} == {1, 2, 3, 4}
+
+
 def test_guard(spark):
     vocab = spark.createDataFrame([("tree", 9)], "term string, df long")
     q = spark.createDataFrame([(1, "zz yy zz"), (2, "tree zz"), (3, "the")], "qid long, query string")
@@ -105,7 +148,7 @@ def test_metrics(spark):
     runs = spark.createDataFrame([("x", 1, 1, 10), ("x", 1, 2, 11), ("x", 1, 3, 12)], "ranker string, qid long, rank int, doc_id long")
     qrels = spark.createDataFrame([(1, 11), (1, 99), (2, 5)], "qid long, doc_id long")
     queries = spark.createDataFrame([(1, "a"), (2, "b")], "qid long, slice string")
-    got = {r["qid"]: r for r in evaluate.per_query(runs, qrels, queries).collect()}
+    got = {r["qid"]: r for r in evaluate.per_query(runs, qrels, queries, ["x"]).collect()}
     assert (got[1]["p_at_1"], got[1]["p_at_5"], got[1]["rr"], got[1]["recall_100"]) == (0, 0.2, 0.5, 0.5)
     assert got[1]["ndcg_10"] == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3))) and got[2]["rr"] == 0
-    assert {(r["slice"], r["n"]) for r in evaluate.by_slice(evaluate.per_query(runs, qrels, queries)).collect()} == {("all", 2), ("a", 1), ("b", 1)}
+    assert {(r["slice"], r["n"]) for r in evaluate.by_slice(evaluate.per_query(runs, qrels, queries, ["x"])).collect()} == {("all", 2), ("a", 1), ("b", 1)}
