@@ -32,6 +32,11 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """``term, df`` of all documents; tasks count distinct terms of each document before anything is shuffled."""
+    return docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 

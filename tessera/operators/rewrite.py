@@ -118,7 +118,8 @@ def corrections(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     n edits, swaps among them, leave a common rest when n letters are taken out of
     either, so candidates come from an equality join on such rests.
     """
-    unknown = tokens.where(F.length("term") >= MIN_TERM).join(vocabulary.select("term"), "term", "left_anti")
+    # joined with the counts, though only absence is asked: so this and the targets below read one vocabulary
+    unknown = tokens.where(F.length("term") >= MIN_TERM).join(vocabulary.select("term", "df"), "term", "left").where("df IS NULL")
     unknown = unknown.groupBy("qid", "term").agg(F.min("pos").alias("pos"))
     words = unknown.select("term").distinct().withColumn("budget", F.when(F.length("term") >= 8, 2).otherwise(1))
     rests = bounded_broadcast(words.select("term", "budget", F.explode(deletions(F.col("term"), F.col("budget"))).alias("rest")))

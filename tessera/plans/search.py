@@ -51,7 +51,7 @@ def r1_postings(spark, d):
 
 def r2_term_stats(spark, d):
     docs = lexical.tokenized(t.documents(spark, d), F.col("text"))
-    return lexical.term_stats(lexical.postings(docs)).crossJoin(F.broadcast(lexical.corpus_stats(docs))).select("term", "df", F.round(lexical.tfidf_idf(), 6).alias("tfidf_idf"), F.round(lexical.bm25_idf(), 6).alias("bm25_idf"))
+    return lexical.vocabulary(docs).crossJoin(F.broadcast(lexical.corpus_stats(docs))).select("term", "df", F.round(lexical.tfidf_idf(), 6).alias("tfidf_idf"), F.round(lexical.bm25_idf(), 6).alias("bm25_idf"))
 
 
 def r3_tfidf_top10(spark, d):
@@ -199,7 +199,7 @@ def e8_run_diff(spark, d):
 
 
 def _vocabulary(spark, d):
-    return lexical.term_stats(lexical.postings(lexical.tokenized(t.documents(spark, d), F.col("text"))))
+    return lexical.vocabulary(lexical.tokenized(t.documents(spark, d), F.col("text")))
 
 
 def _typos(spark, d):

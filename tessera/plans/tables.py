@@ -42,26 +42,25 @@ def qrels(spark, sf_dir) -> DataFrame:
     return containing(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))
 
 
-def containing(docs: DataFrame, passages: DataFrame, head: int = 8) -> DataFrame:
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``qid, doc_id``: documents that hold a passage letter for letter.
 
-    The inner words of a passage are whole words of any document that holds it, so
-    both sides meet on the hash of the first ``head`` of them, or of all where there
-    are fewer, found at every place of a document; then the passage itself is sought.
-    Passages without inner words are sought in every document.
+    The inner words of a passage are whole words of any document that holds it. So the
+    longest of them leads from a passage to the few documents that have it, and in
+    those the passage itself is sought. Passages without inner words are sought in
+    every document.
     """
     words = F.split("passage", r"[ \n]+")
-    passages = passages.where("passage <> ''").withColumn("inner", F.slice(words, 2, F.greatest(F.least(F.size(words) - 2, F.lit(head)), F.lit(0)))).withColumn("width", F.size("inner"))
-    widths = [r["width"] for r in passages.select("width").distinct().collect()]  # at most head + 1 rows
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    passages = passages.where("passage <> ''").withColumn("word", longest)
+    seen = docs.select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("word"))
+    near = seen.join(bounded_broadcast(passages.where("word IS NOT NULL").select("qid", "word")), "word").select("qid", "doc_id").distinct()
     sought = lambda rows: rows.where(F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
-    keyed = passages.where("width > 0").select("qid", "passage", F.xxhash64("width", F.array_join("inner", " ")).alias("key"))
-    split = F.split("text", r"[ \n]+")
-    at = lambda w: F.when(F.size("words") >= w, F.transform(F.sequence(F.lit(1), F.size("words") - w + 1), lambda i: F.xxhash64(F.lit(w), F.array_join(F.slice("words", i, w), " "))))
-    none = F.array().cast("array<long>")
-    keys = F.array_distinct(F.concat(none, *[F.coalesce(at(w), none) for w in widths if w]))
-    out = sought(docs.withColumn("words", split).select("doc_id", "text", F.explode(keys).alias("key")).join(bounded_broadcast(keyed), "key"))
-    if 0 in widths:
-        out = out.unionByName(sought(docs.select("doc_id", "text").crossJoin(bounded_broadcast(passages.where("width = 0").select("qid", "passage")))))
+    out = sought(docs.select("doc_id", "text").join(bounded_broadcast(near), "doc_id").join(bounded_broadcast(passages.select("qid", "passage")), "qid"))
+    short = passages.where("word IS NULL").select("qid", "passage")
+    if not short.isEmpty():
+        out = out.unionByName(sought(docs.select("doc_id", "text").crossJoin(bounded_broadcast(short))))
     return out.distinct()
 
 
