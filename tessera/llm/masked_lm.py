@@ -4,11 +4,12 @@ Every word is predicted from the two words on either side of it; the logarithms
 of those conditional probabilities, summed, score the document. The probability
 of a word is that of its class in its window, by the network, times that of the
 word in its class. The OWN_CLASSES most frequent words are classes of their own;
-all others share hashed classes. In a shared class the words that occur most in
-the corpus, LISTED in all, have their own probability, from their counts over all
-documents; those below that rank and the unseen ones share what is left evenly.
-So probabilities add up to one over all words, and what each task holds is bounded.
-Words are told apart by 64-bit hashes.
+all others share hashed classes, in which each word has its own probability, from
+its count over all documents. The words that occur most, LISTED in all, are held by
+every task; what occurrences of further words add to a document's score comes from
+a join with their counts, by word. So probabilities add up to one over all words,
+what each task holds is bounded, and scores don't depend on that bound. Words are
+told apart by 64-bit hashes.
 
 The network is small and written in numpy: an embedding for each place of the
 window, one softsign layer, and a two-step softmax: over 32 groups, and, through a
@@ -49,7 +50,7 @@ ROUNDS, BATCH, RATE, START, GROUPS = 2, 4096, 0.2, 1e-6, 8
 FLUSH_WORDS = 300_000
 #: What a task remembers: words that come so often in one group of texts, up to so many.
 OFTEN, OFTEN_WORDS = 4, 30_000
-#: Words of shared classes with probabilities of their own.
+#: Words of shared classes whose probabilities every task holds.
 LISTED = 2_000_000
 #: Occurrences that each word of a shared class, and the unseen ones together, are taken to have besides their own.
 BASE = 0.5
@@ -83,7 +84,9 @@ class Vocabulary:
     classes: np.ndarray  # and their classes
     listed: np.ndarray  # keys in ascending order
     within: np.ndarray  # and their log p
-    rest: np.ndarray  # for each class the log p of a word that isn't listed
+    rest: np.ndarray  # for each class the log p of a word that isn't listed, if nothing is known of it
+    scale: np.ndarray  # for each class the log of what a word's count, plus BASE, is divided by
+    complete: bool  # whether all words of shared classes are listed
 
     @classmethod
     def of(cls, frequent: np.ndarray, keys: np.ndarray, n: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> "Vocabulary":
@@ -96,7 +99,7 @@ class Vocabulary:
         others = kinds - np.bincount(own, minlength=CLASSES) + 1
         rest = np.log(np.maximum(left, BASE) / others / whole)
         rest[: len(frequent)] = 0.0
-        return cls(frequent[order], order.astype(np.int16), keys, (np.log(n + BASE) - np.log(whole[own])).astype(np.float32), rest.astype(np.float32))
+        return cls(frequent[order], order.astype(np.int16), keys, (np.log(n + BASE) - np.log(whole[own])).astype(np.float32), rest.astype(np.float32), np.log(whole), len(keys) == kinds.sum())
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = shared_class(keys).astype(np.int16)
@@ -112,16 +115,29 @@ class Vocabulary:
         return out, p
 
 
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each word is a class of its own or listed."""
+        out = np.zeros(len(keys), bool)
+        for own in (self.listed, self.frequent):
+            if len(own):
+                out |= own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys
+        return out
+
+
 class Reader:
-    """Turns texts into class numbers; remembers a bounded number of words that come often, and looks others up by key."""
+    """Turns texts into class numbers; remembers a bounded number of words that come often, and looks others up by key.
+
+    With ``by_join`` the keys of words that aren't listed come along, and the sums
+    lack the logarithm of those words' counts.
+    """
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, by_join: bool = False):
+        self.vocabulary, self.by_join = vocabulary, by_join
         self.slot: dict[bytes, int] = {}
         self.cls, self.within = np.empty(0, np.int16), np.empty(0, np.float32)
 
     def read(self, many: list[str]):
-        """(classes, summed log p(word | class)) of each text."""
+        """(classes, summed log p(word | class), keys of words whose counts are still to be joined) of each text."""
         at = 0
         while at < len(many):
             size, end = 0, at
@@ -130,13 +146,15 @@ class Reader:
                 end += 1
             cut = [words_of(x) for x in many[at:end]]
             ends = np.cumsum([len(x) for x in cut])
-            cls, within = self._look_up(list(chain.from_iterable(cut)))
+            cls, within, at_join, keys = self._look_up(list(chain.from_iterable(cut)))
             sums = np.r_[0.0, np.cumsum(within, dtype=np.float64)]
-            for start, stop in zip([0, *ends[:-1].tolist()], ends.tolist()):
-                yield cls[start:stop], float(sums[stop] - sums[start])
+            cuts = np.searchsorted(at_join, np.r_[0, ends])
+            for i, (start, stop) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                yield cls[start:stop], float(sums[stop] - sums[start]), keys[cuts[i] : cuts[i + 1]]
             at = end
 
-    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at_join, joined_keys = np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int32, len(words))
         missed = np.flatnonzero(at < 0)
         cls, within = np.empty(len(words), np.int16), np.empty(len(words), np.float32)
@@ -146,11 +164,17 @@ class Reader:
             rare = [words[i] for i in missed.tolist()]
             keys, first, inverse, n = np.unique(keys_of(rare), return_index=True, return_inverse=True, return_counts=True)
             own_cls, own_within = self.vocabulary.look_up(keys)
+            here = np.ones(len(keys), bool)
+            if self.by_join:
+                here = self.vocabulary.has(keys)
+                own_within = np.where(here, own_within, -self.vocabulary.scale[own_cls])
+                away = ~here[inverse]
+                at_join, joined_keys = missed[away], keys[inverse[away]]
             cls[missed], within[missed] = own_cls[inverse], own_within[inverse]
-            often = np.flatnonzero(n >= OFTEN)[: OFTEN_WORDS - len(self.slot)]
+            often = np.flatnonzero(here & (n >= OFTEN))[: OFTEN_WORDS - len(self.slot)]
             self.slot.update(zip((rare[i] for i in first[often].tolist()), range(len(self.slot), len(self.slot) + len(often))))
             self.cls, self.within = np.concatenate([self.cls, own_cls[often]]), np.concatenate([self.within, own_within[often]])
-        return cls, within
+        return cls, within, at_join, joined_keys
 
 
 def joined(many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -292,8 +316,8 @@ def least_count(words: DataFrame, limit: int) -> int:
     return least
 
 
-def vocabulary_of(base: DataFrame, listed: int = LISTED) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary, and the occurrences of each class."""
+def vocabulary_of(base: DataFrame, listed: int = LISTED) -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """The vocabulary, the occurrences of each class, and ``key, n`` of the words of shared classes that aren't listed."""
     words = staged(count_words(base), "words")
     top = words.orderBy(F.desc("n"), "key").limit(OWN_CLASSES).toArrow()
     frequent = top.column("key").to_numpy()
@@ -308,22 +332,33 @@ def vocabulary_of(base: DataFrame, listed: int = LISTED) -> tuple[Vocabulary, np
     cls = F.lit(OWN_CLASSES) + F.pmod("key", F.lit(CLASSES - OWN_CLASSES))
     for r in shared.groupBy(cls.cast("int").alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # one row per shared class
         totals[r["class"]], kinds[r["class"]] = r["n"], r["kinds"]
-    known = shared.where(F.col("n") >= least_count(shared, listed)).toArrow()  # at most ``listed`` rows of two numbers
-    return Vocabulary.of(frequent, known.column("key").to_numpy(), known.column("n").to_numpy().astype(np.float64), totals, kinds), totals
+    least = least_count(shared, listed)
+    known = shared.where(F.col("n") >= least).toArrow()  # at most ``listed`` rows of two numbers
+    return Vocabulary.of(frequent, known.column("key").to_numpy(), known.column("n").to_numpy().astype(np.float64), totals, kinds), totals, shared.where(F.col("n") < least)
 
 
 def numbered_classes(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
-    """``doc_id, within, classes``, staged: classes as little-endian 16-bit numbers."""
-    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
+    """``doc_id, row, within, classes, keys``, staged: classes as little-endian 16-bit numbers, keys of words not listed."""
+    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of(text_col).alias("text"))
     kind, sent = base.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(vocabulary)  # 12 bytes for each of at most LISTED words
 
     def run(batches):
-        reader = Reader(sent.value)
+        reader = Reader(sent.value, by_join=not sent.value.complete)
         for b in batches:
             got = list(reader.read(texts(b.column("text"))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([p for _, p in got], pa.float64()), pa.array([c.astype("<i2", copy=False).tobytes() for c, _ in got], pa.binary())], names=["doc_id", "within", "classes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([p for _, p, _ in got], pa.float64()), pa.array([c.astype("<i2", copy=False).tobytes() for c, _, _ in got], pa.binary()), pa.array([k for _, _, k in got], pa.list_(pa.int64()))], names=["doc_id", "row", "within", "classes", "keys"])
+
+    return staged(base.mapInArrow(run, f"doc_id {kind}, row long, within double, classes binary, keys array<long>"), "classes")
+
+
+def joined_counts(data: DataFrame, unlisted: DataFrame) -> DataFrame:
+    """``row, more``: the summed logarithms of the counts of a row's words that aren't listed.
 
-    return staged(base.mapInArrow(run, f"doc_id {kind}, within double, classes binary"), "classes")
+    None of these words is frequent, or it were listed, so no key is hot; a row's
+    repeats of a word are counted before they are shuffled.
+    """
+    met = data.select("row", F.explode("keys").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+    return met.join(unlisted, "key").groupBy("row").agg(F.sum(F.col("times") * F.log(F.col("n") + BASE)).alias("more"))
 
 
 def in_groups(batch: pa.RecordBatch):
@@ -377,20 +412,20 @@ def train_round(data: DataFrame, network: WindowNetwork, number: int, rounds: in
     return WindowNetwork.from_flat(sum(np.frombuffer(bytes(r["weights"]), "<f4").astype(np.float64) * (r["n"] / n) for r in got))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, passes: int = 1, listed: int = LISTED) -> tuple[Vocabulary, WindowNetwork, DataFrame]:
-    """The vocabulary, the network trained on every position ``passes`` times, and the documents as class numbers."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, passes: int = 1, listed: int = LISTED) -> tuple[Vocabulary, WindowNetwork, DataFrame, DataFrame]:
+    """The vocabulary, the network trained on every position ``passes`` times, the documents as class numbers, and the words not listed."""
     with small_batches(docs.sparkSession):
-        vocabulary, totals = vocabulary_of(docs.select(text_of(text_col).alias("text")), listed)
+        vocabulary, totals, unlisted = vocabulary_of(docs.select(text_of(text_col).alias("text")), listed)
     data = numbered_classes(docs, id_col, text_col, vocabulary)
     network = WindowNetwork.fresh(totals)
     for k in range(rounds * passes):
         network = train_round(data, network, k % rounds, rounds)
-    return vocabulary, network, data
+    return vocabulary, network, data, unlisted
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, passes: int = 1, listed: int = LISTED) -> DataFrame:
     """``doc_id, mean_log_likelihood, log_likelihood, n_words`` for each row."""
-    _, network, data = train(docs, id_col, text_col, rounds, passes, listed)
+    vocabulary, network, data, unlisted = train(docs, id_col, text_col, rounds, passes, listed)
     kind = data.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -404,7 +439,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
                 n += [len(x) for x in group]
                 total += (sums[ends] - sums[ends - np.array(n[-len(group):])]).tolist()
             total = np.array(total, np.float64) + b.column("within").to_numpy()
-            n = np.array(n, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total / np.maximum(n, 1), mask=n == 0), pa.array(total), pa.array(n)], names=["doc_id", "mean_log_likelihood", "log_likelihood", "n_words"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(total), pa.array(n, pa.int64())], names=["doc_id", "row", "log_likelihood", "n_words"])
 
-    return data.mapInArrow(run, f"doc_id {kind}, mean_log_likelihood double, log_likelihood double, n_words long")
+    scored = data.select("doc_id", "row", "within", "classes").mapInArrow(run, f"doc_id {kind}, row long, log_likelihood double, n_words long")
+    if not vocabulary.complete:
+        scored = scored.join(joined_counts(data, unlisted), "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    return scored.select("doc_id", F.try_divide("log_likelihood", "n_words").alias("mean_log_likelihood"), "log_likelihood", "n_words")

@@ -346,6 +346,6 @@ def test_vocabulary_adds_up_and_reader_equals_looking_up():
         if kinds[c]:
             assert np.exp(p[cls == c].astype(float)).sum() + np.exp(float(v.rest[c])) == pytest.approx(1, abs=1e-4)
     text = " ".join(corpus[:500] + ["unseen"])
-    (c, total), (none, zero) = masked_lm.Reader(v).read([text, ""])
+    (c, total, no_keys), (none, zero, _) = masked_lm.Reader(v).read([text, ""])
     want = v.look_up(masked_lm.keys_of(text.encode().split()))
     assert c.tolist() == want[0].tolist() and total == pytest.approx(float(want[1].sum()), abs=1e-3) and len(none) == 0 and zero == 0

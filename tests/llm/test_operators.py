@@ -368,9 +368,13 @@ def slow_score(text, vocabulary, network):
 
 def test_masked_lm_scores_equal_the_definition(spark):
     source = docs(spark).limit(60)
-    vocabulary, network, data = masked_lm.train(source, listed=2000)
+    vocabulary, network, data, unlisted = masked_lm.train(source)
+    few, _, _, further = masked_lm.train(source, listed=2000)
     scored = {r["doc_id"]: r for r in masked_lm.lm_scores(source, listed=2000).collect()}
-    assert data.count() == len(scored) == 60
+    assert data.count() == len(scored) == 60 and vocabulary.complete and unlisted.isEmpty()
+    assert not few.complete and 0 < len(few.listed) <= 2000 and len(few.listed) + further.count() == len(vocabulary.listed)
+    for i, r in {r["doc_id"]: r for r in masked_lm.lm_scores(source).collect()}.items():  # how many are listed changes no score
+        assert scored[i]["log_likelihood"] == pytest.approx(r["log_likelihood"], rel=1e-5, abs=1e-3)
     text = {r["doc_id"]: r["text"] for r in source.collect()}
     for i in sorted(text, key=lambda i: len(text[i]))[:25]:
         assert scored[i]["n_words"] == len(text[i].split()) and scored[i]["log_likelihood"] == pytest.approx(slow_score(text[i], vocabulary, network), rel=2e-3, abs=0.05)
@@ -404,7 +408,7 @@ def test_masked_lm_tells_words_of_one_class_apart(spark):
         by_class.setdefault(int(masked_lm.shared_class(masked_lm.keys_of([b"r%d" % i]))[0]), []).append(f"r{i}")
     usual, odd_one = next(x for x in by_class.values() if len(x) > 1)[:2]
     table = spark.createDataFrame([(0, " ".join(common)), (1, f"c1 c2 {usual} c3 c4"), (2, f"c1 c2 {odd_one} c3 c4"), (3, f"c9 {usual} " * 3)], "doc_id long, text string")
-    for listed, share in ((masked_lm.LISTED, 4.5 / 1.5), (1, 4.5 / ((1.5 + 0.5) / 2))):
+    for listed, share in ((masked_lm.LISTED, 4.5 / 1.5), (1, 4.5 / 1.5), (0, 4.5 / 1.5)):
         got = {r["doc_id"]: r["log_likelihood"] for r in masked_lm.lm_scores(table, listed=listed).collect()}
         assert abs(got[1] - got[2] - np.log(share)) < 1e-3
 
