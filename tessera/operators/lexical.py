@@ -20,8 +20,9 @@ TITLE_BONUS = 1000.0
 
 def tokenized(docs: DataFrame, text: Column, stopwords=T.STOPWORDS, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, tokens, dl``."""
-    out = spread(docs.select(F.col(id_col).alias("doc_id"), T.tokenize(text, stopwords).alias("tokens")))
-    return out.withColumn("dl", F.size("tokens"))
+    # texts are dealt before they are tokenized: a small table's one file is one task
+    out = spread(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")))
+    return out.select("doc_id", T.tokenize("text", stopwords).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:

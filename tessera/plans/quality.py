@@ -224,6 +224,22 @@ _HTML = rf"trim(regexp_replace({_HTML}, '\s+', ' ', 'g'))"
 _DEDUP = lambda xs: f"list_filter([{xs}], lambda x, i: list_position([{xs}], x) = i)"
 
 ORACLES = {
+    "t18_osa": """
+    WITH RECURSIVE names AS (SELECT DISTINCT p_name AS s FROM part),
+    pairs AS (SELECT x.s AS a, y.s AS b FROM names x JOIN names y ON substr(x.s, 1, 2) = substr(y.s, 1, 2)),
+    -- row i of the table of prefixes; a cell is the least of what its left neighbours, the rows above and a swap lead to
+    t(a, b, i, before, prev) AS (
+        SELECT a, b, 0, range(0, length(b) + 1), range(0, length(b) + 1) FROM pairs
+        UNION ALL
+        SELECT a, b, i + 1, prev,
+               list_transform(range(0, length(b) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k: j - k + cells[k + 1])))
+        FROM (
+            SELECT a, b, i, before, prev,
+                   list_transform(range(0, length(b) + 1), lambda k: CASE WHEN k = 0 THEN i + 1 ELSE least(
+                       prev[k + 1] + 1, prev[k] + CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN 0 ELSE 1 END,
+                       CASE WHEN i > 0 AND k > 1 AND substr(a, i + 1, 1) = substr(b, k - 1, 1) AND substr(a, i, 1) = substr(b, k, 1) THEN before[k - 1] + 1 ELSE prev[k + 1] + 1 END) END) AS cells
+            FROM t WHERE i < length(a)))
+    SELECT a, b, CAST(prev[length(b) + 1] AS BIGINT) AS distance FROM t WHERE i = length(a)""",
     "t1_tokenize": f"SELECT doc_id, array_to_string({_tok('text')}, ' ') AS tokens FROM documents",
     "t3_numbers": f"SELECT page_id, array_to_string(list_transform({_tok('url')}, lambda x: CASE x WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '3' THEN 'three' WHEN '4' THEN 'four' ELSE x END), ' ') AS tokens FROM pages",
     "t5_slugify": f"SELECT p_partkey, {_SLUG(chr(39) + '-- ' + chr(39) + ' || p_name || ' + chr(39) + ' ' + chr(39) + ' || p_brand || ' + chr(39) + ' !' + chr(39))} AS slug FROM part",
