@@ -31,12 +31,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import perfect_hash
-from .common import OWN, quoted, shielded, small_batches, text_of, unshielded
+from .common import quoted, shielded, small_batches, text_of, unshielded
 
 LEAST = 10
 #: White space that is taken off a line's ends.
 SPACE = " \t\n\x0b\x0c\r"
-RESULT = "n_lines long, n_dropped long, max_docs long, text string, kept_sha256 string"
+#: Bytes of texts whose lines are held at once; a longer text is held alone.
+HELD_BYTES = 2 << 20
+
+
+def in_pieces(batch: pa.RecordBatch, name: str):
+    """A batch in pieces of about HELD_BYTES of text each."""
+    ends = np.cumsum(pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_BYTES, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
@@ -68,7 +79,7 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``first, second, number``: each key's hash and the documents that have it."""
 
     def run(batches):
-        for b in batches:
+        for b in (x for b in batches for x in in_pieces(b, "text")):
             _, starts, keys = cut(b.column("text"))
             at, h = hashed(keys)
             doc = np.searchsorted(starts, at, side="right")
@@ -88,39 +99,45 @@ def common_lines(docs: DataFrame, text_col: str = "text", least: int = LEAST, in
         return perfect_hash.build(document_counts(docs, text_col).where(F.col("number") >= (indexed_from or least)), "lines")
 
 
-def _probed(index: perfect_hash.Index, least: int, keep_text: bool):
-    """(text) to RESULT, by Arrow batches; the text null if it isn't asked for."""
-
-    def probe(column: pa.Array) -> pa.Array:
-        lines, starts, keys = cut(column)
-        at, h = hashed(keys)
-        n_docs = np.zeros(len(lines), np.int64)
-        n_docs[at] = index.look_up(h)[1]
-        drop = n_docs >= least
-        # sums over each text's lines; every text has a line
-        dropped = np.add.reduceat(drop.astype(np.int64), starts[:-1]) if len(column) else np.empty(0, np.int64)
-        most = np.maximum.reduceat(n_docs, starts[:-1]) if len(column) else np.empty(0, np.int64)
-        out = column.to_pylist()
-        for i in np.flatnonzero(dropped).tolist():
-            a, b = int(starts[i]), int(starts[i + 1])
-            out[i] = "\n".join(lines.slice(a, b - a).filter(pa.array(~drop[a:b])).to_pylist())
-        sha = [hashlib.sha256(x.encode()).hexdigest() for x in out]
-        texts = pa.array(out, pa.string()) if keep_text else pa.nulls(len(out), pa.string())
-        return pa.StructArray.from_arrays([pa.array(np.diff(starts)), pa.array(dropped), pa.array(most), texts, pa.array(sha, pa.string())], names=["n_lines", "n_dropped", "max_docs", "text", "kept_sha256"])
-
-    return F.arrow_udf(probe, RESULT)
+def probed(index: perfect_hash.Index, least: int, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of each text: its lines, how many of them go, the documents of the commonest indexed one, and what stays."""
+    lines, starts, keys = cut(column)
+    at, h = hashed(keys)
+    n_docs = np.zeros(len(lines), np.int64)
+    n_docs[at] = index.look_up(h)[1]
+    drop = n_docs >= least
+    dropped = np.add.reduceat(drop.astype(np.int64), starts[:-1])  # every text has a line
+    out = column.to_pylist()
+    for i in np.flatnonzero(dropped).tolist():
+        a, b = int(starts[i]), int(starts[i + 1])
+        out[i] = "\n".join(lines.slice(a, b - a).filter(pa.array(~drop[a:b])).to_pylist())
+    return np.diff(starts), dropped, np.maximum.reduceat(n_docs, starts[:-1]), out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, indexed_from: int | None = None) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256, max_docs`` for each row; ``max_docs``: of the document's indexed lines, the documents of the commonest."""
-    probe = _probed(common_lines(docs, text_col, least, indexed_from), least, False)
-    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), probe(text_of(text_col)).alias("r"))
-    return rows.select("doc_id", "r.n_lines", "r.n_dropped", "r.kept_sha256", "r.max_docs")
+    index = common_lines(docs, text_col, least, indexed_from)
+    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
+    kind = base.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in (x for b in batches for x in in_pieces(b, "text")):
+            n, dropped, most, kept = probed(index, least, b.column("text"))
+            sha = [hashlib.sha256(x.encode()).hexdigest() for x in kept]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(dropped), pa.array(sha, pa.string()), pa.array(most)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "max_docs"])
+
+    return base.mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string, max_docs long")
 
 
 def without_common_lines(docs: DataFrame, text_col: str = "text", least: int = LEAST, index: perfect_hash.Index | None = None) -> DataFrame:
     """The rows as they came, each text without its common lines; ``index``: one made before, perhaps of more documents than these."""
     docs, now = shielded(docs)
-    probe = _probed(index or common_lines(docs, now[text_col], least), least, True)
-    rows = docs.withColumn(OWN + "r", probe(text_of(now[text_col])))
-    return rows.withColumn(now[text_col], F.col(f"{OWN}r.text")).select(*unshielded(now))
+    own = now[text_col]
+    index = index or common_lines(docs, own, least)
+    rows = docs.withColumn(own, text_of(own))
+
+    def run(batches):
+        for b in (x for b in batches for x in in_pieces(b, own)):
+            yield b.set_column(b.schema.get_field_index(own), own, pa.array(probed(index, least, b.column(own))[3], pa.string()))
+
+    return rows.mapInArrow(run, rows.schema).select(*unshielded(now))
