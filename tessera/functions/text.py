@@ -147,7 +147,7 @@ def unit_interval(value) -> Column:
 def clean_confidence(confidences, aliases=None) -> Column:
     """A map with canonical keys and numbers within [0, 1], the largest where keys meet; other values go."""
     entries = F.transform(F.map_entries(col(confidences)), lambda e: F.struct(canonical_label(e["key"], aliases).alias("k"), unit_interval(e["value"]).alias("v")))
-    entries = F.filter(entries, lambda e: e["v"].isNotNull())
+    entries = F.filter(entries, lambda e: e["v"].isNotNull() & (e["k"] != ""))
     keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_max(F.transform(F.filter(entries, lambda e: e["k"] == k), lambda e: e["v"]))))
 
@@ -181,8 +181,8 @@ def problem_id(url) -> Column:
     """The record's id that a problem URL of one of the four judges stands for; null for other URLs."""
     u, p = col(url), platform(url)
     part = lambda pattern, group=1: F.nullif(F.regexp_extract(u, pattern, group), F.lit(""))
-    contest = r"/problemset/problem/(\d+)/([A-Za-z0-9]+)"
-    return (F.when(p == "leetcode", F.concat(F.lit("leetcode-"), part(r"/problems/([^/]+)/?")))
+    contest = r"/(?:problemset/problem/|contest/(?=\d+/problem/))(\d+)/(?:problem/)?([A-Za-z0-9]+)"
+    return (F.when(p == "leetcode", F.concat(F.lit("leetcode-"), part(r"/problems/([^/?#]+)")))
             .when(p == "cses", F.concat(F.lit("cses-"), part(r"/task/(\d+)")))
             .when(p == "codeforces", F.concat(F.lit("codeforces-"), part(contest).cast("decimal(38,0)").cast("string"), F.lit("-"), F.lower(part(contest, 2))))
             .when(p == "atcoder", F.concat(F.lit("atcoder-"), F.replace(F.lower(part(r"/tasks/([A-Za-z0-9_]+)")), F.lit("_"), F.lit("-")))))
@@ -204,6 +204,11 @@ def day_bucket(seconds) -> Column:
     return (F.floor(col(seconds) / 86400) * 86400).cast("bigint")
 
 
+def stripped(text) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(col(text), r"^\s+|\s+$", "")
+
+
 def clip(text, n) -> Column:
     return F.substring(col(text), 1, n)
 

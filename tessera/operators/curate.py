@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -15,20 +17,44 @@ def rule_violations(corpus: DataFrame, rules: dict[str, tuple[str, Column]]) ->
     return corpus.select("doc_id", F.explode(found).alias("v")).select("doc_id", "v.level", "v.rule")
 
 
-def record_rules(platforms: list[str], canonical: list[str]) -> dict[str, tuple[str, Column]]:
-    """The rule families for a record with title, slug, platform, url, body, tags, patterns, confidence, tier and rating."""
-    empty = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) == 0
-    known = F.array(*[F.lit(x) for x in canonical]) if canonical else F.array().cast("array<string>")
-    labels = F.flatten(F.array(F.coalesce("tags", F.array().cast("array<string>")), F.coalesce("patterns", F.array().cast("array<string>"))))
-    scores = F.coalesce(F.map_values("confidence"), F.array().cast("array<double>"))
-    return {
-        "id_missing": ("error", F.col("doc_id").isNull()), "title_missing": ("error", empty("title")), "slug_invalid": ("error", ~T.is_slug("slug")),
-        "platform_unknown": ("error", ~F.coalesce(F.col("platform").isin(platforms), F.lit(False))), "url_invalid": ("error", ~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False))),
-        "body_missing": ("error", empty("body")), "body_long": ("warning", F.length(F.coalesce("body", F.lit(""))) > MAX_BODY),
-        "tags_missing": ("error", F.col("tags").isNull()), "patterns_missing": ("error", F.col("patterns").isNull()),
-        "tags_many": ("warning", F.coalesce(F.size("tags"), F.lit(0)) > MAX_LABELS), "patterns_many": ("warning", F.coalesce(F.size("patterns"), F.lit(0)) > MAX_LABELS),
-        "label_invalid": ("error", F.exists(labels, lambda x: ~T.is_slug(x))), "label_unknown": ("warning", F.size(F.array_except(labels, known)) > 0),
-        "confidence_range": ("error", F.exists(scores, lambda x: (x < 0) | (x > 1))), "tier_and_rating": ("error", F.col("tier").isNotNull() & F.col("rating").isNotNull()),
+#: Judges whose difficulty is a named tier, or a number; the tiers; and the easy records that a hard corpus keeps on purpose. Fixed values.
+TIERED, RATED = ("leetcode",), ("codeforces", "atcoder")
+TIER_NAMES = ("Easy", "Medium", "Hard")
+ANCHORS = ("leetcode-two-sum", "leetcode-climbing-stairs", "leetcode-valid-parentheses", "leetcode-binary-search")
+
+
+def record_rules(tiered: tuple[str, ...] = TIERED, rated: tuple[str, ...] = RATED, anchors: tuple[str, ...] = ANCHORS, max_labels: int = MAX_LABELS, max_body: int = MAX_BODY) -> dict[str, tuple[str, Column]]:
+    """The rules for a record as its file has it.
+
+    Columns: ``folder`` and ``basename`` of the file; ``id, title, slug, platform,
+    source_url, statement, source_topic``; ``difficulty`` as text with its JSON type
+    beside it in ``difficulty_type`` (``string``, ``number`` or null); ``tags`` and
+    ``patterns`` (null: no arrays); ``version`` and ``confidence`` of the annotation.
+    Labels outside the taxonomy are no violation but drift (see ``drift``).
+    """
+    none = F.array().cast("array<string>")
+    empty = lambda c: T.stripped(F.coalesce(F.col(c), F.lit(""))) == ""
+    of = lambda names: F.coalesce(F.col("folder").isin(*names), F.lit(False))
+    rules = {f"{c}_missing": ("error", empty(c)) for c in ("id", "title", "slug", "platform", "source_url", "statement")}
+    rules |= {
+        "platform_not_folder": ("error", ~F.coalesce(F.col("platform") == F.col("folder"), F.lit(False))),
+        "id_not_filename": ("error", ~F.coalesce(F.col("id") == F.col("basename"), F.lit(False))),
+        "id_prefix": ("error", F.coalesce(~F.startswith(F.col("id"), F.concat("folder", F.lit("-"))), F.lit(False))),
+        "tier_unknown": ("error", of(tiered) & ~F.coalesce((F.col("difficulty_type") == "string") & F.col("difficulty").isin(*TIER_NAMES), F.lit(False))),
+        "easy_not_anchor": ("warning", of(tiered) & F.coalesce(F.col("difficulty") == "Easy", F.lit(False)) & ~F.coalesce(F.col("id").isin(*anchors), F.lit(False))),
+        "rating_not_number": ("error", of(rated) & F.col("difficulty").isNotNull() & ~F.coalesce(F.col("difficulty_type") == "number", F.lit(False))),
+        "slug_invalid": ("error", F.coalesce(~T.is_slug("slug"), F.lit(False))),
+        "version_missing": ("error", F.col("version").isNull()),
+    }
+    for c in ("tags", "patterns"):
+        labels = F.coalesce(c, none)
+        rules |= {
+            f"{c}_no_array": ("error", F.col(c).isNull()), f"{c}_many": ("error", F.size(labels) > max_labels), f"{c}_repeated": ("error", F.size(F.array_distinct(labels)) != F.size(labels)),
+            f"{c}_invalid": ("error", F.exists(labels, lambda x: ~F.coalesce(T.is_slug(x), F.lit(False)))),
+        }
+    strays = F.array_except(F.coalesce(F.map_keys("confidence"), none), F.coalesce("patterns", none))
+    return rules | {
+        "confidence_stray": ("warning", F.size(strays) > 0), "statement_long": ("warning", F.coalesce(F.length("statement") > max_body, F.lit(False))), "topic_missing": ("warning", F.coalesce(F.col("source_topic"), F.lit("")) == ""),
     }
 
 
@@ -86,12 +112,30 @@ def normalize_labels(rows: DataFrame, aliases: dict[str, str], cap: int = MAX_LA
     return out.withColumn("confidence", T.clean_confidence("confidence", aliases)) if "confidence" in rows.columns else out
 
 
-def add_labels(rows: DataFrame, new: DataFrame, aliases: dict[str, str] | None = None, generic: list[str] | None = None, cap: int = MAX_LABELS) -> DataFrame:
-    """Append labels (doc_id, labels) that aren't there yet, generic ones left out, as far as there is room. Running it again changes nothing."""
-    fold = F.filter(T.clean_labels("labels", aliases, 1 << 20), lambda x: ~x.isin(*generic)) if generic else T.clean_labels("labels", aliases, 1 << 20)
-    more = new.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.array_sort(F.collect_list("labels")))).alias("labels")).select("doc_id", fold.alias("more"))
-    merged = F.slice(F.array_union("tags", F.coalesce("more", F.array().cast("array<string>"))), 1, F.greatest(F.lit(cap), F.size("tags")))
-    return rows.join(more, "doc_id", "left").withColumn("tags", merged).drop("more")
+#: Judge tags that name a genre and say nothing about a record. Fixed values.
+GENERIC = (
+    "implementation", "brute-force", "constructive-algorithm", "data-structure", "simulation", "math", "greedy", "sorting", "two-pointers", "binary-search", "dynamic-programming", "dfs", "bfs",
+    "divide-and-conquer", "bit-manipulation", "counting", "string", "array", "graph", "tree", "hash-map", "heap", "stack", "queue", "matrix", "recursion", "memoization", "number-theory", "combinatorics",
+    "geometry", "probability", "game-theory", "interactive", "shortest-path",
+)
+
+
+def add_labels(rows: DataFrame, new: DataFrame, canonical: list[str], aliases: dict[str, str] | None = None, generic: tuple[str, ...] = GENERIC, cap: int = MAX_LABELS) -> DataFrame:
+    """Append source tags (doc_id, labels) to ``tags``, as far as there is room.
+
+    A tag becomes the canonical label of its slug, or of the alias that its slug is;
+    others, generic ones, and those that the record has among ``tags`` or ``patterns``
+    are left out. Tags stay in their order, the first of equal ones counts. Running it
+    again changes nothing.
+    """
+    none = F.array().cast("array<string>")
+    known = {a: c for a, c in (aliases or {}).items()} | {c: c for c in canonical}
+    table = F.create_map(*[F.lit(x) for kv in known.items() if kv[1] not in generic for x in kv]) if known else F.create_map().cast("map<string,string>")
+    more = new.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list("labels"))).alias("_raw"))
+    out = rows.join(more, "doc_id", "left").withColumn("tags", F.coalesce("tags", none))
+    fold = F.filter(F.transform(F.coalesce("_raw", none), lambda x: F.try_element_at(table, T.slugify(x))), lambda x: x.isNotNull())
+    fresh = F.array_except(F.array_distinct(fold), F.concat("tags", F.coalesce("patterns", none)))
+    return out.withColumn("tags", F.concat("tags", F.slice(fresh, 1, F.greatest(F.lit(cap) - F.size("tags"), F.lit(0))))).drop("_raw")
 
 
 def merge_curated(rows: DataFrame, curated: DataFrame, topic_tags: dict[str, str], aliases: dict[str, str] | None = None, cap: int = MAX_LABELS, confidence: float = 0.9) -> DataFrame:
@@ -125,11 +169,13 @@ def merge_review(rows: DataFrame, queue: DataFrame, aliases: dict[str, str] | No
 
 
 def candidate_labels(candidates: DataFrame, rows: DataFrame, canonical: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """``doc_id, label, confidence, in_taxonomy`` of proposed labels that the record lacks."""
-    c = candidates.select("doc_id", T.canonical_label("label", aliases).alias("label"), T.unit_interval("confidence").alias("confidence"))
-    c = c.where("confidence is not null").groupBy("doc_id", "label").agg(F.max("confidence").alias("confidence"))
-    have = rows.select("doc_id", F.explode("tags").alias("label"))
-    known = canonical.select("label", F.lit(True).alias("in_taxonomy"))
+    """``doc_id, label, confidence, in_taxonomy`` of proposed labels (doc_id, label, confidence) that aren't among the record's patterns; each proposal is a row.
+
+    A confidence that is no number counts as 0. Proposals without a label go.
+    """
+    c = candidates.select("doc_id", T.canonical_label("label", aliases).alias("label"), F.coalesce(T.unit_interval("confidence"), F.lit(0.0)).alias("confidence")).where("label <> ''")
+    have = rows.select("doc_id", F.explode("patterns").alias("label")).select("doc_id", T.canonical_label("label", aliases).alias("label"))
+    known = canonical.select("label").distinct().withColumn("in_taxonomy", F.lit(True))
     return c.join(have, ["doc_id", "label"], "left_anti").join(known, "label", "left").select("doc_id", "label", "confidence", F.coalesce("in_taxonomy", F.lit(False)).alias("in_taxonomy"))
 
 
@@ -145,6 +191,21 @@ def collapse_blank_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_before", F.lag(F.trim("line") == "", 1, False).over(w)).where(~(blank & F.col("_before"))).drop("_before")
 
 
+def dedupe_urls(lines: DataFrame) -> DataFrame:
+    """``file, line_no, line`` with each URL once, where it comes first: whole lines count, without white space around them.
+
+    Of runs of blank lines one stays, none at the end; other lines keep their indent.
+    Only URLs meet in a window by their text, so blank lines don't gather in one task.
+    """
+    text = T.stripped("line")
+    url = text.startswith("http://") | text.startswith("https://")
+    key = F.struct("file", F.when(url, text).alias("url"), F.when(~url, F.col("line_no")).alias("no"))
+    first = first_of(lines, key, [F.col("line_no")])
+    shown = first.withColumn("line", F.when(url, text).otherwise(F.regexp_replace("line", r"\s+$", "")))
+    end = shown.where("line <> ''").groupBy("file").agg(F.max("line_no").alias("_end"))
+    return collapse_blank_lines(shown).join(end, "file").where(F.col("line_no") <= F.col("_end")).drop("_end")
+
+
 def carry_down(lines: DataFrame, heading: Column) -> DataFrame:
     """Each line with the last heading at or before it in its file."""
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -183,12 +244,87 @@ def drift(labels: DataFrame, canonical: DataFrame, samples: int = 3) -> DataFram
     return out.orderBy(F.desc("n"), F.desc("mean_confidence"), "label")
 
 
-def clean_events(events: DataFrame, allowed: dict[str, list[str]], limit: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): types on the list, with their listed properties clipped; all else is quarantined."""
+@dataclass(frozen=True)
+class Prop:
+    """How a property of an event is cleaned: ``text`` cut to ``most``; ``whole`` between ``least`` and ``most``; ``number``; ``flag``; or one of ``values``."""
+
+    kind: str
+    least: int | None = None
+    most: int | None = None
+    values: tuple[str, ...] = ()
+
+
+def _text(n: int) -> Prop:
+    return Prop("text", most=n)
+
+
+#: The types of events that are taken, and each one's properties. Fixed values.
+EVENT_PROPS: dict[str, dict[str, Prop]] = {
+    "result_open": {"problemId": _text(120), "ranker": _text(20), "position": Prop("whole", 1, 100_000), "kind": Prop("one", values=("external", "expand"))},
+    "pattern_selected": {"pattern": _text(60)},
+    "ranker_changed": {"from": _text(20), "to": _text(20)},
+    "load_more": {"ranker": _text(20), "offset": Prop("whole", 0)},
+    "search_feedback": {"useful": Prop("flag"), "reason": _text(200), "ranker": _text(20), "q": _text(100)},
+    "platform_selected": {"platform": _text(20), "active": _text(60)},
+    "difficulty_selected": {"tier": _text(20), "judge": _text(20), "acceptance": _text(20), "min": Prop("number"), "max": Prop("number")},
+    "sort_changed": {"dir": _text(20)},
+    "level_applied": {"judges": Prop("whole", 0, 10)},
+    "level_cleared": {},
+    "library_aged": {"days": Prop("whole", 0, 100_000)},
+    "library_order": {"oldest": Prop("flag")},
+    "library_recall": {"value": _text(20)},
+    "recall_set": {"problemId": _text(120), "value": _text(20)},
+    "note_saved": {"problemId": _text(120), "chars": Prop("whole", 0, 100_000)},
+}
+SEARCH_ID = r"^[a-fA-F0-9-]{8,40}$"
+
+
+def _number(x: Column) -> Column:
+    """What a JSON value is as a number: booleans are 0 and 1, null and blank text 0, other text what it says; null if none."""
+    kind = F.schema_of_variant(x)
+    text = T.stripped(F.try_variant_get(x, "$", "string"))
+    told = F.when(text == "", F.lit(0.0)).when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    return F.when(kind == "VOID", F.lit(0.0)).when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("double")).when(kind == "STRING", told).when(~kind.rlike("^(ARRAY|OBJECT)"), F.try_variant_get(x, "$", "double"))
+
+
+def cleaned_prop(props: Column, name: str, rule: Prop) -> Column:
+    """The property as JSON text with a closing brace behind it, or null if it isn't there or doesn't pass."""
+    x = F.try_variant_get(props, f"$.{name}", "variant")
+    if rule.kind in ("text", "one"):
+        text = F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+        kept = F.when(text != "", F.substring(text, 1, rule.most)) if rule.kind == "text" else F.when(text.isin(*rule.values), text)
+        return F.when(kept.isNotNull(), F.substring(F.to_json(F.struct(kept.alias("v"))), 6, 1 << 30))  # behind {"v":
+    if rule.kind == "flag":
+        return F.when((F.schema_of_variant(x) == "BOOLEAN") & F.try_variant_get(x, "$", "boolean"), F.lit("true}")).otherwise(F.lit("false}"))
+    n = _number(x)
+    fits = ~F.isnan(n) & (F.abs(n) < float("inf"))
+    if rule.kind == "whole":
+        fits = fits & (n == F.floor(n)) & (n >= float(rule.least)) & (n <= (float(rule.most) if rule.most is not None else 2.0**53))
+        return F.when(fits, F.concat(n.cast("long").cast("string"), F.lit("}")))
+    return F.when(fits, F.concat(F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.cast("long").cast("string")).otherwise(n.cast("string")), F.lit("}")))
+
+
+def clean_events(events: DataFrame, types: dict[str, dict[str, Prop]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): events of the listed types, each with its type's properties cleaned and the id of its search; all others as they came.
+
+    ``props`` is JSON text before and after; what isn't an object has no properties.
+    """
+    types = EVENT_PROPS if types is None else types
     kind = F.col("type")
-    ok = F.coalesce(kind.isin(*allowed), F.lit(False))
-    fields = F.map_from_entries(F.filter(F.array(*[F.when(kind.isin(*[t for t, ps in allowed.items() if p in ps]) & F.get_json_object("props", f"$.{p}").isNotNull(), F.struct(F.lit(p).alias("k"), F.substring(F.get_json_object("props", f"$.{p}"), 1, limit).alias("v"))) for p in sorted({p for ps in allowed.values() for p in ps})]), lambda x: x.isNotNull()))
-    return events.where(ok).withColumn("props", F.to_json(fields)), events.where(~ok)
+    ok = F.coalesce(kind.isin(*types), F.lit(False))
+    raw = F.try_parse_json("props")
+    found = F.try_variant_get(raw, "$.searchId", "variant")
+    search = F.when(F.schema_of_variant(found).rlike("^(STRING|BIGINT)$"), F.try_variant_get(found, "$", "string"))
+    entries = [F.when(search.rlike(SEARCH_ID), F.concat(F.lit('"searchId":"'), search, F.lit('"')))]
+    rules: dict[tuple[str, Prop], list[str]] = {}
+    for name, props in types.items():
+        for p, rule in props.items():
+            rules.setdefault((p, rule), []).append(name)
+    for (p, rule), names in rules.items():
+        value = cleaned_prop(raw, p, rule)
+        entries.append(F.when(kind.isin(*names) & value.isNotNull(), F.concat(F.lit(f'"{p}":'), F.substring(value, F.lit(1), F.length(value) - 1))))
+    json = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*entries)), ","), F.lit("}"))
+    return events.where(ok).withColumn("props", json), events.where(~ok)
 
 
 def tag_additions(before: DataFrame, after: DataFrame, limit: int = 15) -> DataFrame:

@@ -74,9 +74,35 @@ def run_diff(before: DataFrame, after: DataFrame, known: DataFrame, qrels: DataF
     return before.select("qid").distinct().join(new, "qid", "left").join(lost, "qid", "left").fillna(0, ["displaced", "lost_relevant"])
 
 
-def with_equivalents(mine: DataFrame, equivalents: dict[str, list[str]]) -> DataFrame:
+#: Official tags and the labels that mean the same. Fixed values.
+EQUIVALENTS: dict[str, list[str]] = {
+    "binary search": ["binary-search", "binary-search-answer"],
+    "bitmasks": ["bitmask", "bitmask-dp", "bit-manipulation"],
+    "combinatorics": ["combinatorics"],
+    "constructive algorithms": ["constructive-algorithm"],
+    "dfs and similar": ["dfs", "depth-first-search"],
+    "dp": ["dynamic-programming"],
+    "dsu": ["union-find"],
+    "flows": ["max-flow", "min-cut", "min-cost-flow"],
+    "geometry": ["geometry"],
+    "graph matchings": ["bipartite-matching"],
+    "graphs": ["graph"],
+    "greedy": ["greedy"],
+    "hashing": ["rolling-hash", "hashing"],
+    "math": ["math"],
+    "number theory": ["number-theory"],
+    "probabilities": ["probability-dp", "probability"],
+    "shortest paths": ["shortest-path", "dijkstra", "bellman-ford"],
+    "sortings": ["sorting"],
+    "strings": ["string"],
+    "trees": ["tree"],
+    "two pointers": ["two-pointers"],
+}
+
+
+def with_equivalents(mine: DataFrame, equivalents: dict[str, list[str]] | None = None) -> DataFrame:
     """Our labels (doc_id, tag) in the terms of official tags: each tag that counts a label as meaning the same. Others go."""
-    pairs = mine.sparkSession.createDataFrame([(x, tag) for tag, labels in equivalents.items() for x in labels], "tag string, official string")
+    pairs = mine.sparkSession.createDataFrame([(x, tag) for tag, labels in (EQUIVALENTS if equivalents is None else equivalents).items() for x in labels], "tag string, official string")
     return mine.join(F.broadcast(pairs), "tag").select("doc_id", F.col("official").alias("tag")).distinct()  # a table kept by hand
 
 
@@ -86,10 +112,13 @@ def macro_means(agreement: DataFrame) -> DataFrame:
 
 
 def label_agreement(gold: DataFrame, mine: DataFrame, min_support: int = 1) -> DataFrame:
-    """``tag, gold, mine, hit, precision, recall, low_recall, low_precision`` from (doc_id, tag) tables, over documents that both have."""
-    both = gold.select("doc_id").distinct().join(mine.select("doc_id").distinct(), "doc_id")
-    g = gold.join(both, "doc_id", "left_semi").distinct().withColumn("g", F.lit(1))
-    m = mine.join(both, "doc_id", "left_semi").distinct().withColumn("m", F.lit(1))
-    rows = g.join(m, ["doc_id", "tag"], "full").groupBy("tag").agg(F.count("g").alias("gold"), F.count("m").alias("mine"), F.sum(F.when(F.col("g").isNotNull() & F.col("m").isNotNull(), 1).otherwise(0)).alias("hit"))
-    p, r = F.round(F.try_divide("hit", "mine"), 6), F.round(F.try_divide("hit", "gold"), 6)
-    return rows.where(F.col("gold") >= min_support).select("tag", "gold", "mine", "hit", F.coalesce(p, F.lit(0.0)).alias("precision"), r.alias("recall"), (r < 0.6).alias("low_recall"), (F.coalesce(p, F.lit(0.0)) < 0.5).alias("low_precision"))
+    """``tag, gold, mine, hit, precision, recall, low_recall, low_precision`` from (doc_id, tag) tables.
+
+    Records with an official tag are the frame: one without a label of ours is a miss,
+    labels of other records don't count.
+    """
+    g = gold.select("doc_id", "tag").distinct().withColumn("g", F.lit(1))
+    m = mine.select("doc_id", "tag").distinct().join(gold.select("doc_id"), "doc_id", "left_semi").withColumn("m", F.lit(1))
+    rows = g.join(m, ["doc_id", "tag"], "full").groupBy("tag").agg(F.count("g").alias("gold"), F.count("m").alias("mine"), F.count(F.col("g") + F.col("m")).alias("hit"))
+    p, r = F.round(F.coalesce(F.try_divide("hit", "mine"), F.lit(0.0)), 6), F.round(F.try_divide("hit", "gold"), 6)
+    return rows.where((F.col("gold") >= min_support) & (F.col("gold") > 0)).select("tag", "gold", "mine", "hit", p.alias("precision"), r.alias("recall"), (r < 0.6).alias("low_recall"), (p < 0.5).alias("low_precision"))

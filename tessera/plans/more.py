@@ -196,10 +196,11 @@ def k6_rejects(spark, d):
 
 
 def k9_seed_urls(spark, d):
-    """Pages' URLs appended twice, the second time in another spelling."""
+    """Pages' URLs appended, then again with white space around them, and with a query."""
     path, p = _folder(spark, "k9"), t.table(spark, d, "pages").select("page_id", "url")
     writers.append_urls(p, path)
-    writers.append_urls(p.withColumn("url", F.concat("url", F.lit("?again=1"))), path)
+    writers.append_urls(p.withColumn("url", F.concat(F.lit("\t"), "url", F.lit(" "))), path)
+    writers.append_urls(p.withColumn("url", F.concat("url", F.lit("?id="), (F.col("page_id") % 3).cast("string"))), path)
     return spark.read.parquet(path).select("url_key")
 
 
@@ -319,7 +320,7 @@ ORACLES = {
     "k3_events": f"WITH {t.EVENTS_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, type, CAST(sum(CASE WHEN type = 'visit' THEN 2 ELSE 1 END) AS BIGINT) AS n FROM e GROUP BY 1, 2",
     "k4_runs": "SELECT p_size, count(*) + k AS n, run FROM part CROSS JOIN (VALUES (0, 't1'), (1, 't2'), (1, 'latest')) v(k, run) GROUP BY p_size, k, run",
     "k6_rejects": "SELECT p_partkey, p_size, CASE WHEN p_size < 10 THEN 'small' WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'kept' END AS reason FROM part",
-    "k9_seed_urls": f"SELECT DISTINCT {quality._HOST} || regexp_replace({quality._PATH}, '/+$', '') AS url_key FROM pages",
+    "k9_seed_urls": "SELECT DISTINCT url AS url_key FROM pages UNION SELECT url || '?id=' || (page_id % 3) FROM pages",
     "k10_blocks": "SELECT p_partkey, CASE WHEN p_size % 5 = 2 THEN 'new' ELSE p_name END AS p_name, p_size % 5 AS block FROM part",
     "s6_taxonomy": "SELECT * FROM (VALUES ('bfs', 'graph', NULL), ('dp', 'dynamic', NULL), ('breadth-first', 'bfs', true), ('memo', 'dp', false)) v(name, value, consuming)",
     "s8_seed_urls": "SELECT page_id AS line_no, CASE WHEN page_id >= (SELECT min(page_id) FROM pages WHERE page_id % 10 = 0) THEN 'A' || (page_id // 10 * 10) || ' / b' END AS topic FROM pages WHERE page_id % 10 NOT IN (0, 3, 5, 7)",

@@ -9,6 +9,7 @@ from ..operators import curate
 from ..sources import readers, writers
 from . import tables as t
 
+BRANDS = [*(f"brand-{i}" for i in range(20, 40)), "brand-two", "ring", "economy", "implementation"]
 ALIASES = {"small-ring": "ring", "brand-2": "brand-two", "brand-17": "brand-two"}
 FAMILIES = [("ring|widget", "shape"), ("^brand", "maker"), ("two$", "pair")]
 FROM = "Economy"
@@ -99,10 +100,17 @@ def t24_seal(spark, d):
 
 
 def c1_validate(spark, d):
+    """Documents as records that break each rule now and then."""
+    n = F.col("doc_id")
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("leetcode", "codeforces", "cses")]), (n % 3 + 1).cast("int"))
+    name = F.when(n % 50 == 0, F.element_at(F.array(*[F.lit(x) for x in curate.ANCHORS]), (n / 50 % 4 + 1).cast("int"))).otherwise(F.concat(folder, F.lit("-"), n.cast("string")))
     rows = t.documents(spark, d).select(
-        "doc_id", F.when(F.col("doc_id") % 11 > 0, F.col("lang")).alias("title"), F.col("source").alias("slug"), F.when(F.col("lang") != "es", F.col("lang")).alias("platform"), F.lit("https://x").alias("url"), F.col("text").alias("body"),
-        F.array(F.col("source")).alias("tags"), F.array(F.lit("p q")).alias("patterns"), F.create_map(F.lit("c"), F.col("n_chars") / 10000).alias("confidence"), F.when(F.col("lang") == "en", "easy").alias("tier"), F.when(F.col("n_chars") % 2 == 0, F.col("n_chars")).alias("rating"))
-    return curate.rule_violations(rows, curate.record_rules(["en", "de", "fr"], ["src1", "src2", "p q"]))
+        "doc_id", folder.alias("folder"), name.alias("basename"), F.when(n % 13 == 1, F.concat(F.lit("x"), name)).when(n % 17 > 0, name).alias("id"), F.when(n % 11 == 0, " \t").otherwise(F.col("lang")).alias("title"), F.when(n % 9 == 0, "No Slug").otherwise(F.col("source")).alias("slug"),
+        F.when(n % 8 > 0, folder).otherwise("other").alias("platform"), F.lit("u").alias("source_url"), F.col("text").alias("statement"), F.when(n % 6 > 0, "topic").alias("source_topic"),
+        F.when(n % 4 == 0, "Easy").when(n % 4 == 1, "1500").when(n % 4 == 2, "Hard").alias("difficulty"), F.when(n % 4 < 3, F.when((n % 4 == 1) & (n % 8 < 4), "number").otherwise("string")).alias("difficulty_type"),
+        F.when(n % 10 > 0, F.array("source", F.when(n % 5 == 0, F.col("source")).otherwise("a-b"))).alias("tags"), F.when(n % 12 == 0, F.array(F.lit("p q"))).otherwise(F.transform(F.sequence(F.lit(1), F.col("n_chars") % 14 + 1), lambda i: F.concat(F.lit("p"), i.cast("string")))).alias("patterns"),
+        F.when(n % 15 > 0, "v1").alias("version"), F.create_map(F.lit("p3"), F.lit(0.5)).alias("confidence"))
+    return curate.rule_violations(rows, curate.record_rules())
 
 
 def c2_uniqueness(spark, d):
@@ -127,21 +135,26 @@ def c6_normalise(spark, d):
 
 def c7_add_labels(spark, d):
     p = t.table(spark, d, "part")
-    rows = p.select(F.col("p_partkey").alias("doc_id"), F.array(T.slugify("p_name")).alias("tags"))
-    new = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.array("p_brand", "p_type", F.lit("Implementation"), "p_name").alias("labels"))
-    return curate.add_labels(rows, new, ALIASES, ["implementation"], 3).select("doc_id", F.array_join("tags", " ").alias("tags"))
+    rows = p.select(F.col("p_partkey").alias("doc_id"), F.array(T.slugify("p_name")).alias("tags"), F.array(F.when(F.col("p_size") % 3 == 0, T.slugify("p_brand")).otherwise("x")).alias("patterns"))
+    new = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.array("p_brand", "p_type", F.lit("Implementation"), F.lit("Small Ring"), "p_name").alias("labels"))
+    return curate.add_labels(rows, new, BRANDS, ALIASES, cap=3).select("doc_id", F.array_join("tags", " ").alias("tags"))
 
 
 def c10_candidates(spark, d):
     p = t.table(spark, d, "part")
-    rows = p.select(F.col("p_partkey").alias("doc_id"), F.array(T.slugify("p_name")).alias("tags"))
-    cand = p.select(F.col("p_partkey").alias("doc_id"), "p_brand", "p_name", "p_size").select("doc_id", F.explode(F.array("p_brand", "p_name")).alias("label"), (F.col("p_size") / 25).cast("string").alias("confidence"))
+    rows = p.select(F.col("p_partkey").alias("doc_id"), F.array("p_name").alias("patterns"))
+    told = F.when(F.col("p_size") % 4 == 0, "no number").when(F.col("p_size") % 4 == 1, F.lit(None)).otherwise((F.col("p_size") / 25).cast("string"))
+    cand = p.select(F.col("p_partkey").alias("doc_id"), F.explode(F.array("p_brand", "p_name", F.lit("--"), F.lit("Brand#5"))).alias("label"), told.alias("confidence"))
     known = spark.createDataFrame([("brand-two",), ("brand-5",)], "label string")
     return curate.candidate_labels(cand, rows, known, ALIASES)
 
 
 def c12_dedupe_urls(spark, d):
-    return curate.first_of(t.table(spark, d, "pages"), T.normal_url("url"), [F.col("page_id")]).select("page_id", "url")
+    """Pages' URLs as files of lines, one for each remainder by 7: with a query, repeated, among remarks and blank lines."""
+    n, p = F.col("page_id"), t.table(spark, d, "pages")
+    lines = F.array(F.when(n % 5 == 0, "").otherwise("  # remark  "), F.lit(""), F.concat(F.lit(" "), "url"), F.concat("url", F.lit("?id="), (n % 2).cast("string")), F.lit("\t"), F.concat("url", F.lit(" ")), F.lit(""))
+    rows = p.select((n % 7).alias("file"), n, F.posexplode(lines).alias("at", "line"))
+    return curate.dedupe_urls(rows.select("file", (n * 10 + F.col("at")).alias("line_no"), "line"))
 
 
 def c13_backfill(spark, d):
@@ -160,8 +173,19 @@ def c15_topics(spark, d):
 
 
 def c17_clean_events(spark, d):
-    ok, bad = curate.clean_events(t.events(spark, d), {"open": ["ranker", "position"], "search": ["q", "ranker"]}, 3)
-    return ok.select("event_id", F.lit("ok").alias("side"), F.get_json_object("props", "$.ranker").alias("ranker"), F.get_json_object("props", "$.q").alias("q")).unionByName(bad.select("event_id", F.lit("rejected").alias("side"), F.lit(None).cast("string").alias("ranker"), F.lit(None).cast("string").alias("q")))
+    """Events as interactions of all types, each with every property, good and bad."""
+    n = F.col("event_id")
+    kinds = [*curate.EVENT_PROPS, "search", "other"]
+    e = t.table(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(x) for x in kinds]), (n % len(kinds) + 1).cast("int")).alias("type"), n.alias("n"))
+    long = lambda x, k: F.repeat(F.concat(F.lit(x), (n % 10).cast("string")), k)
+    whole = F.when(n % 4 == 0, n % 15 - 2).otherwise(n * 11)
+    props = F.to_json(F.struct(
+        F.when(n % 3 == 0, F.concat(F.lit("ABCDEF0"), n.cast("string"))).when(n % 3 == 1, "no id").alias("searchId"), long("p", 70).alias("problemId"), F.when(n % 5 > 0, long("r", 12)).otherwise("").alias("ranker"),
+        *[(whole.cast("string") if i % 2 else whole).alias(c) for i, c in enumerate(("position", "offset", "judges", "days", "chars"))], (n / 8).alias("min"), F.when(n % 2 == 0, "x").otherwise("1e3").alias("max"),
+        F.when(n % 2 == 0, "expand").otherwise("other").alias("kind"), *[long(c, 40).alias(c) for c in ("pattern", "from", "to", "platform", "active", "tier", "judge", "acceptance", "dir", "value", "reason", "q")], (n % 3 == 0).alias("useful"), F.lit("true").alias("oldest")))
+    ok, bad = curate.clean_events(e.select("event_id", "type", F.when(n % 23 == 0, "[1]").when(n % 29 == 0, "{").otherwise(props).alias("props")))
+    names = sorted({p for ps in curate.EVENT_PROPS.values() for p in ps} | {"searchId"})
+    return ok.select("event_id", "type", *[F.get_json_object("props", f"$.{p}").alias(f"p_{p}") for p in names]).unionByName(bad.select("event_id", F.lit("rejected").alias("type")), allowMissingColumns=True)
 
 
 def a21_unknown_labels(spark, d):
@@ -223,6 +247,32 @@ for _a, _b in (("&amp;", "'&'"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"
 _HTML = rf"trim(regexp_replace({_HTML}, '\s+', ' ', 'g'))"
 _DEDUP = lambda xs: f"list_filter([{xs}], lambda x, i: list_position([{xs}], x) = i)"
 
+_KINDS = "['result_open', 'pattern_selected', 'ranker_changed', 'load_more', 'search_feedback', 'platform_selected', 'difficulty_selected', 'sort_changed', 'level_applied', 'level_cleared', 'library_aged', 'library_order', 'library_recall', 'recall_set', 'note_saved', 'search', 'other']"
+
+
+def _of(kinds: str, value: str, name: str) -> str:
+    return f"CASE WHEN fine AND type IN ({', '.join(chr(39) + k + chr(39) for k in kinds.split())}) THEN {value} END AS p_{name}"
+
+
+def _cut(name: str, most: int, times: int = 40) -> str:
+    return f"left(repeat('{name[:1] if times != 40 else name}' || (n % 10), {times}), {most})"
+
+
+def _whole(least: int, most: int) -> str:
+    return f"CASE WHEN w BETWEEN {least} AND {most} THEN w::VARCHAR END"
+
+
+# written from the description of each type, property by property
+_CLEANED = f"""WITH x AS (SELECT event_id, event_id AS n, {_KINDS}[event_id % 17 + 1] AS kind, event_id % 23 > 0 AND event_id % 29 > 0 AS fine, CASE WHEN event_id % 4 = 0 THEN event_id % 15 - 2 ELSE event_id * 11 END AS w FROM events),
+    e AS (SELECT *, CASE WHEN kind IN ('search', 'other') THEN 'rejected' ELSE kind END AS type FROM x)
+    SELECT event_id, type, CASE WHEN fine AND type <> 'rejected' AND n % 3 = 0 AND length('ABCDEF0' || n) BETWEEN 8 AND 40 THEN 'ABCDEF0' || n END AS "p_searchId", {_of('result_open recall_set note_saved', _cut('p', 120, 70), 'problemId').replace('p_problemId', '"p_problemId"')},
+    {_of('result_open load_more search_feedback', "CASE WHEN n % 5 > 0 THEN left(repeat('r' || (n % 10), 12), 20) END", 'ranker')}, {_of('result_open', _whole(1, 100000), 'position')}, {_of('load_more', _whole(0, 1 << 53), 'offset')}, {_of('level_applied', _whole(0, 10), 'judges')},
+    {_of('library_aged', _whole(0, 100000), 'days')}, {_of('note_saved', _whole(0, 100000), 'chars')}, {_of('difficulty_selected', "CASE WHEN n % 8 = 0 THEN (n // 8)::VARCHAR ELSE (n / 8.0)::VARCHAR END", 'min')}, {_of('difficulty_selected', "CASE WHEN n % 2 = 1 THEN '1000' END", 'max')},
+    {_of('result_open', "CASE WHEN n % 2 = 0 THEN 'expand' END", 'kind')}, {_of('pattern_selected', _cut('pattern', 60), 'pattern')}, {_of('ranker_changed', _cut('from', 20), 'from')}, {_of('ranker_changed', _cut('to', 20), 'to')},
+    {_of('platform_selected', _cut('platform', 20), 'platform')}, {_of('platform_selected', _cut('active', 60), 'active')}, {_of('difficulty_selected', _cut('tier', 20), 'tier')}, {_of('difficulty_selected', _cut('judge', 20), 'judge')}, {_of('difficulty_selected', _cut('acceptance', 20), 'acceptance')},
+    {_of('sort_changed', _cut('dir', 20), 'dir')}, {_of('library_recall recall_set', _cut('value', 20), 'value')}, {_of('search_feedback', _cut('reason', 200), 'reason')}, {_of('search_feedback', _cut('q', 100), 'q')},
+    CASE WHEN type = 'search_feedback' THEN CASE WHEN fine AND n % 3 = 0 THEN 'true' ELSE 'false' END END AS p_useful, CASE WHEN type = 'library_order' THEN 'false' END AS p_oldest FROM e"""
+
 ORACLES = {
     "t18_osa": """
     WITH RECURSIVE names AS (SELECT DISTINCT p_name AS s FROM part),
@@ -260,23 +310,35 @@ ORACLES = {
     "t16_digest": f"SELECT doc_id, {_DIG} AS digest FROM documents",
     "t16_corpus": f"SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR AS h1, sum(('0x' || substr(h, 16, 15))::HUGEINT)::VARCHAR AS h2 FROM (SELECT {_DIG} AS h FROM documents)",
     "t24_seal": "SELECT c_custkey, c_name AS opened, true AS is_sealed, c_name AS plain FROM customer",
-    "c1_validate": """WITH r AS (SELECT doc_id, [CASE WHEN doc_id % 11 = 0 THEN 'error:title_missing' END, CASE WHEN lang = 'es' THEN 'error:platform_unknown' END, CASE WHEN trim(text) = '' THEN 'error:body_missing' END, CASE WHEN length(text) > 600 THEN 'warning:body_long' END,
-        'error:label_invalid', CASE WHEN source NOT IN ('src1', 'src2') THEN 'warning:label_unknown' END, CASE WHEN n_chars > 10000 THEN 'error:confidence_range' END, CASE WHEN lang = 'en' AND n_chars % 2 = 0 THEN 'error:tier_and_rating' END] AS v FROM documents),
+    "c1_validate": """WITH x AS (SELECT *, doc_id AS n, ['leetcode', 'codeforces', 'cses'][doc_id % 3 + 1] AS folder FROM documents),
+        y AS (SELECT *, CASE WHEN n % 50 = 0 THEN ['leetcode-two-sum', 'leetcode-climbing-stairs', 'leetcode-valid-parentheses', 'leetcode-binary-search'][n // 50 % 4 + 1] ELSE folder || '-' || n END AS name FROM x),
+        z AS (SELECT *, CASE WHEN n % 13 = 1 THEN 'x' || name WHEN n % 17 > 0 THEN name END AS id, CASE n % 4 WHEN 0 THEN 'Easy' WHEN 1 THEN '1500' WHEN 2 THEN 'Hard' END AS difficulty FROM y),
+        r AS (SELECT doc_id, [CASE WHEN id IS NULL THEN 'error:id_missing' END, CASE WHEN n % 11 = 0 THEN 'error:title_missing' END, CASE WHEN regexp_full_match(coalesce(text, ''), '\\s*') THEN 'error:statement_missing' END,
+            CASE WHEN n % 8 = 0 THEN 'error:platform_not_folder' END, CASE WHEN id IS DISTINCT FROM name THEN 'error:id_not_filename' END, CASE WHEN id IS NOT NULL AND NOT starts_with(id, folder || '-') THEN 'error:id_prefix' END,
+            CASE WHEN folder = 'leetcode' AND n % 4 NOT IN (0, 2) THEN 'error:tier_unknown' END, CASE WHEN folder = 'leetcode' AND n % 4 = 0 AND (id IS NULL OR id NOT IN ('leetcode-two-sum', 'leetcode-climbing-stairs', 'leetcode-valid-parentheses', 'leetcode-binary-search')) THEN 'warning:easy_not_anchor' END,
+            CASE WHEN folder = 'codeforces' AND n % 4 < 3 AND NOT (n % 4 = 1 AND n % 8 < 4) THEN 'error:rating_not_number' END, CASE WHEN n % 9 = 0 THEN 'error:slug_invalid' END, CASE WHEN n % 15 = 0 THEN 'error:version_missing' END,
+            CASE WHEN n % 10 = 0 THEN 'error:tags_no_array' END, CASE WHEN n % 10 > 0 AND n % 5 = 0 THEN 'error:tags_repeated' END, CASE WHEN n % 12 > 0 AND n_chars % 14 + 1 > 12 THEN 'error:patterns_many' END, CASE WHEN n % 12 = 0 THEN 'error:patterns_invalid' END,
+            CASE WHEN n % 12 = 0 OR n_chars % 14 + 1 < 3 THEN 'warning:confidence_stray' END, CASE WHEN length(text) > 600 THEN 'warning:statement_long' END, CASE WHEN n % 6 = 0 THEN 'warning:topic_missing' END] AS v FROM z),
         u AS (SELECT doc_id, unnest(v) AS x FROM r) SELECT doc_id, split_part(x, ':', 1) AS level, split_part(x, ':', 2) AS rule FROM u WHERE x IS NOT NULL""",
     "c2_uniqueness": "SELECT p_name, p_brand, p_size, count(*) AS copies FROM part GROUP BY ALL HAVING count(*) > 1",
     "c3_dangling": "SELECT doc_id * 3 AS doc_id, quality FROM labels WHERE doc_id * 3 NOT IN (SELECT doc_id FROM documents)",
     "c5_drift": """SELECT doc_id, 'missing' AS fault FROM documents WHERE doc_id % 50 = 7 OR (doc_id % 90 = 3 AND doc_id <> 0) UNION ALL SELECT -doc_id, 'extra' FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 90 = 3 AND doc_id <> 0
         UNION ALL SELECT doc_id, 'changed' FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 90 <> 3 AND doc_id % 40 = 1""",
     "c6_normalise": f"SELECT p_partkey, array_to_string({_DEDUP(_CANON('p_name') + ', ' + _CANON('p_brand') + ', ' + chr(39) + 'ring' + chr(39))}, ' ') AS tags FROM part",
-    "c7_add_labels": f"""WITH x AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [{_SLUG('p_name')}, {_CANON('p_brand')}, {_CANON('p_type')}, {_CANON('p_name')}] ELSE [{_SLUG('p_name')}] END AS xs FROM part)
-        SELECT p_partkey AS doc_id, array_to_string(list_filter(xs, lambda x, i: list_position(xs, x) = i)[1:3], ' ') AS tags FROM x""",
-    "c10_candidates": f"""WITH c AS (SELECT p_partkey AS doc_id, {_CANON('p_brand')} AS label, least(1, p_size / 25) AS confidence, {_SLUG('p_name')} AS have FROM part UNION ALL SELECT p_partkey, {_CANON('p_name')}, least(1, p_size / 25), {_SLUG('p_name')} FROM part)
-        SELECT doc_id, label, max(confidence) AS confidence, label IN ('brand-two', 'brand-5') AS in_taxonomy FROM c WHERE label <> have GROUP BY ALL""",
-    "c12_dedupe_urls": f"SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY {_HOST} || regexp_replace({_PATH}, '/+$', '') ORDER BY page_id) AS r FROM pages) WHERE r = 1",
+    "c7_add_labels": f"""WITH c AS (SELECT p_partkey, p_size, {_SLUG('p_name')} AS tag, CASE WHEN p_size % 3 = 0 THEN {_SLUG('p_brand')} ELSE 'x' END AS pattern, [{_CANON('p_brand')}, {_CANON('p_type')}, 'ring', {_CANON('p_name')}] AS raw FROM part),
+        k AS (SELECT *, list_filter(raw, lambda x, i: list_position(raw, x) = i AND (x IN ('brand-two', 'ring', 'economy') OR regexp_full_match(x, 'brand-[23][0-9]')) AND x <> tag AND x <> pattern)[1:2] AS new FROM c)
+        SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 AND len(new) > 0 THEN tag || ' ' || array_to_string(new, ' ') ELSE tag END AS tags FROM k""",
+    "c10_candidates": f"""WITH p AS (SELECT *, {_CANON('p_name')} AS have, CASE WHEN p_size % 4 < 2 THEN 0.0 ELSE least(1, p_size / 25) END AS confidence FROM part),
+        c AS (SELECT p_partkey AS doc_id, unnest([{_CANON('p_brand')}, have, 'brand-5']) AS label, confidence, have FROM p)
+        SELECT doc_id, label, confidence, label IN ('brand-two', 'brand-5') AS in_taxonomy FROM c WHERE label <> have""",
+    "c12_dedupe_urls": """WITH l AS (SELECT page_id % 7 AS file, page_id * 10 + pos AS line_no, [CASE WHEN page_id % 5 = 0 THEN '' ELSE '  # remark' END, '', url, url || '?id=' || (page_id % 2), '', url, ''][pos + 1] AS line FROM pages CROSS JOIN range(7) r(pos)),
+        f AS (SELECT * FROM (SELECT *, line LIKE 'http%' AS is_url, row_number() OVER (PARTITION BY file, line ORDER BY line_no) AS r FROM l) WHERE NOT is_url OR r = 1),
+        b AS (SELECT *, lag(line) OVER (PARTITION BY file ORDER BY line_no) AS before, max(line_no) FILTER (line <> '') OVER (PARTITION BY file) AS last_no FROM f)
+        SELECT file, line_no, line FROM b WHERE NOT (line = '' AND before IS NOT NULL AND before = '') AND line_no <= last_no""",
     "c13_backfill": "SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN 9 END, quality) AS quality, coalesce(CASE WHEN doc_id % 4 = 0 THEN 9 END, quality) IS NULL AS missing FROM documents LEFT JOIN labels USING (doc_id)",
     "c14_ingest": "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'present' WHEN p_size = 3 THEN 'skipped' WHEN p_partkey % 3 = 0 THEN 'staged' ELSE 'queued' END AS decision FROM part",
     "c15_topics": "SELECT p_name AS id, string_agg(DISTINCT p_type, ' ' ORDER BY p_type) AS topics FROM part GROUP BY p_name",
-    "c17_clean_events": f"WITH {t.EVENTS_SQL} SELECT event_id, CASE WHEN type IN ('open', 'search') THEN 'ok' ELSE 'rejected' END AS side, CASE WHEN type IN ('open', 'search') THEN left(ranker, 3) END AS ranker, CASE WHEN type = 'search' THEN left('q' || k, 3) END AS q FROM e",
+    "c17_clean_events": _CLEANED,
     "a21_unknown_labels": f"WITH p AS (SELECT p_partkey, {_SLUG('p_brand')} AS label, p_size / 50 AS c FROM part) SELECT label, count(*) AS n, round(avg(c), 6) AS mean_confidence, array_to_string(list(p_partkey ORDER BY p_partkey)[1:3], ' ') AS sample_ids FROM p WHERE label NOT LIKE 'brand-1%' GROUP BY label",
     "a23_tag_additions": "SELECT p_brand AS tag, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, tag LIMIT 15",
     "s8_carry_down": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS topic FROM conversations",

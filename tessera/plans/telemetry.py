@@ -75,7 +75,7 @@ def a19_heatmap(spark, d):
 def a20_agreement(spark, d):
     docs = t.documents(spark, d)
     gold = t.table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("tag"))
-    mine = docs.select("doc_id", F.when(F.col("n_chars") > 400, "good").otherwise("bad").alias("tag"))
+    mine = docs.where("doc_id % 7 > 0").select("doc_id", F.when(F.col("n_chars") > 400, "good").otherwise("bad").alias("tag"))  # a seventh has no label of ours
     return evaluate.label_agreement(gold, mine)
 
 
@@ -125,7 +125,7 @@ ORACLES = {
     "a19_heatmap": f"""WITH {_DAYS}, sp AS (SELECT {LAST_DAY} - i * 86400 AS day FROM range(366) r(i)), r AS (SELECT day, coalesce(n, 0) AS n FROM sp LEFT JOIN (SELECT * FROM sd WHERE source = 'click') USING (day)),
         v AS (SELECT list(n ORDER BY n) AS v FROM r WHERE n > 0), c AS (SELECT CASE WHEN len(v) < 4 THEN 1 ELSE v[CAST(floor(len(v) * 0.25) AS BIGINT) + 1] END AS c1, CASE WHEN len(v) < 4 THEN 2 ELSE v[CAST(floor(len(v) * 0.5) AS BIGINT) + 1] END AS c2, CASE WHEN len(v) < 4 THEN 4 ELSE v[CAST(floor(len(v) * 0.75) AS BIGINT) + 1] END AS c3 FROM v)
         SELECT day, n, CASE WHEN n <= 0 THEN 0 WHEN n <= c1 THEN 1 WHEN n <= c2 THEN 2 WHEN n <= c3 THEN 3 ELSE 4 END AS level FROM r CROSS JOIN c""",
-    "a20_agreement": """WITH j AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS g, CASE WHEN n_chars > 400 THEN 'good' ELSE 'bad' END AS m FROM labels JOIN documents USING (doc_id)),
+    "a20_agreement": """WITH j AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS g, CASE WHEN n_chars > 400 THEN 'good' WHEN n_chars <= 400 THEN 'bad' END AS m FROM labels LEFT JOIN (SELECT * FROM documents WHERE doc_id % 7 > 0) d USING (doc_id)),
         s AS (SELECT tag, count(*) FILTER (g = tag) AS gold, count(*) FILTER (m = tag) AS mine, count(*) FILTER (g = tag AND m = tag) AS hit FROM j CROSS JOIN (VALUES ('good'), ('bad')) v(tag) GROUP BY tag)
         SELECT tag, gold, mine, hit, round(hit / mine, 6) AS precision, round(hit / gold, 6) AS recall, hit / gold < 0.6 AS low_recall, hit / mine < 0.5 AS low_precision FROM s WHERE gold >= 1""",
     "a20_equivalents": """WITH j AS (SELECT quality = 1 AS good, n_chars > 400 AS for_good, n_chars <= 2000 AS for_bad FROM labels JOIN documents USING (doc_id)),

@@ -170,7 +170,9 @@ def by_header(grid: DataFrame) -> DataFrame:
 
 def newest(rows: DataFrame, keep: Column, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` that pass, one per id."""
-    return rows.where(keep).dropDuplicates(["id"]).orderBy(*order).limit(n)
+    from .writers import first_rows
+
+    return first_rows(rows.where(keep), "id").orderBy(*order).limit(n)
 
 
 def hard_or_recent(rows: DataFrame, n: int, hard: bool) -> DataFrame:
@@ -201,10 +203,12 @@ def merge_statements(index: DataFrame, staged: DataFrame) -> DataFrame:
     return index.join(s, "id", "left").withColumn("statement", F.coalesce("_s", "statement")).drop("_s")
 
 
-def wanted_rows(remote: DataFrame, wanted: DataFrame, low: int, high: int, min_chars: int = 80) -> DataFrame:
-    """Remote rows that are wanted, long enough and in the rating window, one per id."""
+def wanted_rows(remote: DataFrame, wanted: DataFrame, low: int, high: int, min_chars: int = 80, order: Column | None = None) -> DataFrame:
+    """Remote rows that are wanted, long enough and in the rating window, the first of each id by ``order``, else by content."""
+    from .writers import first_rows
+
     rows = remote.where((F.length(F.trim(F.coalesce("statement", F.lit("")))) >= min_chars) & F.col("rating").between(low, high))
-    return rows.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return first_rows(rows.join(wanted.select("id"), "id", "left_semi"), "id", order)
 
 
 def fresh_index(index: DataFrame, as_of: str, days: int = 7) -> DataFrame:

@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def append_new(rows: DataFrame, path: str, key: str = "id", overwrite: bool = False) -> None:
-    """Append rows whose key isn't stored yet; with ``overwrite`` store them all."""
+def first_rows(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """One row of each key: the first by ``order``, else by the row's content; counted together before the shuffle."""
+    order = order if order is not None else F.to_json(F.struct(*rows.columns))
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
+
+
+def append_new(rows: DataFrame, path: str, key: str = "id", overwrite: bool = False, order: Column | None = None) -> None:
+    """Append rows whose key isn't stored yet, one of each key (see ``first_rows``); with ``overwrite`` store them all."""
     spark = rows.sparkSession
     if overwrite:
         rows.write.mode("overwrite").parquet(path)
         return
     if _exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-    rows.dropDuplicates([key]).write.mode("append").parquet(path)
+    first_rows(rows, key, order).write.mode("append").parquet(path)
 
 
-def append_urls(rows: DataFrame, path: str, normal: Column | None = None) -> None:
-    """Append a block of seed URLs, each once: those stored already, in whatever spelling, stay out."""
+def append_urls(rows: DataFrame, path: str, key: Column | None = None, order: Column | None = None) -> None:
+    """Append a block of seed URLs, each once: those stored already stay out. The whole trimmed line counts; ``key``: another form to compare, as ``T.normal_url``."""
     from ..functions import text as T
 
-    keyed = rows.withColumn("url_key", normal if normal is not None else T.normal_url("url"))
-    append_new(keyed, path, "url_key")
+    append_new(rows.withColumn("url_key", key if key is not None else T.stripped("url")), path, "url_key", order=order)
 
 
 def _exists(spark, path: str) -> bool:
