@@ -1,34 +1,36 @@
 """Phrase collocations by pivot partitioning.
 
-A phrase of two to five words that occurs often has only frequent words. The rarest
-of them (least count, then least number of the word) is its pivot, and each
-occurrence belongs to the first place of its pivot in it. So each frequent word in a
-text, taken as pivot, needs only its surroundings: up to four words to the left that
-are commoner, up to four to the right that are no rarer, up to the piece's end. All
-else is cut away, which makes most fragments short. Equal fragments of a task are one row with a count.
+A phrase of two to five words that occurs often has only frequent words, and all its
+pairs of neighbours are frequent. The rarest of its words (least count, then least
+number of the word) is its pivot, and each occurrence belongs to the first place of
+its pivot in it. So each frequent word in a text, taken as pivot, needs only its
+surroundings: up to four words to the left that are commoner, up to four to the right
+that are no rarer, as far as each neighbouring pair is frequent and the piece goes on.
+All else is cut away, which leaves most words without a fragment. Equal fragments of
+a stretch of texts are one row with a count.
 
 Fragments are routed to their pivot, mined there one pivot at a time, and the pivot's
 task emits only phrases that the pivot owns, so no other task has them. A pivot that
 occurs more than PIVOT_ROWS times is split: its fragments are dealt by their hash,
 and the parts' counts of a phrase are added up by Spark.
 
-Word counts come from one pass that counts before it shuffles. Frequent words get
-their numbers and counts from a sharded minimal perfect hash (``perfect_hash``), which
-tasks read by the shard from the shared folder, so no task and no broadcast holds
-the vocabulary. Fragments are rows of numbers; words come back at the end.
+Words and pairs are counted by passes that count in each task before they shuffle.
+Frequent words get their numbers and counts from a sharded minimal perfect hash
+(``perfect_hash``), and another one tells frequent pairs; tasks read both by the shard
+from the shared folder, so no task and no broadcast holds the vocabulary. Fragments
+are rows of numbers; words come back at the end.
 
 Everything is within a language: a word of two languages is two words. Scores are
 computed in decimals of 38 digits.
 
-Defined results: null texts count as empty, a null language as ``und``; each row counts,
-repeated rows too; texts of any length are read whole, some at a time; ties are broken as stated
-in ``collocations``; an empty table gives an empty frame; further columns are not
-read.
+Defined results: null texts count as empty, a null language as ``und``; each row
+counts, repeated rows too; texts of any length are read whole, each at once; ties are
+broken as stated in ``collocations``; an empty table gives an empty frame; further
+columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -43,23 +45,29 @@ REACH = LONGEST - 1
 SPAN = 2 * REACH + 1
 #: Occurrences of a pivot whose fragments one group holds at most, on average.
 PIVOT_ROWS = 20_000
-#: Distinct words that a task holds while it counts, and that it remembers the numbers of.
-FLUSH_WORDS, KNOWN_WORDS = 300_000, 1_000_000
-#: Characters of texts whose fragments are made at once, and fragments that are mined at once.
-HELD_CHARACTERS, HELD_ROWS = 6_000_000, 400_000
-#: Words and single piece ends, in order; what separates pieces and words are fixed values.
-tokens_of = re.compile("[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]").findall
-ENDS = ".,;:!?\n\x0b\x0c\r"
-_LOWER = str.maketrans(UPPER, LOWER)
+#: Distinct words, and pairs, that a task holds while it counts, and words that it remembers the numbers of.
+FLUSH_WORDS, FLUSH_PAIRS, KNOWN_WORDS = 300_000, 3_000_000, 1_000_000
+#: Bytes of texts that are read at once, and fragments that are mined at once.
+HELD_BYTES, HELD_ROWS = 6_000_000, 400_000
+#: A byte that no UTF-8 text has stands for the end of a piece. What ends pieces is fixed; A to Z become small letters.
+END = b"\xff"
+_TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r", LOWER.encode() + END * 10)
+
+
+def tokens_of(text: bytes) -> list[bytes]:
+    """Words and ends of pieces, in order."""
+    return text.translate(_TABLE).replace(END, b" \xff ").split()
+
+
 #: ``words``: the fragment's numbers, 32 bits each; ``before``: how many of them stand before the pivot.
 FRAGMENT = "route long, split boolean, before byte, words binary, n long"
 
 
 def by_language(batch: pa.RecordBatch):
-    """(language, its texts) of a batch, lower-cased."""
-    own: dict[str, list[str]] = {}
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-        own.setdefault(lang, []).append(text.translate(_LOWER) if not text.isascii() else text.lower())
+    """(language, its texts) of a batch."""
+    own: dict[str, list[bytes]] = {}
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+        own.setdefault(lang, []).append(text)
     return own.items()
 
 
@@ -72,13 +80,12 @@ def count_words(base: DataFrame) -> DataFrame:
         def out():
             langs, words, n = [], [], []
             for lang, c in held.items():
-                for end in ENDS:
-                    c.pop(end, None)
+                c.pop(END, None)
                 langs += [lang] * (len(c) + 1)
                 words += [None, *c]
                 n += [sum(c.values()), *c.values()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
         for b in batches:
             for lang, own in by_language(b):
@@ -92,7 +99,7 @@ def count_words(base: DataFrame) -> DataFrame:
 
 
 def word_keys(langs, words) -> np.ndarray:
-    return perfect_hash.digests([f"{len(x)}:{x}{w}" for x, w in zip(langs, words)])
+    return perfect_hash.digests([f"{len(x)}:{x}".encode() + w for x, w in zip(langs, words)])
 
 
 def keyed(words: DataFrame) -> DataFrame:
@@ -100,7 +107,7 @@ def keyed(words: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            h = word_keys(b.column("lang").to_pylist(), b.column("word").to_pylist())
+            h = word_keys(b.column("lang").to_pylist(), b.column("word").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), b.column("n")], names=["first", "second", "number"])
 
     return words.mapInArrow(run, "first long, second long, number long")
@@ -111,7 +118,7 @@ def numbered(words: DataFrame, index: perfect_hash.Index) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            h = word_keys(b.column("lang").to_pylist(), b.column("word").to_pylist())
+            h = word_keys(b.column("lang").to_pylist(), b.column("word").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(index.look_up(h)[0].astype(np.int32)), b.column("lang"), b.column("word"), b.column("n")], names=["word_id", "lang", "word", "n"])
 
     return words.mapInArrow(run, "word_id int, lang string, word string, n long")
@@ -125,15 +132,15 @@ class Numberer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.number, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, ranks) of all words and ends in order, with an end after each text; -1 for rare words and ends, and rarer words have lower ranks."""
-        tokens: list[str] = []
+        tokens: list[bytes] = []
         for x in texts:
             tokens += tokens_of(x)
-            tokens.append("\n")
+            tokens.append(END)
         distinct = set(tokens)
         if len(self.known) + len(distinct) > KNOWN_WORDS:
             self._forget()
@@ -153,17 +160,28 @@ class Numberer:
         return self.count[order[np.searchsorted(self.number, numbers, sorter=order)]]
 
 
-def fragments_of(number: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A row of SPAN numbers for each word that may own a phrase; the word in the middle, -1 beyond the fragment."""
+def pairs_of(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose word and the next are both frequent, and those pairs as one number each."""
+    at = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0))
+    return at, number[at] << 32 | number[at + 1]
+
+
+def fragments_of(number: np.ndarray, rank: np.ndarray, linked: np.ndarray | None = None) -> np.ndarray:
+    """A row of SPAN numbers for each word that may own a phrase; the word in the middle, -1 beyond the fragment.
+
+    ``linked``: whether each word and the next may stand in one phrase; default: all.
+    """
     edge = np.full(REACH, -1, np.int64)
+    linked = np.r_[np.zeros(REACH, bool), np.ones(len(number), bool) if linked is None else linked, np.zeros(REACH, bool)]
     rank, number = np.r_[edge, rank, edge], np.r_[edge, number, edge]
-    at = np.flatnonzero(number >= 0)
+    at = np.flatnonzero((number >= 0) & (linked | np.r_[False, linked[:-1]]))
     out = np.full((len(at), SPAN), -1, np.int32)
     out[:, REACH] = number[at]
     for step, beats in ((-1, np.greater), (1, np.greater_equal)):
         going = np.arange(len(at))
         for k in range(1, REACH + 1):
-            going = going[beats(rank[at[going] + step * k], rank[at[going]])]
+            to = at[going] + step * k
+            going = going[linked[np.minimum(to, to - step)] & beats(rank[to], rank[at[going]])]
             out[going, REACH + step * k] = number[at[going] + step * k]
     return out[(out[:, REACH - 1] >= 0) | (out[:, REACH + 1] >= 0)]
 
@@ -215,35 +233,84 @@ def unpacked(table: pa.Table) -> np.ndarray:
     return out
 
 
-def fragments(base: DataFrame, index: perfect_hash.Index, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
-    """All fragments, equal ones of a stretch of texts as one row, with the number by which they are routed."""
+def stretches(batches, index: perfect_hash.Index):
+    """(reader, numbers, ranks) of the texts of a language, some HELD_BYTES at a time."""
+    readers: dict[str, Numberer] = {}
+    held: dict[str, list[bytes]] = {}
+    size = 0
+
+    def out():
+        for lang, texts in held.items():
+            reader = readers.setdefault(lang, Numberer(index, lang))
+            yield reader, *reader.read(texts)
+        held.clear()
+
+    for b in batches:
+        for lang, own in by_language(b):
+            for text in own:
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+                if size > HELD_BYTES:
+                    yield from out()
+                    size = 0
+    yield from out()
+
+
+def frequent_pairs(base: DataFrame, index: perfect_hash.Index, least: int) -> DataFrame:
+    """``pair, n``: pairs of neighbouring words of at least ``least`` occurrences; tasks count before the shuffle."""
 
     def run(batches):
-        readers: dict[str, Numberer] = {}
-        held: dict[str, list[str]] = {}
-        size = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            pairs, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(pairs, kind="stable")
+            pairs, n = pairs[order], n[order]
+            first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+            return (pairs[first], np.add.reduceat(n, first)) if len(pairs) else (pairs, n)
 
         def out():
-            for lang, texts in held.items():
-                reader = readers.setdefault(lang, Numberer(index, lang))
-                f = fragments_of(*reader.read(texts))
-                rows, n = added_up(f, np.ones(len(f), np.int64))
-                pivot = rows[:, REACH]
-                parts = np.maximum(1, -(-reader.counts_of(pivot) // pivot_rows)) if len(rows) else np.empty(0, np.int64)
-                part = (_mixed(rows) % parts.astype(np.uint64)).astype(np.int64)
-                before, words = packed(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(_mixed(np.column_stack([pivot, part])).view(np.int64)), pa.array(parts > 1), before, words, pa.array(n)], names=["route", "split", "before", "words", "n"])
+            pairs, n = merged()
             held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
+        for _, number, _ in stretches(batches, index):
+            held.append(np.unique(pairs_of(number)[1], return_counts=True))
+            if sum(len(x) for x, _ in held) > 2 * FLUSH_PAIRS:
+                held[:] = [merged()]
+                if len(held[0][0]) > FLUSH_PAIRS:
+                    yield out()
+        if held:
+            yield out()
+
+    return base.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def pair_keys(pairs: DataFrame) -> DataFrame:
+    def run(batches):
         for b in batches:
-            for lang, own in by_language(b):
-                for text in own:
-                    held.setdefault(lang, []).append(text)
-                    size += len(text)
-                    if size > HELD_CHARACTERS:
-                        yield from out()
-                        size = 0
-        yield from out()
+            h = perfect_hash.number_digests(b.column("pair").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), b.column("n")], names=["first", "second", "number"])
+
+    return pairs.mapInArrow(run, "first long, second long, number long")
+
+
+def fragments(base: DataFrame, index: perfect_hash.Index, pairs: perfect_hash.Index, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+    """All fragments, equal ones of a stretch of texts as one row, with the number by which they are routed."""
+
+    def run(batches):
+        for reader, number, rank in stretches(batches, index):
+            at, pair = pairs_of(number)
+            distinct, inverse = np.unique(pair, return_inverse=True)
+            linked = np.zeros(len(number), bool)
+            linked[at] = (pairs.look_up(perfect_hash.number_digests(distinct))[0] >= 0)[inverse]
+            f = fragments_of(number, rank, linked)
+            rows, n = added_up(f, np.ones(len(f), np.int64))
+            pivot = rows[:, REACH]
+            parts = np.maximum(1, -(-reader.counts_of(pivot) // pivot_rows)) if len(rows) else np.empty(0, np.int64)
+            part = (_mixed(rows) % parts.astype(np.uint64)).astype(np.int64)
+            before, words = packed(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(np.column_stack([pivot, part])).view(np.int64)), pa.array(parts > 1), before, words, pa.array(n)], names=["route", "split", "before", "words", "n"])
 
     return base.mapInArrow(run, FRAGMENT)
 
@@ -328,7 +395,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         totals, frequent = counted.where("word IS NULL").select("lang", "n"), counted.where("word IS NOT NULL")
         index = perfect_hash.build(keyed(frequent), "words")
         words = staged(numbered(frequent, index), "numbered")
-        phrases = staged(frequent_phrases(fragments(base, index, pivot_rows), least), "phrases")
+        pairs = perfect_hash.build(pair_keys(frequent_pairs(base, index, least)), "pairs")
+        phrases = staged(frequent_phrases(fragments(base, index, pairs, pivot_rows), least), "phrases")
     left = without_parts(phrases)
     rows = scored(phrases, words, totals).join(left.select("p"), "p", "left_semi")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -42,6 +42,17 @@ def digests(keys) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxh3_128_digest, keys)), "<i8").reshape(-1, 2)
 
 
+def number_digests(x: np.ndarray) -> np.ndarray:
+    """Two well-mixed 64-bit integers for each 64-bit number, as ``digests`` gives them for strings."""
+    out = np.empty((len(x), 2), np.int64)
+    for i, seed in enumerate((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)):
+        h = x.astype(np.int64).view(_U) + _U(seed)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> _U(shift))) * _U(factor)
+        out[:, i] = (h ^ (h >> _U(31))).view(np.int64)
+    return out
+
+
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
     """64 well-mixed bits of both halves, another value for each seed."""
     u = keys.view(_U)

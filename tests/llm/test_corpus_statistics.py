@@ -170,6 +170,7 @@ def brute_collocations(rows, least, top):
 @pytest.mark.parametrize("pivot_rows,held,top", [(20_000, 400_000, 2000), (7, 50, 2000), (1, 1, 3)])
 def test_collocations_equal_brute_force(spark, monkeypatch, pivot_rows, held, top):
     monkeypatch.setattr(collocations, "HELD_ROWS", held)
+    monkeypatch.setattr(collocations, "FLUSH_PAIRS", held)
     r = np.random.default_rng(11)
     words = ["the", "of", "Of", "a", "b", "c", "É", "é", "d#", "e", "zz"]
     rows = [(("en", "de", None)[int(r.integers(3))], " ".join(words[min(int(r.exponential(3)), 10)] + ("", "", "", ".", "\n", ",\t")[int(r.integers(6))] for _ in range(int(r.integers(0, 40))))) for _ in range(150)]
@@ -188,6 +189,10 @@ def test_fragments_cover_each_occurrence_once():
     got = {tuple(x for x in row if x >= 0): int(k) for row, k in zip(p.tolist(), n.tolist())}
     want = Counter(tuple(number[i : i + s].tolist()) for s in range(2, 6) for i in range(len(number) - s + 1) if (number[i : i + s] >= 0).all())
     assert got == dict(want)
+    linked = np.array([True, True, False, True, False, True, True, False, True, False])
+    p, n = collocations.phrases_of(cut := collocations.fragments_of(number, rank, linked), np.ones(len(cut), np.int64))
+    got = {tuple(x for x in row if x >= 0): int(k) for row, k in zip(p.tolist(), n.tolist())}
+    assert got == dict(Counter(tuple(number[i : i + s].tolist()) for s in range(2, 6) for i in range(len(number) - s + 1) if (number[i : i + s] >= 0).all() and linked[i : i + s - 1].all()))
     before, packed = collocations.packed(rows)
     import pyarrow as pa
 
