@@ -11,8 +11,10 @@ a stretch of texts are one row with a count.
 
 Fragments are routed to their pivot, mined there one pivot at a time, and the pivot's
 task emits only phrases that the pivot owns, so no other task has them. A pivot that
-occurs more than PIVOT_ROWS times is split: its fragments are dealt by their hash,
-and the parts' counts of a phrase are added up by Spark.
+occurs more than PIVOT_ROWS times is split by its neighbours: what it owns with its
+right neighbour goes by that word, what it owns as the last word by the left one, so
+that each phrase still has one place. Where a pair alone is that frequent, fragments
+are dealt by their hash, and Spark adds up the parts' counts of a phrase.
 
 Words and pairs are counted by passes that count in each task before they shuffle.
 Frequent words get their numbers and counts from a sharded minimal perfect hash
@@ -44,7 +46,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 REACH = LONGEST - 1
 SPAN = 2 * REACH + 1
 #: Occurrences of a pivot whose fragments one group holds at most, on average.
-PIVOT_ROWS = 20_000
+PIVOT_ROWS = 50_000
 #: Distinct words, and pairs, that a task holds while it counts, and words that it remembers the numbers of.
 FLUSH_WORDS, FLUSH_PAIRS, KNOWN_WORDS = 300_000, 3_000_000, 1_000_000
 #: Bytes of texts that are read at once, and fragments that are mined at once.
@@ -59,8 +61,10 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).replace(END, b" \xff ").split()
 
 
+#: What a fragment is for: all phrases that its pivot owns, or those with the right neighbour; and whether other groups may have the same.
+RIGHT_ONLY, SHARED = 1, 2
 #: ``words``: the fragment's numbers, 32 bits each; ``before``: how many of them stand before the pivot.
-FRAGMENT = "route long, split boolean, before byte, words binary, n long"
+FRAGMENT = "route long, mode byte, before byte, words binary, n long"
 
 
 def by_language(batch: pa.RecordBatch):
@@ -302,26 +306,38 @@ def fragments(base: DataFrame, index: perfect_hash.Index, pairs: perfect_hash.In
         for reader, number, rank in stretches(batches, index):
             at, pair = pairs_of(number)
             distinct, inverse = np.unique(pair, return_inverse=True)
+            _, pair_n = pairs.look_up(perfect_hash.number_digests(distinct))
             linked = np.zeros(len(number), bool)
-            linked[at] = (pairs.look_up(perfect_hash.number_digests(distinct))[0] >= 0)[inverse]
+            linked[at] = (pair_n > 0)[inverse]
             f = fragments_of(number, rank, linked)
             rows, n = added_up(f, np.ones(len(f), np.int64))
-            pivot = rows[:, REACH]
-            parts = np.maximum(1, -(-reader.counts_of(pivot) // pivot_rows)) if len(rows) else np.empty(0, np.int64)
-            part = (_mixed(rows) % parts.astype(np.uint64)).astype(np.int64)
-            before, words = packed(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(_mixed(np.column_stack([pivot, part])).view(np.int64)), pa.array(parts > 1), before, words, pa.array(n)], names=["route", "split", "before", "words", "n"])
+            hot = reader.counts_of(rows[:, REACH]) > pivot_rows if len(rows) else np.empty(0, bool)
+            ended = rows.copy()
+            ended[:, REACH + 1 :] = -1
+            right, left = hot & (rows[:, REACH + 1] >= 0), hot & (rows[:, REACH - 1] >= 0)
+            for own, times, by, mode in ((rows[~hot], n[~hot], None, 0), (rows[right], n[right], REACH, RIGHT_ONLY), (*added_up(ended[left], n[left]), REACH - 1, 0)):
+                if not len(own):
+                    continue
+                route, shared = [own[:, REACH]], np.zeros(len(own), bool)
+                if by is not None:
+                    parts = -(-pair_n[np.searchsorted(distinct, own[:, by].astype(np.int64) << 32 | own[:, by + 1])] // pivot_rows)
+                    shared = parts > 1
+                    route += [own[:, 2 * by - REACH + 1], np.full(len(own), by), (_mixed(own) % parts.astype(np.uint64)).astype(np.int64)]
+                before, words = packed(own)
+                yield pa.RecordBatch.from_arrays([pa.array(_mixed(np.column_stack(route)).view(np.int64)), pa.array((mode + SHARED * shared).astype(np.int8)), before, words, pa.array(times)], names=["route", "mode", "before", "words", "n"])
 
     return base.mapInArrow(run, FRAGMENT)
 
 
-def phrases_of(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The phrases that the pivots of fragments own, as rows of LONGEST numbers with -1 behind the end, and their occurrences."""
+def phrases_of(rows: np.ndarray, n: np.ndarray, right_only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases that the pivots of fragments own, or only those with the pivot's right neighbour, as rows of LONGEST numbers with -1 behind the end, and their occurrences."""
     found, times = [], []
     for left in range(REACH + 1):
         for right in range(REACH + 1 - left):
             if left + right:
                 own = (rows[:, REACH - left] >= 0) & (rows[:, REACH + right] >= 0)
+                if right_only is not None and not right:
+                    own &= ~right_only
                 p = np.full((int(own.sum()), LONGEST), -1, np.int32)
                 p[:, : left + right + 1] = rows[own, REACH - left : REACH + right + 1]
                 found.append(p)
@@ -333,10 +349,11 @@ def frequent_phrases(found: DataFrame, least: int = LEAST) -> DataFrame:
     """``p array<int>, a long``: the phrases of at least ``least`` occurrences, from fragments."""
 
     def mined(table: pa.Table):
-        rows, n, split = unpacked(table), table.column("n").to_numpy(), table.column("split").to_numpy()
-        for part in (split, ~split):
-            p, a = phrases_of(rows[part], n[part])
-            if part is not split:  # nobody else has occurrences of these
+        rows, n, mode = unpacked(table), table.column("n").to_numpy(), table.column("mode").to_numpy()
+        shared = (mode & SHARED) > 0
+        for part in (shared, ~shared):
+            p, a = phrases_of(rows[part], n[part], (mode[part] & RIGHT_ONLY) > 0)
+            if part is not shared:  # nobody else has occurrences of these
                 p, a = p[a >= least], a[a >= least]
             some = p >= 0
             ends = np.r_[0, np.cumsum(some.sum(1))].astype(np.int32)
