@@ -13,15 +13,20 @@ There are finitely many states, since the trie bounds how far back they look; on
 those that texts reach are ever determined, and a bounded number is remembered.
 
 A piece's path from the start back to it is remembered as one composed transition.
-A stretch of text acts on the states as a *chunk map*: what comes before its first
-white space ends the piece that is open (``head``), in the middle it emits a number
-that does not depend on the state, and after its last white space it leaves a piece
-open (``tail``). Maps compose associatively, so long texts are cut anywhere, mapped
-chunk by chunk, and put together by a prefix scan of logarithmic depth.
+Texts longer than CHUNK_CHARS are cut at white space, where the state is always the
+start. A stretch without any is cut where no normalisation and no piece reaches
+across: between a letter and a sign, say. What then is left are single pieces of
+many thousand bytes. Such a piece is cut anywhere, and each chunk of it becomes a
+*chunk map* from states to the state after it and the tokens emitted. A map is
+worked out for the states that are asked of it; the first one is foreseen by running
+the bytes just before the chunk, since what was read longer ago hardly ever shows in
+the state. Maps compose associatively, so they are put together by a prefix scan of
+logarithmic depth, and a chunk whose entry state was not foreseen is run again. Memory
+is linear in the text: a map holds a few numbers and refers to its bytes.
 
 White space, Unicode normalisation and the cut into pieces are the tokenizers
-library's where a word isn't of plain Latin letters (see ``words``); a word that
-could hold a special string is counted by the library whole.
+library's where a word isn't of plain Latin letters (see ``words``); special strings
+are cut out before, and each counts as one token.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; a special
 string inside a text counts as the library counts it (one token); a text of any
@@ -32,7 +37,9 @@ gives an empty frame; further columns of the input are not read.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import re
+import unicodedata
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -58,6 +65,10 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+#: The state before a piece: the place in the trie, and for each end the token before and the tokens fewer.
+START = (0, ((-1, 0),))
+
+
 class MergeTransducer:
     """``run(symbols)``: the tokens that a piece becomes; states and transitions are determined when first reached."""
 
@@ -114,8 +125,8 @@ class MergeTransducer:
         return out
 
     def _forget(self) -> None:
-        self.states: dict[tuple, int] = {(0, ((-1, 0),)): 0}
-        self.contents: list[tuple] = [(0, ((-1, 0),))]
+        self.states: dict[tuple, int] = {START: 0}
+        self.contents: list[tuple] = [START]
         self.steps: dict[int, int] = {}
 
     def ends(self, node: int) -> tuple[int, ...]:
@@ -151,6 +162,20 @@ class MergeTransducer:
             self.contents.append(key)
         return number << _EMIT_BITS | emitted + _EMIT_ZERO
 
+    def through(self, state: tuple, symbols: bytes) -> tuple[tuple, int]:
+        """From a state, by its content, over bytes of which none ends the piece: the state then, and the tokens emitted."""
+        total = 0
+        for at in range(0, len(symbols), CHUNK_CHARS):
+            if len(self.steps) > TRANSITIONS:
+                self._forget()
+            number, get = self.number(state), self.steps.get
+            for s in symbols[at : at + CHUNK_CHARS]:
+                step = get(number << 9 | s) or self._step(number, s)
+                total += (step & 255) - _EMIT_ZERO
+                number = step >> _EMIT_BITS
+            state = self.contents[number]
+        return state, total
+
     def run(self, symbols: bytes) -> int:
         """The tokens of one piece, given as bytes of which the last one ends it."""
         if len(self.steps) > TRANSITIONS:
@@ -163,40 +188,91 @@ class MergeTransducer:
         step = get(state << 9 | symbols[-1] + END) or self._step(state, symbols[-1] + END)
         return total + step - _EMIT_ZERO * len(symbols)
 
+    def number(self, state: tuple) -> int:
+        if state not in self.states:
+            self.states[state] = len(self.contents)
+            self.contents.append(state)
+        return self.states[state]
+
     def _step(self, state: int, symbol: int) -> int:
         out = self.steps[state << 9 | symbol] = self.determine(state, symbol)
         return out
 
 
-@dataclass(frozen=True)
 class ChunkMap:
-    """What a stretch of text does to any state."""
+    """What a stretch of a piece's bytes does to a state: (next state, tokens emitted) for the states asked for."""
+
+    def __init__(self, transducer: MergeTransducer, symbols: bytes = b"", parts: tuple["ChunkMap", "ChunkMap"] | None = None):
+        self.transducer, self.symbols, self.parts = transducer, symbols, parts
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+
+    def after(self, state: tuple) -> tuple[tuple, int]:
+        if (found := self.known.get(state)) is None:
+            if self.parts is None:
+                found = self.transducer.through(state, self.symbols)
+            else:
+                middle, n = self.parts[0].after(state)
+                end, m = self.parts[1].after(middle)
+                found = end, n + m
+            self.known[state] = found
+        return found
+
+    def then(self, other: "ChunkMap") -> "ChunkMap":
+        """The map of both stretches; for states that this one has been asked for it is worked out at once."""
+        out = ChunkMap(self.transducer, parts=(self, other))
+        for state in self.known:
+            out.after(state)
+        return out
+
 
-    head: str
-    inner: int = 0
-    tail: str | None = None  # None: no white space in the stretch
+#: Bytes before a chunk from which its entry state is foreseen.
+FORESEEN = 256
 
-    def then(self, other: "ChunkMap", count) -> "ChunkMap":
-        if self.tail is None:
-            return ChunkMap(self.head + other.head, other.inner, other.tail)
-        if other.tail is None:
-            return ChunkMap(self.head, self.inner, self.tail + other.head)
-        return ChunkMap(self.head, self.inner + count(self.tail + other.head) + other.inner, other.tail)
 
-    def total(self, count) -> int:
-        """Tokens from the start state to the end of the text."""
-        return count(self.head) + self.inner + (0 if self.tail is None else count(self.tail))
+def chunk_maps(transducer: MergeTransducer, symbols: bytes, chunk: int) -> list[ChunkMap]:
+    """The maps of a piece's chunks, each worked out for the state it is foreseen to be entered in."""
+    out = []
+    for at in range(0, len(symbols), chunk):
+        m = ChunkMap(transducer, symbols[at : at + chunk])
+        m.after(transducer.through(START, symbols[max(0, at - FORESEEN) : at])[0])
+        out.append(m)
+    return out
 
 
-def prefix_scan(maps: list[ChunkMap], count) -> list[ChunkMap]:
+def prefix_scan(maps: list[ChunkMap]) -> list[ChunkMap]:
     """All prefixes' maps, in log2(n) rounds whose compositions don't depend on each other."""
     step, maps = 1, list(maps)
     while step < len(maps):
-        maps = [maps[i - step].then(m, count) if i >= step else m for i, m in enumerate(maps)]
+        maps = [maps[i - step].then(m) if i >= step else m for i, m in enumerate(maps)]
         step *= 2
     return maps
 
 
+#: Where the tokenizer's normalisation puts a space: the white space of its pattern. Fixed values.
+WHITE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Runs of which pieces are made: letters, single digits, other signs. Fixed values.
+_RUNS = "\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
+
+
+@cache
+def joining() -> frozenset[str]:
+    """The characters that normalisation may join to what stands before: second halves of compositions, and what begins with a mark or such a half."""
+    seconds = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # of Hangul syllables
+    apart = {}
+    for c in range(0x110000):
+        told = unicodedata.decomposition(chr(c))
+        if told and told[0] != "<":
+            apart[chr(c)] = unicodedata.normalize("NFD", chr(c))
+            if " " in told:
+                seconds.add(chr(int(told.split(" ")[1], 16)))
+    return frozenset(seconds | {c for c, x in apart.items() if unicodedata.combining(x[0]) or x[0] in seconds})
+
+
+def inert(c: str) -> bool:
+    """Whether normalisation never joins anything across a cut before a character."""
+    return c.isascii() or unicodedata.combining(c) == 0 and c not in joining()
+
+
 class TokenCounter:
     """Counts the tokens of texts; remembers the composed transition of each piece."""
 
@@ -210,6 +286,12 @@ class TokenCounter:
         self.transducer = MergeTransducer(merges, told["model"]["end_of_word_suffix"])
         self.letters = byte_letters()
         self.emits: dict[str, int] = {}
+        import regex
+
+        self.runs = regex.compile(_RUNS).finditer
+        self.digit = regex.compile("\\p{N}").match
+        self.leading = {"letters": regex.compile("\\p{L}+").match, "signs": regex.compile("[^\\s\\p{L}\\p{N}]+").match}
+        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda x: [x]
 
     def emission(self, unit: str) -> int:
         """From the start back to it: the tokens of a piece, or of a whole word behind a space (see ``words.units``)."""
@@ -234,9 +316,81 @@ class TokenCounter:
         self.prepare([own])
         return sum(map(self.emits.__getitem__, own))
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        first, last = chunk.find(" "), chunk.rfind(" ")
-        return ChunkMap(chunk) if first < 0 else ChunkMap(chunk[:first], self.count(chunk[first:last]), chunk[last + 1 :])
+    def piece(self, symbols: bytes, chunk: int) -> int:
+        """The tokens of a long piece, by the maps of its chunks."""
+        last = ChunkMap(self.transducer, b"")
+        maps = chunk_maps(self.transducer, symbols[:-1], chunk)
+        state, n = (prefix_scan(maps)[-1] if maps else last).after(START)
+        return n + self.transducer.determine(self.transducer.number(state), symbols[-1] + END) - _EMIT_ZERO
+
+    def normalised(self, word: str, chunk: int):
+        """The normalised parts of a stretch without white space, cut where nothing is joined across."""
+        at = 0
+        while at < len(word):
+            to = min(at + chunk, len(word))
+            while to < len(word) and not inert(word[to]):
+                to += 1
+            yield self.library.normalizer.normalize_str(word[at:to])
+            at = to
+
+    def word(self, word: str, chunk: int) -> int:
+        """The tokens of a long stretch without white space: pieces are found in parts, and an unfinished piece goes on into the next part."""
+        total, open_, held = 0, "", bytearray()  # ``held``: the bytes of an open piece of one kind of characters that is long already
+        kind, much = None, max(chunk, 16)  # more than the longest short form
+        for part in self.normalised(word, chunk):
+            if held:
+                m = self.same(kind)(part)
+                held += part[: m.end()].encode() if m else b""
+                if m and m.end() == len(part):
+                    continue
+                total += self.piece(bytes(held), chunk)
+                held, part = bytearray(), part[m.end() if m else 0 :]
+            open_ += part
+            runs = [(m.start(), m.group()) for m in self.runs(open_)]
+            if not runs:
+                continue
+            start, text = runs[-1]
+            if len(runs) > 1 and runs[-2][1] == "'":  # may begin a short form with what follows
+                start, text = runs[-2][0], "'" + text
+            total += self.count_pieces(open_[:start])
+            open_ = open_[start:]
+            if len(open_) > much and text[0] == "'" and len(text) > 1 and self.kind_of(text[1]) == "letters":
+                first = self.library.pre_tokenizer.pre_tokenize_str(open_[:16])[0][1][1]
+                total += self.count_pieces(open_[:first])
+                open_ = open_[first:]
+            if len(open_) > much and self.kind_of(open_[0]) != "digit":
+                kind, held, open_ = self.kind_of(open_[0]), bytearray(open_.encode()), ""
+        return total + (self.piece(bytes(held), chunk) if held else self.count_pieces(open_))
+
+    def kind_of(self, c: str) -> str:
+        return "letters" if self.same("letters")(c) else "digit" if self.digit(c) else "signs"
+
+    def same(self, kind: str):
+        """Matches the characters of a kind at the beginning of a text."""
+        return self.leading[kind]
+
+    def count_pieces(self, text: str) -> int:
+        """Of normalised text that pieces don't reach out of."""
+        return sum(self.transducer.run(bytes(map(self.letters.__getitem__, piece))) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)) if text else 0
+
+    def long(self, text: str, chunk: int) -> int:
+        """The tokens of a text of any length, some ``chunk`` characters at a time."""
+        total, at = 0, 0
+        while at < len(text):
+            to = min(at + chunk, len(text))
+            if to < len(text):
+                cut = next((i for i in range(to, at, -1) if WHITE.match(text, i - 1)), None)
+                if cut is None:  # no white space in all of it: the stretch goes on to the next
+                    m = WHITE.search(text, to)
+                    to = m.start() if m else len(text)
+                    parts = self.split_special(text[at:to])
+                    total += len(parts) // 2 + sum(self.word(x, chunk) for x in parts[::2] if x)
+                    at = to
+                    continue
+                to = cut
+            total += self.count(text[at:to])
+            at = to
+        return total
 
     def tokens(self, many: list[str], chunk: int = 0) -> list[int]:
         chunk = chunk or CHUNK_CHARS
@@ -248,8 +402,7 @@ class TokenCounter:
             out += [sum(map(get, own)) for own in cut]
         for i, x in enumerate(many):
             if len(x) > chunk:
-                maps = [self.chunk_map(x[a : a + chunk]) for a in range(0, len(x), chunk)]
-                out[i] = prefix_scan(maps, self.count)[-1].total(self.count)
+                out[i] = self.long(x, chunk)
         return out
 
 

@@ -54,14 +54,73 @@ def test_transducer_equals_merging_for_all_short_strings():
     assert len(t.contents) < 200
 
 
-def test_chunk_maps_are_associative():
-    count = len
+def test_chunk_maps_compose_through_states():
+    t = token_count.TokenCounter(words.default_path())
     r = random.Random(3)
-    for _ in range(200):
-        maps = [token_count.ChunkMap(*(("ab"[: r.randint(0, 2)],) if r.random() < 0.5 else ("x" * r.randint(0, 2), r.randint(0, 5), "y" * r.randint(0, 2)))) for _ in range(3)]
-        a, b, c = maps
-        assert a.then(b, count).then(c, count) == a.then(b.then(c, count), count)
-        assert token_count.prefix_scan(maps, count)[-1] == a.then(b, count).then(c, count)
+    for _ in range(60):
+        text = "".join(r.choice(("etaoin", "abcdefghij", "xyzq", "a")[r.randint(0, 3)]) for _ in range(r.randint(2, 300))).encode()
+        whole = t.transducer.through(token_count.START, text)
+        cuts = sorted(r.randint(0, len(text)) for _ in range(r.randint(1, 9)))
+        maps = [token_count.ChunkMap(t.transducer, text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        assert token_count.prefix_scan(maps)[-1].after(token_count.START) == whole
+        if len(maps) > 2:
+            a, b, c = maps[:3]
+            entries = [token_count.START, t.transducer.through(token_count.START, b"the")[0], t.transducer.through(token_count.START, b"internationa")[0]]
+            for e in entries:
+                assert a.then(b).then(c).after(e) == a.then(b.then(c)).after(e)
+                step = e
+                total = 0
+                for m in (a, b, c):
+                    step, n = m.after(step)
+                    total += n
+                assert a.then(b).then(c).after(e) == (step, total)
+        for chunk in (1, 3, 64):
+            foreseen = token_count.chunk_maps(t.transducer, text, chunk)
+            assert token_count.prefix_scan(foreseen)[-1].after(token_count.START) == whole
+            for i in range(0, len(foreseen), 7):
+                assert token_count.prefix_scan(foreseen)[i].after(token_count.START) == t.transducer.through(token_count.START, text[: (i + 1) * chunk])
+        assert t.piece(text, 16) == t.transducer.run(text)
+
+
+def test_foreseen_states_are_mostly_right():
+    t = token_count.TokenCounter(words.default_path())
+    r = random.Random(4)
+    text = "".join(r.choice(["inter", "nation", "al", "q", "zx", "the", "un"]) for _ in range(20_000)).encode()
+    maps = token_count.chunk_maps(t.transducer, text, 4096)
+    assert token_count.prefix_scan(maps)[-1].after(token_count.START) == t.transducer.through(token_count.START, text)
+    assert sum(len(m.known) == 1 for m in maps) >= 0.9 * len(maps)  # not run again
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 40, 700])
+def test_long_stretches_without_white_space_equal_the_library(chunk):
+    t = token_count.TokenCounter(words.default_path())
+    r = random.Random(7)
+    parts = ["a" * 900, "etaoinshrdlu" * 90, "!" * 800, "7" * 300, "日本語" * 200, "'", "'s", "'ll", "''", "'t" * 40, "don't", "é" * 300, "e\u0301" * 200, "가\u1100\u1161\u11a8" * 60, "😀👩\u200d👧" * 50, "İΣς", "²³", "\u0301" * 50, "<|endoftext|>", "<|", "_", "ab1!", "x\u0307\u0323", "ǆ", "\u1100", "\u1161"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(60)] + parts + ["a\u00a0" * 500 + "b" * 900, "\n".join(["word"] * 900), "\u3000".join(parts), "'" + "s" * 2000, "!'" + "s" * 2000, "1'" + "re" * 1000, "x" * 1000 + "'" + "d" * 1000]
+    want = [len(t.library.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert [i for i, (a, b) in enumerate(zip(t.tokens(texts, chunk), want)) if a != b] == []
+
+
+@pytest.mark.parametrize("unit", ["x", "word\n", "ab!1", "日本"])
+def test_memory_is_linear_in_long_texts(unit):
+    import subprocess
+    import sys
+
+    code = f"""
+import resource
+from tessera.llm import token_count, words
+t = token_count.TokenCounter(words.default_path())
+small = {unit!r} * 1000
+t.tokens([small], 256)
+text = {unit!r} * (20_000_000 // len({unit!r}.encode()))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = t.tokens([text])[0]
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rpartition("/tests/")[0]).stdout.split()[-2:])
+    t = token_count.TokenCounter(words.default_path())
+    some = t.tokens([unit * 2000, unit * 4000])
+    assert mb < 250 and abs(n / (20_000_000 // len(unit.encode())) - (some[1] - some[0]) / 2000) < 0.01
 
 
 def test_bpe_equals_the_library_and_merging():
