@@ -7,10 +7,11 @@ its pivot in it. So each frequent word in a text, taken as pivot, needs only its
 surroundings: up to four words to the left that are commoner, up to four to the right
 that are no rarer, as far as each neighbouring pair is frequent and the piece goes on.
 All else is cut away, which leaves most words without a fragment. Equal fragments of
-a stretch of texts are one row with a count.
+a stretch of texts are one with a count.
 
-Fragments are routed to their pivot, mined there one pivot at a time, and the pivot's
-task emits only phrases that the pivot owns, so no other task has them. A pivot that
+Pivots are dealt to buckets, so many that each has about BUCKET_ROWS fragments, and a
+stretch's fragments for a bucket travel as one block. A bucket is mined at once, and
+emits only phrases that its pivots own, so no other task has them. A pivot that
 occurs more than PIVOT_ROWS times is split by its neighbours: what it owns with its
 right neighbour goes by that word, what it owns as the last word by the left one, so
 that each phrase still has one place. Where a pair alone is that frequent, fragments
@@ -49,8 +50,8 @@ SPAN = 2 * REACH + 1
 PIVOT_ROWS = 50_000
 #: Distinct words, and pairs, that a task holds while it counts, and words that it remembers the numbers of.
 FLUSH_WORDS, FLUSH_PAIRS, KNOWN_WORDS = 300_000, 3_000_000, 1_000_000
-#: Bytes of texts that are read at once, and fragments that are mined at once.
-HELD_BYTES, HELD_ROWS = 6_000_000, 400_000
+#: Bytes of texts that are read at once, and fragments of a bucket.
+HELD_BYTES, BUCKET_ROWS = 6_000_000, 200_000
 #: A byte that no UTF-8 text has stands for the end of a piece. What ends pieces is fixed; A to Z become small letters.
 END = b"\xff"
 _TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r", LOWER.encode() + END * 10)
@@ -63,8 +64,9 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 #: What a fragment is for: all phrases that its pivot owns, or those with the right neighbour; and whether other groups may have the same.
 RIGHT_ONLY, SHARED = 1, 2
-#: ``words``: the fragment's numbers, 32 bits each; ``before``: how many of them stand before the pivot.
-FRAGMENT = "route long, mode byte, before byte, words binary, n long"
+#: A block of fragments: for each a byte of its mode, how many words stand before the pivot, and how many it has; 32 bits for each word; 64 for its count.
+BLOCK = "bucket int, modes binary, befores binary, lengths binary, words binary, counts binary"
+_KINDS = {"modes": "i1", "befores": "i1", "lengths": "i1", "words": "<i4", "counts": "<i8"}
 
 
 def by_language(batch: pa.RecordBatch):
@@ -216,25 +218,33 @@ def added_up(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], np.add.reduceat(n, first)
 
 
-def packed(rows: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """``before`` and ``words`` of fragments."""
+def packed(bucket: np.ndarray, mode: np.ndarray, rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A block for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, mode, rows, n = bucket[order], mode[order], rows[order], n[order]
     some = rows >= 0
-    ends = np.r_[0, np.cumsum(some.sum(1), dtype=np.int64) * 4].astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows[some].astype("<i4").tobytes())])
-    return pa.array(some[:, :REACH].sum(1).astype(np.int8)), words
+    length = some.sum(1)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+    cuts = np.r_[first, len(bucket)]
+    word_cuts = np.r_[0, np.cumsum(length, dtype=np.int64)][cuts]
 
+    def blocks(values: np.ndarray, at: np.ndarray, kind: str) -> pa.Array:
+        raw, ends = np.ascontiguousarray(values, kind).tobytes(), (at * np.dtype(kind).itemsize).tolist()
+        return pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
 
-def unpacked(table: pa.Table) -> np.ndarray:
-    words = table.column("words").combine_chunks() if isinstance(table.column("words"), pa.ChunkedArray) else table.column("words")
-    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-    ends = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1]
-    flat = np.frombuffer(words.buffers()[2], "<i4")[ends[0] // 4 : ends[-1] // 4] if len(words) else np.empty(0, "<i4")
-    size = np.diff(ends) // 4
-    row = np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(flat)) - np.repeat((ends[:-1] - ends[0]) // 4, size) + np.repeat(REACH - table.column("before").to_numpy().astype(np.int64), size)
-    out = np.full((len(words), SPAN), -1, np.int32)
-    out[row, place] = flat
-    return out
+    parts = {"modes": (mode, cuts), "befores": (some[:, :REACH].sum(1), cuts), "lengths": (length, cuts), "words": (rows[some], word_cuts), "counts": (n, cuts)}
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *(blocks(x, at, _KINDS[k]) for k, (x, at) in parts.items())], names=["bucket", *_KINDS])
+
+
+def unpacked(blocks: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(modes, rows, counts) of the fragments of blocks."""
+    x = {k: np.frombuffer(b"".join(b[k] for b in blocks), kind) for k, kind in _KINDS.items()}
+    size = x["lengths"].astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(REACH - x["befores"].astype(np.int64), size)
+    rows = np.full((len(size), SPAN), -1, np.int32)
+    rows[row, place] = x["words"]
+    return x["modes"], rows, x["counts"]
 
 
 def stretches(batches, index: perfect_hash.Index):
@@ -299,8 +309,8 @@ def pair_keys(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "first long, second long, number long")
 
 
-def fragments(base: DataFrame, index: perfect_hash.Index, pairs: perfect_hash.Index, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
-    """All fragments, equal ones of a stretch of texts as one row, with the number by which they are routed."""
+def fragments(base: DataFrame, index: perfect_hash.Index, pairs: perfect_hash.Index, buckets: int, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+    """All fragments in blocks by the buckets of their pivots, equal ones of a stretch of texts as one."""
 
     def run(batches):
         for reader, number, rank in stretches(batches, index):
@@ -323,10 +333,9 @@ def fragments(base: DataFrame, index: perfect_hash.Index, pairs: perfect_hash.In
                     parts = -(-pair_n[np.searchsorted(distinct, own[:, by].astype(np.int64) << 32 | own[:, by + 1])] // pivot_rows)
                     shared = parts > 1
                     route += [own[:, 2 * by - REACH + 1], np.full(len(own), by), (_mixed(own) % parts.astype(np.uint64)).astype(np.int64)]
-                before, words = packed(own)
-                yield pa.RecordBatch.from_arrays([pa.array(_mixed(np.column_stack(route)).view(np.int64)), pa.array((mode + SHARED * shared).astype(np.int8)), before, words, pa.array(times)], names=["route", "mode", "before", "words", "n"])
+                yield packed((_mixed(np.column_stack(route)) % np.uint64(buckets)).astype(np.int64), mode + SHARED * shared, own, times)
 
-    return base.mapInArrow(run, FRAGMENT)
+    return base.mapInArrow(run, BLOCK)
 
 
 def phrases_of(rows: np.ndarray, n: np.ndarray, right_only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -345,11 +354,11 @@ def phrases_of(rows: np.ndarray, n: np.ndarray, right_only: np.ndarray | None =
     return added_up(np.concatenate(found), np.concatenate(times))
 
 
-def frequent_phrases(found: DataFrame, least: int = LEAST) -> DataFrame:
-    """``p array<int>, a long``: the phrases of at least ``least`` occurrences, from fragments."""
+def frequent_phrases(blocks: DataFrame, least: int = LEAST) -> DataFrame:
+    """``p array<int>, a long``: the phrases of at least ``least`` occurrences, from blocks of fragments."""
 
-    def mined(table: pa.Table):
-        rows, n, mode = unpacked(table), table.column("n").to_numpy(), table.column("mode").to_numpy()
+    def mined(held: list[dict]):
+        mode, rows, n = unpacked(held)
         shared = (mode & SHARED) > 0
         for part in (shared, ~shared):
             p, a = phrases_of(rows[part], n[part], (mode[part] & RIGHT_ONLY) > 0)
@@ -360,23 +369,19 @@ def frequent_phrases(found: DataFrame, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(p[some])), pa.array(a)], names=["p", "a"])
 
     def run(batches):
-        held, size = [], 0
+        held, bucket = [], None
         for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= HELD_ROWS:
-                table = pa.Table.from_batches(held).combine_chunks()
-                route = table.column("route").to_numpy()
-                cut = int(np.searchsorted(route, route[-1]))  # rows come in order of route, and the last one may go on
-                if cut:
-                    yield from mined(table.slice(0, cut).combine_chunks())
-                held = table.slice(cut).combine_chunks().to_batches()
-                size = table.num_rows - cut
-        if size:
-            yield from mined(pa.Table.from_batches(held).combine_chunks())
-
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    routed = found.repartition(n, "route").sortWithinPartitions("route")
+            for block in b.to_pylist():
+                if held and block["bucket"] != bucket:
+                    yield from mined(held)
+                    held = []
+                bucket = block["bucket"]
+                held.append(block)
+        if held:
+            yield from mined(held)
+
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = blocks.repartition(n, "bucket").sortWithinPartitions("bucket")
     return routed.mapInArrow(run, "p array<int>, a long").groupBy("p").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
@@ -404,7 +409,7 @@ def without_parts(phrases: DataFrame) -> DataFrame:
     return phrases.join(held, "p", "left").where(F.col("longer").isNull() | (F.col("longer") < F.col("a"))).select("p", "a")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, pivot_rows: int = PIVOT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``top`` phrases by falling score, then falling ``a``, then phrase in byte order."""
     base = docs.select(F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
     with small_batches(docs.sparkSession):
@@ -412,8 +417,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         totals, frequent = counted.where("word IS NULL").select("lang", "n"), counted.where("word IS NOT NULL")
         index = perfect_hash.build(keyed(frequent), "words")
         words = staged(numbered(frequent, index), "numbered")
-        pairs = perfect_hash.build(pair_keys(frequent_pairs(base, index, least)), "pairs")
-        phrases = staged(frequent_phrases(fragments(base, index, pairs, pivot_rows), least), "phrases")
+        counted = staged(frequent_pairs(base, index, least), "pairs")
+        pairs = perfect_hash.build(pair_keys(counted), "pairs")
+        met = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # no word has a fragment without a frequent pair
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // bucket_rows))
+        phrases = staged(frequent_phrases(fragments(base, index, pairs, buckets, pivot_rows), least), "phrases")
     left = without_parts(phrases)
     rows = scored(phrases, words, totals).join(left.select("p"), "p", "left_semi")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -167,16 +167,15 @@ def brute_collocations(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("pivot_rows,held,top", [(20_000, 400_000, 2000), (7, 50, 2000), (1, 1, 3)])
-def test_collocations_equal_brute_force(spark, monkeypatch, pivot_rows, held, top):
-    monkeypatch.setattr(collocations, "HELD_ROWS", held)
-    monkeypatch.setattr(collocations, "FLUSH_PAIRS", held)
+@pytest.mark.parametrize("pivot_rows,bucket_rows,top", [(50_000, 200_000, 2000), (7, 50, 2000), (1, 1, 3)])
+def test_collocations_equal_brute_force(spark, monkeypatch, pivot_rows, bucket_rows, top):
+    monkeypatch.setattr(collocations, "FLUSH_PAIRS", bucket_rows)
     r = np.random.default_rng(11)
     words = ["the", "of", "Of", "a", "b", "c", "É", "é", "d#", "e", "zz"]
     rows = [(("en", "de", None)[int(r.integers(3))], " ".join(words[min(int(r.exponential(3)), 10)] + ("", "", "", ".", "\n", ",\t")[int(r.integers(6))] for _ in range(int(r.integers(0, 40))))) for _ in range(150)]
     rows += [("en", None), ("en", ""), ("fr", "one"), ("en", "New York City hall\tagain"), *[("en", "new york  city hall")] * 12, ("de", "the " * 3000), (None, ".,;"), ("und", "the of")]
     frame = spark.createDataFrame([(lang, t, "x") for lang, t in rows], "lang string, text string, phrase string").repartition(5)
-    got = collocations.collocations(frame, least=10, top=top, pivot_rows=pivot_rows).collect()
+    got = collocations.collocations(frame, least=10, top=top, pivot_rows=pivot_rows, bucket_rows=bucket_rows).collect()
     assert sorted(map(tuple, got)) == brute_collocations(rows, 10, top)
     assert collocations.collocations(frame.where("false")).count() == 0
 
@@ -193,11 +192,13 @@ def test_fragments_cover_each_occurrence_once():
     p, n = collocations.phrases_of(cut := collocations.fragments_of(number, rank, linked), np.ones(len(cut), np.int64))
     got = {tuple(x for x in row if x >= 0): int(k) for row, k in zip(p.tolist(), n.tolist())}
     assert got == dict(Counter(tuple(number[i : i + s].tolist()) for s in range(2, 6) for i in range(len(number) - s + 1) if (number[i : i + s] >= 0).all() and linked[i : i + s - 1].all()))
-    before, packed = collocations.packed(rows)
-    import pyarrow as pa
-
-    assert (collocations.unpacked(pa.table({"before": before, "words": packed})) == rows).all()
-    assert (collocations.unpacked(pa.table({"before": before, "words": packed}).slice(3)) == rows[3:]).all()
+    bucket, mode, times = np.arange(len(rows)) % 3, np.arange(len(rows)) % 4, np.arange(len(rows)) * 10
+    blocks = collocations.packed(bucket, mode, rows, times).to_pylist()
+    assert [b["bucket"] for b in blocks] == [0, 1, 2]
+    order = np.argsort(bucket, kind="stable")
+    for got, want in zip(collocations.unpacked(blocks), (mode[order], rows[order], times[order])):
+        assert (got == want).all()
+    assert not collocations.packed(bucket[:0], mode[:0], rows[:0], times[:0]).num_rows
 
 
 def test_long_texts_of_lines_and_phrases(spark):
