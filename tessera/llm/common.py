@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +62,23 @@ def small_batches(spark: SparkSession):
     return settings(spark, {key: str(BATCH_ROWS)} if spark.conf.get(key) == "10000" else {})
 
 
-#: Folders made by this driver, for ``clear``.
-_made: list[str] = []
+#: The folder that intermediate tables go to now, if ``workspace`` has set one.
+_workspace: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
+@contextmanager
+def workspace(spark: SparkSession, label: str):
+    """A folder of its own for all intermediate tables that are made within; who opens it deletes it, once what reads them is written."""
+    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    before = _workspace.set(path)
+    try:
+        yield path
+    finally:
+        _workspace.reset(before)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    _made.append(f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}")
-    return _made[-1]
+    return f"{_workspace.get() or shared_dir(spark) + '/tessera'}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -84,18 +95,6 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def clear(spark: SparkSession, read_by: DataFrame | None = None) -> None:
-    """Delete the intermediate tables of this driver, but for those that ``read_by`` reads.
-
-    Call it once the results that read them are written.
-    """
-    files = read_by.inputFiles() if read_by is not None and _made else []
-    keep = [path for path in _made if any(path.rpartition("/tessera/")[2] + "/" in f for f in files)]
-    for path in set(_made) - set(keep):
-        delete(spark, path)
-    _made[:] = keep
-
-
 def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The frame with columns that look like internal ones renamed, and from each of its names to the one it has now."""
     taken = {c.lower() for c in docs.columns}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe, components, exact_dedup, huffman, importance, masked_lm, packing, quality_rules, sharding, similarity, simhash, token_count, words
+from tessera.llm import common
 from tessera.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -430,17 +431,23 @@ def test_pipeline_stages(spark, odd, empty):
     assert len(set(brute_components(fps, list(range(len(fps)))))) == len(fps)
 
 
-def test_clear_deletes_what_was_staged(spark, odd):
-    from tessera.llm import common
-
-    table = common.staged(odd, "gone")
-    path = common._made[-1]
-    keep, common._made[:] = common._made[:-1], [path]
-    assert table.count() == len(ROWS)
-    common.clear(spark)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) and not common._made
-    common._made[:] = keep
+def test_stages_delete_their_own_folders_alone(spark, odd):
+    there = lambda path: (p := spark._jvm.org.apache.hadoop.fs.Path(path)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    other = QUERIES["op4_token_output"](spark, SF)  # built before, read afterwards
+    first = corpus_pipeline.rules(spark, docs(spark), SF)
+    folder = corpus_pipeline._folders["rules"]
+    assert there(folder)
+    kept = common.staged(first, "kept")
+    second = corpus_pipeline.classifier(spark, kept, SF)
+    assert not there(folder) and second.count() <= kept.count()
+    third = corpus_pipeline.exact(spark, second, SF)  # reads what the stage before left
+    assert there(corpus_pipeline._folders["classifier"]) and third.count() > 0
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert other.count() == docs(spark).count() and kept.count() > 0
+    root = f"{common.shared_dir(spark)}/tessera"
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    left = [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if s.getPath().getName().startswith(("rules-", "exact-", "near-", "pack-"))]
+    assert not [x for x in left if x.startswith(("rules-", "near-"))]
 
 
 def test_no_swallowed_imports_and_no_local_checkpoint():
