@@ -8,9 +8,11 @@ of them meet the vectors in Spark's own blocks. Nothing passes the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from .common import bounded_broadcast, ranked
@@ -65,6 +67,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, offset: int = 0,
     return ranked(found, ["qid"], [F.col("score").desc(), F.col("doc_id")], k, offset).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+def with_total(hits: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``total`` beside each hit: a dense search ranks every vector there is."""
+    total = vectors.where("vector is not null and size(vector) > 0").agg(F.count("*").alias("total"))
+    return hits.crossJoin(F.broadcast(total))  # one row
+
+
 def similar(vectors: DataFrame, ids: DataFrame, k: int = 10) -> DataFrame:
     """Nearest neighbours of stored vectors, themselves left out; unknown ids give nothing."""
     queries = vectors.join(bounded_broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), "vector")
@@ -107,21 +115,32 @@ def explain_fused(fused: DataFrame) -> DataFrame:
     return fused.select("qid", "rank", "doc_id", "lex_rank", "dense_rank", F.round(a, 9).alias("lex_contribution"), F.round(b, 9).alias("dense_contribution"), F.round(a + b, 9).alias("total"))
 
 
-def compare(runs: dict) -> DataFrame:
-    """The rankers' results in one frame, with the ranker's name; a ranker given as a function that fails is left out and its error kept in ``compare.errors``."""
-    out, compare.errors = None, {}
-    for name, run in runs.items():
-        try:
-            run = run() if callable(run) else run
-        except Exception as e:  # one ranker's fault must not take the others with it
-            compare.errors[name] = str(e)
-            continue
-        part = run.select(F.lit(name).alias("ranker"), "qid", "rank", "doc_id", "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+HITS = "ranker string, qid long, rank int, doc_id long, score double"
+
 
+def compare(runs: dict[str, DataFrame | Callable[[], DataFrame]], path: str) -> tuple[DataFrame, DataFrame]:
+    """The rankers' results in one frame with the ranker's name, and ``ranker, error`` of those that failed.
 
-compare.errors = {}
+    Each ranker is a job of its own, whose result is stored below ``path``: one that
+    fails, while its plan is made or while it runs, leaves its error and takes nobody else's rows with it.
+    """
+    done, errors, spark = [], [], None
+    for name, run in runs.items():
+        try:
+            part = (run() if callable(run) else run).select(F.lit(name).alias("ranker"), F.col("qid").cast("long").alias("qid"), F.col("rank").cast("int").alias("rank"), F.col("doc_id").cast("long").alias("doc_id"), F.col("score").cast("double").alias("score"))
+            spark = part.sparkSession
+            part.write.mode("overwrite").parquet(f"{path}/{name}")
+            done.append(f"{path}/{name}")
+        except Exception as e:  # a ranker may fail in any way
+            errors.append((name, str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__))
+    spark = spark or SparkSession.getActiveSession()
+    return (spark.read.schema(HITS).parquet(*done) if done else spark.createDataFrame([], HITS)), spark.createDataFrame(errors, "ranker string, error string")
+
+
+def legs(lexical: DataFrame, dense: DataFrame, k: int = 10) -> DataFrame:
+    """``leg, qid, rank, doc_id, score``: what each leg of a fused search had first."""
+    part = lambda hits, name: hits.where(F.col("rank") <= k).select(F.lit(name).alias("leg"), "qid", "rank", "doc_id", "score")
+    return part(lexical, "lexical").unionByName(part(dense, "dense"))
 
 
 def rank_delta(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:

@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import lexical, rewrite
 
+#: The names a ranker may be asked for.
+REGISTERED = ("bm25", "tfidf", "dense", "hybrid")
+
+
+def picked(asked: Column | str, registered: tuple[str, ...] = REGISTERED, default: str = lexical.DEFAULT_RANKER) -> Column:
+    """The ranker asked for, whatever its case and the space around it, if there is one of that name; else the default, else the first."""
+    name = F.lower(F.regexp_replace(F.col(asked) if isinstance(asked, str) else asked, r"^\s+|\s+$", ""))
+    return F.when(name.isin(*registered), name).otherwise(default if default in registered else registered[0])
+
+
+def search_as_asked(queries: DataFrame, runs: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """``ranker, qid, rank, doc_id, score``: each of the queries (qid, query, asked) by the ranker it asks for, or the default.
+
+    ``runs``: for each registered ranker its search of a table of queries. A ranker gets its own queries only.
+    """
+    told = queries.withColumn("ranker", picked("asked", tuple(runs)))
+    out = None
+    for name, run in runs.items():
+        part = run(told.where(F.col("ranker") == name).drop("ranker")).select(F.lit(name).alias("ranker"), "qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
 def serve(docs: DataFrame, queries: DataFrame, rules: list[rewrite.Alias], vocabulary: DataFrame, ranker: str | None = None, keep: DataFrame | None = None, k: int = 10, offset: int = 0, titles: DataFrame | None = None) -> dict[str, DataFrame]:
     """``queries`` (qid, query) to ``hits``, ``guarded`` and ``rewritten``.

@@ -88,7 +88,8 @@ def r19_title_bonus(spark, d):
 
 def r8_dense_top10(spark, d):
     v = t.vectors(spark, d)
-    return dense.search(v, v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vector")).withColumn("rank", F.col("rank").cast("long"))
+    hits = dense.search(v, v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vector"))
+    return dense.with_total(hits, v).withColumn("rank", F.col("rank").cast("long"))
 
 
 def r9_similar(spark, d):
@@ -125,9 +126,22 @@ def r14_hybrid_explain(spark, d):
     return _longs(dense.explain_fused(_hybrid(spark, d, 20)), "rank", "lex_rank", "dense_rank")
 
 
+def r14_hybrid_legs(spark, d):
+    """What each leg of the fused search had first."""
+    return _longs(dense.legs(_search(spark, d, "bm25"), _dense(spark, d)), "rank").withColumn("score", F.round("score", 6))
+
+
 def r16_compare(spark, d):
-    runs = {"bm25": lambda: _search(spark, d, "bm25"), "tfidf": lambda: _search(spark, d, "tfidf"), "dense": lambda: _dense(spark, d), "hybrid": lambda: _hybrid(spark, d)}
-    return dense.compare(runs).withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 6))
+    """Four rankers and one that isn't there: its error is a row too. The two legs are searched once, for themselves and for the fused ranker."""
+    import uuid
+
+    path = f"{scratch(spark)}/compare-{uuid.uuid4().hex}"
+    legs, _ = dense.compare({"bm25": lambda: _search(spark, d, "bm25", 100), "dense": lambda: _dense(spark, d, 100)}, f"{path}/legs")
+    leg = lambda name: legs.where(F.col("ranker") == name)
+    runs = {"bm25": leg("bm25").where("rank <= 10"), "tfidf": lambda: _search(spark, d, "tfidf"), "dense": leg("dense").where("rank <= 10"), "hybrid": lambda: dense.fuse(leg("bm25"), leg("dense")), "broken": lambda: _search(spark, d, "bm25").withColumn("score", F.raise_error(F.lit("no such ranker")).cast("double"))}
+    hits, errors = dense.compare(runs, f"{path}/all")
+    rows = hits.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 6)).withColumn("failed", F.lit(False))
+    return rows.unionByName(errors.select("ranker", F.lit(True).alias("failed")), allowMissingColumns=True)
 
 
 def r17_rank_delta(spark, d):
@@ -140,13 +154,24 @@ def r13_tfidf_explain(spark, d):
     return c.select("qid", "pos", "term", "doc_id", F.col("tf").alias("count"), F.col("dl").cast("long").alias("doc_length"), F.round(F.col("tf") / F.col("dl"), 6).alias("tf"), F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"))
 
 
+def stored(spark, d, name, build):
+    """What ``build(path)`` stores of a folder's documents, once for each content: the place's name has a digest of the files."""
+    import hashlib
+
+    jvm, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    told = sorted((f, (s := (p := jvm(f)).getFileSystem(conf).getFileStatus(p)).getLen(), s.getModificationTime()) for f in t.documents(spark, d).inputFiles())
+    path = f"{scratch(spark)}/{name}-{hashlib.sha256(repr(told).encode()).hexdigest()[:20]}-{spark.sparkContext.applicationId}"
+    done = jvm(f"{path}.done")
+    if not done.getFileSystem(conf).exists(done):
+        build(path)
+        done.getFileSystem(conf).create(done).close()
+    return path
+
+
 def _index(spark, d):
-    """The stored index of a table folder; built once for each, in the shared folder."""
-    path = f"{scratch(spark)}/index-{T.STOPWORDS.__len__()}-{abs(hash(d)):x}-{spark.sparkContext.applicationId}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/corpus/_SUCCESS")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        lexical.StoredIndex.build(lexical.tokenized(t.documents(spark, d), F.col("text")), path)
-    return lexical.StoredIndex(spark, path)
+    """The stored index of a table folder."""
+    tokens = lambda: lexical.tokenized(t.documents(spark, d), F.col("text"))
+    return lexical.StoredIndex(spark, stored(spark, d, "index", lambda path: lexical.StoredIndex.build(tokens(), path)))
 
 
 def r5_stored_index(spark, d):
@@ -154,13 +179,27 @@ def r5_stored_index(spark, d):
     return _flat(_index(spark, d).search(lexical.query_tokens(t.queries(spark, d)), "bm25"))
 
 
+ASKED = ("bm25", " TFIDF ", "dense", "Hybrid", "nope", None)
+
+
 def r18_ranker_pick(spark, d):
-    rows = [(x, lexical.pick_ranker(x, lexical.RANKERS)[0]) for x in ("bm25", "TFIDF ", "nope", "", None)]
-    return spark.createDataFrame(rows, "asked string, ranker string")
+    """Each benchmark query by the ranker it asks for; what isn't there is the default."""
+    docs, vectors = lexical.tokenized(t.documents(spark, d), F.col("text")), t.vectors(spark, d)
+    queries = t.queries(spark, d).withColumn("asked", F.element_at(F.array(*[F.lit(x) for x in ASKED]), (F.col("qid") % len(ASKED) + 1).cast("int")))
+
+    def words(ranker, k):
+        return lambda q: lexical.search(docs, lexical.query_tokens(q), ranker, k)
+
+    def meaning(k):
+        return lambda q: dense.search(vectors, q.select("qid").join(vectors.select(F.col("doc_id").alias("qid"), "vector"), "qid"), k)
+
+    runs = {"bm25": words("bm25", 3), "tfidf": words("tfidf", 3), "dense": meaning(3), "hybrid": lambda q: dense.fuse(words("bm25", 100)(q), meaning(100)(q), 3)}
+    return serve.search_as_asked(queries, runs).withColumn("score", F.round("score", 6))
 
 
 def _scores(spark, d):
-    runs = dense.compare({"bm25": _search(spark, d, "bm25", 100), "tfidf": _search(spark, d, "tfidf", 100)})
+    named = lambda name: _search(spark, d, name, 100).select(F.lit(name).alias("ranker"), "qid", "rank", "doc_id")
+    runs = named("bm25").unionByName(named("tfidf"))
     return evaluate.per_query(runs, t.qrels(spark, d), t.queries(spark, d), ["bm25", "tfidf"])
 
 
@@ -247,7 +286,7 @@ def q8_serve(spark, d):
     return out.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "total")
 
 
-QUERIES = {f.__name__: f for f in (r1_postings, r2_term_stats, r3_tfidf_top10, r5_bm25_top10, r5_bm25_page2, r13_bm25_explain, r15_index_dump, r19_title_bonus, r8_dense_top10, r9_similar, r14_dense_explain, r12_rrf, r13_tfidf_explain, r14_hybrid_explain, r16_compare, r17_rank_delta, r5_stored_index, r18_ranker_pick, e1_e4_metrics, e6_by_slice, e7_ranker_diff, e7_totals, e7_most_changed, e8_run_diff, e8_metric_deltas, q1_expand, q7_spellfix, q8_corrected, q8_serve, q9_guard)}
+QUERIES = {f.__name__: f for f in (r1_postings, r2_term_stats, r3_tfidf_top10, r5_bm25_top10, r5_bm25_page2, r13_bm25_explain, r15_index_dump, r19_title_bonus, r8_dense_top10, r9_similar, r14_dense_explain, r12_rrf, r13_tfidf_explain, r14_hybrid_explain, r14_hybrid_legs, r16_compare, r17_rank_delta, r5_stored_index, r18_ranker_pick, e1_e4_metrics, e6_by_slice, e7_ranker_diff, e7_totals, e7_most_changed, e8_run_diff, e8_metric_deltas, q1_expand, q7_spellfix, q8_corrected, q8_serve, q9_guard)}
 
 _DOT = "list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] * z[2]))"
 
@@ -294,16 +333,18 @@ ORACLES = {
         s AS (SELECT qid, c.doc_id, sum(w) + max(CASE WHEN q.p_name = d.p_name THEN 1000 ELSE 0 END) AS score, min(pos) AS first_pos, string_agg(term, ' ' ORDER BY pos) AS matched_terms FROM c JOIN q USING (qid) JOIN d ON d.doc_id = c.doc_id GROUP BY ALL),
         r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, first_pos, doc_id) AS rank, doc_id, round(score, 6) AS score, matched_terms, count(*) OVER (PARTITION BY qid) AS total FROM s)
         SELECT * FROM r WHERE rank <= 10""",
-    "r8_dense_top10": _dense_sql(10),
+    "r8_dense_top10": _dense_sql(10, extra=", (SELECT count(*) FROM embeddings) AS total"),
+    "r14_hybrid_legs": f"{_BASE}, {_HYBRID} SELECT 'lexical' AS leg, qid, rank, doc_id, score FROM a WHERE rank <= 10 UNION ALL SELECT 'dense', qid, rank, doc_id, round(s, 6) FROM den WHERE rank <= 10",
     "r9_similar": _dense_sql(10, "a.vec_id <> b.vec_id"),
     "r14_dense_explain": _dense_sql(20, "true", ", round(round(degrees(acos(greatest(-1, least(1, round(s, 6))))), 4), 2) AS angle_deg"),
     "r12_rrf": f"{_BASE}, {_HYBRID} SELECT qid, rank, doc_id, round(s, 9) AS score, lex_rank, dense_rank, total, coalesce(matched_terms, '') AS matched_terms FROM g WHERE rank <= 10",
     "r14_hybrid_explain": f"{_BASE}, {_HYBRID} SELECT qid, rank, doc_id, lex_rank, dense_rank, round(coalesce(1.0 / (60 + lex_rank), 0), 9) AS lex_contribution, round(coalesce(1.0 / (60 + dense_rank), 0), 9) AS dense_contribution, round(s, 9) AS total FROM g WHERE rank <= 20",
     "r13_tfidf_explain": f"{_BASE}, {_ranked_sql('tfidf', 'a')} SELECT qid, pos, term, doc_id, tf AS count, dl AS doc_length, round(tf / dl, 6) AS tf, round(idf, 6) AS idf, round(contribution, 6) AS contribution FROM a_c",
     "r5_stored_index": f"{_BASE}, {_ranked_sql('bm25', 'a')} SELECT * FROM a",
-    "r18_ranker_pick": "SELECT * FROM (VALUES ('bm25', 'bm25'), ('TFIDF ', 'tfidf'), ('nope', 'bm25'), ('', 'bm25'), (NULL, 'bm25')) v(asked, ranker)",
-    "r16_compare": f"""{_BASE}, {_HYBRID}, {_ranked_sql('tfidf', 'b')} SELECT 'bm25' AS ranker, qid, rank, doc_id, score FROM a WHERE rank <= 10 UNION ALL SELECT 'tfidf', qid, rank, doc_id, score FROM b
-        UNION ALL SELECT 'dense', qid, rank, doc_id, round(s, 6) FROM den WHERE rank <= 10 UNION ALL SELECT 'hybrid', qid, rank, doc_id, round(s, 6) FROM g WHERE rank <= 10""",
+    "r18_ranker_pick": f"""{_BASE}, {_HYBRID}, {_ranked_sql('tfidf', 'b')} SELECT 'bm25' AS ranker, qid, rank, doc_id, score FROM a WHERE rank <= 3 AND qid % 6 IN (0, 4, 5) UNION ALL SELECT 'tfidf', qid, rank, doc_id, score FROM b WHERE rank <= 3 AND qid % 6 = 1
+        UNION ALL SELECT 'dense', qid, rank, doc_id, round(s, 6) FROM den WHERE rank <= 3 AND qid % 6 = 2 UNION ALL SELECT 'hybrid', qid, rank, doc_id, round(s, 6) FROM g WHERE rank <= 3 AND qid % 6 = 3""",
+    "r16_compare": f"""{_BASE}, {_HYBRID}, {_ranked_sql('tfidf', 'b')} SELECT 'bm25' AS ranker, qid, rank, doc_id, score, false AS failed FROM a WHERE rank <= 10 UNION ALL SELECT 'tfidf', qid, rank, doc_id, score, false FROM b
+        UNION ALL SELECT 'dense', qid, rank, doc_id, round(s, 6), false FROM den WHERE rank <= 10 UNION ALL SELECT 'hybrid', qid, rank, doc_id, round(s, 6), false FROM g WHERE rank <= 10 UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, true""",
     "r17_rank_delta": f"""{_BASE}, {_HYBRID} SELECT qid, doc_id, x.rank AS rank_a, y.rank AS rank_b,
         CASE WHEN x.rank IS NULL OR y.rank IS NULL THEN 'absent' WHEN x.rank = y.rank THEN 'same' WHEN y.rank < x.rank THEN 'up' ELSE 'down' END AS move FROM (SELECT * FROM a WHERE rank <= 10) x FULL JOIN (SELECT * FROM g WHERE rank <= 10) y USING (qid, doc_id)""",
     "e1_e4_metrics": f"{_SCORES} SELECT ranker, qid, slice, {_M} FROM sc",

@@ -40,16 +40,32 @@ def violations_of(rows: DataFrame) -> DataFrame:
     return rows.where("corrupt is not null").select("file", F.lit("error").alias("level"), F.lit("bad_json").alias("rule"))
 
 
-def read_vectors(spark: SparkSession, path: str, dims: int) -> DataFrame | None:
+#: Kinds of stores that tasks can open by themselves.
+OPENED = ("file", "hdfs", "s3", "s3a", "gs", "abfss")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def read_vectors(spark: SparkSession, path: str, dims: int, split_bytes: int | None = None) -> DataFrame | None:
     """``row, vector`` from a parquet artifact, or from raw little-endian 32-bit floats (``.f32``); None if there is none.
 
-    Rows are numbered through all files, in order of their paths.
+    Rows of raw files are numbered through all files, in order of their names. A file is
+    read in splits of ``split_bytes``; in a store that only Spark opens, a task takes a whole file.
     """
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
         return None
     if not path.endswith(".f32"):
         return spark.read.parquet(path)
+    full = _qualified(spark, path)
+    if full.partition(":")[0] in OPENED:
+        from .splits import RawVectors, SPLIT_BYTES
+
+        spark.dataSource.register(RawVectors)
+        return spark.read.format(RawVectors.name()).options(path=full.replace("s3a:", "s3:", 1), dims=dims, split_bytes=split_bytes or SPLIT_BYTES).load()
 
     def run(batches):
         import numpy as np
@@ -136,30 +152,13 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
-    """``row, col, value, link`` of one sheet of a small workbook, with hyperlinks from its relations; read on the driver through Spark."""
-    import io
-    import re
-    import xml.etree.ElementTree as X
-    import zipfile
-
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    book = zipfile.ZipFile(io.BytesIO(bytes(raw)))
-    tag = lambda e: e.tag.rpartition("}")[2]
-    shared = ["".join(t.text or "" for t in si.iter() if tag(t) == "t") for si in X.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
-    rels_name = f"xl/worksheets/_rels/sheet{sheet}.xml.rels"
-    rels = {r.get("Id"): r.get("Target") for r in X.fromstring(book.read(rels_name))} if rels_name in book.namelist() else {}
-    root = X.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml"))
-    links = {e.get("ref"): rels.get(next((v for k, v in e.attrib.items() if k.endswith("}id")), "")) for e in root.iter() if tag(e) == "hyperlink"}
-    rows = []
-    for c in (e for e in root.iter() if tag(e) == "c"):
-        ref = c.get("r")
-        letters, number = re.match(r"([A-Z]+)(\d+)", ref).groups()
-        value = next((v.text for v in c.iter() if tag(v) in ("v", "t")), None)
-        if c.get("t") == "s" and value is not None:
-            value = shared[int(value)]
-        rows.append((int(number), letters, value, links.get(ref)))
-    return spark.createDataFrame(rows, "row int, col string, value string, link string")
+def read_xlsx(spark: SparkSession, path: str, sheet: int | str | None = 1) -> DataFrame:
+    """``file, sheet, row, col, value, link`` of one sheet of each workbook, or of all sheets (None), with hyperlinks from their relations; a task reads a sheet."""
+    from .splits import Workbook
+
+    spark.dataSource.register(Workbook)
+    options = {"path": _qualified(spark, path)} | ({} if sheet is None else {"sheet": str(sheet)})
+    return spark.read.format(Workbook.name()).options(**options).load()
 
 
 def by_header(grid: DataFrame) -> DataFrame:

@@ -44,6 +44,38 @@ def write_vectors(vectors: DataFrame, path: str, tolerance: float = 1e-3) -> int
     return vectors.sparkSession.read.parquet(path).count()
 
 
+def write_raw_vectors(vectors: DataFrame, path: str, order: str = "doc_id") -> int:
+    """Store vectors as little-endian 32-bit floats in order of ``order``, one ``.f32`` file a task; the number of rows.
+
+    A file is written under another name and renamed, so a task that runs again leaves
+    one whole file of the same rows. The folder must be one that ``pyarrow.fs`` opens.
+    """
+    from .readers import _qualified
+
+    folder = _qualified(vectors.sparkSession, path)
+    ordered = vectors.select(order, F.col("vector").cast("array<float>").alias("vector")).repartitionByRange(order).sortWithinPartitions(order)
+
+    def run(batches):
+        import uuid
+
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name, own, n = f"{root}/part-{TaskContext.get().partitionId():06d}.f32", f"{root}/.{uuid.uuid4().hex}", 0
+        with store.open_output_stream(own) as out:
+            for b in batches:
+                out.write(b.column("vector").flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+                n += b.num_rows
+        store.move(own, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return ordered.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def append_events(events: DataFrame, path: str) -> None:
     events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
 

@@ -216,3 +216,131 @@ def test_streams_equal_batches(spark, tmp_path):
     spark.sql("select 1L user_id, 2L problem_id, 1L seq, 'done' kind, 'true' value, timestamp_ntz'2024-01-01' ts").write.parquet(str(tmp_path / "ch"))
     streams.fold_state(ch.parquet(str(tmp_path / "ch")), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     assert state.fold(spark.read.parquet(str(tmp_path / "log"))).count() == 1
+
+
+def test_bucket_table_merges(spark, tmp_path):
+    from tessera.sources.bucketed import BucketTable, Conflict
+
+    rows = spark.createDataFrame([(i, f"n{i}", i % 3) for i in range(200)] + [(None, "null key", 1), (5, "later", 9)], "id long, name string, size int")
+    table = BucketTable.create(rows, str(tmp_path / "t"), "id", 8, order=F.col("size"))
+    assert table.versions() == [0, 1] and table.read().count() == 201 and table.read().where("id = 5").first()["name"] == "later"
+    before = table.manifest()["folders"]
+    with pytest.raises(Conflict):
+        BucketTable.create(rows, str(tmp_path / "t"), "id", 8)
+    new = spark.createDataFrame([(7, "seven", None), (1000, "new", 1)], rows.schema)
+    assert table.upsert(new) == 2
+    touched = {str(r["b"]) for r in new.select(BucketTable.bucket("id", 8).alias("b")).collect()}
+    after = table.manifest()["folders"]
+    assert all((before[b] == after[b]) == (b not in touched) for b in before)
+    assert table.merge_owned(spark.createDataFrame([(7, "other", 70), (2000, "appended", 2)], rows.schema), ["size"]) == 3
+    assert table.delete(spark.createDataFrame([(9,), (12345,)], "id long")) == 4
+    got = {r["id"]: (r["name"], r["size"]) for r in table.read().collect()}
+    assert got[7] == ("seven", 70) and got[1000] == ("new", 1) and got[2000] == ("appended", 2) and got[None] == ("null key", 1) and 9 not in got and len(got) == 202
+    assert table.read(1).count() == 201 and {r["id"] for r in table.lookup(spark.createDataFrame([(7,), (9,), (8,)], "id long")).collect()} == {7, 8}
+    # a merge that lost the race leaves no trace in what is read
+    p, fs = table._file(f"{table.path}/versions/5.json")
+    fs.create(p).close()
+    table.versions, slow = (lambda: [0, 1, 2, 3, 4]), table.versions
+    with pytest.raises(Conflict):
+        table.upsert(new)
+    fs.delete(p, False)
+    table.versions = slow
+    assert table.read().count() == 202
+    table.vacuum(1)
+    assert table.versions() == [4] and table.read().count() == 202 and len({f.split("/")[-3] for f in table.read().inputFiles()}) <= 4
+    with pytest.raises(Exception):
+        table.manifest(1)
+
+
+def test_raw_vectors_are_split_and_numbered(spark, tmp_path):
+    import numpy as np
+
+    x = np.arange(5 * 1000, dtype="<f4").reshape(1000, 5)
+    frame = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "doc_id long, vector array<float>").repartition(6)
+    assert writers.write_raw_vectors(frame, str(tmp_path / "raw")) == 1000
+    split = readers.read_vectors(spark, str(tmp_path / "raw" / "*.f32"), 5, split_bytes=400)
+    assert split.rdd.getNumPartitions() >= 50
+    got = split.orderBy("row").collect()
+    assert [r["row"] for r in got] == list(range(1000)) and np.array_equal(np.array([r["vector"] for r in got]), x)
+    (tmp_path / "cut.f32").write_bytes(b"1234567")
+    with pytest.raises(Exception, match="doesn't end with a row"):
+        readers.read_vectors(spark, str(tmp_path / "cut.f32"), 1).count()
+
+
+def test_a_raw_file_over_two_gigabytes_reads_in_many_tasks(spark, tmp_path):
+    path, dims = tmp_path / "big.f32", 1 << 18
+    with open(path, "wb") as f:
+        f.seek(2200 * dims * 4 - 4)  # a file with holes takes no room
+        f.write(b"\x00\x00\x80\x3f")
+    v = readers.read_vectors(spark, str(path), dims, split_bytes=256 << 20)
+    assert v.rdd.getNumPartitions() >= 9
+    from tessera.sources.splits import RawVectorsReader
+
+    reader = RawVectorsReader({"path": str(path), "dims": dims, "split_bytes": 1 << 20})
+    parts = reader.partitions()
+    assert len(parts) == 2200 and parts[-1].first == 2199
+    batch = next(iter(reader.read(parts[-1])))
+    assert batch.column("row").to_pylist() == [2199] and batch.column("vector")[0].values[-1].as_py() == 1.0
+
+
+def test_workbook_sheets_are_tasks(spark, tmp_path):
+    sheet = lambda *cells: '<worksheet xmlns="m"><sheetData>' + "".join(f'<row r="{i}"><c r="A{i}"><v>{c}</v></c></row>' for i, c in enumerate(cells, 1)) + "</sheetData></worksheet>"
+    for book in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{book}.xlsx", "w") as z:
+            z.writestr("xl/workbook.xml", '<workbook xmlns="m"><sheets><sheet name="First"/><sheet name="Second"/></sheets></workbook>')
+            z.writestr("xl/worksheets/sheet1.xml", sheet("x", 1))
+            z.writestr("xl/worksheets/sheet2.xml", sheet("y", 2, 3))
+    every = readers.read_xlsx(spark, str(tmp_path / "*.xlsx"), None)
+    assert every.rdd.getNumPartitions() == 4 and every.count() == 10
+    second = readers.read_xlsx(spark, str(tmp_path / "b.xlsx"), "Second").orderBy("row").collect()
+    assert [(r["file"], r["sheet"], r["row"], r["col"], r["value"]) for r in second] == [("b.xlsx", "Second", 1, "A", "y"), ("b.xlsx", "Second", 2, "A", "2"), ("b.xlsx", "Second", 3, "A", "3")]
+
+
+def test_state_stream_equals_fold(spark, tmp_path):
+    import random
+
+    from tessera.plans import tables
+    from tessera.sources.bucketed import BucketTable
+    from tessera.streaming import user_state
+
+    ch = tables.changes(spark, "/root/testdata/sf0.001").where("user_id < 4")
+    want = sorted(map(str, state.fold(ch).select("user_id", "problem_id", "done", "bookmarked", "recall", F.col("updated_at").cast("string")).collect()))
+    rows = ch.select("user_id", "problem_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "kind", "value").collect()
+    random.Random(2).shuffle(rows)
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    put = lambda part: spark.createDataFrame(part, user_state.CHANGES).coalesce(1).write.mode("append").parquet(source)
+    read = lambda: spark.readStream.schema(user_state.CHANGES).option("maxFilesPerTrigger", 1).parquet(source)
+    for i in range(3):
+        put(rows[i :: 5])
+    user_state.keep_table(read(), table, str(tmp_path / "cp"), buckets=4).awaitTermination()
+    for i in (3, 4):  # another run goes on from the checkpoint
+        put(rows[i :: 5])
+    user_state.keep_table(read(), table, str(tmp_path / "cp")).awaitTermination()
+    got = BucketTable(spark, table).read()
+    assert sorted(map(str, got.select("user_id", "problem_id", "done", "bookmarked", "recall", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at")).collect())) == want
+
+
+def test_state_steps_and_watermark(spark, tmp_path):
+    import datetime
+    import random
+
+    from tessera.streaming import user_state
+
+    r = random.Random(9)
+    steps = [("done", "true"), ("done", "false"), ("bookmarked", "true"), ("bookmarked", "false"), ("recall", "hard"), ("recall", "easy"), ("recall", "none")]
+    for _ in range(300):
+        case = [r.choice(steps) for _ in range(r.randint(1, 12))]
+        value = user_state.NOTHING
+        for i, (k, v) in enumerate(case):
+            value = user_state.step(value, (i, i, k, v))
+        want = lifecycle(*case)
+        assert (value[0], value[2], value[4]) == (want or (False, False, None))
+    day = lambda n: datetime.datetime(2024, 1, n)
+    source = str(tmp_path / "in")
+    for part in ([(1, 2, day(2), 1, "done", "true"), (1, 3, day(2), 2, "recall", "hard")], [(1, 2, day(9), 4, "done", "false"), (1, 2, day(8), 3, "recall", "easy")], [(1, 2, day(10), 6, "bookmarked", "true")], [(1, 2, day(1), 5, "done", "true")]):
+        spark.createDataFrame(part, user_state.CHANGES).coalesce(1).write.mode("append").parquet(source)
+        with user_state.rocks(spark):
+            q = user_state.states(spark.readStream.schema(user_state.CHANGES).parquet(source), "3 days").writeStream.foreachBatch(lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    last = spark.read.parquet(str(tmp_path / "out")).where("problem_id = 2").orderBy(F.desc("updated_at")).first()
+    assert (last["done"], last["bookmarked"], last["recall"]) == (False, True, "easy")

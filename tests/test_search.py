@@ -152,3 +152,22 @@ def test_metrics(spark):
     assert (got[1]["p_at_1"], got[1]["p_at_5"], got[1]["rr"], got[1]["recall_100"]) == (0, 0.2, 0.5, 0.5)
     assert got[1]["ndcg_10"] == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3))) and got[2]["rr"] == 0
     assert {(r["slice"], r["n"]) for r in evaluate.by_slice(evaluate.per_query(runs, qrels, queries, ["x"])).collect()} == {("all", 2), ("a", 1), ("b", 1)}
+
+
+@pytest.mark.parametrize("ranker", ["bm25", "tfidf"])
+def test_block_index_gives_the_same_from_fewer_postings(spark, tmp_path, ranker):
+    import random
+
+    from tessera.operators import blockmax
+
+    r = random.Random(3)
+    words = lambda n: " ".join(f"w{min(int(r.expovariate(0.02)), 400)}" if r.random() < 0.7 else f"r{r.randint(0, 2000)}" for _ in range(n))
+    texts = [words(r.randint(1, 60)) for _ in range(3000)]
+    docs = corpus(spark, [(7 * i - 500, x) for i, x in enumerate(texts)] + [(10**12, None)])
+    queries = spark.createDataFrame([(i, " ".join(texts[97 * i].split()[:6])) for i in range(20)] + [(30, "w1 w1 w2"), (31, "absent"), (32, ""), (33, "w400")], "qid long, query string")
+    tokens = lexical.query_tokens(queries)
+    index = blockmax.BlockIndex.build(docs, str(tmp_path / "index"))
+    for k, offset in ((10, 0), (3, 4)):
+        want = lexical.search(docs, tokens, ranker, k, offset).drop("total")
+        assert sorted(map(str, index.search(tokens, ranker, k, offset).collect())) == sorted(map(str, want.collect()))
+    assert index.candidates(tokens, ranker).count() < 0.35 * lexical.contributions(docs, tokens, ranker).count()
