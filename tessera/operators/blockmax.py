@@ -1,15 +1,15 @@
 """A stored index that answers top-k searches without reading most postings.
 
 Documents are numbered in order of their id; GRID consecutive ones are a *grid cell*,
-GRIDS cells a *block*. A row of the index is a term in a block: for each cell the
-largest contribution that the term makes there, and the cell's postings. A term's
+GRIDS cells a *block*. A row of the index is a term in a block: the largest
+contribution that the term makes in each cell it is in, and its postings. A term's
 row of champions has the documents where it contributes most.
 
 A search first finds, for each query, what score it takes to be among the first k:
 the documents that do best by their champions' contributions alone are scored in
 full, and the k-th of these scores is a bound. Then the cells' largest contributions
-are added up over the query's terms, from that one column; a cell whose sum is below
-the bound can't hold a hit. Only the postings of the other cells are read and scored.
+are added up over the query's terms, without any posting; a cell whose sum is below the
+bound can't hold a hit. Only the postings of the other cells are taken and scored.
 No hit is lost: a document's score is at most its cell's sum.
 """
 
@@ -20,12 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import lexical
-from .common import bounded_broadcast, ranked
+from .common import BROADCAST_ROWS, ranked
 
 #: Documents of a cell, cells of a block, and documents that each term's row of champions has.
 GRID, GRIDS, CHAMPIONS = 8, 32, 128
-#: Folders that terms are dealt to; more than a usual set of queries has terms.
-BUCKETS = 256
+#: Folders that terms are dealt to; documents for each further file of a folder, so that a frequent term is in several.
+BUCKETS, FILE_DOCUMENTS = 64, 4_000_000
 #: For each hit wanted, the documents that are scored for the bound.
 TRIALS = 8
 #: Scores are decided by nine places; bounds are taken lower by this.
@@ -69,15 +69,11 @@ class BlockIndex:
         rows = rows.withColumns({"block": at(GRID * GRIDS), "cell": (at(GRID) % GRIDS).cast("int"), "bucket": cls.bucket()})
         one = F.struct("cell", "ord", "doc_id", "tf", "dl", *lexical.RANKERS)
         held = rows.groupBy("bucket", "term", "block").agg(F.sort_array(F.collect_list(one)).alias("xs"))  # at most GRID * GRIDS postings
-
-        def cell(g):
-            xs = F.filter("xs", lambda x: x["cell"] == g)
-            most = [F.coalesce(F.array_max(F.transform(xs, lambda x: x[name])), F.lit(0.0)).alias(name) for name in lexical.RANKERS]
-            return F.struct(*most, F.transform(xs, lambda x: F.struct(x["ord"].alias("ord"), x["doc_id"].alias("doc_id"), x["tf"].alias("tf"), x["dl"].alias("dl"))).alias("postings"))
-
-        blocks = held.select("bucket", "term", "block", F.transform(F.sequence(F.lit(0), F.lit(GRIDS - 1)), cell).alias("cells"))
-        # a bucket is dealt to several tasks, so that a frequent term doesn't gather in one
-        blocks.repartition(F.col("bucket"), F.pmod("block", F.lit(4))).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        cells = F.array_distinct(F.transform("xs", lambda x: x["cell"]))
+        most = F.transform(cells, lambda g: F.struct(g.alias("cell"), *[F.array_max(F.transform(F.filter("xs", lambda x: x["cell"] == g), lambda x: x[name])).alias(name) for name in lexical.RANKERS]))
+        blocks = held.select("bucket", "term", "block", most.alias("cells"), F.transform("xs", lambda x: F.struct(*[x[c].alias(c) for c in ("ord", "doc_id", "tf", "dl")])).alias("postings"))
+        files = 1 + spark.read.parquet(f"{path}/corpus").first()["n"] // FILE_DOCUMENTS
+        blocks.repartition(F.col("bucket"), F.pmod("block", F.lit(files))).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
         best = None
         for name in lexical.RANKERS:
             top = ranked(rows.where(F.col(name) > 0), ["term"], [F.col(name).desc(), F.col("ord")], champions)
@@ -100,31 +96,31 @@ class BlockIndex:
         """``qid, bound``: the k-th best score of some documents of each query; queries that match fewer than k of them are absent."""
         champions = self._table("champions", buckets).where(F.col("ranker") == ranker)
         met = known.select("qid", "term").join(champions, "term").select("qid", F.explode("champions").alias("c")).groupBy("qid", "c.ord").agg(F.sum("c.w").alias("w"))
-        trials = ranked(met, ["qid"], [F.col("w").desc(), F.col("ord")], TRIALS * k).select("qid", "ord", F.floor(F.col("ord") / (GRID * GRIDS)).cast("long").alias("block"), (F.floor(F.col("ord") / GRID) % GRIDS).cast("int").alias("cell"))
-        wanted = trials.join(known, "qid")
-        rows = wanted.join(self._table("blocks", buckets), ["term", "block"])
-        one = rows.withColumn("x", F.filter(F.element_at("cells", F.col("cell") + 1)["postings"], lambda x: x["ord"] == F.col("ord"))).where(F.size("x") > 0).withColumns({"tf": F.col("x")[0]["tf"], "dl": F.col("x")[0]["dl"]})
+        trials = ranked(met, ["qid"], [F.col("w").desc(), F.col("ord")], TRIALS * k).select("qid", "ord", F.floor(F.col("ord") / (GRID * GRIDS)).cast("long").alias("block"))
+        rows = trials.join(known, "qid").join(self._table("blocks", buckets).drop("cells"), ["term", "block"])
+        one = rows.withColumn("x", F.get(F.filter("postings", lambda x: x["ord"] == F.col("ord")), F.lit(0))).where("x IS NOT NULL").withColumns({"tf": F.col("x.tf"), "dl": F.col("x.dl")})
         scores = one.withColumn("w", lexical.RANKERS[ranker][1]()).groupBy("qid", "ord").agg(F.sum("w").alias("score"))
         return ranked(scores, ["qid"], [F.col("score").desc()], 1, k - 1).select("qid", F.col("score").alias("bound"))
 
     def cells(self, known: DataFrame, buckets: list[int], ranker: str, bounds: DataFrame) -> DataFrame:
-        """``qid, block, kept``: the cells of each block that may hold a hit."""
-        most = self._table("blocks", buckets).select("term", "block", F.col(f"cells.{ranker}").alias("most"))
-        sums = known.select("qid", "term").join(most, "term").groupBy("qid", "block").agg(F.array(*[F.sum(F.col("most")[i]) for i in range(GRIDS)]).alias("sums"))
-        least = F.coalesce(F.col("bound") - SLACK, F.lit(0.0))
-        kept = F.filter(F.sequence(F.lit(1), F.lit(GRIDS)), lambda i: (F.element_at("sums", i) > 0) & (F.element_at("sums", i) >= least))
-        return sums.join(bounded_broadcast(bounds), "qid", "left").select("qid", "block", kept.alias("kept")).where(F.size("kept") > 0)
+        """``qid, block, kept``: the cells of each block that may hold a hit; ``bounds`` has no more rows than there are queries."""
+        most = self._table("blocks", buckets).select("term", "block", "cells")
+        sums = known.select("qid", "term").join(most, "term").select("qid", "block", F.explode("cells").alias("c")).groupBy("qid", "block", F.col("c.cell").alias("cell")).agg(F.sum(f"c.{ranker}").alias("most"))
+        kept = sums.join(bounds, "qid", "left").where(F.col("most") >= F.coalesce(F.col("bound") - SLACK, F.lit(0.0)))
+        return kept.groupBy("qid", "block").agg(F.collect_list("cell").alias("kept"))
 
     def candidates(self, tokens: DataFrame, ranker: str = "bm25", k: int = 10) -> DataFrame:
         """The postings of the cells that may hold one of each query's first ``k``, with their contributions (as ``lexical.contributions``)."""
+        small = tokens.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        hint = F.broadcast if small else lambda x: x  # neither has more rows than the queries have tokens
         known, buckets = self._known(tokens, ranker)
-        kept = self.cells(known, buckets, ranker, self.bounds(known, buckets, ranker, k))
-        blocks = self._table("blocks", buckets).select("term", "block", F.col("cells.postings").alias("postings"))
-        met = kept.join(known, "qid").join(blocks, ["term", "block"])
-        some = F.flatten(F.transform("kept", lambda i: F.element_at("postings", i)))
+        known = hint(known)
+        kept = self.cells(known, buckets, ranker, hint(self.bounds(known, buckets, ranker, k)))
+        met = kept.join(known, "qid").join(self._table("blocks", buckets).drop("cells"), ["term", "block"])
+        some = F.filter("postings", lambda x: F.array_contains("kept", (F.floor(x["ord"] / GRID) % GRIDS).cast("int")))
         rows = met.withColumn("x", F.explode(some)).select("qid", "pos", "term", "df", "n", "avgdl", "idf", "x.doc_id", "x.tf", "x.dl")
         return rows.withColumn("contribution", lexical.RANKERS[ranker][1]()).where("contribution > 0")
 
     def search(self, tokens: DataFrame, ranker: str = "bm25", k: int = 10, offset: int = 0) -> DataFrame:
         """As ``lexical.search``, the same rows; without ``total``, which would take all postings."""
-        return lexical.top_hits(self.candidates(tokens, ranker, k + offset), k, offset).drop("total")
+        return lexical.top_hits(self.candidates(tokens, ranker, k + offset), k, offset, totals=False)

@@ -112,8 +112,8 @@ def search(docs: DataFrame, tokens: DataFrame, ranker: str = "bm25", k: int | No
     return top_hits(contributions(docs, tokens, ranker), k, offset, exact_titles, keep)
 
 
-def top_hits(scored: DataFrame, k: int | None, offset: int = 0, exact_titles: DataFrame | None = None, keep: DataFrame | None = None) -> DataFrame:
-    """Contributions summed, filtered, ranked and counted."""
+def top_hits(scored: DataFrame, k: int | None, offset: int = 0, exact_titles: DataFrame | None = None, keep: DataFrame | None = None, totals: bool = True) -> DataFrame:
+    """Contributions summed, filtered, ranked and, with ``totals``, counted."""
     hits = scored.groupBy("qid", "doc_id").agg(
         F.sum("contribution").alias("score"), F.min("pos").alias("first_pos"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("matched_terms"))
@@ -122,10 +122,12 @@ def top_hits(scored: DataFrame, k: int | None, offset: int = 0, exact_titles: Da
         hits = hits.withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
     if keep is not None:
         hits = hits.join(keep.select("doc_id"), "doc_id", "left_semi")
-    # counted from all columns: so both uses of the hits read one exchange
-    totals = hits.groupBy("qid").agg(F.count_if((F.col("score") > 0) & (F.col("first_pos") >= 0) & (F.size("matched_terms") > 0)).alias("total"))
     top = ranked(hits, ["qid"], [F.round("score", 9).desc(), F.col("first_pos"), F.col("doc_id")], k, offset)
-    return top.join(totals, "qid").select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), "matched_terms", "total")
+    if not totals:
+        return top.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), "matched_terms")
+    # counted from all columns: so both uses of the hits read one exchange
+    counted = hits.groupBy("qid").agg(F.count_if((F.col("score") > 0) & (F.col("first_pos") >= 0) & (F.size("matched_terms") > 0)).alias("total"))
+    return top.join(counted, "qid").select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), "matched_terms", "total")
 
 
 def title_keys(titles: DataFrame) -> DataFrame:
