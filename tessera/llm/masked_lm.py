@@ -15,18 +15,20 @@ The network is small and written in numpy: an embedding for each place of the
 window, one softsign layer, and a two-step softmax: over 32 groups, and, through a
 gate on the hidden layer for each group, over the 32 classes of the group.
 
-Training is data-parallel and reads every position of every document once. In
-each of ROUNDS rounds a task improves its own copy of the network on its share of
-the positions, every ROUNDS-th from another offset each round, and the copies are
-averaged by what they have read, first in groups, so that the driver receives at
-most GROUPS copies a round. Texts are turned into class numbers once; training and
-scoring read those.
+Training is data-parallel and reads every position of every document once. Documents
+are dealt to *shares* of some SHARE_WORDS words by a hash of their id and content, so
+shares follow from the corpus and not from how it lies in files and tasks. In each of
+ROUNDS rounds a copy of the network is trained on each share's part of the positions,
+every ROUNDS-th from another offset each round. The copies, and the squared gradients
+by which Adagrad slows down, are averaged by what they have read, first in groups, so
+that the driver receives at most GROUPS of them a round; the next round goes on from both.
+The larger the corpus the more copies there are, each with as much to learn from.
 
 Null and empty texts have no words: likelihood 0 and mean null. A text of any
 length is scored whole; a batch holds its class numbers, two bytes a word.
 Repeated rows have equal scores; an empty table gives an empty frame; further
-columns are not read. The sums' last digits depend on how rows fall into tasks,
-since copies are averaged.
+columns are not read. Other partitions of the same rows give the same scores but for
+the last digits of sums.
 """
 
 from __future__ import annotations
@@ -39,13 +41,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import quoted, small_batches, staged, text_of, texts
+from .common import quoted, settings, small_batches, staged, text_of, texts
 
 SIDE = 32
 CLASSES, OWN_CLASSES = SIDE * SIDE, 768
 EDGE = CLASSES
 DIM, REACH = 16, 2
-ROUNDS, BATCH, RATE, START, GROUPS = 2, 4096, 0.2, 1e-6, 8
+ROUNDS, BATCH, RATE, START, GROUPS, SHARE_WORDS = 4, 4096, 0.2, 1e-6, 8, 2_000_000
 #: Distinct words that a task holds while it counts.
 FLUSH_WORDS = 300_000
 #: What a task remembers: words that come so often in one group of texts, up to so many.
@@ -374,58 +376,98 @@ def in_groups(batch: pa.RecordBatch):
         yield held
 
 
-def train_round(data: DataFrame, network: WindowNetwork, number: int, rounds: int) -> WindowNetwork:
-    """Each task improves a copy on its share of this round's positions; the average weighted by shares comes back."""
-    flat = np.frombuffer(network.to_bytes(), "<f4")
+def shares_of(data: DataFrame, share_words: int = SHARE_WORDS) -> DataFrame:
+    """``share, classes, lengths``, staged: a row for each share, its documents' class numbers behind each other, in order of their hash.
+
+    Rows of one id and content are counted before they are shuffled and dealt to shares by their number, so that
+    many of them don't meet in one.
+    """
+    words = data.agg(F.coalesce(F.sum(F.length("classes")), F.lit(0))).first()[0] // 2
+    shares = max(1, -(-words // share_words))
+    equal = data.where(F.length("classes") > 0).groupBy(F.col("doc_id").cast("string").alias("id"), "classes").agg(F.count("*").alias("n"))
+    rows = equal.select("id", "classes", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).withColumn("h", F.xxhash64("id", "classes", "i"))
+    dealt = rows.select(F.pmod("h", F.lit(shares)).cast("int").alias("share"), "h", "classes")
+
+    def pack(key, table):
+        order = np.lexsort((np.array([len(x) for x in table.column("classes").to_pylist()]), table.column("h").to_numpy()))
+        parts = table.column("classes").to_pylist()
+        parts = [parts[i] for i in order.tolist()]
+        return pa.table({"share": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([b"".join(parts)], pa.binary()), "lengths": pa.array([np.array([len(x) // 2 for x in parts], "<i4").tobytes()], pa.binary())})
+
+    return staged(dealt.groupBy("share").applyInArrow(pack, "share int, classes binary, lengths binary"), "shares")
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        own = WindowNetwork.from_flat(flat.copy())
-        squares = {k: np.full(s, START, np.float32) for k, s in WindowNetwork.SHAPES.items()}
-        n, random = 0, np.random.default_rng(number)
+def groups_of(classes: bytes, lengths: bytes):
+    """The class arrays of a share's documents, some at a time with about HELD words."""
+    flat, ends = np.frombuffer(classes, "<i2"), np.cumsum(np.frombuffer(lengths, "<i4"), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        start = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, start + HELD)))
+        yield np.split(flat[start : ends[to - 1]], ends[at : to - 1] - start)
+        at = to
+
+
+def train_round(shares: DataFrame, state: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """A copy for each share goes on from ``state``, weights and squares in a row, with this round's positions; the average weighted by what they read comes back."""
+
+    def run(batches):
         for b in batches:
-            for group in in_groups(b):
-                row, at = joined(group)
-                at = at[number::rounds]
-                if len(at):
-                    own.train(*windows(row, random.permutation(at)), squares)
-                    n += len(at)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([n], pa.int64()), pa.array([own.to_bytes()], pa.binary())], names=["part", "n", "weights"])
+            for share, classes, lengths in zip(b.column("share").to_pylist(), b.column("classes"), b.column("lengths")):
+                own = WindowNetwork.from_flat(state[: len(state) // 2])
+                squares = WindowNetwork.from_flat(state[len(state) // 2 :]).w
+                n, random = 0, np.random.default_rng((number, share))
+                for group in groups_of(classes.as_py(), lengths.as_py()):
+                    row, at = joined(group)
+                    at = at[number::rounds]
+                    if len(at):
+                        own.train(*windows(row, random.permutation(at)), squares)
+                        n += len(at)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([share % GROUPS], pa.int32()), pa.array([share], pa.int32()), pa.array([n], pa.int64()), pa.array([own.to_bytes() + WindowNetwork(squares).to_bytes()], pa.binary())], names=["part", "share", "n", "state"])
 
     def average(batches):
-        total, n = None, 0
+        total, n, part = None, 0, 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], names=["part", "n", "state"])
+
         for b in batches:
-            for k, blob in zip(b.column("n").to_pylist(), b.column("weights").to_pylist()):
-                x = np.frombuffer(blob, "<f4").astype(np.float64) * k
+            for p, k, blob in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("state")):
+                if n and p != part:
+                    yield out()
+                    total, n = None, 0
+                x, part = np.frombuffer(blob.as_py(), "<f4").astype(np.float64) * k, p
                 total, n = x if total is None else total + x, n + k
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["n", "weights"])
+            yield out()
 
-    copies = data.select("classes").mapInArrow(run, "part int, n long, weights binary").repartition(GROUPS, "part")
-    with small_batches(data.sparkSession):
-        got = copies.select("n", "weights").mapInArrow(average, "n long, weights binary").collect()  # one row a task that averages: GROUPS of them have any
+    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}  # rows are large
+    with settings(shares.sparkSession, few):
+        copies = shares.mapInArrow(run, "part int, share int, n long, state binary").repartition(GROUPS, "part").sortWithinPartitions("part", "share")
+        got = sorted(copies.drop("share").mapInArrow(average, "part int, n long, state binary").collect())  # GROUPS rows at most
     if not got:
-        return network
+        return state
     n = sum(r["n"] for r in got)
-    return WindowNetwork.from_flat(sum(np.frombuffer(bytes(r["weights"]), "<f4").astype(np.float64) * (r["n"] / n) for r in got))
+    return sum(np.frombuffer(bytes(r["state"]), "<f8") * (r["n"] / n) for r in got).astype("<f4")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, passes: int = 1, listed: int = LISTED) -> tuple[Vocabulary, WindowNetwork, DataFrame, DataFrame]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, passes: int = 1, listed: int = LISTED, share_words: int = SHARE_WORDS) -> tuple[Vocabulary, WindowNetwork, DataFrame, DataFrame]:
     """The vocabulary, the network trained on every position ``passes`` times, the documents as class numbers, and the words not listed."""
     with small_batches(docs.sparkSession):
         vocabulary, totals, unlisted = vocabulary_of(docs.select(text_of(text_col).alias("text")), listed)
     data = numbered_classes(docs, id_col, text_col, vocabulary)
     network = WindowNetwork.fresh(totals)
+    weights = np.frombuffer(network.to_bytes(), "<f4")
+    shares, state = shares_of(data, share_words), np.r_[weights, np.full(len(weights), START, "<f4")].astype("<f4")
     for k in range(rounds * passes):
-        network = train_round(data, network, k % rounds, rounds)
-    return vocabulary, network, data, unlisted
+        state = train_round(shares, state, k % rounds, rounds)
+    return vocabulary, WindowNetwork.from_flat(state[: len(weights)]), data, unlisted
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, passes: int = 1, listed: int = LISTED) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, passes: int = 1, listed: int = LISTED, share_words: int = SHARE_WORDS) -> DataFrame:
     """``doc_id, mean_log_likelihood, log_likelihood, n_words`` for each row."""
-    vocabulary, network, data, unlisted = train(docs, id_col, text_col, rounds, passes, listed)
+    vocabulary, network, data, unlisted = train(docs, id_col, text_col, rounds, passes, listed, share_words)
     kind = data.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -393,6 +393,17 @@ def test_masked_lm_reads_every_position_once(spark, monkeypatch):
     assert target.tolist() == [5, 6, 7] and context.T.tolist() == [[e, e, 6, e], [e, 5, e, e], [e, e, e, e]]
 
 
+def test_masked_lm_scores_do_not_depend_on_partitions(spark):
+    source = docs(spark).select("doc_id", "text")
+    copies = source.unionByName(source.where("doc_id = 3").withColumn("doc_id", F.lit(3)).crossJoin(spark.range(300)).select("doc_id", "text"))
+    one, many = (sorted((r["doc_id"], r["log_likelihood"]) for r in masked_lm.lm_scores(copies.repartition(n), share_words=8_000).collect()) for n in (1, 16))
+    assert len(one) == source.count() + 300 and max(abs(a[1] - b[1]) for a, b in zip(one, many)) < 1e-6
+    _, _, data, _ = masked_lm.train(copies.repartition(5), rounds=1, share_words=8_000)
+    shares = masked_lm.shares_of(data, 8_000).collect()
+    sizes = [len(r["classes"]) // 2 for r in shares]
+    assert len(shares) > 5 and sum(sizes) == sum(len(r["classes"]) // 2 for r in data.select("classes").collect()) and max(sizes) < 5 * np.mean(sizes)  # 300 equal rows don't meet in one
+
+
 def test_masked_lm_query(spark):
     got = QUERIES["op8_masked_lm"](spark, SF).toPandas()
     source = docs(spark).toPandas()
