@@ -66,12 +66,25 @@ def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(old, ["ranker", "slice"]).select("ranker", "slice", *[F.round(F.col(m) - F.col(f"old_{m}"), 6).alias(m) for m in METRICS])
 
 
-def run_diff(before: DataFrame, after: DataFrame, known: DataFrame, qrels: DataFrame, top: int = 5) -> DataFrame:
-    """``qid, displaced, lost_relevant``: top slots taken by documents new to the corpus, and judged ones that left the top."""
-    new = after.where(F.col("rank") <= top).join(known.select("doc_id"), "doc_id", "left_anti").groupBy("qid").agg(F.count("*").alias("displaced"))
-    old = before.where(F.col("rank") <= top).join(qrels.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
-    lost = old.join(after.where(F.col("rank") <= top).select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").groupBy("qid").agg(F.count("*").alias("lost_relevant"))
-    return before.select("qid").distinct().join(new, "qid", "left").join(lost, "qid", "left").fillna(0, ["displaced", "lost_relevant"])
+def run_diff(before: DataFrame, after: DataFrame, qrels: DataFrame, top: int = 5) -> DataFrame:
+    """``ranker, qid, slots, entered, lost_relevant`` for each ranker and query of both runs (``ranker, qid, rank, doc_id``).
+
+    ``entered``: slots of the new run's top taken by documents that no ranker and no query of the
+    old run showed there; ``lost_relevant``: judged documents that left the query's top.
+    """
+    old, new = before.where(F.col("rank") <= top), after.where(F.col("rank") <= top)
+    seen = old.select("doc_id").distinct()
+    asked = before.select("ranker", "qid").distinct().join(after.select("ranker", "qid").distinct(), ["ranker", "qid"])
+    slots = new.join(seen.withColumn("seen", F.lit(True)), "doc_id", "left").groupBy("ranker", "qid").agg(F.count("*").alias("slots"), F.count_if(F.col("seen").isNull()).alias("entered"))
+    judged = old.join(qrels.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
+    lost = judged.join(new.select("ranker", "qid", "doc_id"), ["ranker", "qid", "doc_id"], "left_anti").groupBy("ranker", "qid").agg(F.count("*").alias("lost_relevant"))
+    return asked.join(slots, ["ranker", "qid"], "left").join(lost, ["ranker", "qid"], "left").fillna(0, ["slots", "entered", "lost_relevant"])
+
+
+def displacement(diff: DataFrame) -> DataFrame:
+    """``ranker, entered, slots, share``: how much of each ranker's top is new since the old run, in percent, and ``hurt``: queries that lost a judged document."""
+    rows = diff.groupBy("ranker").agg(F.sum("entered").alias("entered"), F.sum("slots").alias("slots"), F.count_if(F.col("lost_relevant") > 0).alias("hurt"))
+    return rows.select("ranker", "entered", "slots", F.round(F.coalesce(F.try_divide(100 * F.col("entered"), F.col("slots")), F.lit(0.0)), 1).alias("share"), "hurt")
 
 
 #: Official tags and the labels that mean the same. Fixed values.

@@ -128,22 +128,32 @@ def sort_window(hits: DataFrame, corpus: DataFrame, k: int, descending: bool = F
     return rows.withColumn("sorted_rank", F.row_number().over(Window.partitionBy("qid").orderBy(*difficulty_order(descending, "rank"))))
 
 
-def tier_counts(corpus: DataFrame) -> DataFrame:
-    return corpus.where("tier is not null").groupBy("platform", F.lower("tier").alias("tier")).agg(F.count("*").alias("n"))
+def tier_counts(corpus: DataFrame, platforms: list[str] | None = None) -> DataFrame:
+    """``platform, tier, n`` for every tier of the tiered platforms, counts of 0 too; ``platforms``: those that have tiers, by default all that show one."""
+    counts = corpus.where("tier is not null").groupBy("platform", F.lower("tier").alias("tier")).agg(F.count("*").alias("n"))
+    own = corpus.sparkSession.createDataFrame([(p,) for p in platforms], "platform string") if platforms is not None else counts.select("platform").distinct()
+    return own.select("platform", F.explode(F.array(*[F.lit(t) for t in TIERS])).alias("tier")).join(counts, ["platform", "tier"], "left").select("platform", "tier", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def rating_histogram(corpus: DataFrame, step: int) -> DataFrame:
-    """``platform, stop, n`` for every stop from the snapped least to the snapped largest rating, empty ones too."""
+    """``platform, stop, n`` for every stop from the least rating's floor by ``step`` to the largest one's ceiling; empty stops too."""
     rated = corpus.where("rating is not null")
-    counts = rated.groupBy("platform", T.snap("rating", step).cast("long").alias("stop")).agg(F.count("*").alias("n"))
-    spans = counts.groupBy("platform").agg(F.min("stop").alias("low"), F.max("stop").alias("high"))
+    counts = rated.groupBy("platform", T.snap("rating", step).cast("long").alias("stop")).agg(F.count("*").alias("n"), F.max("rating").alias("top"))
+    spans = counts.groupBy("platform").agg(F.min("stop").alias("low"), T.snap(F.max("top"), step, up=True).cast("long").alias("high"))
     stops = spans.select("platform", F.explode(F.sequence("low", "high", F.lit(step).cast("long"))).alias("stop"))
     return stops.join(counts, ["platform", "stop"], "left").select("platform", "stop", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def acceptance_bounds(corpus: DataFrame, step: int = 5) -> DataFrame:
-    """Per tier, acceptance snapped outwards."""
-    return corpus.where("acceptance is not null and tier is not null").groupBy(F.lower("tier").alias("tier")).agg(T.snap(F.min("acceptance"), step).cast("long").alias("low"), T.snap(F.max("acceptance"), step, up=True).cast("long").alias("high"))
+    """``tier, low, high, n``: acceptance snapped outwards for each tier, and over all of them in a row of tier ``all``."""
+    rows = corpus.where("acceptance is not null and tier is not null and tier <> ''").groupBy(F.lower("tier").alias("tier")).agg(T.snap(F.min("acceptance"), step).cast("long").alias("low"), T.snap(F.max("acceptance"), step, up=True).cast("long").alias("high"), F.count("*").alias("n"))
+    whole = rows.agg(F.lit("all").alias("tier"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("n is not null")
+    return rows.unionByName(whole)
+
+
+def acceptance_stops(bounds: DataFrame, step: int = 5) -> DataFrame:
+    """``stop``: the values a control over all tiers offers."""
+    return bounds.where("tier = 'all'").select(F.explode(F.sequence("low", "high", F.lit(step).cast("long"))).alias("stop"))
 
 
 def directory(corpus: DataFrame, labels: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -154,8 +164,14 @@ def directory(corpus: DataFrame, labels: DataFrame, aliases: DataFrame) -> DataF
     return labels.join(counts, "label", "left").select("category", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def directory_groups(entries: DataFrame) -> DataFrame:
-    return entries.where("n > 0").groupBy("category").agg(F.count("*").alias("labels"), F.sum("n").alias("total"))
+def directory_groups(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """``id, label, members, total``: the umbrella groups (id, label, members) with those of their members that some record carries, in the group's order, and how many carry them.
+
+    ``entries``: ``label, n`` of a directory. Groups of which no member is carried are left out.
+    """
+    rows = groups.select("id", "label", F.posexplode("members").alias("at", "member")).join(entries.select(F.col("label").alias("member"), "n"), "member")
+    kept = rows.groupBy("id", "label").agg(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("at", "member")))).alias("ms"), F.sum("n").alias("total"))
+    return kept.where(F.size("ms") > 0).select("id", "label", F.transform("ms", lambda m: m["member"]).alias("members"), "total")
 
 
 def _substrings(name: Column) -> Column:

@@ -49,22 +49,27 @@ def view_ts(view: str) -> Column:
     return {"done": F.col("done_at"), "bookmarked": F.col("bookmarked_at")}.get(view, F.coalesce("done_at", "bookmarked_at"))
 
 
-def library(state: DataFrame, corpus: DataFrame, view: str = "all", recall: str | None = None, aged_before: str | None = None, by_difficulty: str | None = None) -> DataFrame:
-    """Problems that are done or bookmarked and still in the corpus, newest first or by difficulty.
+def library(state: DataFrame, corpus: DataFrame, view: str = "all", recall: str | None = None, aged_before: str | None = None, by_difficulty: str | None = None, oldest_first: bool = False, done: str = "all", platforms: set[str] | None = None, difficulty: Column | None = None) -> DataFrame:
+    """Problems that are done or bookmarked and still in the corpus, newest first, oldest first, or by difficulty.
 
-    ``aged_before``: only those whose time is earlier; a missing time is left out.
+    ``aged_before``: only those whose time is that or earlier; a missing time is left
+    out. ``done``: ``done`` or ``notdone`` within the view. ``platforms`` and
+    ``difficulty`` are facets of the corpus as in a search.
     """
     rows = state.where("done or bookmarked")
     if view in ("done", "bookmarked"):
         rows = rows.where(F.col(view))
+    if done in ("done", "notdone"):
+        rows = rows.where(F.col("done") if done == "done" else ~F.col("done"))
     if recall:
         rows = rows.where(F.coalesce("recall", F.lit("none")) == recall)
     rows = rows.withColumn("view_ts", view_ts(view))
     if aged_before:
-        rows = rows.where(F.col("view_ts") < F.lit(aged_before).cast("timestamp_ntz"))
-    rows = rows.join(corpus.withColumnRenamed("doc_id", "problem_id"), "problem_id")
-    sort_ts = F.coalesce(view_ts(view) if view in ("done", "bookmarked") else F.col("done_at"), F.col("updated_at"))
-    order = facets.difficulty_order(by_difficulty == "desc", "problem_id") if by_difficulty else [sort_ts.desc(), F.col("problem_id")]
+        rows = rows.where(F.col("view_ts") <= F.lit(aged_before).cast("timestamp_ntz"))
+    rows = rows.join(facets.facet_filter(corpus, platforms, difficulty=difficulty).withColumnRenamed("doc_id", "problem_id"), "problem_id")
+    sort_ts = F.coalesce(F.col("bookmarked_at") if view == "bookmarked" else F.col("done_at"), F.col("updated_at"))
+    by_time = [sort_ts.asc_nulls_last() if oldest_first else sort_ts.desc_nulls_last(), F.col("problem_id")]
+    order = [*facets.difficulty_order(by_difficulty == "desc", "problem_id")[:2], *by_time] if by_difficulty else by_time
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
 
 

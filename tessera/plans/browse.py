@@ -33,7 +33,8 @@ def f5_difficulty(spark, d):
 
 
 def f6_tiers(spark, d):
-    return facets.tier_counts(t.corpus(spark, d))
+    """English has tiers; Spanish could and shows none, so its counts are 0."""
+    return facets.tier_counts(t.corpus(spark, d), ["en", "es"])
 
 
 def f6_histogram(spark, d):
@@ -44,6 +45,10 @@ def f6_acceptance(spark, d):
     return facets.acceptance_bounds(t.corpus(spark, d))
 
 
+def f6_stops(spark, d):
+    return facets.acceptance_stops(facets.acceptance_bounds(t.corpus(spark, d)))
+
+
 def f8_sort(spark, d):
     c = t.corpus(spark, d)
     out = None
@@ -87,12 +92,19 @@ def f16_directory(spark, d):
 
 
 def f16_groups(spark, d):
-    return facets.directory_groups(f16_directory(spark, d))
+    """Umbrellas over sources: one of which the corpus has no member, one that has a member no label knows."""
+    groups = spark.createDataFrame([("a", "Lower", ["src9", "src3", "src1"]), ("b", "Upper", ["src16", "src99", "src15"]), ("c", "None", ["src24"])], "id string, label string, members array<string>")
+    return facets.directory_groups(f16_directory(spark, d), groups).select("id", "label", F.array_join("members", " ").alias("members"), "total")
+
+
+SORT_WORDS = ("difficulty", "difficulty-asc", "Difficulty-Desc ", "-difficulty", "hardest", "")
 
 
 def f9_sort_words(spark, d):
-    rows = [(x, facets.parse_sort(x)) for x in ("difficulty", "difficulty-asc", "Difficulty-Desc ", "-difficulty", "hardest", "", None)]
-    return spark.createDataFrame(rows, "word string, direction string")
+    """Each benchmark item with one of the words, told what order it asks for."""
+    told = F.create_map(*[F.lit(x) for w in SORT_WORDS if facets.parse_sort(w) for x in (w, facets.parse_sort(w))])
+    words = t.table(spark, d, "benchmark").select("item_id", F.element_at(F.array(*[F.lit(w) for w in SORT_WORDS]), (F.col("item_id") % len(SORT_WORDS) + 1).cast("int")).alias("word"))
+    return words.select("item_id", "word", F.try_element_at(told, F.col("word")).alias("direction"))
 
 
 def f17_resolve(spark, d):
@@ -134,6 +146,13 @@ def u3_library(spark, d):
     return state.library(s, t.corpus(spark, d).select("doc_id", "tier", "rating", "acceptance"), "done", aged_before="2001-06-01 00:00:00").select("user_id", "problem_id", F.col("position").cast("long").alias("position"), F.col("view_ts").cast("string").alias("view_ts"))
 
 
+def u3_library_oldest(spark, d):
+    """Bookmarked problems that aren't done, of two languages, oldest first."""
+    s = state.fold(t.changes(spark, d))
+    rows = state.library(s, t.corpus(spark, d), "bookmarked", oldest_first=True, done="notdone", platforms={"en", "de"})
+    return rows.select("user_id", "problem_id", F.col("position").cast("long").alias("position"), F.col("view_ts").cast("string").alias("view_ts"))
+
+
 def u3_library_sorted(spark, d):
     s = state.fold(t.changes(spark, d))
     return state.library(s, t.corpus(spark, d).select("doc_id", "tier", "rating", "acceptance"), by_difficulty="desc").select("user_id", "problem_id", F.col("position").cast("long").alias("position"))
@@ -143,7 +162,7 @@ def u5_sets(spark, d):
     return state.sets(state.fold(t.changes(spark, d))).select("user_id", *[F.array_join(c, " ").alias(c) for c in ("done", "bookmarked")])
 
 
-QUERIES = {f.__name__: f for f in (f1_platforms, f2_pattern, f3_done, f5_difficulty, f6_tiers, f6_histogram, f6_acceptance, f8_sort, f10_sort_window, f11_browse, f13_filtered_search, f15_decorate, f16_directory, f16_groups, f9_sort_words, f17_resolve, f18_level_rated, f19_level_ladder, f20_command, u1_state_fold, u3_library, u3_library_sorted, u5_sets)}
+QUERIES = {f.__name__: f for f in (f1_platforms, f2_pattern, f3_done, f5_difficulty, f6_tiers, f6_histogram, f6_acceptance, f6_stops, f8_sort, f10_sort_window, f11_browse, f13_filtered_search, f15_decorate, f16_directory, f16_groups, f9_sort_words, f17_resolve, f18_level_rated, f19_level_ladder, f20_command, u1_state_fold, u3_library, u3_library_oldest, u3_library_sorted, u5_sets)}
 
 _KEY0 = "coalesce(CASE lower(tier) WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 WHEN 'hard' THEN 3 END, rating)"
 # one change after another, as a list is reduced; the operator's windows say the same in another way
@@ -166,10 +185,12 @@ ORACLES = {
     "f2_pattern": f"{_C} SELECT doc_id FROM corpus WHERE pattern = 'src3'",
     "f3_done": f"WITH {_FOLD}, x AS (SELECT problem_id FROM us WHERE user_id = 3 AND done) SELECT doc_id, CASE WHEN doc_id IN (SELECT problem_id FROM x) THEN 'done' ELSE 'notdone' END AS side FROM documents",
     "f5_difficulty": f"{_C} SELECT doc_id, platform FROM corpus WHERE CASE platform WHEN 'en' THEN coalesce(tier IN ('Easy', 'Hard') AND acceptance BETWEEN 20 AND 80, false) WHEN 'de' THEN coalesce(rating BETWEEN 400 AND 2000, false) ELSE true END",
-    "f6_tiers": f"{_C} SELECT platform, lower(tier) AS tier, count(*) AS n FROM corpus WHERE tier IS NOT NULL GROUP BY ALL",
-    "f6_histogram": f"""{_C}, h AS (SELECT platform, CAST(floor(rating / 500.0) * 500 AS BIGINT) AS stop, count(*) AS n FROM corpus WHERE rating IS NOT NULL GROUP BY ALL),
-        s AS (SELECT platform, unnest(range(min(stop), max(stop) + 1, 500)) AS stop FROM h GROUP BY platform) SELECT platform, stop, coalesce(n, 0) AS n FROM s LEFT JOIN h USING (platform, stop)""",
-    "f6_acceptance": f"{_C} SELECT lower(tier) AS tier, CAST(floor(min(acceptance) / 5) * 5 AS BIGINT) AS low, CAST(ceil(max(acceptance) / 5) * 5 AS BIGINT) AS high FROM corpus WHERE tier IS NOT NULL GROUP BY ALL",
+    "f6_tiers": f"{_C} SELECT p AS platform, y AS tier, (SELECT count(*) FROM corpus WHERE platform = p AND lower(tier) = y) AS n FROM (VALUES ('en'), ('es')) a(p) CROSS JOIN (VALUES ('easy'), ('medium'), ('hard')) b(y)",
+    "f6_histogram": f"""{_C}, b AS (SELECT platform, CAST(floor(min(rating) / 500.0) * 500 AS BIGINT) AS lo, CAST(ceil(max(rating) / 500.0) * 500 AS BIGINT) AS hi FROM corpus WHERE rating IS NOT NULL GROUP BY platform),
+        s AS (SELECT platform, unnest(range(lo, hi + 1, 500)) AS stop FROM b) SELECT s.platform, stop, count(rating) AS n FROM s LEFT JOIN corpus c ON c.platform = s.platform AND rating >= stop AND rating < stop + 500 GROUP BY ALL""",
+    "f6_acceptance": f"""{_C}, a AS (SELECT lower(tier) AS tier, CAST(floor(min(acceptance) / 5) * 5 AS BIGINT) AS low, CAST(ceil(max(acceptance) / 5) * 5 AS BIGINT) AS high, count(*) AS n FROM corpus WHERE tier IS NOT NULL GROUP BY ALL)
+        SELECT * FROM a UNION ALL SELECT 'all', min(low), max(high), CAST(sum(n) AS BIGINT) FROM a""",
+    "f6_stops": f"{_C} SELECT unnest(range(CAST(floor(min(acceptance) / 5) * 5 AS BIGINT), CAST(ceil(max(acceptance) / 5) * 5 AS BIGINT) + 1, 5)) AS stop FROM corpus WHERE tier IS NOT NULL",
     "f8_sort": f"""{_C} (SELECT doc_id, false AS descending FROM corpus ORDER BY {_KEY0} ASC NULLS LAST, -acceptance ASC NULLS LAST, doc_id LIMIT 200 OFFSET 50)
         UNION ALL (SELECT doc_id, true FROM corpus ORDER BY {_KEY0} DESC NULLS LAST, -acceptance DESC NULLS LAST, doc_id LIMIT 200 OFFSET 50)""",
     "f10_sort_window": f"{search._BASE}, {search._ranked_sql('bm25', 'a')}, {t.CORPUS_SQL} SELECT qid, doc_id, rank, row_number() OVER (PARTITION BY qid ORDER BY {_KEY0} ASC NULLS LAST, -acceptance ASC NULLS LAST, rank) AS sorted_rank FROM a JOIN corpus USING (doc_id)",
@@ -178,9 +199,9 @@ ORACLES = {
         FROM a_s s JOIN documents USING (doc_id) WHERE lang = 'en') WHERE rank <= 10""",
     "f15_decorate": f"WITH {_FOLD} SELECT doc_id, coalesce(done, false) AS done, coalesce(bookmarked, false) AS bookmarked, recall FROM documents LEFT JOIN (SELECT * FROM us WHERE user_id = 3) ON doc_id = problem_id",
     "f16_directory": f"{_DIRECTORY} SELECT * FROM dir",
-    "f16_groups": f"{_DIRECTORY} SELECT category, count(*) AS labels, sum(n) AS total FROM dir WHERE n > 0 GROUP BY category",
-    "f9_sort_words": "SELECT * FROM (VALUES ('difficulty', 'asc'), ('difficulty-asc', 'asc'), ('Difficulty-Desc ', 'desc'), ('-difficulty', 'desc'), ('hardest', NULL), ('', NULL), (NULL, NULL)) v(word, direction)",
-    # src and rc1 are within sources' names, so no umbrella answers them
+    "f16_groups": f"""{_DIRECTORY}, g(id, label, pos, member) AS (VALUES ('a', 'Lower', 0, 'src9'), ('a', 'Lower', 1, 'src3'), ('a', 'Lower', 2, 'src1'), ('b', 'Upper', 0, 'src16'), ('b', 'Upper', 1, 'src99'), ('b', 'Upper', 2, 'src15'), ('c', 'None', 0, 'src24'))
+        SELECT id, g.label, string_agg(member, ' ' ORDER BY pos) FILTER (n > 0) AS members, CAST(sum(n) AS BIGINT) AS total FROM g JOIN dir ON dir.label = member GROUP BY id, g.label HAVING sum(n) > 0""",
+    "f9_sort_words": "SELECT item_id, word, CASE item_id % 6 WHEN 0 THEN 'asc' WHEN 1 THEN 'asc' WHEN 2 THEN 'desc' WHEN 3 THEN 'desc' END AS direction FROM (SELECT item_id, ['difficulty', 'difficulty-asc', 'Difficulty-Desc ', '-difficulty', 'hardest', ''][item_id % 6 + 1] AS word FROM benchmark)",
     "f17_resolve": "SELECT * FROM (VALUES (1, 'src1'), (4, 'src3'), (6, 'segments'), (7, 'trees'), (8, 'segments')) v(qid, label)",
     "f18_level_rated": f"""{_C}, g(platform, step) AS (VALUES ('de', 100), ('fr', 200)),
         b0 AS (SELECT platform, min(rating) AS lo, max(rating) AS hi FROM corpus WHERE rating IS NOT NULL GROUP BY platform), b AS (SELECT platform, step, floor(lo / step) * step AS lo, ceil(hi / step) * step AS hi FROM b0 JOIN g USING (platform)),
@@ -196,7 +217,8 @@ ORACLES = {
     "f20_command": """SELECT text, signed_in, CASE WHEN kind = 'library' AND NOT signed_in THEN 'needs_account' ELSE kind END AS kind, argument FROM (VALUES (':help', 'help', ''), (':h sheet', 'help', 'sheet'), (':compare two sum', 'compare', 'two sum'), (':cmp', 'compare', ''), (':Bookmarks', 'library', 'bookmarked'),
         ('ls done', 'library', 'done'), (':all', 'library', 'all'), (':bo', 'unknown', ':bo'), ('two sum', 'search', 'two sum'), ('', 'search', ''), (':compared', 'unknown', ':compared')) v(text, kind, argument) CROSS JOIN (VALUES (true), (false)) s(signed_in)""",
     "u1_state_fold": f"WITH {_FOLD} SELECT user_id, problem_id, done, {_TS.format('done_at')}, bookmarked, {_TS.format('bookmarked_at')}, recall, {_TS.format('updated_at')} FROM us",
-    "u3_library": f"WITH {_FOLD} SELECT user_id, problem_id, row_number() OVER (PARTITION BY user_id ORDER BY done_at DESC, problem_id) AS position, strftime(done_at, '%Y-%m-%d %H:%M:%S') AS view_ts FROM us JOIN documents ON doc_id = problem_id WHERE done AND done_at < TIMESTAMP '2001-06-01'",
-    "u3_library_sorted": f"WITH {_FOLD}, {t.CORPUS_SQL} SELECT user_id, problem_id, row_number() OVER (PARTITION BY user_id ORDER BY {_KEY0} DESC NULLS LAST, -acceptance DESC NULLS LAST, problem_id) AS position FROM us JOIN corpus ON doc_id = problem_id WHERE done OR bookmarked",
+    "u3_library": f"WITH {_FOLD} SELECT user_id, problem_id, row_number() OVER (PARTITION BY user_id ORDER BY done_at DESC, problem_id) AS position, strftime(done_at, '%Y-%m-%d %H:%M:%S') AS view_ts FROM us JOIN documents ON doc_id = problem_id WHERE done AND done_at <= TIMESTAMP '2001-06-01'",
+    "u3_library_oldest": f"WITH {_FOLD} SELECT user_id, problem_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(bookmarked_at, updated_at), problem_id) AS position, strftime(bookmarked_at, '%Y-%m-%d %H:%M:%S') AS view_ts FROM us JOIN documents ON doc_id = problem_id WHERE bookmarked AND NOT done AND lang IN ('en', 'de')",
+    "u3_library_sorted": f"WITH {_FOLD}, {t.CORPUS_SQL} SELECT user_id, problem_id, row_number() OVER (PARTITION BY user_id ORDER BY {_KEY0} DESC NULLS LAST, -acceptance DESC NULLS LAST, coalesce(done_at, updated_at) DESC, problem_id) AS position FROM us JOIN corpus ON doc_id = problem_id WHERE done OR bookmarked",
     "u5_sets": f"WITH {_FOLD} SELECT user_id, coalesce(string_agg(problem_id::VARCHAR, ' ' ORDER BY problem_id) FILTER (done), '') AS done, coalesce(string_agg(problem_id::VARCHAR, ' ' ORDER BY problem_id) FILTER (bookmarked), '') AS bookmarked FROM us GROUP BY user_id",
 }

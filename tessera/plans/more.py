@@ -212,11 +212,17 @@ def k10_blocks(spark, d):
 
 
 def s6_taxonomy(spark, d):
-    path = _folder(spark, "s6")
-    text = '{"canonical": {"bfs": {"category": "graph"}, "dp": {"category": "dynamic"}}, "aliases": {"breadth-first": "bfs", "memo": "dp"}, "consumingAliases": ["breadth-first"], "groups": [{"label": "graphs", "aliases": ["graph"], "members": ["bfs"]}]}'
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    x = readers.read_taxonomy(spark, path)
-    return x["labels"].select(F.col("label").alias("name"), F.col("category").alias("value"), F.lit(None).cast("boolean").alias("consuming")).unionByName(x["aliases"].select(F.col("alias").alias("name"), F.col("canonical").alias("value"), "consuming"))
+    """A taxonomy of the parts' types, brands and names, written as one JSON object and read back: labels, aliases and groups in rows."""
+    path, p = _folder(spark, "s6"), t.table(spark, d, "part")
+    some = p.where("p_size < 3").select("p_name", "p_brand", "p_type").distinct()
+    as_map = lambda k, v: F.map_from_entries(F.array_distinct(F.collect_list(F.struct(k, v))))
+    groups = some.groupBy("p_type").agg(F.struct(F.concat(F.lit("all "), "p_type").alias("label"), F.array(F.lower("p_type")).alias("aliases"), F.sort_array(F.collect_set("p_brand")).alias("members")).alias("g"))
+    told = some.groupBy().agg(as_map(F.col("p_brand"), F.struct(F.when(~F.col("p_brand").endswith("3"), F.substring("p_brand", -1, 1)).alias("category"))).alias("canonical"), F.sort_array(F.collect_set(F.when(F.length("p_name") > 9, F.lower("p_name")))).alias("consumingAliases"))
+    names = some.groupBy(F.lower("p_name").alias("n")).agg(F.min("p_brand").alias("b")).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("n", "b"))).alias("aliases"))
+    told.crossJoin(names).crossJoin(groups.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("p_type", "g"))).alias("groups"))).coalesce(1).write.json(path)
+    x = readers.read_taxonomy(spark, f"{path}/*.json")
+    row = lambda kind, name, value, more: (F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(value).alias("value"), more.alias("more"))
+    return x["labels"].select(*row("label", "label", "category", F.lit(""))).unionByName(x["aliases"].select(*row("alias", "alias", "canonical", F.col("consuming").cast("string")))).unionByName(x["groups"].select(*row("group", "id", "label", F.concat_ws(" ", "aliases", "members"))))
 
 
 def s8_seed_urls(spark, d):
@@ -322,7 +328,10 @@ ORACLES = {
     "k6_rejects": "SELECT p_partkey, p_size, CASE WHEN p_size < 10 THEN 'small' WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'kept' END AS reason FROM part",
     "k9_seed_urls": "SELECT DISTINCT url AS url_key FROM pages UNION SELECT url || '?id=' || (page_id % 3) FROM pages",
     "k10_blocks": "SELECT p_partkey, CASE WHEN p_size % 5 = 2 THEN 'new' ELSE p_name END AS p_name, p_size % 5 AS block FROM part",
-    "s6_taxonomy": "SELECT * FROM (VALUES ('bfs', 'graph', NULL), ('dp', 'dynamic', NULL), ('breadth-first', 'bfs', true), ('memo', 'dp', false)) v(name, value, consuming)",
+    "s6_taxonomy": """WITH s AS (SELECT DISTINCT p_name, p_brand, p_type FROM part WHERE p_size < 3)
+        SELECT DISTINCT 'label' AS kind, p_brand AS name, CASE WHEN right(p_brand, 1) = '3' THEN 'general' ELSE right(p_brand, 1) END AS value, '' AS more FROM s
+        UNION ALL SELECT 'alias', lower(p_name), min(p_brand), CASE WHEN length(min(p_name)) > 9 THEN 'true' ELSE 'false' END FROM s GROUP BY lower(p_name)
+        UNION ALL SELECT 'group', p_type, 'all ' || p_type, lower(p_type) || ' ' || string_agg(DISTINCT p_brand, ' ' ORDER BY p_brand) FROM s GROUP BY p_type""",
     "s8_seed_urls": "SELECT page_id AS line_no, CASE WHEN page_id >= (SELECT min(page_id) FROM pages WHERE page_id % 10 = 0) THEN 'A' || (page_id // 10 * 10) || ' / b' END AS topic FROM pages WHERE page_id % 10 NOT IN (0, 3, 5, 7)",
     "s12_least_accepted": f"WITH {t.CORPUS_SQL}, x AS (SELECT doc_id AS id, acceptance, row_number() OVER (PARTITION BY doc_id % 150 ORDER BY acceptance, doc_id) AS r FROM corpus WHERE tier = 'Medium' AND doc_id % 6 <> 0) SELECT id, acceptance FROM x WHERE r = 1 ORDER BY acceptance, id LIMIT 30",
     "s12_hard_recent": f"WITH {t.CORPUS_SQL} SELECT doc_id AS id, 'hard' AS list FROM corpus WHERE tier = 'Hard' AND doc_id % 6 <> 0 UNION ALL (SELECT doc_id, 'recent' FROM corpus WHERE tier <> 'Easy' AND doc_id % 6 <> 0 ORDER BY doc_id DESC LIMIT 25)",

@@ -229,12 +229,21 @@ def e8_metric_deltas(spark, d):
     return evaluate.metric_deltas(means.where("ranker = 'bm25'"), means.where("ranker = 'tfidf'").withColumn("ranker", F.lit("bm25")))
 
 
+def _two_runs(spark, d):
+    """A run of two rankers over four fifths of the documents, and one over all."""
+    old = lexical.tokenized(t.documents(spark, d).where("doc_id % 5 <> 0"), F.col("text"))
+    tokens = lexical.query_tokens(t.queries(spark, d))
+    run = lambda docs: [lexical.search(docs, tokens, r, 5).select(F.lit(r).alias("ranker"), "qid", "rank", "doc_id") for r in ("bm25", "tfidf")]
+    before, after = run(old), run(lexical.tokenized(t.documents(spark, d), F.col("text")))
+    return before[0].unionByName(before[1]), after[0].unionByName(after[1])
+
+
 def e8_run_diff(spark, d):
-    after = _search(spark, d, "bm25", 5)
-    old = t.documents(spark, d).where("doc_id % 5 <> 0")
-    docs = lexical.tokenized(old, F.col("text"))
-    before = lexical.search(docs, lexical.query_tokens(t.queries(spark, d)), "bm25", 5)
-    return evaluate.run_diff(before, after, old, t.qrels(spark, d))
+    return evaluate.run_diff(*_two_runs(spark, d), t.qrels(spark, d))
+
+
+def e8_displacement(spark, d):
+    return evaluate.displacement(e8_run_diff(spark, d))
 
 
 def _vocabulary(spark, d):
@@ -286,7 +295,7 @@ def q8_serve(spark, d):
     return out.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "total")
 
 
-QUERIES = {f.__name__: f for f in (r1_postings, r2_term_stats, r3_tfidf_top10, r5_bm25_top10, r5_bm25_page2, r13_bm25_explain, r15_index_dump, r19_title_bonus, r8_dense_top10, r9_similar, r14_dense_explain, r12_rrf, r13_tfidf_explain, r14_hybrid_explain, r14_hybrid_legs, r16_compare, r17_rank_delta, r5_stored_index, r18_ranker_pick, e1_e4_metrics, e6_by_slice, e7_ranker_diff, e7_totals, e7_most_changed, e8_run_diff, e8_metric_deltas, q1_expand, q7_spellfix, q8_corrected, q8_serve, q9_guard)}
+QUERIES = {f.__name__: f for f in (r1_postings, r2_term_stats, r3_tfidf_top10, r5_bm25_top10, r5_bm25_page2, r13_bm25_explain, r15_index_dump, r19_title_bonus, r8_dense_top10, r9_similar, r14_dense_explain, r12_rrf, r13_tfidf_explain, r14_hybrid_explain, r14_hybrid_legs, r16_compare, r17_rank_delta, r5_stored_index, r18_ranker_pick, e1_e4_metrics, e6_by_slice, e7_ranker_diff, e7_totals, e7_most_changed, e8_run_diff, e8_displacement, e8_metric_deltas, q1_expand, q7_spellfix, q8_corrected, q8_serve, q9_guard)}
 
 _DOT = "list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] * z[2]))"
 
@@ -384,11 +393,16 @@ ORACLES["q8_serve"] = f"""{_BASE}, {_VOCAB}, {_TYPO}, {_TYPED}, rt AS (SELECT qi
     rp AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM rt) GROUP BY ALL),
     rs AS (SELECT qid, doc_id, sum({_WEIGHT['bm25']}) AS score, min(pos) AS first_pos FROM (SELECT *, {_IDF['bm25']} AS idf FROM rt JOIN rp USING (term) JOIN v USING (term) JOIN dl USING (doc_id) CROSS JOIN st) GROUP BY ALL)
     SELECT qid, rank, doc_id, round(score, 6) AS score, total FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, first_pos, doc_id) AS rank, doc_id, score, count(*) OVER (PARTITION BY qid) AS total FROM rs JOIN documents USING (doc_id) WHERE lang = 'en') WHERE rank <= 10"""
-ORACLES["e8_run_diff"] = f"""{_BASE}, {_ranked_sql('bm25', 'a', 5)}, {_QRELS},
+def _old_sql(ranker: str, name: str) -> str:
+    return f"""{name}_os AS (SELECT qid, doc_id, sum({_WEIGHT[ranker]}) AS score, min(pos) AS first_pos FROM (SELECT *, {_IDF[ranker]} AS idf FROM qt JOIN op USING (term) JOIN odf USING (term) JOIN odl USING (doc_id) CROSS JOIN ost) WHERE idf > 0 GROUP BY ALL),
+    {name}_o AS (SELECT * FROM (SELECT '{ranker}' AS ranker, qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, first_pos, doc_id) AS rank FROM {name}_os) WHERE rank <= 5)"""
+
+
+ORACLES["e8_run_diff"] = f"""{_BASE}, {_ranked_sql('bm25', 'a', 5)}, {_ranked_sql('tfidf', 'b', 5)}, {_QRELS},
     od AS (SELECT * FROM d WHERE doc_id % 5 <> 0), odl AS (SELECT doc_id, len(toks) AS dl FROM od), ost AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM odl),
-    op AS (SELECT * FROM p WHERE doc_id % 5 <> 0), odf AS (SELECT term, count(*) AS df FROM op GROUP BY term),
-    os AS (SELECT qid, doc_id, sum({_WEIGHT['bm25']}) AS score, min(pos) AS first_pos FROM (SELECT *, {_IDF['bm25']} AS idf FROM qt JOIN op USING (term) JOIN odf USING (term) JOIN odl USING (doc_id) CROSS JOIN ost) GROUP BY ALL),
-    o AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, first_pos, doc_id) AS rank FROM os) WHERE rank <= 5),
-    nw AS (SELECT qid, count(*) AS displaced FROM a WHERE doc_id % 5 = 0 GROUP BY qid),
-    ls AS (SELECT qid, count(*) AS lost_relevant FROM o SEMI JOIN rel USING (qid, doc_id) ANTI JOIN a USING (qid, doc_id) GROUP BY qid)
-    SELECT qid, coalesce(displaced, 0) AS displaced, coalesce(lost_relevant, 0) AS lost_relevant FROM (SELECT DISTINCT qid FROM o) LEFT JOIN nw USING (qid) LEFT JOIN ls USING (qid)"""
+    op AS (SELECT * FROM p WHERE doc_id % 5 <> 0), odf AS (SELECT term, count(*) AS df FROM op GROUP BY term), {_old_sql('bm25', 'x')}, {_old_sql('tfidf', 'y')},
+    o AS (SELECT * FROM x_o UNION ALL SELECT * FROM y_o), w AS (SELECT 'bm25' AS ranker, qid, doc_id FROM a UNION ALL SELECT 'tfidf', qid, doc_id FROM b)
+    SELECT ranker, qid, (SELECT count(*) FROM w WHERE w.ranker = k.ranker AND w.qid = k.qid) AS slots, (SELECT count(*) FROM w WHERE w.ranker = k.ranker AND w.qid = k.qid AND w.doc_id NOT IN (SELECT doc_id FROM o)) AS entered,
+        (SELECT count(*) FROM o WHERE o.ranker = k.ranker AND o.qid = k.qid AND EXISTS (SELECT 1 FROM rel WHERE rel.qid = o.qid AND rel.doc_id = o.doc_id) AND NOT EXISTS (SELECT 1 FROM w WHERE w.ranker = o.ranker AND w.qid = o.qid AND w.doc_id = o.doc_id)) AS lost_relevant
+    FROM (SELECT DISTINCT ranker, qid FROM o INTERSECT SELECT ranker, qid FROM w) k"""
+ORACLES["e8_displacement"] = f"SELECT ranker, CAST(sum(entered) AS BIGINT) AS entered, CAST(sum(slots) AS BIGINT) AS slots, round(100.0 * sum(entered) / sum(slots), 1) AS share, count(*) FILTER (lost_relevant > 0) AS hurt FROM ({ORACLES['e8_run_diff']}) GROUP BY ranker"

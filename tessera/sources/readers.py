@@ -99,14 +99,15 @@ def checked_artifact(vectors: DataFrame, manifest: dict, corpus: DataFrame, ids:
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables ``labels`` (label, category), ``aliases`` (alias, canonical, consuming) and ``groups`` (label, aliases, members) of a JSON taxonomy."""
-    schema = "canonical map<string, struct<category: string>>, aliases map<string, string>, consumingAliases array<string>, groups array<struct<label: string, aliases: array<string>, members: array<string>>>"
+    """The tables ``labels`` (label, category), ``aliases`` (alias, canonical, consuming) and ``groups`` (id, label, aliases, members) of a JSON taxonomy, whose groups are an object by id."""
+    schema = "canonical map<string, struct<category: string>>, aliases map<string, string>, consumingAliases array<string>, groups map<string, struct<label: string, aliases: array<string>, members: array<string>>>"
     t = spark.read.schema(schema).option("multiLine", True).json(path)
+    none = F.array().cast("array<string>")
     consuming = F.coalesce("consumingAliases", F.array().cast("array<string>"))
     return {
-        "labels": t.select(F.explode("canonical").alias("label", "x")).select("label", "x.category"),
+        "labels": t.select(F.explode("canonical").alias("label", "x")).select("label", F.coalesce("x.category", F.lit("general")).alias("category")),
         "aliases": t.select(F.explode("aliases").alias("alias", "canonical"), consuming.alias("c")).select("alias", "canonical", F.array_contains("c", F.col("alias")).alias("consuming")),
-        "groups": t.select(F.explode("groups").alias("g")).select("g.*"),
+        "groups": t.select(F.explode("groups").alias("id", "g")).select("id", "g.label", F.coalesce("g.aliases", none).alias("aliases"), F.coalesce("g.members", none).alias("members")),
     }
 
 
