@@ -29,6 +29,57 @@ class Expansion:
     matches: list[str] = field(default_factory=list)
 
 
+class AliasTrie:
+    """All aliases in one trie over characters, with one edge for white space and hyphens between words.
+
+    From each place where a word may begin a text is followed down the trie, so that
+    the aliases it holds are found together, in time linear in the text for aliases of bounded length.
+    """
+
+    END, GAP = "end", "gap"
+
+    def __init__(self, aliases: list[list[str]]):
+        """``aliases``: the words of each; what is found is told by its place in the list."""
+        self.root: dict = {}
+        for i, words in enumerate(aliases):
+            at = self.root
+            for k, word in enumerate(words):
+                if k:
+                    at = at.setdefault(self.GAP, {})
+                for c in word:
+                    at = at.setdefault(c, {})
+            at.setdefault(self.END, []).append(i)
+
+    @staticmethod
+    def _inner(c: str) -> bool:
+        """Whether a letter or digit: beside one no alias begins or ends. A fixed value, it decides results."""
+        return "a" <= c <= "z" or "0" <= c <= "9"
+
+    def found(self, text: str) -> dict[int, tuple[int, int]]:
+        """The aliases in a lower-cased text, each with its first place: where it begins, with the sign before it, and ends."""
+        out: dict[int, tuple[int, int]] = {}
+        n = len(text)
+        for start in range(n):
+            if start and self._inner(text[start - 1]):
+                continue
+            at, i = self.root, start
+            while i < n:
+                c = text[i]
+                if c == "-" or c.isspace():
+                    at = at.get(self.GAP)
+                    while at is not None and i < n and (text[i] == "-" or text[i].isspace()):
+                        i += 1
+                else:
+                    at = at.get(c)
+                    i += 1
+                if at is None:
+                    break
+                if self.END in at and not (i < n and self._inner(text[i])):
+                    for k in at[self.END]:
+                        out.setdefault(k, (max(start - 1, 0), i))
+        return out
+
+
 class Expander:
     """Alias rules, longest canonical first, then longest alias.
 
@@ -41,12 +92,10 @@ class Expander:
     """
 
     def __init__(self, rules: list[Alias]):
-        order = sorted(rules, key=lambda r: (-len(self._words(r.canonical)), -len(r.alias)))
-        # the boundary pattern is a fixed value: what may stand before and after an alias decides results
-        compiled = [(r, re.compile(r"(?:^|[^a-z0-9])" + r"[\s-]+".join(map(re.escape, self._words(r.alias))) + r"(?![a-z0-9])")) for r in order if self._words(r.alias)]
-        consumes = lambda r: r.consuming and len(self._words(r.alias)) > 1
-        self.consuming = [x for x in compiled if consumes(x[0])]
-        self.appending = [x for x in compiled if not consumes(x[0])]
+        self.rules = [r for r in sorted(rules, key=lambda r: (-len(self._words(r.canonical)), -len(r.alias))) if self._words(r.alias)]
+        self.words = [self._words(r.canonical) for r in self.rules]
+        self.consumes = [r.consuming and len(self._words(r.alias)) > 1 for r in self.rules]
+        self.trie = AliasTrie([self._words(r.alias) for r in self.rules])
 
     @staticmethod
     def _words(slug: str) -> list[str]:
@@ -56,11 +105,14 @@ class Expander:
         if not isinstance(query, str) or not query.strip() or len(query) > MAX_QUERY:
             return Expansion(query)
         left, matches, queued = query.lower(), [], []
-        for rule, pattern in self.consuming:
-            if m := pattern.search(left):
-                left = left[: m.start()] + " " * (m.end() - m.start()) + left[m.end() :]
-                queued += self._words(rule.canonical)
-                matches.append(rule.alias)
+        found, last = self.trie.found(left), -1
+        # in order of the rules; a blank may bring words together or take a match away, so the text is walked again
+        while (rule := min((i for i in found if i > last and self.consumes[i]), default=None)) is not None:
+            a, b = found[rule]
+            left = left[:a] + " " * (b - a) + left[b:]
+            queued += self.words[rule]
+            matches.append(self.rules[rule].alias)
+            found, last = self.trie.found(left), rule
         tokens = re.findall("[a-z0-9]+", left)
         gained: dict[str, None] = {}  # in order
 
@@ -70,12 +122,11 @@ class Expander:
             return bool(new)
 
         gain(queued)
-        for rule, pattern in self.appending:
+        for rule in sorted(i for i in found if not self.consumes[i]):
             if len(gained) >= MAX_ADDED:
                 break
-            if pattern.search(left):
-                matches.append(rule.alias)
-                gain(self._words(rule.canonical))
+            matches.append(self.rules[rule].alias)
+            gain(self.words[rule])
         matches += [t for t in tokens if t in T.NUMBER_WORDS and gain([T.NUMBER_WORDS[t]])]
         if not gained:
             return Expansion(query, matches=matches)
@@ -83,14 +134,17 @@ class Expander:
 
 
 def expand(queries: DataFrame, rules: list[Alias]) -> DataFrame:
-    """``qid, query`` to ``qid, query, expanded, added, matches``; a fold over rules, in Arrow batches."""
-    expander = Expander(rules)
+    """``qid, query`` to ``qid, query, expanded, added, matches``, in Arrow batches.
+
+    The trie of the rules, a table kept by hand, is sent to each executor once.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(Expander(rules))
 
     @F.pandas_udf("query string, expanded boolean, added array<string>, matches array<string>")
     def run(q):
         import pandas as pd
 
-        out = [expander.expand(x) for x in q]
+        out = [sent.value.expand(x) for x in q]
         return pd.DataFrame({"query": [x.query for x in out], "expanded": [x.expanded for x in out], "added": [x.added for x in out], "matches": [x.matches for x in out]})
 
     return queries.select("qid", run("query").alias("x")).select("qid", "x.*")

@@ -171,3 +171,61 @@ def test_block_index_gives_the_same_from_fewer_postings(spark, tmp_path, ranker)
         want = lexical.search(docs, tokens, ranker, k, offset).drop("total")
         assert sorted(map(str, index.search(tokens, ranker, k, offset).collect())) == sorted(map(str, want.collect()))
     assert index.candidates(tokens, ranker).count() < 0.35 * lexical.contributions(docs, tokens, ranker).count()
+
+
+class PatternExpander(rewrite.Expander):
+    """The same rules by one pattern for each, tried on each query."""
+
+    class Patterns:
+        def __init__(self, aliases):
+            import re
+
+            self.patterns = [re.compile(r"(?:^|[^a-z0-9])" + r"[\s-]+".join(map(re.escape, w)) + r"(?![a-z0-9])") for w in aliases]
+
+        def found(self, text):
+            return {i: m.span() for i, p in enumerate(self.patterns) if (m := p.search(text))}
+
+    def __init__(self, rules):
+        super().__init__(rules)
+        self.trie = self.Patterns([self._words(r.alias) for r in self.rules])
+
+
+def test_alias_trie_equals_patterns():
+    import random
+
+    r = random.Random(8)
+    words = ["a", "b", "ab", "dp", "c++", "two", "sum", "x1", "'s", "tree", "é", "3"]
+    some = lambda n, sep: sep.join(r.choice(words) for _ in range(r.randint(1, n)))
+    for _ in range(60):
+        rules = [rewrite.Alias(some(4, r.choice("- ")), some(3, " "), r.random() < 0.5) for _ in range(r.randint(1, 25))]
+        fast, slow = rewrite.Expander(rules), PatternExpander(rules)
+        for _ in range(60):
+            q = "".join(r.choice(words + [" ", " ", "-", "--", "\t", ".", "\u00a0", "2"]) + r.choice(["", " ", " ", "-"]) for _ in range(r.randint(0, 14)))
+            assert fast.expand(q) == slow.expand(q), (rules, q)
+
+
+def test_alias_trie_time_follows_the_query_and_not_the_rules(spark):
+    import random
+    import time
+
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    some = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    rules = list({x: rewrite.Alias(x, some(r.randint(1, 3)), r.random() < 0.3) for x in (some(r.randint(1, 3)) for _ in range(5000))}.values())
+    queries = [some(r.randint(1, 20)) for _ in range(1000)]
+    queries = [" ".join([q, r.choice(rules).alias, q[:20]]) for q in queries]
+    few, many = rewrite.Expander(rules[:50]), rewrite.Expander(rules)
+
+    def seconds(expander):
+        start = time.perf_counter()
+        for q in queries:
+            expander.expand(q)
+        return time.perf_counter() - start
+
+    assert min(seconds(many) for _ in range(3)) < 6 * min(seconds(few) for _ in range(3))
+    slow = PatternExpander(rules)
+    assert [many.expand(q) for q in queries[:40]] == [slow.expand(q) for q in queries[:40]]
+    # every word of 100,000 queries leads the same way in batches
+    frame = spark.createDataFrame([(i, queries[i % len(queries)] + f" {i % 5}") for i in range(100_000)], "qid long, query string")
+    got = rewrite.expand(frame, rules).where("qid % 997 = 0").collect()
+    assert len(got) == 101 and all((x["query"], x["expanded"], x["added"], x["matches"]) == ((e := many.expand(queries[x["qid"] % len(queries)] + f" {x['qid'] % 5}")).query, e.expanded, e.added, e.matches) for x in got)
