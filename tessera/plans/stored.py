@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import blockmax, lexical
+from ..operators import blockmax, dense, embed, lexical
 from ..operators.common import scratch
 from ..sources import readers, writers
 from ..sources.bucketed import BucketTable
@@ -85,7 +85,28 @@ def s4_raw_vectors(spark, d):
     return rows.select("row", *[F.round(F.col("vector")[i].cast("double"), 6).alias(f"v{i}") for i in (0, 31, 63)], F.size("vector").cast("long").alias("dims"))
 
 
-QUERIES = {f.__name__: f for f in (r5_block_top10, r3_block_top10, u1_state_stream, k8_stored_upsert, k11_stored_owned, k8_untouched_buckets, s4_raw_vectors)}
+def _embedded(spark, d):
+    """Documents and the embedder fitted to them; vectors are stored, with the check of their length."""
+    docs = lexical.tokenized(t.documents(spark, d), F.col("text"))
+    model = embed.Embedder.fit(docs)
+    path = _folder(spark, "vectors")
+    writers.write_vectors(model.embedded(docs), path)
+    return model, spark.read.parquet(path)
+
+
+def r10_query_vectors(spark, d):
+    """Benchmark queries as vectors of the embedder, and the documents next to them."""
+    model, vectors = _embedded(spark, d)
+    return dense.search(vectors, model.queries(t.queries(spark, d))).withColumn("rank", F.col("rank").cast("long"))
+
+
+def r11_similar_texts(spark, d):
+    """For every fiftieth document those whose vectors are next to its own."""
+    _, vectors = _embedded(spark, d)
+    return dense.similar(vectors, vectors.where("doc_id % 50 = 0")).withColumn("rank", F.col("rank").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (r5_block_top10, r3_block_top10, u1_state_stream, k8_stored_upsert, k11_stored_owned, k8_untouched_buckets, s4_raw_vectors, r10_query_vectors, r11_similar_texts)}
 
 _TOP = "SELECT qid, rank, doc_id, score, matched_terms FROM a"
 ORACLES = {

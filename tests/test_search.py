@@ -229,3 +229,38 @@ def test_alias_trie_time_follows_the_query_and_not_the_rules(spark):
     frame = spark.createDataFrame([(i, queries[i % len(queries)] + f" {i % 5}") for i in range(100_000)], "qid long, query string")
     got = rewrite.expand(frame, rules).where("qid % 997 = 0").collect()
     assert len(got) == 101 and all((x["query"], x["expanded"], x["added"], x["matches"]) == ((e := many.expand(queries[x["qid"] % len(queries)] + f" {x['qid'] % 5}")).query, e.expanded, e.added, e.matches) for x in got)
+
+
+def test_embedder_equals_a_decomposition_and_recalls_neighbours(spark):
+    import numpy as np
+
+    from tessera.operators import embed
+    from tessera.plans import tables
+
+    docs = lexical.tokenized(tables.documents(spark, "/root/testdata/sf0.001"), F.col("text"))
+    model = embed.Embedder.fit(docs, passes=4)
+    got = {r["doc_id"]: np.array(r["vector"]) for r in model.embedded(docs).collect()}
+    rows = {r["doc_id"]: r["all"] for r in embed.counted(docs, embed.FEATURES).collect()}
+    x = np.zeros((len(rows), embed.FEATURES))
+    for i, k in enumerate(sorted(rows)):
+        at, n = np.unique(rows[k], return_counts=True)
+        x[i, at] = 1 + np.log(n)
+    x *= np.log(len(rows) / np.maximum((x > 0).sum(0), 1)) * (x > 0).any(0)
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    assert len(got) == sum(x.any(1)) and all(abs(np.linalg.norm(v) - 1) < 1e-5 for v in got.values())
+    # the subspace holds nearly as much of the rows as the best one does
+    kept, best = (np.linalg.norm(x @ model.basis) ** 2, (np.linalg.svd(x, compute_uv=False)[: embed.DIMS] ** 2).sum())
+    assert kept > 0.97 * best
+    # of the nearest by the whole rows, where they are near at all, the vectors find nearly all
+    ids, whole = sorted(rows), x @ x.T
+    v = np.array([got[k] for k in ids])
+    near = found = 0
+    for i in range(len(ids)):
+        close = [j for j in range(len(ids)) if j != i and whole[i, j] > 0.5]
+        first = [j for j in np.argsort(-(v @ v[i])) if j != i][:10]
+        near, found = near + len(close[:10]), found + len(set(close[:10]) & set(first))
+    assert near and found >= 0.9 * near
+    odd = spark.createDataFrame([(1, None), (2, []), (3, ["zzz"]), (4, rows and ["the"])], "doc_id long, tokens array<string>")
+    assert {r["doc_id"] for r in model.embedded(odd).collect()} <= {3, 4}
+    q = model.queries(spark.createDataFrame([(7, tables.documents(spark, "/root/testdata/sf0.001").where("doc_id = 5").first()["text"])], "qid long, query string"))
+    assert dense.search(model.embedded(docs), q, 1).first()["score"] > 0.999
