@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import blockmax, dense, embed, lexical
+from ..operators import blockmax, dense, embed, lexical, merkle, pivots
 from ..operators.common import scratch
 from ..sources import readers, writers
 from ..sources.bucketed import BucketTable
 from ..streaming import user_state
-from . import browse, search
+from . import browse, quality, search
 from . import tables as t
 
 
@@ -106,10 +106,46 @@ def r11_similar_texts(spark, d):
     return dense.similar(vectors, vectors.where("doc_id % 50 = 0")).withColumn("rank", F.col("rank").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (r5_block_top10, r3_block_top10, u1_state_stream, k8_stored_upsert, k11_stored_owned, k8_untouched_buckets, s4_raw_vectors, r10_query_vectors, r11_similar_texts)}
+def c5_tree_drift(spark, d):
+    """Drift of an artifact with its tree: some ranges of documents changed, went and came; only those are read."""
+    path, corpus = _folder(spark, "merkle"), quality.t16_digest(spark, d)
+    hit = F.floor(F.col("doc_id") / 64) % 5 == 1
+    other = corpus.where(~hit | (F.col("doc_id") % 50 != 7)).withColumn("digest", F.when(hit & (F.col("doc_id") % 40 == 1), "x").otherwise(F.col("digest"))).withColumn("doc_id", F.when(hit & (F.col("doc_id") % 9 == 3), F.col("doc_id") + 10**9).otherwise(F.col("doc_id")))
+    a, b = merkle.Artifact.write(corpus, f"{path}/a"), merkle.Artifact.write(other, f"{path}/b")
+    return merkle.drift(a, b, f"{path}/nodes")
+
+
+def t16_tree_digest(spark, d):
+    """The digest at the top of the tree is that of all records."""
+    path = _folder(spark, "merkle")
+    top = merkle.Artifact.write(quality.t16_digest(spark, d).withColumn("doc_id", F.col("doc_id") - 100), path).digest()
+    return top.select("n", F.col("h1").cast("string").alias("h1"), F.col("h2").cast("string").alias("h2"))
+
+
+def s14_wanted_rows(spark, d):
+    """Parts in a paged store; the small ones of a stretch are wanted, and only their pages read."""
+    path, p = _folder(spark, "s14"), t.table(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 3).alias("offset"), "p_name", "p_size")
+    readers.write_pages(rows, path)
+    return readers.read_wanted(spark, path, rows.where("p_size < 20 AND id % 1000 BETWEEN 100 AND 160"))
+
+
+def r8_pivot_top10(spark, d):
+    """``r8_dense_top10`` from blocks that pivots rule out."""
+    v = t.vectors(spark, d)
+    index = pivots.PivotIndex.build(v, _folder(spark, "pivots"))
+    return index.search(v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vector")).withColumn("rank", F.col("rank").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (r5_block_top10, r3_block_top10, u1_state_stream, k8_stored_upsert, k11_stored_owned, k8_untouched_buckets, s4_raw_vectors, r10_query_vectors, r11_similar_texts, c5_tree_drift, t16_tree_digest, s14_wanted_rows, r8_pivot_top10)}
 
 _TOP = "SELECT qid, rank, doc_id, score, matched_terms FROM a"
 ORACLES = {
+    "c5_tree_drift": """WITH x AS (SELECT doc_id, doc_id // 64 % 5 = 1 AS hit FROM documents) SELECT doc_id, 'missing' AS fault FROM x WHERE hit AND (doc_id % 50 = 7 OR doc_id % 9 = 3)
+        UNION ALL SELECT doc_id + 1000000000, 'extra' FROM x WHERE hit AND doc_id % 50 <> 7 AND doc_id % 9 = 3 UNION ALL SELECT doc_id, 'changed' FROM x WHERE hit AND doc_id % 50 <> 7 AND doc_id % 9 <> 3 AND doc_id % 40 = 1""",
+    "t16_tree_digest": f"SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR AS h1, sum(('0x' || substr(h, 16, 15))::HUGEINT)::VARCHAR AS h2 FROM (SELECT sha256({quality._DIG}) AS h FROM documents)",
+    "s14_wanted_rows": "SELECT p_partkey * 3 // 100 AS page, p_partkey AS id, p_partkey * 3 AS offset, p_name, p_size FROM part WHERE p_size < 20 AND p_partkey % 1000 BETWEEN 100 AND 160",
+    "r8_pivot_top10": search._dense_sql(10),
     "r5_block_top10": f"{search._BASE}, {search._ranked_sql('bm25', 'a')} {_TOP}",
     "r3_block_top10": f"{search._BASE}, {search._ranked_sql('tfidf', 'a')} {_TOP}",
     "u1_state_stream": browse.ORACLES["u1_state_fold"],

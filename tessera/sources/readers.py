@@ -213,3 +213,24 @@ def wanted_rows(remote: DataFrame, wanted: DataFrame, low: int, high: int, min_c
 
 def fresh_index(index: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return index.where(F.col("seen_at") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def write_pages(rows: DataFrame, path: str, page_rows: int = 100) -> None:
+    """Store rows with an ``offset`` in folders of ``page_rows`` offsets, and beside them the index ``id, offset``."""
+    rows.withColumn("page", F.floor(F.col("offset") / page_rows).cast("long")).repartition("page").sortWithinPartitions("page", "offset").write.mode("overwrite").partitionBy("page").parquet(f"{path}/pages")
+    rows.select("id", "offset").repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_wanted(spark: SparkSession, path: str, wanted: DataFrame, page_rows: int = 100) -> DataFrame:
+    """The rows of a paged store that are wanted (id), from the pages alone that hold one: Spark finds out which when it runs, and reads no other folder."""
+    import uuid
+
+    from ..operators.common import bounded_broadcast, scratch
+
+    told = f"{scratch(spark)}/wanted-{uuid.uuid4().hex}"
+    needed_pages(spark.read.parquet(f"{path}/index"), wanted, page_rows).select("page").write.parquet(told)
+    # the comparison tells Spark that this side selects, without which it doesn't prune by it
+    pages = bounded_broadcast(spark.read.schema("page long").parquet(told).where("page >= 0"))
+    # pages as long numbers, as they are in the index: a cast between the two would keep Spark from pruning
+    schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "page" else f.dataType) for f in spark.read.parquet(f"{path}/pages").schema])
+    return spark.read.schema(schema).parquet(f"{path}/pages").join(pages, "page", "left_semi").join(wanted.select("id"), "id", "left_semi")

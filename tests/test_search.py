@@ -264,3 +264,62 @@ def test_embedder_equals_a_decomposition_and_recalls_neighbours(spark):
     assert {r["doc_id"] for r in model.embedded(odd).collect()} <= {3, 4}
     q = model.queries(spark.createDataFrame([(7, tables.documents(spark, "/root/testdata/sf0.001").where("doc_id = 5").first()["text"])], "qid long, query string"))
     assert dense.search(model.embedded(docs), q, 1).first()["score"] > 0.999
+
+
+def test_pivot_search_equals_the_full_scan_and_skips(spark, tmp_path):
+    import numpy as np
+
+    from tessera.operators import pivots
+
+    r = np.random.default_rng(6)
+    centres = r.standard_normal((40, 16))
+    x = np.concatenate([centres[r.integers(0, 40, 6000)] + 0.1 * r.standard_normal((6000, 16)), r.standard_normal((50, 16)) * [[3]], np.zeros((2, 16))]).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(9001, x[5].tolist()), (9002, None), (9003, [])]
+    v = spark.createDataFrame(rows, "doc_id long, vector array<float>").repartition(5)
+    q = v.where("doc_id % 97 = 0 OR doc_id > 9000").select(F.col("doc_id").alias("qid"), "vector")
+    for n, block in ((32, 64), (1, 7000)):
+        index = pivots.PivotIndex.build(v, str(tmp_path / f"p{n}"), n, block)
+        for k, offset, own in ((10, 0, False), (5, 3, True)):
+            assert sorted(map(str, index.search(q, k, offset, own).collect())) == sorted(map(str, dense.search(v, q, k, offset, own).collect()))
+        if n > 1:
+            assert index.skipped(q) > 0.4
+    empty = pivots.PivotIndex.build(v.where("false"), str(tmp_path / "none"))
+    assert empty.search(q).count() == 0 and index.search(q.where("false")).count() == 0
+
+
+def test_drift_reads_only_ranges_that_differ(spark, tmp_path):
+    import shutil
+
+    from tessera.operators import curate, merkle
+
+    a = spark.range(-3000, 20_000).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("digest"))
+    b = a.where("doc_id <> 5000").withColumn("digest", F.when(F.col("doc_id").isin(-2500, 12_345), "new").otherwise(F.col("digest"))).unionByName(spark.createDataFrame([(10**10, "far")], "doc_id long, digest string"))
+    x, y = merkle.Artifact.write(a, str(tmp_path / "x")), merkle.Artifact.write(b, str(tmp_path / "y"))
+    want = sorted(map(tuple, curate.artifact_drift(a, b).collect()))
+    assert sorted(r["node"] for r in merkle.differing(x, y, str(tmp_path / "n")).collect()) == sorted({-2500 // 64, 5000 // 64, 12_345 // 64, 10**10 // 64})
+    touched = {i // (64 * 16) for i in (-2500, 5000, 12_345, 10**10)}
+    for side in ("x", "y"):
+        for f in (tmp_path / side / "records").iterdir():
+            if f.name.startswith("folder=") and int(f.name[7:]) not in touched:
+                for part in f.iterdir():
+                    part.write_bytes(b"not parquet any more")  # would fail if it were read
+    spark.catalog.clearCache()
+    assert sorted(map(tuple, merkle.drift(x, y, str(tmp_path / "m")).collect())) == want
+    same = merkle.Artifact.write(a.repartition(7), str(tmp_path / "z"))
+    assert merkle.differing(x, same, str(tmp_path / "o")).count() == 0 and [tuple(r) for r in x.digest().collect()] == [tuple(r) for r in same.digest().collect()]
+    shutil.rmtree(tmp_path / "z")
+
+
+def test_wanted_rows_read_only_their_pages(spark, tmp_path):
+    from tessera.sources import readers
+
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") * 2).alias("offset"), F.concat(F.lit("r"), "id").alias("v"))
+    readers.write_pages(rows, str(tmp_path / "s"))
+    wanted = spark.createDataFrame([(3,), (4,), (4999,), (99_999,)], "id long")
+    got = readers.read_wanted(spark, str(tmp_path / "s"), wanted)
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+    for f in (tmp_path / "s" / "pages").iterdir():
+        if f.name.startswith("page=") and f.name not in ("page=0", "page=99"):
+            for part in f.iterdir():
+                part.write_bytes(b"not parquet any more")
+    assert sorted((r["id"], r["v"], r["page"]) for r in got.collect()) == [(3, "r3", 0), (4, "r4", 0), (4999, "r4999", 99)]
