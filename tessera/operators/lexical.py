@@ -82,17 +82,18 @@ def pruned_postings(docs: DataFrame, tokens: DataFrame, hint=bounded_broadcast)
     return rows.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.max(F.length("term") > 0).alias("real"))
 
 
-def contributions(docs: DataFrame, tokens: DataFrame, ranker: str = "bm25", posts: DataFrame | None = None) -> DataFrame:
+def contributions(docs: DataFrame | None, tokens: DataFrame, ranker: str = "bm25", posts: DataFrame | None = None, every: DataFrame | None = None) -> DataFrame:
     """``qid, pos, term, doc_id, tf, dl, df, n, avgdl, idf, contribution`` for each token and document that has it.
 
-    ``posts``: ready postings; ``docs`` then gives the lengths only.
+    ``posts``: ready postings; ``docs`` then gives the lengths only. ``every``: what
+    ``pruned_postings`` gave for these tokens, stored, where several rankers use it.
     """
     idf, weight = RANKERS[ranker]
     # what is sent to every executor has at most one row per query token
     small = tokens.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     spread_out = F.broadcast if small else lambda x: x
     if posts is None:
-        every = pruned_postings(docs, tokens, spread_out)
+        every = pruned_postings(docs, tokens, spread_out) if every is None else every
         posts = every.where("real AND tf > 0")
         stats = every.groupBy("term").agg(F.sum(F.when(F.col("real") & (F.col("tf") > 0), 1)).alias("df"))
         corpus = every.where("NOT real AND tf > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))

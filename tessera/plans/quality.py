@@ -77,7 +77,7 @@ def c3_queries(spark, d):
 
 
 def t15_summary(spark, d):
-    return t.documents(spark, d).select("doc_id", T.fallback_summary(F.when(F.col("doc_id") % 3 > 0, F.col("text")), "lang", "source", 80).alias("summary"))
+    return t.documents(spark, d).select("doc_id", T.fallback_summary(F.when(F.col("doc_id") % 3 > 0, F.col("text")), "lang", "source").alias("summary"))
 
 
 def t16_digest(spark, d):
@@ -306,7 +306,7 @@ ORACLES = {
     "t14_families": f"""WITH l AS (SELECT p_partkey, {_DEDUP(_CANON('p_name') + ', ' + _CANON('p_brand') + ', ' + _CANON('p_type'))} AS ls FROM part),
         f AS (SELECT p_partkey, ls, flatten(list_transform(ls, lambda x: list_filter([CASE WHEN regexp_matches(x, 'ring|widget') THEN 'shape' END, CASE WHEN regexp_matches(x, '^brand') THEN 'maker' END, CASE WHEN regexp_matches(x, 'two$') THEN 'pair' END], lambda y: y IS NOT NULL))) AS fs FROM l),
         a AS (SELECT p_partkey, list_concat(ls, fs) AS xs FROM f) SELECT p_partkey, array_to_string(list_filter(xs, lambda x, i: list_position(xs, x) = i), ' ') AS labels FROM a""",
-    "t15_summary": "SELECT doc_id, coalesce(nullif(left(trim(coalesce(CASE WHEN doc_id % 3 > 0 THEN text END, '')), 80), ''), lang || ' from ' || source || '.') AS summary FROM documents",
+    "t15_summary": "SELECT doc_id, coalesce(nullif(left(trim(coalesce(CASE WHEN doc_id % 3 > 0 THEN text END, '')), 500), ''), lang || ' from ' || source || '.') AS summary FROM documents",
     "t16_digest": f"SELECT doc_id, {_DIG} AS digest FROM documents",
     "t16_corpus": f"SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR AS h1, sum(('0x' || substr(h, 16, 15))::HUGEINT)::VARCHAR AS h2 FROM (SELECT {_DIG} AS h FROM documents)",
     "t24_seal": "SELECT c_custkey, c_name AS opened, true AS is_sealed, c_name AS plain FROM customer",

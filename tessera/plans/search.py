@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dense, evaluate, facets, lexical, rewrite, serve
-from ..operators.common import scratch
+from ..operators.common import scratch, staged
 from . import tables as t
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -18,7 +18,7 @@ def _tok(x: str) -> str:
 
 _BASE = f"""WITH d AS (SELECT doc_id, {_tok('text')} AS toks FROM documents),
     dl AS (SELECT doc_id, len(toks) AS dl FROM d), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-    q AS (SELECT item_id AS qid, {_tok('text')}[1:6] AS qt FROM benchmark),
+    q AS (SELECT item_id AS qid, {_tok('text')} AS qt FROM benchmark),
     qt AS (SELECT qid, unnest(range(0, len(qt))) AS pos, unnest(qt) AS term FROM q),
     p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM p GROUP BY term)"""
@@ -198,7 +198,9 @@ def r18_ranker_pick(spark, d):
 
 
 def _scores(spark, d):
-    named = lambda name: _search(spark, d, name, 100).select(F.lit(name).alias("ranker"), "qid", "rank", "doc_id")
+    tokens = lexical.query_tokens(t.queries(spark, d))
+    every = staged(lexical.pruned_postings(lexical.tokenized(t.documents(spark, d), F.col("text")), tokens), "postings")  # one scan for both rankers
+    named = lambda name: lexical.top_hits(lexical.contributions(None, tokens, name, every=every), 100, totals=False).select(F.lit(name).alias("ranker"), "qid", "rank", "doc_id")
     runs = named("bm25").unionByName(named("tfidf"))
     return evaluate.per_query(runs, t.qrels(spark, d), t.queries(spark, d), ["bm25", "tfidf"])
 
@@ -273,8 +275,8 @@ PHRASES = ("BFS  grid", "the shortest path in a graph", "two-pointer 3 sum", "dp
 
 
 def q1_expand(spark, d):
-    """One of PHRASES and a passage's first token: consuming, appending and idle rules, and numbers."""
-    q = t.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat_ws(" ", F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("item_id") % len(PHRASES) + 1).cast("int")), F.element_at(T.tokenize("text"), 1)).alias("query"))
+    """One of PHRASES before a passage: consuming, appending and idle rules, and numbers; passages that are too long stay as they are."""
+    q = t.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat_ws(" ", F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("item_id") % len(PHRASES) + 1).cast("int")), F.array_join(T.tokenize("text"), " ")).alias("query"))
     return rewrite.expand(q, RULES).select("qid", "query", "expanded", F.array_join("added", " ").alias("added"), F.array_join("matches", ",").alias("matches"))
 
 
@@ -374,12 +376,13 @@ _E7 = ORACLES["e7_ranker_diff"]
 ORACLES["e7_totals"] = f"SELECT count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (outcome = 'tie') AS ties, round(avg(rr_a), 6) AS mean_a, round(avg(rr_b), 6) AS mean_b FROM ({_E7})"
 ORACLES["e7_most_changed"] = f"WITH x AS ({_E7}) (SELECT 'win' AS side, qid, delta FROM x WHERE outcome = 'win' ORDER BY delta DESC, qid LIMIT 5) UNION ALL (SELECT 'loss', qid, delta FROM x WHERE outcome = 'loss' ORDER BY delta, qid LIMIT 5)"
 ORACLES["e8_metric_deltas"] = f"WITH m AS ({ORACLES['e6_by_slice']}) SELECT 'bm25' AS ranker, a.slice, {', '.join(f'round(b.{m} - a.{m}, 6) AS {m}' for m in evaluate.METRICS)} FROM m a JOIN m b ON a.slice = b.slice AND a.ranker = 'bm25' AND b.ranker = 'tfidf'"
-# by hand from the rules: what each phrase turns into around the passage's first token
-ORACLES["q1_expand"] = f"""WITH x AS (SELECT item_id AS qid, item_id % 6 AS i, {_tok('text')}[1] AS w FROM benchmark)
-    SELECT qid, CASE i WHEN 0 THEN 'bfs grid ' || w || ' breadth first search' WHEN 1 THEN 'in a graph ' || w || ' dijkstra algorithm' WHEN 2 THEN '3 sum ' || w || ' sliding window three' WHEN 3 THEN 'dp ' || w || ' dynamic programming'
-        WHEN 4 THEN 'breadth first search bfs ' || w ELSE 'shortest path dijkstra algorithm the shortest path ' || w END AS query, i < 4 AS expanded,
-        CASE i WHEN 0 THEN 'breadth first search' WHEN 1 THEN 'dijkstra algorithm' WHEN 2 THEN 'sliding window three' WHEN 3 THEN 'dynamic programming' ELSE '' END AS added,
-        CASE i WHEN 0 THEN 'bfs' WHEN 1 THEN 'the shortest path' WHEN 2 THEN 'two pointer,3' WHEN 3 THEN 'dp' WHEN 4 THEN 'bfs' ELSE 'the shortest path' END AS matches FROM x"""
+# by hand from the rules: what each phrase turns into before the passage's tokens, of which none but the phrases' own are in a rule
+ORACLES["q1_expand"] = f"""WITH y AS (SELECT item_id AS qid, item_id % 6 AS i, array_to_string({_tok('text')}, ' ') AS w FROM benchmark),
+    x AS (SELECT *, ['BFS  grid', 'the shortest path in a graph', 'two-pointer 3 sum', 'dp', 'breadth first search bfs', 'shortest path dijkstra algorithm the shortest path'][i + 1] || ' ' || w AS typed FROM y)
+    SELECT qid, CASE WHEN length(typed) > 300 THEN typed ELSE CASE i WHEN 0 THEN 'bfs grid ' || w || ' breadth first search' WHEN 1 THEN 'in a graph ' || w || ' dijkstra algorithm' WHEN 2 THEN '3 sum ' || w || ' sliding window three' WHEN 3 THEN 'dp ' || w || ' dynamic programming'
+        ELSE typed END END AS query, i < 4 AND length(typed) <= 300 AS expanded,
+        CASE WHEN length(typed) > 300 THEN '' ELSE CASE i WHEN 0 THEN 'breadth first search' WHEN 1 THEN 'dijkstra algorithm' WHEN 2 THEN 'sliding window three' WHEN 3 THEN 'dynamic programming' ELSE '' END END AS added,
+        CASE WHEN length(typed) > 300 THEN '' ELSE CASE i WHEN 0 THEN 'bfs' WHEN 1 THEN 'the shortest path' WHEN 2 THEN 'two pointer,3' WHEN 3 THEN 'dp' WHEN 4 THEN 'bfs' ELSE 'the shortest path' END END AS matches FROM x"""
 _TYPED = f"""tq AS (SELECT qid, string_agg(term, ' ' ORDER BY pos) AS query FROM ty GROUP BY qid),
     tt AS (SELECT qid, unnest(range(0, len(x))) AS pos, unnest(x) AS term FROM (SELECT qid, {_tok('query')} AS x FROM tq)),
     tu AS (SELECT qid, term, min(pos) AS pos FROM tt WHERE length(term) >= 3 AND term NOT IN (SELECT term FROM v) GROUP BY ALL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators.common import bounded_broadcast
+from ..operators.common import bounded_broadcast, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,8 @@ CORPUS_SQL = """corpus AS (
 
 
 def queries(spark, sf_dir) -> DataFrame:
-    """The first six tokens of each benchmark passage."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.tokenize("text"), 1, 6), " ").alias("query"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("slice"))
+    """The tokens of each benchmark passage."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(T.tokenize("text"), " ").alias("query"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("slice"))
 
 
 def qrels(spark, sf_dir) -> DataFrame:
@@ -55,7 +55,7 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
     passages = passages.where("passage <> ''").withColumn("word", longest)
     seen = docs.select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("word"))
-    near = seen.join(bounded_broadcast(passages.where("word IS NOT NULL").select("qid", "word")), "word").select("qid", "doc_id").distinct()
+    near = staged(seen.join(bounded_broadcast(passages.where("word IS NOT NULL").select("qid", "word")), "word").select("qid", "doc_id").distinct(), "near")
     sought = lambda rows: rows.where(F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
     out = sought(docs.select("doc_id", "text").join(bounded_broadcast(near), "doc_id").join(bounded_broadcast(passages.select("qid", "passage")), "qid"))
     short = passages.where("word IS NULL").select("qid", "passage")
