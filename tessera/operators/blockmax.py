@@ -123,4 +123,4 @@ class BlockIndex:
 
     def search(self, tokens: DataFrame, ranker: str = "bm25", k: int = 10, offset: int = 0) -> DataFrame:
         """As ``lexical.search``, the same rows; without ``total``, which would take all postings."""
-        return lexical.top_hits(self.candidates(tokens, ranker, k + offset), k, offset, totals=False)
+        return lexical.top_hits(self.candidates(tokens, ranker, k + offset), k, offset, totals=False, tokens=tokens)

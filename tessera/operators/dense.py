@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from .common import bounded_broadcast, ranked
@@ -98,9 +98,9 @@ def fuse(lexical: DataFrame, dense: DataFrame, k: int = 10, offset: int = 0, dep
     left = lexical.where(F.col("rank") <= depth).select("qid", "doc_id", F.col("rank").alias("lex_rank"), *terms)
     right = dense.where(F.col("rank") <= depth).select("qid", "doc_id", F.col("rank").alias("dense_rank"))
     both = left.join(right, ["qid", "doc_id"], "full").withColumn("score", rrf_part("lex_rank") + rrf_part("dense_rank"))
-    totals = both.groupBy("qid").agg(F.count("*").alias("total"))
+    both = both.withColumn("total", F.count("*").over(Window.partitionBy("qid")))  # at most twice ``depth`` rows a query
     top = ranked(both, ["qid"], [F.round("score", 12).desc(), F.col("lex_rank").asc_nulls_last(), F.col("doc_id")], k, offset)
-    out = top.join(totals, "qid").select("qid", "rank", "doc_id", F.round("score", 9).alias("score"), "lex_rank", "dense_rank", "total", *terms)
+    out = top.select("qid", "rank", "doc_id", F.round("score", 9).alias("score"), "lex_rank", "dense_rank", "total", *terms)
     return out.withColumn("matched_terms", F.coalesce("matched_terms", F.array().cast("array<string>"))) if terms else out
 
 

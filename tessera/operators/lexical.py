@@ -110,25 +110,48 @@ def search(docs: DataFrame, tokens: DataFrame, ranker: str = "bm25", k: int | No
     ``exact_titles`` (qid, doc_id) get the title bonus where they have a score;
     ``keep`` (doc_id) restricts results after scoring, before ranks and totals.
     """
-    return top_hits(contributions(docs, tokens, ranker), k, offset, exact_titles, keep)
+    return top_hits(contributions(docs, tokens, ranker), k, offset, exact_titles, keep, tokens=tokens)
 
 
-def top_hits(scored: DataFrame, k: int | None, offset: int = 0, exact_titles: DataFrame | None = None, keep: DataFrame | None = None, totals: bool = True) -> DataFrame:
-    """Contributions summed, filtered, ranked and, with ``totals``, counted."""
-    hits = scored.groupBy("qid", "doc_id").agg(
-        F.sum("contribution").alias("score"), F.min("pos").alias("first_pos"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("matched_terms"))
+#: Places of a query that one number marks; queries of more than MARKS times as many gather their matched terms as lists.
+MARKED, MARKS = 62, 8
+
+
+def top_hits(scored: DataFrame, k: int | None, offset: int = 0, exact_titles: DataFrame | None = None, keep: DataFrame | None = None, totals: bool = True, tokens: DataFrame | None = None) -> DataFrame:
+    """Contributions summed, filtered, ranked and, with ``totals``, counted.
+
+    ``tokens``: the queries' tokens. With them a hit carries its matched places as bits,
+    and only the hits that are returned get the terms.
+    """
+    last = tokens.agg(F.max("pos")).first()[0] if tokens is not None else None
+    marks = [] if tokens is None else [f"_mark{i}" for i in range((last or 0) // MARKED + 1)]
+    if len(marks) > MARKS:
+        marks = []
+    if marks:
+        matched = [F.bit_or(F.when(F.floor(F.col("pos") / MARKED) == i, F.expr(f"shiftleft(1L, cast(pos % {MARKED} as int))")).otherwise(0)).alias(m) for i, m in enumerate(marks)]
+    else:
+        matched = [F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("matched_terms")]
+    hits = scored.groupBy("qid", "doc_id").agg(F.sum("contribution").alias("score"), F.min("pos").alias("first_pos"), *matched)
     if exact_titles is not None:
         hits = hits.join(exact_titles.select("qid", "doc_id", F.lit(TITLE_BONUS).alias("bonus")), ["qid", "doc_id"], "left")
         hits = hits.withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
     if keep is not None:
         hits = hits.join(keep.select("doc_id"), "doc_id", "left_semi")
     top = ranked(hits, ["qid"], [F.round("score", 9).desc(), F.col("first_pos"), F.col("doc_id")], k, offset)
-    if not totals:
-        return top.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), "matched_terms")
-    # counted from all columns: so both uses of the hits read one exchange
-    counted = hits.groupBy("qid").agg(F.count_if((F.col("score") > 0) & (F.col("first_pos") >= 0) & (F.size("matched_terms") > 0)).alias("total"))
-    return top.join(counted, "qid").select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), "matched_terms", "total")
+    shown = ["qid", "rank", "doc_id", F.round("score", 6).alias("score"), "matched_terms"]
+    if totals:
+        # counted from all columns: so both uses of the hits read one exchange
+        used = (F.col("score") > 0) & (F.col("first_pos") >= 0)
+        for m in marks:
+            used = used & (F.col(m) >= 0)
+        counted = hits.groupBy("qid").agg(F.count_if(used if marks else used & (F.size("matched_terms") > 0)).alias("total"))
+        top, shown = top.join(counted, "qid"), [*shown, "total"]
+    if marks:
+        asked = tokens.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("_asked"))  # a row a query
+        bit = F.lit(0).cast("long")
+        one = lambda x: F.call_function("getbit", F.element_at(F.array(*marks), (F.floor(x["pos"] / MARKED) + 1).cast("int")), (x["pos"] % MARKED).cast("int")) > bit
+        top = top.join(asked, "qid").withColumn("matched_terms", F.transform(F.filter("_asked", one), lambda x: x["term"]))
+    return top.select(*shown)
 
 
 def title_keys(titles: DataFrame) -> DataFrame:
@@ -193,7 +216,7 @@ class StoredIndex:
         idf, weight = RANKERS[ranker]
         corpus = F.broadcast(self.spark.read.parquet(f"{self.path}/corpus"))  # one row
         scored = self.postings(tokens).crossJoin(corpus).join(bounded_broadcast(tokens), "term").withColumn("idf", idf()).where("idf > 0").withColumn("contribution", weight()).where("contribution > 0")
-        return top_hits(scored, k, offset, **more)
+        return top_hits(scored, k, offset, tokens=tokens, **more)
 
 
 #: The ranker where none, or one that isn't there, is asked for.

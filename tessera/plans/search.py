@@ -200,7 +200,7 @@ def r18_ranker_pick(spark, d):
 def _scores(spark, d):
     tokens = lexical.query_tokens(t.queries(spark, d))
     every = staged(lexical.pruned_postings(lexical.tokenized(t.documents(spark, d), F.col("text")), tokens), "postings")  # one scan for both rankers
-    named = lambda name: lexical.top_hits(lexical.contributions(None, tokens, name, every=every), 100, totals=False).select(F.lit(name).alias("ranker"), "qid", "rank", "doc_id")
+    named = lambda name: lexical.top_hits(lexical.contributions(None, tokens, name, every=every), 100, totals=False, tokens=tokens).select(F.lit(name).alias("ranker"), "qid", "rank", "doc_id")
     runs = named("bm25").unionByName(named("tfidf"))
     return evaluate.per_query(runs, t.qrels(spark, d), t.queries(spark, d), ["bm25", "tfidf"])
 

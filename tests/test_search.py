@@ -323,3 +323,14 @@ def test_wanted_rows_read_only_their_pages(spark, tmp_path):
             for part in f.iterdir():
                 part.write_bytes(b"not parquet any more")
     assert sorted((r["id"], r["v"], r["page"]) for r in got.collect()) == [(3, "r3", 0), (4, "r4", 0), (4999, "r4999", 99)]
+
+
+def test_matched_terms_by_marks_equal_lists(spark):
+    import random
+
+    r = random.Random(1)
+    docs = corpus(spark, [(i, " ".join(f"w{r.randint(0, 150)}" for _ in range(60))) for i in range(80)])
+    for n in (5, 62, 63, 130, 600):
+        tokens = lexical.query_tokens(spark.createDataFrame([(1, " ".join(f"w{r.randint(0, 150)}" for _ in range(n))), (2, "w1"), (3, "")], "qid long, query string"))
+        scored = lexical.contributions(docs, tokens)
+        assert sorted(map(str, lexical.top_hits(scored, 10, tokens=tokens).collect())) == sorted(map(str, lexical.top_hits(scored, 10).collect()))
