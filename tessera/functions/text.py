@@ -199,6 +199,19 @@ def count_in_sentence(text) -> Column:
     return F.when(col(text).startswith("No"), F.lit(0)).otherwise(F.nullif(F.regexp_extract(col(text), "^([0-9]+) item", 1), F.lit("")).try_cast("int"))
 
 
+def numbers_after(text, label: str) -> Column:
+    """All whole numbers that stand behind a label and a colon, in order, as a page shows a rating or a count."""
+    return F.transform(F.regexp_extract_all(col(text), F.lit(label + r"\s*:?\s*(?:<[^>]*>\s*)*([0-9]+)"), F.lit(1)), lambda x: x.try_cast("long"))
+
+
+def day_levels(text) -> Column:
+    """A calendar's cells as a map of day to level: elements with a ``data-date`` and, anywhere in the same tag, a ``data-level``; the last of equal days counts."""
+    tags = F.regexp_extract_all(col(text), F.lit(r"(<[^<>]*data-date=[^<>]*data-level=[^<>]*>|<[^<>]*data-level=[^<>]*data-date=[^<>]*>)"), F.lit(1))
+    cells = F.transform(tags, lambda x: F.struct(F.regexp_extract(x, r'data-date="([0-9-]+)"', 1).alias("day"), F.regexp_extract(x, r'data-level="([0-9]+)"', 1).try_cast("long").alias("level")))
+    days = F.array_distinct(F.transform(cells, lambda c: c["day"]))
+    return F.map_from_arrays(days, F.transform(days, lambda d: F.element_at(F.filter(cells, lambda c: c["day"] == d), -1)["level"]))
+
+
 def day_bucket(seconds) -> Column:
     """The second at which the UTC day began."""
     return (F.floor(col(seconds) / 86400) * 86400).cast("bigint")

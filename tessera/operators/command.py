@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, functions as F
+
 # The commands and their short forms.
 HELP = (":help", ":h")
 COMPARE = (":compare", ":cmp")
@@ -29,3 +31,16 @@ def parse_command(text: str | None, signed_in: bool = True) -> Command:
     if low in LIBRARY:
         return Command("library" if signed_in else "needs_account", LIBRARY[low])
     return Command("unknown" if text.startswith(":") else "search", text)
+
+
+def commands(typed: DataFrame) -> DataFrame:
+    """``kind, argument`` beside each row's ``text`` and ``signed_in``."""
+
+    @F.pandas_udf("kind string, argument string")
+    def run(text, signed_in):
+        import pandas as pd
+
+        out = [parse_command(a, bool(b)) for a, b in zip(text, signed_in)]
+        return pd.DataFrame({"kind": [x.kind for x in out], "argument": [x.argument for x in out]})
+
+    return typed.withColumn("_c", run("text", "signed_in")).select(*typed.columns, "_c.kind", "_c.argument")

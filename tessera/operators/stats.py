@@ -135,8 +135,13 @@ def acceptance_summary(corpus: DataFrame) -> DataFrame:
     return rows.groupBy("tier").agg(F.min("acceptance").alias("low"), pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"), F.max("acceptance").alias("high"))
 
 
-def stratified_sample(corpus: DataFrame, step: int, each: int, seed: int = 0) -> DataFrame:
-    """The same number from each rating band, by a seeded hash of the id; reproducible within Spark only."""
+def stratified_sample(corpus: DataFrame, step: int, each: int, seed: int = 0, curated: DataFrame | None = None) -> DataFrame:
+    """The same number from each rating band, by a seeded hash of the id, and all rows whose id is in ``curated`` (doc_id); reproducible within Spark only."""
     w = Window.partitionBy("band").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     rows = corpus.where("rating is not null").withColumn("band", T.snap("rating", step).cast("long"))
+    if curated is not None:
+        sample = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= each).drop("r")
+        chosen = curated.select("doc_id").distinct()
+        own = corpus.withColumn("band", T.snap("rating", step).cast("long")).join(chosen, "doc_id", "left_semi")
+        return sample.unionByName(own.join(sample.select("doc_id"), "doc_id", "left_anti"))
     return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= each).drop("r")

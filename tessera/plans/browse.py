@@ -128,13 +128,13 @@ def f19_level_ladder(spark, d):
     return facets.suggest_tier(t.corpus(spark, d), users)
 
 
+COMMANDS = (":help", ":h sheet", ":compare ", ":cmp", ":Bookmarks", "ls done", ":all", ":bo", "", " ", ":compared")
+
+
 def f20_command(spark, d):
-    rows = []
-    for text in (":help", ":h sheet", ":compare two sum", ":cmp", ":Bookmarks", "ls done", ":all", ":bo", "two sum", "", ":compared"):
-        for signed_in in (True, False):
-            c = command.parse_command(text, signed_in)
-            rows.append((text, signed_in, c.kind, c.argument))
-    return spark.createDataFrame(rows, "text string, signed_in boolean, kind string, argument string")
+    """Each benchmark passage behind one of the commands' words, asked by somebody signed in or not."""
+    x = t.table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 2 == 0).alias("signed_in"), F.concat(F.element_at(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("item_id") % len(COMMANDS) + 1).cast("int")), F.when(F.col("item_id") % len(COMMANDS) == 2, F.col("text")).when(F.col("item_id") % len(COMMANDS) > 7, F.concat(F.lit(" "), "text")).otherwise("")).alias("text"))
+    return command.commands(x).select("item_id", "signed_in", "kind", "argument")
 
 
 def u1_state_fold(spark, d):
@@ -214,8 +214,9 @@ ORACLES = {
         q AS (SELECT lower(tier) AS tier, quantile_cont(acceptance, 0.5) AS mid, min(acceptance) AS lo, max(acceptance) AS hi FROM corpus WHERE tier IS NOT NULL GROUP BY ALL),
         r AS (SELECT user_id, tier, CAST(floor(CASE half WHEN 'upper' THEN mid ELSE lo END / 5) * 5 AS BIGINT) AS low, CAST(ceil(CASE half WHEN 'upper' THEN hi ELSE mid END / 5) * 5 AS BIGINT) AS high FROM w JOIN q USING (tier))
         SELECT user_id, tier, low, high, n FROM r JOIN (SELECT r3.tier AS t2, r3.low AS l2, r3.high AS h2, count(*) AS n FROM (SELECT DISTINCT tier, low, high FROM r) r3 JOIN corpus c ON lower(c.tier) = r3.tier AND c.acceptance BETWEEN r3.low AND r3.high GROUP BY ALL) ON tier = t2 AND low = l2 AND high = h2""",
-    "f20_command": """SELECT text, signed_in, CASE WHEN kind = 'library' AND NOT signed_in THEN 'needs_account' ELSE kind END AS kind, argument FROM (VALUES (':help', 'help', ''), (':h sheet', 'help', 'sheet'), (':compare two sum', 'compare', 'two sum'), (':cmp', 'compare', ''), (':Bookmarks', 'library', 'bookmarked'),
-        ('ls done', 'library', 'done'), (':all', 'library', 'all'), (':bo', 'unknown', ':bo'), ('two sum', 'search', 'two sum'), ('', 'search', ''), (':compared', 'unknown', ':compared')) v(text, kind, argument) CROSS JOIN (VALUES (true), (false)) s(signed_in)""",
+    "f20_command": """WITH x AS (SELECT item_id, item_id % 11 AS i, item_id % 2 = 0 AS signed_in, text FROM benchmark)
+        SELECT item_id, signed_in, CASE WHEN i IN (0, 1) THEN 'help' WHEN i IN (2, 3) THEN 'compare' WHEN i IN (4, 5, 6) THEN CASE WHEN signed_in THEN 'library' ELSE 'needs_account' END WHEN i IN (7, 10) THEN 'unknown' ELSE 'search' END AS kind,
+            CASE i WHEN 1 THEN 'sheet' WHEN 2 THEN text WHEN 4 THEN 'bookmarked' WHEN 5 THEN 'done' WHEN 6 THEN 'all' WHEN 7 THEN ':bo' WHEN 8 THEN text WHEN 9 THEN text WHEN 10 THEN ':compared ' || text ELSE '' END AS argument FROM x""",
     "u1_state_fold": f"WITH {_FOLD} SELECT user_id, problem_id, done, {_TS.format('done_at')}, bookmarked, {_TS.format('bookmarked_at')}, recall, {_TS.format('updated_at')} FROM us",
     "u3_library": f"WITH {_FOLD} SELECT user_id, problem_id, row_number() OVER (PARTITION BY user_id ORDER BY done_at DESC, problem_id) AS position, strftime(done_at, '%Y-%m-%d %H:%M:%S') AS view_ts FROM us JOIN documents ON doc_id = problem_id WHERE done AND done_at <= TIMESTAMP '2001-06-01'",
     "u3_library_oldest": f"WITH {_FOLD} SELECT user_id, problem_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(bookmarked_at, updated_at), problem_id) AS position, strftime(bookmarked_at, '%Y-%m-%d %H:%M:%S') AS view_ts FROM us JOIN documents ON doc_id = problem_id WHERE bookmarked AND NOT done AND lang IN ('en', 'de')",

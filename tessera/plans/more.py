@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import curate, evaluate, facets, lexical, state, stats
 from ..operators.common import scratch
 from ..sources import readers, writers
-from . import quality, telemetry
+from . import quality, search, telemetry
 from . import tables as t
 
 
@@ -34,6 +34,16 @@ def t21_counts_from_labels(spark, d):
     return t.table(spark, d, "events").select("event_id", tip.alias("tip")).select("event_id", T.count_in_sentence("tip").alias("n"))
 
 
+def t21_scrapes(spark, d):
+    """Pages with a rating, counts and calendar cells put into them, and scraped again."""
+    n = F.col("page_id")
+    cell = lambda day, level: F.concat(F.lit('<td data-date="2024-01-'), F.lpad(day.cast("string"), 2, "0"), F.lit('" class="x" data-level="'), level.cast("string"), F.lit('"></td>'))
+    marked = F.concat(F.lit("<b>Rating</b>: <i>"), (n + 1200).cast("string"), F.lit("</i> Solved : "), (n % 7).cast("string"), F.lit(" Solved: "), (n % 11).cast("string"), cell(n % 28 + 1, n % 5), cell(F.lit(30), n % 3), cell(F.lit(30), n % 4), F.col("html"))
+    rows = t.table(spark, d, "pages").select("page_id", marked.alias("html"))
+    days = T.day_levels("html")
+    return rows.select("page_id", F.get(T.numbers_after("html", "Rating</b>"), F.lit(0)).alias("rating"), F.array_join(F.slice(T.numbers_after("html", "Solved"), 1, 2).cast("array<string>"), " ").alias("solved"), F.try_element_at(days, F.lit("2024-01-30")).alias("last"), F.size(days).cast("long").alias("days"))
+
+
 def t20_guards(spark, d):
     """Whole numbers within bounds, and a clipped word."""
     p = t.table(spark, d, "part")
@@ -69,9 +79,10 @@ def f14_paging(spark, d):
 
 
 def f12_blank_query(spark, d):
+    """Every third query is nothing but stopwords and space: it has no hits, the others theirs."""
     docs = lexical.tokenized(t.documents(spark, d), F.col("text"))
-    q = t.queries(spark, d).withColumn("query", F.lit("  the of  "))
-    return lexical.search(docs, lexical.query_tokens(q)).select("qid", "doc_id")
+    q = t.queries(spark, d).withColumn("query", F.when(F.col("qid") % 3 == 0, "  the of  ").otherwise(F.col("query")))
+    return lexical.search(docs, lexical.query_tokens(q), k=3).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id")
 
 
 def u4_view_times(spark, d):
@@ -172,7 +183,7 @@ def k1_append_new(spark, d):
 def k2_vectors(spark, d):
     path = _folder(spark, "k2")
     writers.write_vectors(t.vectors(spark, d).select("doc_id", "vector"), path)
-    return readers.read_vectors(spark, path, 64).select("doc_id", F.size("vector").alias("dims"))
+    return readers.read_vectors(spark, path, 64).select("doc_id", *[F.round(F.col("vector")[i].cast("double"), 6).alias(f"v{i}") for i in (0, 20, 63)], F.size("vector").alias("dims"))
 
 
 def k3_events(spark, d):
@@ -265,12 +276,17 @@ def u7_served(spark, d):
     return state.served(c.where("user_id % 5 > 0"), new, t.AS_OF)
 
 
+def _told(confidence):
+    """Each confidence with its label, in order of labels."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(confidence)), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 4))), " ")
+
+
 def c8_curated(spark, d):
     p = t.table(spark, d, "part")
     rows = p.select(F.col("p_partkey").alias("doc_id"), F.array(T.slugify("p_name")).alias("patterns"), F.array(F.lit("t0")).alias("tags"), F.create_map(T.slugify("p_name"), F.lit(0.5)).alias("confidence"))
     new = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.array("p_name", "p_brand").alias("curated"), F.array(F.when(F.col("p_size") % 4 == 0, "Graphs").otherwise("Unknown")).alias("topics"))
     out = curate.merge_curated(rows, new, {"Graphs": "graph"}, quality.ALIASES)
-    return out.select("doc_id", F.array_join("patterns", " ").alias("patterns"), F.array_join("tags", " ").alias("tags"), F.round(F.aggregate(F.map_values("confidence"), F.lit(0.0), lambda s, x: s + x), 6).alias("confidence"))
+    return out.select("doc_id", F.array_join("patterns", " ").alias("patterns"), F.array_join("tags", " ").alias("tags"), _told("confidence").alias("confidence"))
 
 
 def c9_review(spark, d):
@@ -279,10 +295,10 @@ def c9_review(spark, d):
     one = lambda label, s: F.struct(label.alias("label"), s.cast("double").alias("confidence"))
     queue = p.where("p_size % 3 > 0").select(F.col("p_partkey").alias("doc_id"), F.array(one(F.col("p_brand"), F.col("p_size") / 77), one(F.col("p_name"), F.lit(1)), one(F.col("p_brand"), F.lit(0.1))).alias("candidates"))
     out = curate.merge_review(rows, queue, quality.ALIASES)
-    return out.select("doc_id", F.array_join("patterns", " ").alias("patterns"), F.round(F.aggregate(F.map_values("confidence"), F.lit(0.0), lambda s, x: s + x), 6).alias("confidence"))
+    return out.select("doc_id", F.array_join("patterns", " ").alias("patterns"), _told("confidence").alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (t4_indexed_text, t8_trim_page, t17_day_bucket, t21_counts_from_labels, t22_snap_median, t23_angle, q10_title_lookup, r20_listing, f12_blank_query, f14_paging, u4_view_times, u5_counts, u6_handles, u6_invalidate, u7_cache, a16_by_tier, a17_marks, e5_nearest_rank, c4_taxonomy, c13_bands, s10_statements, s12_newest, s13_wanted, s14_fresh, s19_curated, k5_review, t20_guards, k1_append_new, k2_vectors, k3_events, k4_runs, k6_rejects, k9_seed_urls, k10_blocks, s6_taxonomy, s8_seed_urls, s12_least_accepted, s12_hard_recent, s14_pages, s16_profiles, u7_served, c8_curated, c9_review)}
+QUERIES = {f.__name__: f for f in (t4_indexed_text, t8_trim_page, t17_day_bucket, t21_counts_from_labels, t21_scrapes, t22_snap_median, t23_angle, q10_title_lookup, r20_listing, f12_blank_query, f14_paging, u4_view_times, u5_counts, u6_handles, u6_invalidate, u7_cache, a16_by_tier, a17_marks, e5_nearest_rank, c4_taxonomy, c13_bands, s10_statements, s12_newest, s13_wanted, s14_fresh, s19_curated, k5_review, t20_guards, k1_append_new, k2_vectors, k3_events, k4_runs, k6_rejects, k9_seed_urls, k10_blocks, s6_taxonomy, s8_seed_urls, s12_least_accepted, s12_hard_recent, s14_pages, s16_profiles, u7_served, c8_curated, c9_review)}
 
 from .browse import _FOLD  # noqa: E402
 from .quality import ORACLES as _Q  # noqa: E402
@@ -297,11 +313,12 @@ ORACLES = {
         SELECT page_id, left(replace(replace(replace(replace(text, ' # Input ', ' Input: '), ' # Output ', ' Output: '), ' # Constraints ', ' Constraints: '), ' # Example ', ' Example: '), 6000) AS text FROM x""",
     "t17_day_bucket": f"WITH {telemetry._SUB} SELECT CAST(floor(epoch / 86400) * 86400 AS BIGINT) AS day, count(*) AS n FROM s GROUP BY 1",
     "t21_counts_from_labels": "SELECT event_id, CASE WHEN value < 50 THEN 0 ELSE CAST(floor(value) AS INT) END AS n FROM events",
+    "t21_scrapes": "SELECT page_id, page_id + 1200 AS rating, (page_id % 7) || ' ' || (page_id % 11) AS solved, page_id % 4 AS last, 2 AS days FROM pages",
     "t22_snap_median": "SELECT p_type, quantile_cont(p_size, 0.5) AS median, CAST(floor(min(p_retailprice) / 25) * 25 AS BIGINT) AS low, CAST(ceil(max(p_retailprice) / 25) * 25 AS BIGINT) AS high FROM part GROUP BY p_type",
     "t23_angle": "SELECT a.vec_id AS doc_id, round(degrees(acos(greatest(-1, least(1, round(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] * z[2])), 6))))), 2) AS angle FROM embeddings a, embeddings b WHERE b.vec_id = 0",
     "q10_title_lookup": "WITH q AS (SELECT replace(p_name, ' ', '') AS k, min(p_partkey) AS qid FROM part GROUP BY 1) SELECT qid, p_partkey AS doc_id FROM q JOIN part ON k = replace(p_name, ' ', '')",
     "r20_listing": f"WITH {t.CORPUS_SQL} SELECT platform, count(*) AS n, count(tier) AS tiered, count(rating) AS rated, min(rating) AS low, max(rating) AS high FROM corpus GROUP BY platform",
-    "f12_blank_query": "SELECT item_id AS qid, item_id AS doc_id FROM benchmark WHERE false",
+    "f12_blank_query": f"{search._BASE}, {search._ranked_sql('bm25', 'a', 3)} SELECT qid, rank, doc_id FROM a WHERE qid % 3 <> 0",
     "f14_paging": "SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 7 OFFSET 13",
     "u4_view_times": f"WITH {_FOLD} SELECT user_id, problem_id, {_FMT.format('done_at')} AS done, {_FMT.format('bookmarked_at')} AS bookmarked, {_FMT.format('coalesce(done_at, bookmarked_at)')} AS \"all\" FROM us",
     "u5_counts": f"WITH {_FOLD} SELECT user_id, count(*) FILTER (done) AS done, count(*) FILTER (bookmarked) AS bookmarked, count(recall) AS recalled FROM us GROUP BY user_id",
@@ -322,7 +339,7 @@ ORACLES = {
     "k5_review": f"SELECT doc_id, string_agg(label, ' ' ORDER BY label) AS candidates, count(*) AS n FROM ({_Q['c10_candidates']}) GROUP BY doc_id",
     "t20_guards": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size BETWEEN 10 AND 30 THEN p_size END AS n, NULL AS no, left(p_type, 5) AS word FROM part",
     "k1_append_new": "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'later' END AS p_name FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0",
-    "k2_vectors": "SELECT vec_id AS doc_id, len(embedding) AS dims FROM embeddings",
+    "k2_vectors": "SELECT vec_id AS doc_id, round(embedding[1]::DOUBLE, 6) AS v0, round(embedding[21]::DOUBLE, 6) AS v20, round(embedding[64]::DOUBLE, 6) AS v63, len(embedding) AS dims FROM embeddings",
     "k3_events": f"WITH {t.EVENTS_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, type, CAST(sum(CASE WHEN type = 'visit' THEN 2 ELSE 1 END) AS BIGINT) AS n FROM e GROUP BY 1, 2",
     "k4_runs": "SELECT p_size, count(*) + k AS n, run FROM part CROSS JOIN (VALUES (0, 't1'), (1, 't2'), (1, 'latest')) v(k, run) GROUP BY p_size, k, run",
     "k6_rejects": "SELECT p_partkey, p_size, CASE WHEN p_size < 10 THEN 'small' WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'kept' END AS reason FROM part",
@@ -341,7 +358,8 @@ ORACLES = {
     "u7_served": f"""WITH x AS (SELECT event_id AS user_id, event_type AS platform, event_id % 5 > 0 AS kept, event_id % 2 = 0 AS again, trunc(epoch(TIMESTAMP '{t.AS_OF}' - ts) / 60) < 720 AS fresh FROM events)
         SELECT user_id, platform, CASE WHEN kept AND (fresh OR NOT again) THEN 'old' ELSE 'new' END AS payload, kept AND NOT fresh AND NOT again AS stale FROM x WHERE kept OR again""",
     "c8_curated": f"""WITH x AS (SELECT p_partkey, p_size, {quality._SLUG('p_name')} AS a, {quality._CANON('p_name')} AS b, {quality._CANON('p_brand')} AS c FROM part), y AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN list_filter(list_distinct([b, c]), lambda v: v <> a) ELSE [] END AS new FROM x)
-        SELECT p_partkey AS doc_id, a || CASE WHEN list_contains(new, b) THEN ' ' || b ELSE '' END || CASE WHEN list_contains(new, c) AND c <> b THEN ' ' || c ELSE '' END AS patterns, CASE WHEN p_size % 4 = 0 THEN 't0 graph' ELSE 't0' END AS tags, round(0.5 + 0.9 * len(new), 6) AS confidence FROM y""",
+        SELECT p_partkey AS doc_id, a || CASE WHEN list_contains(new, b) THEN ' ' || b ELSE '' END || CASE WHEN list_contains(new, c) AND c <> b THEN ' ' || c ELSE '' END AS patterns, CASE WHEN p_size % 4 = 0 THEN 't0 graph' ELSE 't0' END AS tags,
+            array_to_string(list_sort(list_concat([a || '=0.5000'], list_transform(new, lambda v: v || '=0.9000'))), ' ') AS confidence FROM y""",
     "c9_review": f"""WITH x AS (SELECT p_partkey, p_size, {quality._SLUG('p_name')} AS a, {quality._CANON('p_name')} AS have, {quality._CANON('p_brand')} AS c FROM part)
-        SELECT p_partkey AS doc_id, CASE WHEN p_size % 3 > 0 AND c <> have THEN a || ' ' || c ELSE a END AS patterns, round(0.5 + CASE WHEN p_size % 3 > 0 AND c <> have THEN round(p_size / 77, 2) ELSE 0 END, 6) AS confidence FROM x""",
+        SELECT p_partkey AS doc_id, CASE WHEN p_size % 3 > 0 AND c <> have THEN a || ' ' || c ELSE a END AS patterns, array_to_string(list_sort(CASE WHEN p_size % 3 > 0 AND c <> have THEN [a || '=0.5000', c || '=' || printf('%.4f', round(p_size / 77, 2))] ELSE [a || '=0.5000'] END), ' ') AS confidence FROM x""",
 }

@@ -94,9 +94,10 @@ def t18_osa(spark, d):
 
 
 def t24_seal(spark, d):
-    key = F.lit("0123456789abcdef0123456789abcdef").cast("binary")
+    """Names sealed, opened, sealed again, and opened with another key; the sealed form has 12 bytes before and 16 behind, in Base64."""
+    key, other = (F.lit(k * 2).cast("binary") for k in ("0123456789abcdef", "fedcba9876543210"))
     rows = t.table(spark, d, "customer").withColumn("sealed", T.seal("c_name", key))
-    return rows.select("c_custkey", T.unseal("sealed", key).alias("opened"), F.col("sealed").startswith("v1:").alias("is_sealed"), T.unseal("c_name", key).alias("plain"))
+    return rows.select("c_custkey", T.unseal("sealed", key).alias("opened"), F.length("sealed").cast("long").alias("sealed_length"), (F.col("sealed") == F.col("c_name")).alias("readable"), (T.seal("sealed", key) == F.col("sealed")).alias("sealed_once"), T.unseal("sealed", other).alias("wrong_key"), T.unseal("c_name", key).alias("plain"))
 
 
 def c1_validate(spark, d):
@@ -309,7 +310,7 @@ ORACLES = {
     "t15_summary": "SELECT doc_id, coalesce(nullif(left(trim(coalesce(CASE WHEN doc_id % 3 > 0 THEN text END, '')), 500), ''), lang || ' from ' || source || '.') AS summary FROM documents",
     "t16_digest": f"SELECT doc_id, {_DIG} AS digest FROM documents",
     "t16_corpus": f"SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR AS h1, sum(('0x' || substr(h, 16, 15))::HUGEINT)::VARCHAR AS h2 FROM (SELECT {_DIG} AS h FROM documents)",
-    "t24_seal": "SELECT c_custkey, c_name AS opened, true AS is_sealed, c_name AS plain FROM customer",
+    "t24_seal": "SELECT c_custkey, c_name AS opened, CAST(3 + 4 * ceil((strlen(c_name) + 28) / 3.0) AS BIGINT) AS sealed_length, false AS readable, true AS sealed_once, NULL AS wrong_key, c_name AS plain FROM customer",
     "c1_validate": """WITH x AS (SELECT *, doc_id AS n, ['leetcode', 'codeforces', 'cses'][doc_id % 3 + 1] AS folder FROM documents),
         y AS (SELECT *, CASE WHEN n % 50 = 0 THEN ['leetcode-two-sum', 'leetcode-climbing-stairs', 'leetcode-valid-parentheses', 'leetcode-binary-search'][n // 50 % 4 + 1] ELSE folder || '-' || n END AS name FROM x),
         z AS (SELECT *, CASE WHEN n % 13 = 1 THEN 'x' || name WHEN n % 17 > 0 THEN name END AS id, CASE n % 4 WHEN 0 THEN 'Easy' WHEN 1 THEN '1500' WHEN 2 THEN 'Hard' END AS difficulty FROM y),

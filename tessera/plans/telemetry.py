@@ -94,7 +94,13 @@ def a22_acceptance(spark, d):
 
 
 def a24_stratified(spark, d):
-    return stats.stratified_sample(t.corpus(spark, d), 1000, 5).groupBy("band").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
+    """A sample by bands and a list of its own beside it: its size and whether it fits its band, whether another order of rows draws the same, and whether the two together are those two and nothing else."""
+    corpus = t.corpus(spark, d)
+    listed = corpus.where("doc_id % 37 = 0").select("doc_id")
+    one, two = (stats.stratified_sample(c, 1000, 5).select("doc_id", "band", "rating") for c in (corpus, corpus.repartition(7)))
+    both = stats.stratified_sample(corpus, 1000, 5, curated=listed).select("doc_id", "band")
+    rows = both.join(one.select("doc_id", F.lit(1).alias("sampled"), (F.floor(F.col("rating") / 1000) * 1000 == F.col("band")).alias("fits")), "doc_id", "left").join(two.select("doc_id", F.lit(1).alias("again")), "doc_id", "left").join(listed.withColumn("listed", F.lit(1)), "doc_id", "left")
+    return rows.groupBy("band").agg(F.count("sampled").alias("sample"), F.count_if("fits").alias("fits"), F.count("again").alias("again"), F.count("listed").alias("listed"), F.count_if(F.col("sampled").isNull() & F.col("listed").isNull()).alias("others"))
 
 
 QUERIES = {f.__name__: f for f in (a1_visitors, a2_a12_cards, a3_latency, a4_top_queries, a5_zero_hits, a8_daily, a10_opens_by_ranker, a13_reasons, a13b_ctr, a14_solved, a14_calendar, a15_last_rating, a18_compose, a19_heatmap, a20_agreement, a20_equivalents, a22_acceptance, a24_stratified)}
@@ -133,5 +139,6 @@ ORACLES = {
         SELECT round(avg(round(hit / mine, 6)), 6) AS macro_precision, round(avg(round(hit / gold, 6)), 6) AS macro_recall, count(*) AS tags FROM s WHERE gold >= 10""",
     "a22_acceptance": f"""WITH {t.CORPUS_SQL}, l AS (SELECT lower(tier) AS tier, list(acceptance ORDER BY acceptance) AS v FROM corpus WHERE tier IS NOT NULL GROUP BY ALL)
         SELECT tier, v[1] AS low, v[least(CAST(floor(len(v) * 0.25) AS BIGINT) + 1, len(v))] AS q1, v[least(CAST(floor(len(v) * 0.5) AS BIGINT) + 1, len(v))] AS median, v[least(CAST(floor(len(v) * 0.75) AS BIGINT) + 1, len(v))] AS q3, v[-1] AS high FROM l""",
-    "a24_stratified": f"WITH {t.CORPUS_SQL} SELECT CAST(floor(rating / 1000.0) * 1000 AS BIGINT) AS band, least(5, count(*)) AS n, least(5, count(*)) AS documents FROM corpus WHERE rating IS NOT NULL GROUP BY 1",
+    "a24_stratified": f"""WITH {t.CORPUS_SQL}, r AS (SELECT *, CAST(floor(rating / 1000.0) * 1000 AS BIGINT) AS band FROM corpus), b AS (SELECT band, least(5, count(rating)) AS n, count(*) FILTER (doc_id % 37 = 0) AS listed FROM r GROUP BY band)
+        SELECT band, n AS sample, n AS fits, n AS again, listed, 0 AS others FROM b WHERE n > 0 OR listed > 0""",
 }
