@@ -49,9 +49,9 @@ SPAN = 2 * REACH + 1
 #: Occurrences of a pivot whose fragments one group holds at most, on average.
 PIVOT_ROWS = 50_000
 #: Distinct words, and pairs, that a task holds while it counts, and words that it remembers the numbers of.
-FLUSH_WORDS, FLUSH_PAIRS, KNOWN_WORDS = 300_000, 3_000_000, 1_000_000
+FLUSH_WORDS, FLUSH_PAIRS, KNOWN_WORDS = 300_000, 1_000_000, 300_000
 #: Bytes of texts that are read at once, and fragments of a bucket.
-HELD_BYTES, BUCKET_ROWS = 6_000_000, 200_000
+HELD_BYTES, BUCKET_ROWS = 2_000_000, 200_000
 #: A byte that no UTF-8 text has stands for the end of a piece. What ends pieces is fixed; A to Z become small letters.
 END = b"\xff"
 _TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r", LOWER.encode() + END * 10)
