@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import blockmax, dense, embed, lexical, merkle, pivots
+from ..operators import blockmax, dense, embed, facets, lexical, merkle, pivots, serve, state
 from ..operators.common import scratch
 from ..sources import readers, writers
 from ..sources.bucketed import BucketTable
@@ -106,6 +106,25 @@ def r11_similar_texts(spark, d):
     return dense.similar(vectors, vectors.where("doc_id % 50 = 0")).withColumn("rank", F.col("rank").cast("long"))
 
 
+def f13_route(spark, d):
+    """Benchmark passages, every fifth left blank, through the whole route: one language, nothing done yet, hardest first."""
+    own = state.fold(t.changes(spark, d)).where("user_id = 3").withColumnRenamed("problem_id", "doc_id").select("doc_id", "done", "bookmarked", "recall")
+    docs = lexical.tokenized(t.documents(spark, d), F.col("text"))
+    asked = t.queries(spark, d).withColumn("query", F.when(F.col("qid") % 5 == 0, " \t").otherwise(F.col("query")))
+    known = lexical.vocabulary(docs).unionByName(lexical.query_tokens(asked).select("term", F.lit(1).cast("long").alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))  # nothing is corrected
+    out = serve.serve_requests(docs, t.corpus(spark, d), asked, search.RULES, known, serve.Filters({"en"}, done="notdone"), own, sort="difficulty-desc", sortable={"en"})
+    return out["hits"].select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "total", "done", "bookmarked", "recall")
+
+
+def s5_artifact(spark, d):
+    """Raw vectors checked against a manifest and put in the documents' terms."""
+    path, v = _folder(spark, "s5"), t.vectors(spark, d).select("doc_id", "vector")
+    n = writers.write_raw_vectors(v, path)
+    ids = v.select("doc_id").join(readers.read_vectors(spark, f"{path}/*.f32", 64).select("row"), F.col("doc_id") == F.col("row")).select("row", "doc_id")
+    out = readers.checked_artifact(readers.read_vectors(spark, f"{path}/*.f32", 64), {"dims": 64, "count": n, "model": "given"}, v.select("doc_id"), ids, {"model": "given"})
+    return out.select("doc_id", *[F.round(F.col("vector")[i].cast("double"), 6).alias(f"v{i}") for i in (1, 62)])
+
+
 def c5_tree_drift(spark, d):
     """Drift of an artifact with its tree: some ranges of documents changed, went and came; only those are read."""
     path, corpus = _folder(spark, "merkle"), quality.t16_digest(spark, d)
@@ -137,10 +156,17 @@ def r8_pivot_top10(spark, d):
     return index.search(v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vector")).withColumn("rank", F.col("rank").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (r5_block_top10, r3_block_top10, u1_state_stream, k8_stored_upsert, k11_stored_owned, k8_untouched_buckets, s4_raw_vectors, r10_query_vectors, r11_similar_texts, c5_tree_drift, t16_tree_digest, s14_wanted_rows, r8_pivot_top10)}
+QUERIES = {f.__name__: f for f in (r5_block_top10, r3_block_top10, u1_state_stream, k8_stored_upsert, k11_stored_owned, k8_untouched_buckets, s4_raw_vectors, r10_query_vectors, r11_similar_texts, c5_tree_drift, t16_tree_digest, s14_wanted_rows, r8_pivot_top10, f13_route, s5_artifact)}
 
 _TOP = "SELECT qid, rank, doc_id, score, matched_terms FROM a"
 ORACLES = {
+    "f13_route": f"""{search._BASE}, {search._ranked_sql('bm25', 'a')}, {browse._FOLD}, {t.CORPUS_SQL}, mine AS (SELECT problem_id, done, bookmarked, recall FROM us WHERE user_id = 3),
+        ch2 AS (SELECT * FROM corpus WHERE platform = 'en' AND doc_id NOT IN (SELECT problem_id FROM mine WHERE done)),
+        f AS (SELECT qid, doc_id, s.score, row_number() OVER (PARTITION BY qid ORDER BY round(s.score, 9) DESC, first_pos, doc_id) AS rank, count(*) OVER (PARTITION BY qid) AS total FROM a_s s SEMI JOIN ch2 USING (doc_id) WHERE qid % 5 <> 0),
+        r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY {browse._KEY0} DESC NULLS LAST, -acceptance DESC NULLS LAST, rank) AS rank, doc_id, round(score, 6) AS score, total FROM f JOIN corpus USING (doc_id) WHERE rank <= 10),
+        b AS (SELECT item_id AS qid, rank, doc_id, 0.0 AS score, total FROM benchmark CROSS JOIN (SELECT doc_id, row_number() OVER (ORDER BY {browse._KEY0} DESC NULLS LAST, -acceptance DESC NULLS LAST, doc_id) AS rank, count(*) OVER () AS total FROM ch2) WHERE rank <= 10 AND item_id % 5 = 0)
+        SELECT x.*, coalesce(done, false) AS done, coalesce(bookmarked, false) AS bookmarked, recall FROM (SELECT * FROM r UNION ALL SELECT * FROM b) x LEFT JOIN mine ON doc_id = problem_id""",
+    "s5_artifact": "SELECT vec_id AS doc_id, round(embedding[2]::DOUBLE, 6) AS v1, round(embedding[63]::DOUBLE, 6) AS v62 FROM embeddings",
     "c5_tree_drift": """WITH x AS (SELECT doc_id, doc_id // 64 % 5 = 1 AS hit FROM documents) SELECT doc_id, 'missing' AS fault FROM x WHERE hit AND (doc_id % 50 = 7 OR doc_id % 9 = 3)
         UNION ALL SELECT doc_id + 1000000000, 'extra' FROM x WHERE hit AND doc_id % 50 <> 7 AND doc_id % 9 = 3 UNION ALL SELECT doc_id, 'changed' FROM x WHERE hit AND doc_id % 50 <> 7 AND doc_id % 9 <> 3 AND doc_id % 40 = 1""",
     "t16_tree_digest": f"SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR AS h1, sum(('0x' || substr(h, 16, 15))::HUGEINT)::VARCHAR AS h2 FROM (SELECT sha256({quality._DIG}) AS h FROM documents)",

@@ -334,3 +334,28 @@ def test_matched_terms_by_marks_equal_lists(spark):
         tokens = lexical.query_tokens(spark.createDataFrame([(1, " ".join(f"w{r.randint(0, 150)}" for _ in range(n))), (2, "w1"), (3, "")], "qid long, query string"))
         scored = lexical.contributions(docs, tokens)
         assert sorted(map(str, lexical.top_hits(scored, 10, tokens=tokens).collect())) == sorted(map(str, lexical.top_hits(scored, 10).collect()))
+
+
+def test_route_of_requests(spark):
+    from tessera.operators import serve
+
+    docs = corpus(spark, [(i, x) for i, x in enumerate(["tree path", "tree graph", "graph", "tree", "sum"])])
+    rows = spark.createDataFrame([(0, "leetcode", "Hard", None, 40.0, ["p"]), (1, "leetcode", "Easy", None, 70.0, ["p"]), (2, "codeforces", None, 1500, None, []), (3, "leetcode", "Medium", None, 50.0, []), (4, "cses", None, None, None, ["p"])], "doc_id long, platform string, tier string, rating int, acceptance double, patterns array<string>")
+    q = spark.createDataFrame([(1, "tree"), (2, " "), (3, "zzzz"), (4, None)], "qid long, query string")
+    mine = spark.createDataFrame([(3, True, False, "hard")], "doc_id long, done boolean, bookmarked boolean, recall string")
+    v = spark.createDataFrame([(i, [float(i == j) + 0.1 * i for j in range(5)]) for i in range(5)], "doc_id long, vector array<float>")
+    qv = spark.createDataFrame([(1, [0.0, 1.0, 0.0, 0.0, 0.0]), (3, [0.0, 0.0, 0.0, 0.0, 1.0])], "qid long, vector array<float>")
+    run = lambda f=serve.Filters(), **more: serve.serve_requests(docs, rows, q, [], lexical.vocabulary(docs), f, **{"sortable": {"leetcode", "codeforces"}, **more})
+    ids = lambda out: {k: [r["doc_id"] for r in sorted(out["hits"].collect(), key=lambda r: r["rank"]) if r["qid"] == k] for k in (1, 2, 3, 4)}
+    assert ids(run()) == {1: [3, 0, 1], 2: [], 3: [], 4: []}
+    only = serve.Filters({"leetcode"})
+    assert ids(run(only, sort="difficulty")) == {1: [1, 3, 0], 2: [1, 3, 0], 3: [], 4: [1, 3, 0]}
+    assert ids(run(only, sort="difficulty", k=1, offset=1)) == {1: [3], 2: [3], 3: [], 4: [3]}  # a search sorts its first k, browsing goes on by pages
+    refused = run(serve.Filters({"leetcode", "cses"}), sort="difficulty-desc")
+    assert refused["sort_refused"] and ids(refused)[1] == [3, 0, 1] and not run(only, sort="difficulty")["sort_refused"] and not run(only, sort="junk")["sort_refused"]
+    done = run(serve.Filters(done="done"), state=mine)
+    assert ids(done) == {1: [3], 2: [3], 3: [], 4: [3]} and {(r["done"], r["recall"]) for r in done["hits"].collect()} == {(True, "hard")}
+    assert ids(run(serve.Filters(done="notdone", pattern="p"), state=mine))[2] == [0, 1, 4]
+    near = ids(run(only, ranker="dense", vectors=v, query_vectors=qv))
+    assert near[1][0] == 1 and set(near[1]) == {0, 1, 3} and near[3] == []  # a query of unknown words is refused for any ranker
+    assert set(ids(run(ranker="hybrid", vectors=v, query_vectors=qv))[1]) == {0, 1, 2, 3, 4}
