@@ -287,44 +287,47 @@ def _number(x: Column) -> Column:
     return F.when(kind == "VOID", F.lit(0.0)).when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("double")).when(kind == "STRING", told).when(~kind.rlike("^(ARRAY|OBJECT)"), F.try_variant_get(x, "$", "double"))
 
 
-def cleaned_prop(props: Column, name: str, rule: Prop) -> Column:
-    """The property as JSON text with a closing brace behind it, or null if it isn't there or doesn't pass."""
-    x = F.try_variant_get(props, f"$.{name}", "variant")
-    if rule.kind in ("text", "one"):
-        text = F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
-        kept = F.when(text != "", F.substring(text, 1, rule.most)) if rule.kind == "text" else F.when(text.isin(*rule.values), text)
-        return F.when(kept.isNotNull(), F.substring(F.to_json(F.struct(kept.alias("v"))), 6, 1 << 30))  # behind {"v":
-    if rule.kind == "flag":
-        return F.when((F.schema_of_variant(x) == "BOOLEAN") & F.try_variant_get(x, "$", "boolean"), F.lit("true}")).otherwise(F.lit("false}"))
+def _cleaned(x: Column, rule: Column) -> Column:
+    """A property's JSON value as JSON text, or null if it isn't there or doesn't pass; ``rule``: a struct as ``Prop``, with the texts' kinds first."""
+    kind = rule["kind"]
+    text = F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    kept = F.when(kind == "one", F.when(F.array_contains(rule["values"], text), text)).otherwise(F.when(text != "", F.substr(text, F.lit(1), rule["most"].cast("int"))))
+    shown = F.to_json(F.struct(kept.alias("v")))  # {"v":...}
+    quoted = F.when(kept.isNotNull(), F.substr(shown, F.lit(6), F.length(shown) - 6))
+    flag = F.when((F.schema_of_variant(x) == "BOOLEAN") & F.try_variant_get(x, "$", "boolean"), "true").otherwise("false")
     n = _number(x)
     fits = ~F.isnan(n) & (F.abs(n) < float("inf"))
-    if rule.kind == "whole":
-        fits = fits & (n == F.floor(n)) & (n >= float(rule.least)) & (n <= (float(rule.most) if rule.most is not None else 2.0**53))
-        return F.when(fits, F.concat(n.cast("long").cast("string"), F.lit("}")))
-    return F.when(fits, F.concat(F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.cast("long").cast("string")).otherwise(n.cast("string")), F.lit("}")))
+    whole = F.when(fits & (n == F.floor(n)) & (n >= rule["least"].cast("double")) & (n <= F.coalesce(rule["most"].cast("double"), F.lit(2.0**53))), n.cast("long").cast("string"))
+    number = F.when(fits, F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.cast("long").cast("string")).otherwise(n.cast("string")))
+    return F.when(kind.isin("text", "one"), quoted).when(kind == "flag", flag).when(kind == "whole", whole).otherwise(number)
 
 
 def clean_events(events: DataFrame, types: dict[str, dict[str, Prop]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): events of the listed types, each with its type's properties cleaned and the id of its search; all others as they came.
 
-    ``props`` is JSON text before and after; what isn't an object has no properties.
+    ``props`` is JSON text before and after; what isn't an object has no properties. It is
+    parsed once a row, and a row's properties go one by one through the rules of its type:
+    the plan doesn't grow with types and properties.
     """
     types = EVENT_PROPS if types is None else types
     kind = F.col("type")
     ok = F.coalesce(kind.isin(*types), F.lit(False))
-    raw = F.try_parse_json("props")
-    found = F.try_variant_get(raw, "$.searchId", "variant")
+    order = list(dict.fromkeys((p, rule) for props in types.values() for p, rule in props.items()))
+    lit = lambda v, t: F.lit(v).cast(t)
+    row = lambda p, r: F.struct(F.lit(p).alias("name"), F.lit(r.kind).alias("kind"), lit(r.least, "long").alias("least"), lit(r.most, "long").alias("most"), F.array(*map(F.lit, r.values)).cast("array<string>").alias("values"))
+    none = F.array().cast("array<struct<name:string,kind:string,least:bigint,most:bigint,values:array<string>>>")
+    rules = F.create_map(*[x for name, props in types.items() for x in (F.lit(name), F.array(*[row(p, r) for p, r in order if props.get(p) == r]) if props else none)])
+    found = F.try_element_at("_tessera_all", F.lit("searchId"))
     search = F.when(F.schema_of_variant(found).rlike("^(STRING|BIGINT)$"), F.try_variant_get(found, "$", "string"))
-    entries = [F.when(search.rlike(SEARCH_ID), F.concat(F.lit('"searchId":"'), search, F.lit('"')))]
-    rules: dict[tuple[str, Prop], list[str]] = {}
-    for name, props in types.items():
-        for p, rule in props.items():
-            rules.setdefault((p, rule), []).append(name)
-    for (p, rule), names in rules.items():
-        value = cleaned_prop(raw, p, rule)
-        entries.append(F.when(kind.isin(*names) & value.isNotNull(), F.concat(F.lit(f'"{p}":'), F.substring(value, F.lit(1), F.length(value) - 1))))
-    json = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*entries)), ","), F.lit("}"))
-    return events.where(ok).withColumn("props", json), events.where(~ok)
+    first = F.when(search.rlike(SEARCH_ID), F.concat(F.lit('"searchId":"'), search, F.lit('"')))
+
+    def entry(rule):
+        return F.concat(F.lit('"'), rule["name"], F.lit('":'), _cleaned(F.try_element_at("_tessera_all", rule["name"]), rule))
+
+    entries = F.concat(F.array(first), F.transform(F.try_element_at(rules, kind), entry))
+    json = F.concat(F.lit("{"), F.array_join(F.array_compact(entries), ","), F.lit("}"))
+    parsed = events.where(ok).withColumn("_tessera_all", F.try_variant_get(F.try_parse_json("props"), "$", "map<string,variant>"))
+    return parsed.withColumn("props", json).drop("_tessera_all"), events.where(~ok)
 
 
 def tag_additions(before: DataFrame, after: DataFrame, limit: int = 15) -> DataFrame:

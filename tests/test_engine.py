@@ -61,6 +61,16 @@ def test_references_without_a_semicolon(spark, tmp_path):
     assert r["text"] == "A&& b & c \u00a9 &nosuch; '<\u00a9 d"
 
 
+def test_event_cleaning_parses_a_row_once_whatever_the_types(spark):
+    e = spark.createDataFrame([(1, "load_more", '{"offset": null, "ranker": "", "searchId": "abcdef12"}'), (2, "library_order", "[1]"), (3, "level_cleared", '{"oldest": true}'), (4, "none", "{"), (5, "difficulty_selected", '{"max": "1e3", "min": true, "tier": "' + "x" * 30 + '"}'), (6, "search_feedback", '{"q": "b", "useful": true, "reason": 1}')], "id long, type string, props string")
+    ok, bad = curate.clean_events(e)
+    assert {r["id"]: r["props"] for r in ok.collect()} == {1: '{"searchId":"abcdef12","offset":0}', 2: '{"oldest":false}', 3: "{}", 5: '{"tier":"' + "x" * 20 + '","min":1,"max":1000}', 6: '{"useful":true,"q":"b"}'}
+    assert [tuple(r) for r in bad.collect()] == [(4, "none", "{")]
+    size = lambda n: len(curate.clean_events(e, {f"t{i}": curate.EVENT_PROPS["load_more"] for i in range(n)})[0].select(F.col("props").alias("x"))._jdf.queryExecution().analyzed().toString().split("variant_get"))
+    assert size(2) == size(30)
+    assert ok._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") == 1
+
+
 def lifecycle(*changes):
     """The state by carrying out one change after another."""
     row = None
