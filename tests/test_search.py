@@ -359,3 +359,17 @@ def test_route_of_requests(spark):
     near = ids(run(only, ranker="dense", vectors=v, query_vectors=qv))
     assert near[1][0] == 1 and set(near[1]) == {0, 1, 3} and near[3] == []  # a query of unknown words is refused for any ranker
     assert set(ids(run(ranker="hybrid", vectors=v, query_vectors=qv))[1]) == {0, 1, 2, 3, 4}
+
+
+def test_search_shuffles_texts_once_and_its_parts_follow_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "PART_DOCUMENTS", 10)
+    rows = spark.range(120).select(F.col("id").alias("doc_id"), F.concat(F.lit("tree path "), F.col("id").cast("string")).alias("text"))
+    docs = lexical.tokenized(rows, F.col("text"))
+    tokens = lexical.query_tokens(spark.createDataFrame([(1, "tree path 7"), (2, "path 3 tree")], "qid long, query string"))
+    assert docs.rdd.getNumPartitions() == 12
+    hits = lexical.contributions(docs, tokens).groupBy("qid", "doc_id").agg(F.sum("contribution").alias("score"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert [x.split(",")[0].split("#")[0] for x in plan.split("Exchange hashpartitioning(")[1:] if "REPARTITION_BY_NUM" in x.split("\n")[0]] == ["doc_id"]
+    assert "hashpartitioning(qid" not in plan and "hashpartitioning(term" not in plan.split("BroadcastExchange")[0]
+    top = lexical.search(docs, tokens, k=2).orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["doc_id"], r["total"]) for r in top] == [(1, 7, 120), (1, 0, 120), (2, 3, 120), (2, 0, 120)]
