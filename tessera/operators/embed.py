@@ -58,6 +58,19 @@ def _times(row: np.ndarray, column: np.ndarray, w: np.ndarray, basis: np.ndarray
     return out
 
 
+def _gather(total: np.ndarray, batch: pa.RecordBatch, own: "Embedder") -> None:
+    """Add the rows' products with the basis to their columns; BATCH texts at a time, as each entry takes a row of the basis."""
+    for at in range(0, batch.num_rows, BATCH):
+        part = batch.slice(at, BATCH)
+        row, column, w = _rows(part, own.idf)
+        y = _times(row, column, w, own.basis, part.num_rows)
+        order = np.argsort(column, kind="stable")
+        cols = column[order]
+        first = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]]) if len(cols) else np.empty(0, int)
+        if len(first):
+            total[cols[first]] += np.add.reduceat(w[order, None] * y[row[order]], first, axis=0)
+
+
 @dataclass
 class Embedder:
     """Weights of the columns and a basis; sent to tasks as it is, some megabytes."""
@@ -80,13 +93,7 @@ class Embedder:
             def run(batches, sent=sent):
                 own, total = sent.value, np.zeros((features, dims))
                 for b in batches:
-                    row, column, w = _rows(b, own.idf)
-                    y = _times(row, column, w, own.basis, b.num_rows)
-                    order = np.argsort(column, kind="stable")
-                    cols = column[order]
-                    first = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]]) if len(cols) else np.empty(0, int)
-                    if len(first):
-                        total[cols[first]] += np.add.reduceat(w[order, None] * y[row[order]], first, axis=0)
+                    _gather(total, b, own)
                 for k in range(0, features, BLOCK):
                     if total[k : k + BLOCK].any():
                         yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([total[k : k + BLOCK].tobytes()], pa.binary())], names=["block", "sums"])

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import dense, evaluate, facets, lexical, rewrite
+from tessera.operators import dense, embed, evaluate, facets, lexical, rewrite
 
 
 def corpus(spark, rows):
@@ -373,3 +373,24 @@ def test_search_shuffles_texts_once_and_its_parts_follow_the_documents(spark, mo
     assert "hashpartitioning(qid" not in plan and "hashpartitioning(term" not in plan.split("BroadcastExchange")[0]
     top = lexical.search(docs, tokens, k=2).orderBy("qid", "rank").collect()
     assert [(r["qid"], r["doc_id"], r["total"]) for r in top] == [(1, 7, 120), (1, 0, 120), (2, 3, 120), (2, 0, 120)]
+
+
+def test_fitting_vectors_holds_few_texts_at_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    own = embed.Embedder(np.ones(512), r.standard_normal((512, 64)))
+    batch = pa.RecordBatch.from_pydict({"all": [r.integers(0, 512, 200).tolist() for _ in range(1000)]})
+    total, want = np.zeros((512, 64)), np.zeros((512, 64))
+    tracemalloc.start()
+    embed._gather(total, batch, own)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    row, column, w = embed._rows(batch, own.idf)
+    x = np.zeros((1000, 512))
+    x[row, column] = w
+    want = x.T @ (x @ own.basis)
+    assert np.allclose(total, want) and most < 20 << 20
