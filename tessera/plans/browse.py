@@ -69,8 +69,7 @@ def f11_browse(spark, d):
 
 def f13_filtered_search(spark, d):
     keep = facets.facet_filter(t.corpus(spark, d), {"en"})
-    docs = lexical.tokenized(t.documents(spark, d), F.col("text"))
-    hits = lexical.search(docs, lexical.query_tokens(t.queries(spark, d)), "bm25", 10, keep=keep)
+    hits = lexical.search(search._texts(spark, d), lexical.query_tokens(t.queries(spark, d)), "bm25", 10, keep=keep)
     return hits.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "total")
 
 

@@ -394,3 +394,36 @@ def test_fitting_vectors_holds_few_texts_at_once():
     x[row, column] = w
     want = x.T @ (x @ own.basis)
     assert np.allclose(total, want) and most < 20 << 20
+
+
+def test_counted_search_equals_the_join_and_moves_no_text(spark, monkeypatch):
+    import random
+
+    r = random.Random(9)
+    rows = [(i, " ".join(f"W{int(r.paretovariate(0.6)) % 90}" for _ in range(r.randint(0, 40)))) for i in range(400)] + [(400, None), (401, ""), (402, "the of"), (403, "w1 w1"), (404, "w1 w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    q = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 95)}" for _ in range(n))) for i, n in enumerate((1, 3, 9, 80, 2, 2))] + [(6, ""), (7, "nowhere"), (8, "w1")], "qid long, query string")
+    tokens, keep = lexical.query_tokens(q), docs.where("doc_id % 3 <> 0").select("doc_id")
+    texts = lexical.Texts(docs, F.col("text"))
+    monkeypatch.setattr(lexical, "BLOCK_CELLS", 3_000)  # several blocks a task
+    for ranker in ("bm25", "tfidf"):
+        for k, offset, kept in ((4, 0, None), (3, 5, None), (600, 0, None), (5, 0, keep)):
+            want = lexical.search(texts.tokenized(), tokens, ranker, k, offset, keep=kept)
+            assert sorted(map(str, lexical.search(texts, tokens, ranker, k, offset, keep=kept).collect())) == sorted(map(str, want.collect()))
+    counted = texts.counted(tokens)
+    assert "Exchange" not in counted.hits("bm25", 4)._jdf.queryExecution().executedPlan().toString()
+    part = docs.where("doc_id % 5 <> 0")
+    assert sorted(map(str, counted.where("doc_id % 5 <> 0").search("tfidf", 5).collect())) == sorted(map(str, lexical.search(lexical.tokenized(part, F.col("text")), tokens, "tfidf", 5).collect()))
+    monkeypatch.setattr(lexical, "SENT_TOKENS", 5)  # too many queries to be sent: the join
+    assert texts.counted(tokens) is None and lexical.search(texts, tokens, k=2).count() == lexical.search(texts.tokenized(), tokens, k=2).count()
+
+
+@pytest.mark.parametrize("name", ("e8_run_diff", "r16_compare"))
+def test_several_runs_count_the_texts_once(spark, monkeypatch, name):
+    from tessera.plans import search
+
+    calls = []
+    of = lexical.Texts.counted
+    monkeypatch.setattr(lexical.Texts, "counted", lambda self, tokens: calls.append(1) or of(self, tokens))
+    monkeypatch.setattr(lexical, "tokenized", lambda *a, **b: pytest.fail("texts are dealt and tokenized again"))
+    assert search.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
