@@ -427,3 +427,19 @@ def test_several_runs_count_the_texts_once(spark, monkeypatch, name):
     monkeypatch.setattr(lexical.Texts, "counted", lambda self, tokens: calls.append(1) or of(self, tokens))
     monkeypatch.setattr(lexical, "tokenized", lambda *a, **b: pytest.fail("texts are dealt and tokenized again"))
     assert search.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
+
+
+def test_block_index_stores_packed_rows_once(spark, tmp_path):
+    import os
+    from collections import Counter
+
+    from tessera.operators import blockmax
+
+    texts = {i: " ".join(f"w{(i * j) % 37}" for j in range(i % 23)) for i in range(700)}
+    docs = corpus(spark, list(texts.items()))
+    index = blockmax.BlockIndex.build(docs, str(tmp_path / "index"))
+    assert sorted(os.listdir(index.path)) == ["blocks", "corpus", "terms"]  # neither postings nor champions beside the blocks
+    want = Counter(w for x in texts.values() for w in set(x.split()))
+    assert {r["term"]: r["df"] for r in spark.read.parquet(f"{index.path}/terms").collect()} == want
+    rows = spark.read.parquet(f"{index.path}/blocks").where("term = ''").collect()
+    assert sum(len(r["ids"]) // 8 for r in rows) == 700 and max(len(r["ids"]) // 8 for r in rows) <= blockmax.GRID * blockmax.GRIDS
