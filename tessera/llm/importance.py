@@ -16,7 +16,8 @@ at most ``MAX_LABELS``, those of lowest hash, are used; half of them fit the
 target model and half choose the cutoff. The ``k``-th key is found exactly by two
 rounds of histograms, not by a global sort.
 
-A text without words has log-ratio 0; one of any length is scored whole. Null labels count as absent. Rows that tie
+A text without words has log-ratio 0; one of any length is scored whole. Null labels count as absent, and may be
+boolean. Ids may be strings, on either side. Rows that tie
 with the ``k``-th are all kept; repeated rows share their noise and so their fate;
 an empty table gives an empty frame. Without labels of both kinds nothing is
 rejected. Further columns pass through ``keep_sampled`` untouched.
@@ -28,7 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import OWN, quoted, shielded, small_batches, staged, text_of, texts, unshielded
 
@@ -86,16 +87,26 @@ class RatioModel:
         self.cutoff = -np.inf if i == 0 else float(s[i - 1] + 1e-9) if i == len(s) else float((s[i - 1] + s[i]) / 2)
 
 
+def same_id(docs: DataFrame, labelled: DataFrame):
+    """``doc_id`` equals ``labelled``; where one alone is a string, it is read as the other's type, if it can be."""
+    pair = [(F.col("doc_id"), docs.schema["doc_id"].dataType), (F.col("labelled"), labelled.schema["labelled"].dataType)]
+    kinds = [kind for _, kind in pair if not isinstance(kind, T.StringType)]
+    a, b = (col.try_cast(kinds[0]) if len(kinds) == 1 and isinstance(kind, T.StringType) else col for col, kind in pair)
+    return a == b
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS) -> RatioModel:
     """Fit to all distinct texts and a bounded number of labelled ones."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    mix = F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED))
+    number = F.col("doc_id").try_cast("long")
+    mix = F.when(number.isNotNull(), F.xxhash64(number, F.lit(SEED))).otherwise(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)))
+    labels = labels.withColumns({c: F.col(c).cast("int") for c in ("quality", "toxic") if isinstance(labels.schema[c].dataType, T.BooleanType)})
     rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     sample = rows.select(F.col("doc_id").alias("labelled"), F.when(F.pmod(mix, 2) == 1, F.when(good, 1)).otherwise(F.when(good, 2).when(F.col("quality") == 0, 3)).alias("role"), mix.alias("mix")).orderBy("mix", "labelled").limit(max_labels).drop("mix")
     sample = staged(sample, "labels")
     text = text_of(text_col)
     base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
-    rows = base.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"), "left").select("text", "digest", "role")  # broadcast: at most max_labels rows
+    rows = base.join(F.broadcast(sample), same_id(base, sample), "left").select("text", "digest", "role")  # broadcast: at most max_labels rows
     # a text that many rows repeat is one row a task before it is shuffled, and one in all when it is counted
     distinct = rows.groupBy("digest").agg(F.first("text").alias("text"), F.max(F.coalesce(F.col("role") == 1, F.lit(False))).alias("target")).select("text", "target")
 

@@ -315,6 +315,20 @@ def test_importance_models_do_not_depend_on_partitions_or_copies(spark):
     assert np.array_equal(one.log_ratio, plain.log_ratio) and one.cutoff == plain.cutoff
 
 
+def test_classifier_takes_ids_of_strings_and_boolean_labels(spark):
+    source, labels = docs(spark).limit(400), spark.read.parquet(f"{SF}/labels.parquet")
+    plain = importance.fit(source, labels)
+    flags = labels.withColumns({"quality": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+    digits = labels.withColumn("doc_id", F.col("doc_id").cast("string"))
+    for other in (flags, digits):
+        model = importance.fit(source, other)
+        assert model.cutoff == plain.cutoff and (model.log_ratio == plain.log_ratio).all()
+    named = importance.fit(*(x.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))) for x in (source, labels)))
+    assert np.isfinite(named.cutoff) and (named.log_ratio != plain.log_ratio).any()  # other halves of the labels
+    # one side's names are no numbers: no label is of any row
+    assert importance.fit(source.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))), labels).cutoff == -np.inf
+
+
 def test_importance_equals_brute_force(spark):
     source, labels = docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
     got = QUERIES["op7_importance_resampling"](spark, SF).toPandas()
