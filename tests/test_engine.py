@@ -364,3 +364,35 @@ def test_state_steps_and_watermark(spark, tmp_path):
         q.awaitTermination()
     last = spark.read.parquet(str(tmp_path / "out")).where("problem_id = 2").orderBy(F.desc("updated_at")).first()
     assert (last["done"], last["bookmarked"], last["recall"]) == (False, True, "easy")
+
+
+def test_state_folds_packed_changes_as_steps(spark, tmp_path):
+    import datetime
+    import random
+
+    import pandas as pd
+
+    from tessera.sources.bucketed import BucketTable
+    from tessera.streaming import user_state
+
+    r = random.Random(5)
+    values = [("done", "true"), ("done", "false"), ("done", "yes"), ("bookmarked", "true"), ("bookmarked", "false"), ("bookmarked", None), ("recall", "hard"), ("recall", "easy"), ("recall", "none"), ("recall", None), ("other", "true")]
+    cases = [(n, r.randint(-9, 9), i, *r.choice(values)) for n in range(150) for i in range(r.randint(0, 14))]
+    rows = spark.createDataFrame(cases, "case int, at long, seq long, kind string, value string").select("case", "at", "seq", "value", user_state.code().alias("code"), F.when(F.col("kind") == "recall", F.col("value")).alias("word")).toPandas()
+    start = (False, None, True, -50, "easy", -50)
+    for n, own in rows.groupby("case"):
+        mine, at = own.sample(frac=1, random_state=n), len(own) // 2
+        packs = [user_state.pack(x) for x in (mine[:at], mine[at:])]
+        stored = [tuple(pd.Series(x).tolist() for x in p) for p in packs]
+        assert [len(p[0]) for p in stored] == [int((x["code"] != user_state.NO_EFFECT).sum()) for x in (mine[:at], mine[at:])]
+        for first in (user_state.NOTHING, start):
+            want = first
+            for c in sorted((x for x in cases if x[0] == n), key=lambda x: x[1:3]):
+                want = user_state.step(want, c[1:])
+            assert user_state.folded(first, *user_state.joined(packs)) == want
+    # nothing settles without a bound on lateness, not even what was before 1970
+    source, table, day = str(tmp_path / "in"), str(tmp_path / "table"), lambda n: datetime.datetime(1960, 1, n)
+    for part in ([(1, 2, day(5), 1, "recall", "hard"), (1, 3, day(5), 1, "other", "true")], [(1, 2, day(2), 1, "done", "true"), (1, 2, day(6), 1, "done", "false")]):
+        spark.createDataFrame(part, user_state.CHANGES).coalesce(1).write.mode("append").parquet(source)
+        user_state.keep_table(spark.readStream.schema(user_state.CHANGES).parquet(source), table, str(tmp_path / "cp"), buckets=2).awaitTermination()
+    assert [(x["problem_id"], x["done"], x["recall"], x["updated_at"]) for x in BucketTable(spark, table).read().collect()] == [(2, False, "hard", day(6))]
