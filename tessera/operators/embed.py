@@ -1,7 +1,8 @@
 """Vectors of texts: a truncated singular value decomposition of TF-IDF, fitted by passes over the texts.
 
 Terms are hashed to FEATURES columns, so all that is held is of that size, whatever the
-vocabulary. A pass counts the documents of each column. Then each of PASSES passes
+vocabulary. The texts are read once: what is stored of them is their terms' columns, and
+every pass reads that. A pass counts the documents of each column. Then each of PASSES passes
 multiplies the matrix of all documents, row by row in numpy, with a basis of DIMS
 columns and back: tasks add up what their rows give, Spark adds up the tasks' sums in
 blocks of columns, and the driver orthogonalises the result, FEATURES by DIMS numbers. What
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
-from .common import spread
+from .common import spread, staged
 
 FEATURES, DIMS, PASSES = 1 << 13, 64, 3
 #: Columns whose sums travel in one row; texts of an Arrow batch.
@@ -29,9 +30,8 @@ TOLERANCE = 1e-3
 
 
 def counted(docs: DataFrame, features: int) -> DataFrame:
-    """``doc_id, at, tf``: the columns of each document's terms and how often they occur; from ``doc_id, tokens``."""
-    hashed = F.array_sort(F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int")))
-    return docs.select("doc_id", F.array_distinct(hashed).alias("at"), hashed.alias("all"))
+    """``doc_id, all``: the columns of each document's terms in order, as often as they occur; from ``doc_id, tokens``."""
+    return docs.select("doc_id", F.array_sort(F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int"))).alias("all"))
 
 
 def _rows(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,8 +40,12 @@ def _rows(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     size = np.diff(np.frombuffer(lists.buffers()[1], "<i4")[lists.offset : lists.offset + len(lists) + 1]) if len(lists) else np.empty(0, int)
     size = np.where(np.array(lists.is_valid()), size, 0)
     row, column = np.repeat(np.arange(len(lists)), size), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    key, n = np.unique(row * len(idf) + column, return_counts=True)
-    row, column = key // len(idf), key % len(idf)
+    key = row * len(idf) + column
+    if (key[1:] < key[:-1]).any():  # as ``counted`` has them, they are in order
+        key = np.sort(key)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
+    n = np.diff(np.r_[first, len(key)])
+    row, column = key[first] // len(idf), key[first] % len(idf)
     w = (1 + np.log(n)) * idf[column]
     norm = np.sqrt(np.bincount(row, w * w, len(lists)))
     return row, column, w / np.where(norm[row] > 0, norm[row], 1)
@@ -64,11 +68,9 @@ def _gather(total: np.ndarray, batch: pa.RecordBatch, own: "Embedder") -> None:
         part = batch.slice(at, BATCH)
         row, column, w = _rows(part, own.idf)
         y = _times(row, column, w, own.basis, part.num_rows)
-        order = np.argsort(column, kind="stable")
-        cols = column[order]
-        first = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]]) if len(cols) else np.empty(0, int)
-        if len(first):
-            total[cols[first]] += np.add.reduceat(w[order, None] * y[row[order]], first, axis=0)
+        cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            total[column[a:b]] += w[a:b, None] * y[i]  # a row has a column once
 
 
 @dataclass
@@ -80,10 +82,10 @@ class Embedder:
 
     @classmethod
     def fit(cls, docs: DataFrame, dims: int = DIMS, features: int = FEATURES, passes: int = PASSES, seed: int = 0) -> "Embedder":
-        """From ``doc_id, tokens`` (see ``lexical.tokenized``)."""
-        spark, rows = docs.sparkSession, counted(docs, features)
-        df = rows.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).toArrow()  # one row a column
-        n = rows.where(F.size("at") > 0).count()
+        """From ``doc_id, tokens`` (see ``lexical.tokenized``), or from what ``counted`` makes of it, which each pass reads."""
+        spark, rows = docs.sparkSession, docs if "all" in docs.columns else staged(counted(docs, features), "counted")
+        df = rows.select(F.explode(F.array_distinct("all")).alias("at")).groupBy("at").agg(F.count("*").alias("df")).toArrow()  # one row a column
+        n = rows.where(F.size("all") > 0).count()
         idf = np.zeros(features)
         idf[df.column("at").to_numpy()] = np.log(n / df.column("df").to_numpy()) if n else 0
         basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, dims)))[0]
@@ -110,8 +112,8 @@ class Embedder:
         return cls(idf, basis)
 
     def embedded(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, vector array<float>`` of ``doc_id, tokens``: unit vectors, checked in the pass that makes them."""
-        rows, sent = counted(docs, len(self.idf)), docs.sparkSession.sparkContext.broadcast(self)
+        """``doc_id, vector array<float>`` of ``doc_id, tokens``, or of these counted: unit vectors, checked in the pass that makes them."""
+        rows, sent = docs if "all" in docs.columns else counted(docs, len(self.idf)), docs.sparkSession.sparkContext.broadcast(self)
         kind = rows.schema["doc_id"].dataType.simpleString()
 
         def run(batches):

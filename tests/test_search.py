@@ -443,3 +443,35 @@ def test_block_index_stores_packed_rows_once(spark, tmp_path):
     assert {r["term"]: r["df"] for r in spark.read.parquet(f"{index.path}/terms").collect()} == want
     rows = spark.read.parquet(f"{index.path}/blocks").where("term = ''").collect()
     assert sum(len(r["ids"]) // 8 for r in rows) == 700 and max(len(r["ids"]) // 8 for r in rows) <= blockmax.GRID * blockmax.GRIDS
+
+
+def test_dense_search_keeps_each_querys_best_of_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.integers(-2, 3, (700, 4)).astype(float)  # many ties
+    x[5], x[6] = np.nan, np.inf
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (701, [])], "doc_id long, vector array<double>").repartition(3)
+    asked = made.where("doc_id % 10 < 3").select(F.col("doc_id").alias("qid"), "vector")
+    for name, n in {"BLOCK_VECTORS": 90, "BLOCK_QUERIES": 40, "TILE_VECTORS": 30, "TILE_QUERIES": 7, "PART_BLOCKS": 2}.items():
+        monkeypatch.setattr(dense, name, n)
+    rows, plain = [], dense.packed
+    for limit in (True, False):
+        if not limit:
+            monkeypatch.setattr(dense, "bounded_broadcast", lambda df: df)
+        for own in (True, False):
+            want = {}
+            with np.errstate(invalid="ignore"):
+                s = np.round(x @ x.T, 9)
+            for q in (i for i in range(700) if i % 10 < 3):
+                best = sorted((-s[q, i], i) for i in range(700) if s[q, i] > -np.inf and not (own and i == q))[2:12]
+                want[q] = [(i, round(-v, 6)) for v, i in best]
+            got = {}
+            for h in dense.search(made, asked, 10, 2, exclude_self=own).orderBy("qid", "rank").collect():
+                got.setdefault(h["qid"], []).append((h["doc_id"], h["score"]))
+            assert got == {q: h for q, h in want.items() if h}
+    # a task returns each query's best once, however many blocks it met
+    with monkeypatch.context() as m:
+        m.setattr(dense, "ranked", lambda found, *a, **k: found.withColumn("rank", F.lit(0)))
+        n = dense.search(made.coalesce(1), asked, 10).where("qid = 10").count()
+    assert n == 10
